@@ -9,8 +9,8 @@ squared Mahalanobis distance from it.
 The estimate starts from medians and median deviations and takes
 concentration steps: keep the share ``h`` of a group with the least distances,
 take mean and covariance of those, repeat.  Quantiles come from counts of
-binned values and moments from sums, so a group of any size is aggregated in
-parts before the shuffle and no task ever holds a group's rows.  A floor on
+binned values and moments from sums per bin, so a group of any size is
+aggregated in parts before the shuffle and no task holds more than a group's bins.  A floor on
 the variances keeps statistics that are constant in a group from having
 infinite weight.
 
@@ -25,8 +25,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
@@ -45,7 +46,8 @@ FEATURES = {
     "repeats": ("ln(1 + 10 * n_repeat_words / n_words)", 0.25),
     "words": ("ln(n_words)", 0.50),
 }
-BIN = 0.01
+#: Widths of the bins that are counted, of a statistic and of a log distance.
+BIN, LOG_BIN = 0.01, 0.05
 
 
 def _repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,14 +95,6 @@ def base_failed() -> Column:
     return F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
 
 
-def _quantile(df: DataFrame, keys: list[str], value: Column, share: float) -> DataFrame:
-    """The bin in which each group's rows reach the share, from counts of bins."""
-    bins = df.groupBy(*keys, F.round(value / BIN).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    bins = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    return bins.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg((F.min("bin") * BIN).alias("q"))
-
-
 def _distance(names: list[str]) -> Column:
     """Squared distance under the columns mean and inverse."""
     p, terms = len(names), []
@@ -111,48 +105,68 @@ def _distance(names: list[str]) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def _inverted(floors: list[float]):
-    low, p = np.square(floors), len(floors)
+def _weighted_median(x: np.ndarray, n: np.ndarray) -> float:
+    order = np.argsort(x, kind="stable")
+    upto = np.cumsum(n[order])
+    return float(x[order][np.searchsorted(upto, upto[-1] / 2)])
+
+
+_FIT = "g string, mean array<double>, inverse array<double>, scale double"
+
+
+def _start(p: int, floors: np.ndarray, min_group: int):
+    """For one group's counted bins of each statistic: medians and median deviations, as a first estimate."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        mean, var = np.zeros(p), np.zeros(p)
+        for i, part in pdf.groupby("i"):
+            x, n = part["bin"].to_numpy() * BIN, part["n"].to_numpy()
+            if n.sum() < min_group:
+                return pd.DataFrame(columns=["g", "mean", "inverse", "scale"])
+            mean[i] = _weighted_median(x, n)
+            var[i] = (1.4826 * _weighted_median(np.abs(x - mean[i]), n)) ** 2
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mean": [mean], "inverse": [np.diag(1 / (var + floors**2)).ravel()], "scale": [1.0]})
+
+    return run
+
+
+def _step(p: int, floors: np.ndarray, h: float):
+    """For one group's counts and moments by bin of distance: mean and covariance of the nearest share h."""
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
 
-    def run(batches):
-        for pdf in batches:
-            cov = np.stack(pdf["cov"].to_list()).astype(float).reshape(-1, p, p) if len(pdf) else np.zeros((0, p, p))
-            cov = cov + np.eye(p) * low
-            pdf["inverse"] = list(np.linalg.inv(cov).reshape(-1, p * p))
-            yield pdf[["g", "mean", "inverse"]]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin", kind="stable")
+        n = pdf["n"].to_numpy(float)
+        take = int(np.searchsorted(np.cumsum(n), h * n.sum())) + 1
+        near = pdf.iloc[:take]
+        m = near["n"].sum()
+        mean = np.array([near[f"s{i}"].sum() for i in range(p)]) / m
+        cov = np.zeros((p, p))
+        for i, j in upper:
+            cov[i, j] = cov[j, i] = near[f"s{i}_{j}"].sum() / m - mean[i] * mean[j]
+        middle = np.exp(_weighted_median(pdf["bin"].to_numpy() * LOG_BIN, n))
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mean": [mean], "inverse": [np.linalg.inv(cov + np.diag(floors**2)).ravel()], "scale": [max(1.0, middle / chi_square(p, 0.0))]})
 
     return run
 
 
-def robust_outliers(stats: DataFrame, h: float = 0.75, steps: int = 5, min_group: int = 50, features: dict = FEATURES, scratch: Scratch | None = None) -> DataFrame:
+def robust_outliers(stats: DataFrame, h: float = 0.75, steps: int = 4, min_group: int = 50, features: dict = FEATURES, scratch: Scratch | None = None) -> DataFrame:
     """Rows of stats with g (group) and d2, the squared robust distance scaled so that its group median is that of a chi-square; null without an estimate."""
     names, p = list(features), len(features)
-    floors = [floor for _, floor in features.values()]
+    floors = np.array([floor for _, floor in features.values()])
     scratch = scratch or Scratch(stats.sparkSession, "mcd")
-    group = F.to_json(F.struct("lang", "source"))
-    data = scratch.keep(stats.withColumn("g", group).withColumn("use", ~base_failed()).withColumns({k: F.coalesce(F.expr(e), F.lit(0.0)) for k, (e, _) in features.items()}), "data")
+    data = scratch.keep(stats.withColumn("g", F.to_json(F.struct("lang", "source"))).withColumn("use", ~base_failed()).withColumns({k: F.coalesce(F.expr(e), F.lit(0.0)) for k, (e, _) in features.items()}), "data")
     used = data.where("use").select("g", *names)
-    # start: medians and median deviations, each from counted bins
-    long = used.select("g", F.posexplode(F.array(*names)).alias("i", "x"))
-    mid = _quantile(long, ["g", "i"], F.col("x"), 0.5).withColumnRenamed("q", "m")
-    spread = _quantile(long.join(mid, ["g", "i"]), ["g", "i"], F.abs(F.col("x") - F.col("m")), 0.5)
-    size = used.groupBy("g").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_group)
-    start = mid.join(spread, ["g", "i"]).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "m", "q"))).alias("s")).join(size, "g", "left_semi")
-    diagonal = F.array(*[F.pow(F.col("s")[i]["q"] * 1.4826, 2) if i == j else F.lit(0.0) for i in range(p) for j in range(p)])
-    schema = "g string, mean array<double>, inverse array<double>"
-    fit = scratch.keep(start.select("g", F.col("s")["m"].alias("mean"), diagonal.alias("cov")).mapInPandas(_inverted(floors), schema), "fit0")
-    for step in range(1, steps + 1):
-        near = used.join(fit, "g").withColumn("ld", F.ln(_distance(names) + 1e-6))
-        limit = _quantile(near, ["g"], F.col("ld"), h)
-        kept = near.join(limit, "g").where(F.round(F.col("ld") / BIN) * BIN <= F.col("q") + BIN / 2)
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        moments = kept.groupBy("g").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)], *[F.avg(F.col(names[i]) * F.col(names[j])).alias(f"c{i}_{j}") for i, j in pairs])
-        cov = F.array(*[F.col(f"c{min(i, j)}_{max(i, j)}") - F.col(f"m{i}") * F.col(f"m{j}") for i in range(p) for j in range(p)])
-        fit = scratch.keep(moments.select("g", F.array(*[f"m{i}" for i in range(p)]).alias("mean"), cov.alias("cov")).mapInPandas(_inverted(floors), schema), f"fit{step}")
-        scratch.drop(f"fit{step - 1}")
-    near = used.join(fit, "g").withColumn("ld", F.ln(_distance(names) + 1e-6))
-    scale = _quantile(near, ["g"], F.col("ld"), 0.5).select("g", F.greatest(F.exp("q") / chi_square(p, 0.0), F.lit(1.0)).alias("scale"))
-    fit = scratch.keep(fit.join(scale, "g"), "fit")
+    bins = used.select("g", F.posexplode(F.array(*[F.round(F.col(x) / BIN).cast("int") for x in names])).alias("i", "bin")).groupBy("g", "i", "bin").agg(F.count("*").alias("n"))
+    fit = scratch.keep(bins.groupBy("g").applyInPandas(_start(p, floors, min_group), _FIT), "fit0")
+    moments = [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]]
+    for step in range(1, steps + 2):  # the last one only measures the scale of the estimate before it
+        near = used.join(fit.drop("scale"), "g").groupBy("g", F.round(F.ln(_distance(names) + 1e-6) / LOG_BIN).cast("int").alias("bin")).agg(*moments)
+        new = near.groupBy("g").applyInPandas(_step(p, floors, h), _FIT)
+        if step > steps:
+            new = fit.drop("scale").join(new.select("g", "scale"), "g")
+        fit = scratch.keep(new, f"fit{step}")
+    scratch.drop(*[f"fit{i}" for i in range(steps + 1)])
     return data.join(fit, "g", "left").withColumn("d2", F.when(F.col("use"), _distance(names) / F.col("scale"))).select("g", "doc_id", *STATS, "d2")
 
 

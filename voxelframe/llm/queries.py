@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_ordinal, quality_rules, toxicity
+from . import language_id, packing, quality_ordinal, quality_rules, toxicity, warc
 
 #: Remainders of crc32(doc_id as text) that are held out of learning.
 LANGUAGE_FOLD, LABEL_FOLD = "pmod(crc32(cast(doc_id as string)), 4) = 2", "pmod(crc32(cast(doc_id as string)), 5) = 0"
@@ -28,6 +28,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(language_id.predict(docs, net), LANGUAGE_FOLD)
 
 
+def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 poor, 1 sound but toxic, 2 sound. Kept: P(grade >= 1) is a half or more."""
     docs = _read(spark, sf_dir, "documents")
@@ -36,6 +40,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(result, LABEL_FOLD).withColumn("kept", F.col("tail_probability") >= 0.5)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(_read(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     labels = _read(spark, sf_dir, "labels").where(f"not ({LABEL_FOLD})").select("doc_id", F.col("toxic").alias("label"))
@@ -46,5 +54,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_quality_classifier, op7_toxicity, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY sha1(h)) AS lead FROM p)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(x, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = lead THEN NULL ELSE lead END AS refers_to
+FROM d
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_language_id, op2_warc_normaliser, op5_quality_classifier, op6_best_fit_packing, op7_toxicity, op10_quality_rules)
+}
+ORACLES: dict[str, str] = {"op2_warc_normaliser": OP2_SQL}
