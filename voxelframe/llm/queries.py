@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality_ordinal, quality_rules, toxicity, warc
+from . import decontamination, language_id, line_dedup, packing, quality_ordinal, quality_rules, toxicity, warc
 
 #: Remainders of crc32(doc_id as text) that are held out of learning.
 LANGUAGE_FOLD, LABEL_FOLD = "pmod(crc32(cast(doc_id as string)), 4) = 2", "pmod(crc32(cast(doc_id as string)), 5) = 0"
@@ -32,6 +32,10 @@ def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 poor, 1 sound but toxic, 2 sound. Kept: P(grade >= 1) is a half or more."""
     docs = _read(spark, sf_dir, "documents")
@@ -50,6 +54,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.predict(docs, toxicity.fit(docs, labels)), LABEL_FOLD)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    result = line_dedup.line_dedup(docs.select("doc_id", "text"))
+    return result.select("doc_id", F.col("n_removed_lines").cast("bigint").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.length("text").cast("bigint").alias("kept_chars"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
 
@@ -65,8 +75,24 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+#: Every variant of every distinct line, joined without any filter before it.
+OP9_SQL = """
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place, unnest(string_split(text, chr(10))) AS line FROM documents),
+o AS (SELECT doc_id, place, line, doc_id * 10000000 + place AS at FROM l WHERE length(line) >= 24),
+f AS (SELECT line, min(at) AS at FROM o GROUP BY line),
+n AS (SELECT line, at, unnest(range(0, length(line) + 1)) AS i FROM f),
+v AS (SELECT line, at, i, hash(CASE WHEN i = 0 THEN line ELSE left(line, (i - 1)::BIGINT) || substr(line, i + 1) END) AS x FROM n),
+e AS (SELECT DISTINCT b.line FROM v a JOIN v b ON a.x = b.x AND a.at < b.at AND (a.i = b.i OR a.i = 0 OR b.i = 0)),
+gone AS (SELECT o.doc_id, o.place FROM o JOIN f USING (line) LEFT JOIN e USING (line) WHERE o.at > f.at OR e.line IS NOT NULL),
+k AS (SELECT l.doc_id, count(g.doc_id) AS n_removed, string_agg(CASE WHEN g.doc_id IS NULL THEN l.line END, chr(10) ORDER BY l.place) AS kept
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
+  CASE WHEN d.text IS NOT NULL THEN length(coalesce(kept, ''))::BIGINT END AS kept_chars
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_warc_normaliser, op5_quality_classifier, op6_best_fit_packing, op7_toxicity, op10_quality_rules)
+    for f in (op1_language_id, op2_warc_normaliser, op4_benchmark_decontamination, op5_quality_classifier, op6_best_fit_packing, op7_toxicity, op9_line_dedup, op10_quality_rules)
 }
-ORACLES: dict[str, str] = {"op2_warc_normaliser": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_warc_normaliser": OP2_SQL, "op9_line_dedup": OP9_SQL}
