@@ -78,12 +78,12 @@ FROM d
 #: Every variant of every distinct line, joined without any filter before it.
 OP9_SQL = """
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place, unnest(string_split(text, chr(10))) AS line FROM documents),
-o AS (SELECT doc_id, place, line, doc_id * 10000000 + place AS at FROM l WHERE length(line) >= 24),
-f AS (SELECT line, min(at) AS at FROM o GROUP BY line),
-n AS (SELECT line, at, unnest(range(0, length(line) + 1)) AS i FROM f),
-v AS (SELECT line, at, i, hash(CASE WHEN i = 0 THEN line ELSE left(line, (i - 1)::BIGINT) || substr(line, i + 1) END) AS x FROM n),
-e AS (SELECT DISTINCT b.line FROM v a JOIN v b ON a.x = b.x AND a.at < b.at AND (a.i = b.i OR a.i = 0 OR b.i = 0)),
-gone AS (SELECT o.doc_id, o.place FROM o JOIN f USING (line) LEFT JOIN e USING (line) WHERE o.at > f.at OR e.line IS NOT NULL),
+o AS (SELECT doc_id, place, line, doc_id * 10000000 + place AS ord FROM l WHERE length(line) >= 24),
+f AS (SELECT line, min(ord) AS ord FROM o GROUP BY line),
+n AS (SELECT line, ord, unnest(range(0, length(line) + 1)) AS i FROM f),
+v AS (SELECT line, ord, i, hash(CASE WHEN i = 0 THEN line ELSE left(line, (i - 1)::BIGINT) || substr(line, i + 1) END) AS x FROM n),
+e AS (SELECT DISTINCT b.line FROM v a JOIN v b ON a.x = b.x AND a.ord < b.ord AND (a.i = b.i OR a.i = 0 OR b.i = 0)),
+gone AS (SELECT o.doc_id, o.place FROM o JOIN f USING (line) LEFT JOIN e USING (line) WHERE o.ord > f.ord OR e.line IS NOT NULL),
 k AS (SELECT l.doc_id, count(g.doc_id) AS n_removed, string_agg(CASE WHEN g.doc_id IS NULL THEN l.line END, chr(10) ORDER BY l.place) AS kept
   FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
