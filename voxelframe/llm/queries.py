@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, packing, quality_ordinal, quality_rules, toxicity, warc
+from . import decontamination, language_id, line_dedup, ngram_join, packing, quality_ordinal, quality_rules, substring_dedup, toxicity, warc
 
 #: Remainders of crc32(doc_id as text) that are held out of learning.
 LANGUAGE_FOLD, LABEL_FOLD = "pmod(crc32(cast(doc_id as string)), 4) = 2", "pmod(crc32(cast(doc_id as string)), 5) = 0"
@@ -32,6 +32,10 @@ def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), span=13)
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -54,6 +58,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.predict(docs, toxicity.fit(docs, labels)), LABEL_FOLD)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(_read(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     result = line_dedup.line_dedup(docs.select("doc_id", "text"))
@@ -75,6 +83,32 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS k, unnest(range(1, len(w) - 11)) AS i
+  FROM d WHERE len(w) >= 13),
+f AS (SELECT k, min(doc_id) AS m FROM g GROUP BY k),
+c AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 13)) AS p FROM g JOIN f USING (k) WHERE f.m < g.doc_id),
+w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT w.doc_id, count(c.p) AS n, string_agg(CASE WHEN c.p IS NULL THEN word END, ' ' ORDER BY w.p) AS kept
+  FROM w LEFT JOIN c ON w.doc_id = c.doc_id AND w.p = c.p GROUP BY w.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') END AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS k FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT o.a, o.b FROM o JOIN n x ON o.a = x.doc_id JOIN n y ON o.b = y.doc_id WHERE 100 * both >= 80 * (x.n + y.n - both)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.id)
+SELECT c.id AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c.root) AS component_id FROM c LEFT JOIN n ON n.doc_id = c.id GROUP BY c.id
+"""
+
 #: Every variant of every distinct line, joined without any filter before it.
 OP9_SQL = """
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place, unnest(string_split(text, chr(10))) AS line FROM documents),
@@ -93,6 +127,6 @@ FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_warc_normaliser, op4_benchmark_decontamination, op5_quality_classifier, op6_best_fit_packing, op7_toxicity, op9_line_dedup, op10_quality_rules)
+    for f in (op1_language_id, op2_warc_normaliser, op3_substring_dedup, op4_benchmark_decontamination, op5_quality_classifier, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_line_dedup, op10_quality_rules)
 }
-ORACLES: dict[str, str] = {"op2_warc_normaliser": OP2_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_warc_normaliser": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_line_dedup": OP9_SQL}

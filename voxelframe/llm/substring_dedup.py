@@ -239,66 +239,71 @@ def _repeats(docs: DataFrame, span: int, scratch: Scratch) -> tuple[DataFrame, D
     return passed.where(f"kind = {DOCUMENT}"), repeats
 
 
-def _removed_batches(span: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, sha = [], [], []
-            for text, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = text.encode().split()
-                cover = np.zeros(len(words) + 1, np.int64)
-                for blob in blobs or []:
-                    place = unpack(blob, "<u4")[0].astype(np.int64)
-                    np.add.at(cover, place, 1)
-                    np.add.at(cover, place + span, -1)
-                kept = (np.cumsum(cover[:-1]) == 0).tolist()
-                n_words.append(len(words)), n_removed.append(len(words) - sum(kept))
-                sha.append(hashlib.sha256(b" ".join(itertools.compress(words, kept))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return run
-
-
-def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, n_words, n_removed and the SHA-256 of the words kept, joined by single spaces."""
-    done, repeats = _repeats(docs, span, Scratch(docs.sparkSession, "debruijn"))
-    whole = done.where("text is null").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256")
-    cut = done.where("text is not null").join(repeats, "rid", "left").select("doc_id", "text", "repeats")
-    return whole.union(cut.mapInArrow(_removed_batches(span), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))
-
-
-def _coordinate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of repeats of each row and bucket: place, source document and place, length."""
+def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of repeats of each row that follow each other in row and source: place, source document and place, edges."""
     for batch in batches:
         cols: list[list] = [[], [], [], [], []]
-        for doc, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for rid, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             parts = [unpack(b, "<u4", "<i8", "<u4") for b in blobs]
             place, src, at = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3))
             order = np.lexsort((place, at - place, src))
             place, src, at = place[order], src[order], at[order]
             g = groups(place - np.arange(len(place)), src, at - place)
-            for lo, n in zip(g[:-1], np.diff(g)):
-                for c, v in zip(cols, (doc, int(place[lo]), int(src[lo]), int(at[lo]), int(n))):
-                    c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "place", "source_id", "source_place", "edges"])
+            cols[0] += [rid] * (len(g) - 1)
+            for c, v in zip(cols[1:], (place[g[:-1]], src[g[:-1]], at[g[:-1]], np.diff(g))):
+                c += v.tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rid", "place", "source_id", "source_place", "edges"])
 
 
-def repeated_paths(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Maximal paths of repeats: doc_id, place, source_id, source_place, n_words.
+def _paths(repeats: DataFrame, span: int, scratch: Scratch) -> DataFrame:
+    """Maximal paths of repeats: rid, place, source_id, source_place, n_words.
 
     A run of edges is continued by the run that starts where it ends, in the
-    document and in the source: the end of one and the head of the other are
-    the same node and neither branches there.  Heads and tails are the runs
-    that an anti-join leaves without a run before or behind them; the n-th head
-    and the n-th tail on a diagonal (document, source, shift) make a path.
+    row and in the source: the end of one and the head of the other are the
+    same node and the path does not branch there.  Heads and tails are the
+    runs that an anti-join leaves without a run before or behind them; the
+    n-th head and the n-th tail on a diagonal (row, source, shift) are joined
+    to a path.
     """
-    scratch = Scratch(docs.sparkSession, "paths")
-    done, repeats = _repeats(docs, span, scratch)
-    runs = done.where("text is not null").join(repeats, "rid").select("doc_id", "repeats").mapInArrow(_coordinate_batches, "doc_id bigint, place bigint, source_id bigint, source_place bigint, edges bigint")
-    runs = scratch.keep(runs.withColumn("shift", F.col("source_place") - F.col("place")).distinct(), "runs")
-    line = ["doc_id", "source_id", "shift"]
+    runs = repeats.mapInArrow(_run_batches, "rid bigint, place bigint, source_id bigint, source_place bigint, edges bigint")
+    runs = scratch.keep(runs.withColumn("shift", F.col("source_place") - F.col("place")), "runs")
+    line = ["rid", "source_id", "shift"]
     ends = runs.select(*line, (F.col("place") + F.col("edges")).alias("place"))
     starts = runs.select(*line, "place", "source_place")
     number = Window.partitionBy(*line).orderBy("place")
     heads = starts.join(ends, [*line, "place"], "left_anti").withColumn("i", F.row_number().over(number))
     tails = ends.join(starts, [*line, "place"], "left_anti").withColumn("i", F.row_number().over(number)).withColumnRenamed("place", "end")
-    return heads.join(tails, [*line, "i"]).select("doc_id", "place", "source_id", "source_place", (F.col("end") - F.col("place") + span - 1).alias("n_words"))
+    return heads.join(tails, [*line, "i"]).select("rid", "place", "source_id", "source_place", (F.col("end") - F.col("place") + span - 1).alias("n_words"))
+
+
+def repeated_paths(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """doc_id, place, source_id, source_place and n_words of the maximal paths of repeats."""
+    scratch = Scratch(docs.sparkSession, "paths")
+    done, repeats = _repeats(docs, span, scratch)
+    ids = done.where("text is not null").select("rid", "doc_id").distinct()
+    return _paths(repeats, span, scratch).join(ids, "rid").select("doc_id", "place", "source_id", "source_place", "n_words")
+
+
+def _removed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n_words, n_removed, sha = [], [], []
+        for text, paths in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            words = text.encode().split()
+            cover = np.zeros(len(words) + 1, np.int64)
+            for path in paths or []:
+                cover[path["place"]] += 1
+                cover[path["place"] + path["n_words"]] -= 1
+            kept = (np.cumsum(cover[:-1]) == 0).tolist()
+            n_words.append(len(words)), n_removed.append(len(words) - sum(kept))
+            sha.append(hashlib.sha256(b" ".join(itertools.compress(words, kept))).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """doc_id, n_words, n_removed and the SHA-256 of the words on no path, joined by single spaces."""
+    scratch = Scratch(docs.sparkSession, "debruijn")
+    done, repeats = _repeats(docs, span, scratch)
+    paths = _paths(repeats, span, scratch).groupBy("rid").agg(F.collect_list(F.struct("place", "n_words")).alias("paths"))
+    whole = done.where("text is null").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256")
+    cut = done.where("text is not null").join(paths, "rid", "left").select("doc_id", "text", "paths")
+    return whole.union(cut.mapInArrow(_removed_batches, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))
