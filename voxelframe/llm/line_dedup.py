@@ -94,11 +94,11 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratc
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without the lines that repeat earlier ones, with n_removed_lines."""
-    places = duplicate_lines(docs, min_chars)
-    joined = docs.join(places.withColumnRenamed("doc_id", "__doc_id"), F.col("doc_id") == F.col("__doc_id"), "left").drop("__doc_id")
-    split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("places"), i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("places").isNull(), F.col("text")).otherwise(kept)).withColumn("n_removed_lines", F.coalesce(F.size("places"), F.lit(0)))
+    places = duplicate_lines(docs, min_chars).toDF("__lines_of", "__lines")
+    joined = docs.join(places, F.col("doc_id") == F.col("__lines_of"), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__lines"), i)), "\n")
+    whole = F.col("__lines").isNull() | F.col("text").isNull()
+    out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(kept)).withColumn("n_removed_lines", F.coalesce(F.size("__lines"), F.lit(0)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("places").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.drop("places")
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.drop("__lines_of", "__lines")
