@@ -80,9 +80,10 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratc
     candidates = lines(docs, min_chars).join(where, ["doc_id", "place"]).groupBy("h", "at").agg(F.min("line").alias("line"))
     candidates = scratch.keep(candidates, "candidates")
     # deletion neighbourhoods
-    variants = candidates.select("h", "at", F.explode(_variants(F.col("line"))).alias("x")).select("h", "at", "x.v", "x.i")
+    variants = scratch.keep(candidates.select("h", "at", F.explode(_variants(F.col("line"))).alias("x")).select("h", "at", "x.v", "x.i"), "variants")
     groups = variants.groupBy("v").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("at").alias("any"), F.min(F.when(F.col("i") == 0, F.col("at"))).alias("whole")).where("a < b").drop("a", "b")
     met = scratch.keep(variants.join(groups, "v"), "met")
+    scratch.drop("variants")
     same = met.groupBy("v", "i").agg(F.min("at").alias("same"))
     found = met.join(same, ["v", "i"]).withColumn("earliest", F.when(F.col("i") == 0, F.col("any")).otherwise(F.least("same", "whole")))
     found = found.groupBy("h", "at").agg(F.min("earliest").alias("earliest")).where("earliest < at")
