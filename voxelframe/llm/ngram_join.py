@@ -293,6 +293,13 @@ def overlaps(docs: DataFrame, profile: DataFrame, pairs: DataFrame, n: int, scra
     return scratch.keep(pairs.join(counted, ["a", "b"]), name)
 
 
+def _most_frequent(counts: DataFrame, most: int = FREQUENT):
+    """The n-grams with the greatest counts, ``most`` at most, as a pandas frame; the least count is found on a histogram of 65535 bins."""
+    bins = counts.groupBy(F.least("n", F.lit(65535)).alias("n")).agg(F.count("*").alias("k")).toPandas().sort_values("n", ascending=False)
+    enough = bins["n"][bins["k"].cumsum() <= most]
+    return counts.where(F.col("n") >= (int(enough.iloc[-1]) if len(enough) else 2**62)).toPandas()
+
+
 def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
@@ -301,8 +308,7 @@ def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     buckets = 2 * partitions(spark, 8)
     seen = scratch.keep(docs.mapInArrow(_profile_batches(n), "kind int, doc_id bigint, n bigint, sid bigint"), "profile")
     profile = seen.where("kind = 0").drop("kind")
-    # at most FREQUENT rows reach the driver
-    common = seen.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(FREQUENT).toPandas()
+    common = _most_frequent(scratch.keep(seen.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")), "frequent"))
     h = common["sid"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     prefixes = docs.where("doc_id is not null").select("text").mapInArrow(_prefix_batches(n, percent, buckets, h[order], common["n"].to_numpy(np.int64)[order]), _PREFIX)
