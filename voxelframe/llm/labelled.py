@@ -40,7 +40,7 @@ def sample(docs: DataFrame, labels: DataFrame, features, rows: int, max_words: i
     """
     ids = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("doc_id is not null and label is not null")
     share = min(1.0, 2 * rows / max(1, ids.count()))  # twice what is needed, so that tasks send little to the driver
-    ids = ids.withColumn("k", F.xxhash64("doc_id")).where(F.col("k") <= int(-(2**63) + share * (2**64 - 1))).orderBy("k", "doc_id", "label").limit(rows).drop("k")
+    ids = ids.withColumn("k", F.xxhash64("doc_id")).where(F.col("k") <= min(2**63 - 1, int(-(2**63) + share * 2**64))).orderBy("k", "doc_id", "label").limit(rows).drop("k")
     lang = "lang" if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
     got = docs.select("doc_id", "text", lang).join(F.broadcast(ids), "doc_id").select("text", "label", "lang", "doc_id")
     out = got.mapInArrow(hashed(features, max_words), "doc_id bigint, label int, lang string, h binary").toPandas()

@@ -137,7 +137,7 @@ def fit(rows: DataFrame, sample: int = 6000, **options) -> ByteNet:
     windows = rows.mapInArrow(_sample_batches, "lang string, window binary, h bigint")
     # every text gives a window at least: twice the share that is needed is enough, and keeps what tasks send to the driver small
     share = min(1.0, 2 * sample / max(1, rows.select("lang").where("lang is not null").count()))
-    got = windows.where(F.col("h") <= int(-(2**63) + share * (2**64 - 1))).orderBy("h", "lang", "window").limit(sample).toPandas()
+    got = windows.where(F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2**64))).orderBy("h", "lang", "window").limit(sample).toPandas()
     labels = sorted(set(got["lang"]))
     if not labels:
         return ByteNet([], [], np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
