@@ -144,3 +144,14 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut between rows into parts with about limit bytes of text each."""
+    for batch in batches:
+        _, off = buffers(batch.column(column))
+        at, n = 0, batch.num_rows
+        while at < n:
+            to = min(n, max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1))
+            yield batch.slice(at, to - at)
+            at = to

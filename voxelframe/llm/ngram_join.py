@@ -16,10 +16,11 @@ apart from the others:
 3. For each pair, every fragment counts the overlap of the two sets within
    it; the counts are summed per pair and compared with the threshold.
 4. Connected components of the links.  Where an n-gram still has sets of
-   different components under it, the pairs between these that were not
-   counted yet are joined, counted like the others, and the components are
-   made again.  Pairs within a component need no count.  So no link between
-   components is lost, and no group is expanded into all pairs.
+   different components under it, some of them are counted against the others
+   and the components are made again; then all pairs of such sets that are
+   still apart and uncounted are.  Pairs within a component need no count.  So
+   no link between components is lost, and a group of near copies is not
+   expanded into all its pairs.
 
 Defined results: null texts and texts without words have an empty set that is
 linked with nothing, and are their own component.  Rows with null doc_id take
@@ -47,6 +48,8 @@ N, PERCENT = 5, 80
 #: Frequent n-grams that a task reports, and that the global order knows.
 TASK_FREQUENT, FREQUENT = 20_000, 1 << 17
 FRAGMENTS, MEMBERS = 4, 1000
+#: Sets of an n-gram that are counted against all others before the rest is.
+LEADERS_TESTED = 24
 
 
 def sets(b: B.Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +106,7 @@ def _profile_batches(n: int):
     """doc_id, size and hash of each set; and (without doc_id) n-grams that several sets of the task have, with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in B.slices(batches, 1):
             h, first, ids = _batch_sets(batch.column(1), n)
             values, _ = _take(h, first, _distinct(first, ids))
             values, count = np.unique(values, return_counts=True)
@@ -137,7 +140,7 @@ def _prefix_batches(n: int, percent: int, buckets: int, frequent: np.ndarray, co
     """Three kinds of rows: pairs of the task's own sets, members (key, set) of groups, and for each fragment the least own set under each n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in B.slices(batches, 0):
             h, first, ids = _batch_sets(batch.column(0), n)
             rows = _distinct(first, ids)  # by hash of set, so the first row of a group is the least set
             h, of = _take(h, first, rows)
@@ -300,6 +303,28 @@ def _most_frequent(counts: DataFrame, most: int = FREQUENT):
     return counts.where(F.col("n") >= (int(enough.iloc[-1]) if len(enough) else 2**62)).toPandas()
 
 
+def _across(members: DataFrame, parts: DataFrame, tested: DataFrame, percent: int, leaders: int | None, scratch: Scratch, turn: int) -> DataFrame | None:
+    """Untested pairs of similar size that share an n-gram and are in different components.
+
+    With ``leaders``, only pairs with one of about so many sets of each n-gram,
+    chosen by hash, so that they are the same for n-grams that share sets.
+    """
+    now = members.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    mixed = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x < y").select("key", "k")
+    mixed = scratch.keep(now.join(mixed, "key"), f"mixed{turn}")
+    x, y = mixed.toDF(*[f"{c}1" if c != "key" else c for c in mixed.columns]), mixed.toDF(*[f"{c}2" if c != "key" else c for c in mixed.columns])
+    if leaders is not None:
+        x = x.where(f"(xxhash64(sid1) / {2.0**64} + 0.5) * k1 < {leaders}")
+    pairs = x.join(y, "key").where(f"component1 <> component2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)" + " and sid1 < sid2" * (leaders is None))
+    first = F.col("sid1") < F.col("sid2")
+    a, b = (F.when(first, F.col(f"{c}1")).otherwise(F.col(f"{c}2")) for c in ("sid", "n"))
+    c, d = (F.when(first, F.col(f"{c}2")).otherwise(F.col(f"{c}1")) for c in ("sid", "n"))
+    pairs = pairs.select(a.alias("a"), b.alias("na"), c.alias("b"), d.alias("nb")).distinct().join(tested, ["a", "b"], "left_anti")
+    pairs = scratch.keep(pairs, f"pairs{turn}")
+    scratch.drop(f"mixed{turn}")
+    return None if pairs.isEmpty() else pairs
+
+
 def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
@@ -321,21 +346,20 @@ def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     counted = overlaps(docs, profile, scratch.keep(pairs, "pairs1"), n, scratch, "overlaps1")
     links = counted.where(linked).select("a", "b")
     parts = scratch.keep(components(links, scratch, "c1"), "parts1")
-    # pairs under an n-gram whose sets are in different components
+    # n-grams whose sets are in different components: first some sets of each against the others, then all that is left
     members = groups_.where(f"kind = {MEMBER}").select("a", "b").mapInArrow(_member_batches, "key bigint, sid bigint, n bigint").distinct()
-    members = members.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     members = scratch.keep(members, "members")
-    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    mixed = scratch.keep(members.join(mixed, "key"), "mixed")
-    x, y = mixed.toDF(*[f"{c}1" if c != "key" else c for c in mixed.columns]), mixed.toDF(*[f"{c}2" if c != "key" else c for c in mixed.columns])
-    close = F.expr(f"sid1 < sid2 and component1 <> component2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
-    more = x.join(y, "key").where(close).select(F.col("sid1").alias("a"), F.col("n1").alias("na"), F.col("sid2").alias("b"), F.col("n2").alias("nb")).distinct()
-    more = scratch.keep(more.join(scratch.spark.read.parquet(f"{scratch.path}/pairs1"), ["a", "b"], "left_anti"), "pairs2")
-    if not more.isEmpty():
-        again = overlaps(docs, profile, more, n, scratch, "overlaps2").where(linked).select("a", "b")
+    tested = counted.select("a", "b")
+    for turn, leaders in ((2, LEADERS_TESTED), (3, None)):
+        more = _across(members, parts, tested, percent, leaders, scratch, turn)
+        if more is None:
+            break
+        counted = overlaps(docs, profile, more, n, scratch, f"overlaps{turn}")
+        again = counted.where(linked).select("a", "b")
+        links, tested = links.union(again), tested.union(counted.select("a", "b"))
         if not again.isEmpty():
-            parts = scratch.keep(components(links.union(again), scratch, "c2"), "parts2")
-    scratch.drop("groups", "members", "mixed")
+            parts = scratch.keep(components(links, scratch, f"c{turn}"), f"parts{turn}")
+    scratch.drop("groups", "members")
     of = profile.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("component", "sid"))
     least = of.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
     return of.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
