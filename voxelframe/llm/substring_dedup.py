@@ -39,10 +39,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as B
+from .bitmaps import bitmap, hit
 from .blobs import by_bucket, groups, pack, unpack
 from .shared import Scratch, partitions
 
-SPAN, K = 13, 5
+SPAN, K = 13, 8
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -76,7 +77,7 @@ def _anchor_batches(span: int, buckets: int):
     """(bucket, row, blob): to a bucket the short hashes of anchors and the row and document of each; to a row (bucket from its hash) those known to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in B.slices(batches, 2, 16 << 20):
             rid, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for b in B.blocks(batch.column(2)):
@@ -110,7 +111,8 @@ def _anchor_batches(span: int, buckets: int):
     return run
 
 
-_BLOB = "rid bigint, blob binary"
+_PART = "part int, blob binary"
+_MARKED = "rid bigint, blob binary"
 
 
 def _narrow(blob: bytes) -> str:
@@ -118,134 +120,139 @@ def _narrow(blob: bytes) -> str:
     return "<u2" if blob[1 + 12] == 2 else "<u4"
 
 
-def _anchor_bucket(key, table):
-    """The rows (rid) whose anchors occur in two documents of the whole corpus."""
-    rids, blobs = table.column("rid").to_pylist(), table.column("blob").to_pylist()
-    out_rid, out_blob = [], []
-    short, row, ids, flag = [], [], [], []
-    for rid, blob in zip(rids, blobs):
-        if rid is not None:
-            out_rid.append(rid), out_blob.append(blob)
-            continue
-        h, inv, names, docs, f = unpack(blob, "<u4", _narrow(blob), "<i8", "<i8", "u1")
-        short.append(h), row.append(names[inv]), ids.append(docs[inv]), flag.append(f)
-    if short:
-        short, row, ids, flag = map(np.concatenate, (short, row, ids, flag))
-        order = np.lexsort((ids, short))
-        short, row, ids, flag = short[order], row[order], ids[order], flag[order]
-        g = groups(short)
-        many = (ids[g[:-1]] != ids[g[1:] - 1]) | (np.maximum.reduceat(flag, g[:-1]) > 0)
-        mine = np.repeat(many, np.diff(g))
-        o, who, at = by_bucket(row[mine])
-        short = short[mine][o]
-        for i, r in enumerate(who):
-            out_rid.append(int(r)), out_blob.append(short[at[i] : at[i + 1]].tobytes())
-    return pa.table([pa.array(out_rid, pa.int64()), pa.array(out_blob, pa.binary())], ["rid", "blob"])
-
-
-_PASSED = "kind int, bucket int, rid bigint, doc_id bigint, n_words bigint, kept_sha256 string, text string, blob binary"
-_NAMES = [c.split()[0] for c in _PASSED.split(", ")]
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-DOCUMENT, OWN, EDGES = range(3)
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*out)) or [[]] * len(_TYPES)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, _TYPES)], _NAMES)
+def _parts(rid: np.ndarray, buckets: int, *values: np.ndarray) -> pa.Table:
+    """One row per part of the rows (by hash) with packed rid and values."""
+    order, found, at = by_bucket((rid % buckets).astype(np.int32))
+    blobs = [pack(rid[o], *[v[o] for v in values]) for o in (order[at[i] : at[i + 1]] for i in range(len(found)))]
+    return pa.table([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+
+def _anchor_bucket(buckets: int):
+    def run(key, table):
+        """The rows (rid) whose anchors occur in two documents of the whole corpus, with these anchors."""
+        short, row, ids, flag = [], [], [], []
+        out_row, out_short = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for rid, blob in zip(table.column("rid").to_pylist(), table.column("blob").to_pylist()):
+            if rid is not None:
+                out_short.append(np.frombuffer(blob, "<u4"))
+                out_row.append(np.full(len(out_short[-1]), rid, np.int64))
+                continue
+            h, inv, names, docs, f = unpack(blob, "<u4", _narrow(blob), "<i8", "<i8", "u1")
+            short.append(h), row.append(names[inv]), ids.append(docs[inv]), flag.append(f)
+        if short:
+            short, row, ids, flag = map(np.concatenate, (short, row, ids, flag))
+            order = np.lexsort((ids, short))
+            short, row, ids, flag = short[order], row[order], ids[order], flag[order]
+            g = groups(short)
+            many = (ids[g[:-1]] != ids[g[1:] - 1]) | (np.maximum.reduceat(flag, g[:-1]) > 0)
+            mine = np.repeat(many, np.diff(g))
+            out_row.append(row[mine]), out_short.append(short[mine])
+        return _parts(np.concatenate(out_row), buckets, np.concatenate(out_short))
+
+    return run
 
 
-def _edge_batches(span: int, buckets: int):
-    """Rows of three kinds: documents (finished, or with their text), repeats found within the task, and edges for buckets."""
+def _by_row(*kinds: str):
+    def run(key, table):
+        """The packed values of each row (rid) of a part."""
+        arrays = [np.concatenate(a) for a in zip(*(unpack(b, "<i8", *kinds) for b in table.column("blob").to_pylist()))]
+        order, who, at = by_bucket(arrays[0])
+        blobs = [pack(*[v[o] for v in arrays[1:]]) for o in (order[at[i] : at[i + 1]] for i in range(len(who)))]
+        return pa.table([pa.array(who, pa.int64()), pa.array(blobs, pa.binary())], ["rid", "blob"])
+
+    return run
+
+
+def _chosen_batches(table: np.ndarray):
+    """Only rows whose rid may be in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, ids, null = batch.column(0).to_numpy(), batch.column(1).fill_null(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(hit(table, batch.column(0).to_numpy().view(np.uint64))))
+
+    return run
+
+
+def _edge_batches(span: int, buckets: int):
+    """(bucket, part, blob): repeats found within the task for parts of rows, and edges for buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in B.slices(batches, 2, 16 << 20):
+            rid, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             marked = batch.column(3).to_pylist()
-            out: list[tuple] = []
             hs, anchors, docs, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for b in B.blocks(batch.column(2)):
                 h, anchor, ok, first = edges(b, span)
                 short = _short(anchor)
                 for d in range(b.n):
-                    row, raw = b.first + d, b.text(d)
                     lo, hi = int(first[d]), min(int(first[d + 1]), len(h))
-                    hits = np.zeros(0, np.int64)
-                    if marked[row] is not None and hi > lo:
-                        known = np.unique(np.frombuffer(b"".join(marked[row]), "<u4"))
-                        hits = np.flatnonzero(ok[lo:hi] & np.isin(short[lo:hi], known))
-                    name = None if null[row] else int(ids[row])
-                    if len(hits):
-                        hs.append(h[lo + hits]), anchors.append(anchor[lo + hits]), places.append(hits), docs.append(np.full(len(hits), row))
-                        out.append((DOCUMENT, None, int(rid[row]), name, int(first[d + 1] - first[d]), None, raw.decode(), None))
-                    else:
-                        words = raw.split()
-                        out.append((DOCUMENT, None, int(rid[row]), name, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None, None))
+                    if hi > lo:
+                        known = np.unique(unpack(marked[b.first + d], "<u4")[0])
+                        at = np.minimum(np.searchsorted(known, short[lo:hi]), len(known) - 1)
+                        hits = np.flatnonzero(ok[lo:hi] & (known[at] == short[lo:hi]))
+                        hs.append(h[lo + hits]), anchors.append(anchor[lo + hits]), places.append(hits), docs.append(np.full(len(hits), b.first + d))
             h, anchor, doc, place = map(np.concatenate, (hs, anchors, docs, places))
             order = np.lexsort((place, ids[doc], h))
             h, anchor, doc, place = h[order], anchor[order], doc[order], place[order]
             g = groups(h)
             size = np.diff(g)
-            lead = g[:-1]
-            own = ids[doc] > np.repeat(ids[doc[lead]], size)  # repeats of a document of the same task
+            lead = np.repeat(g[:-1], size)
+            own = ids[doc] > ids[doc[lead]]  # repeats of a document of the same task
             at = np.flatnonzero(own)
-            source = np.repeat(lead, size)[at]
-            o, who, cut = by_bucket(doc[at])
-            for i, d in enumerate(who):
-                part = at[o[cut[i] : cut[i + 1]]]
-                src = source[o[cut[i] : cut[i + 1]]]
-                out.append((OWN, None, int(rid[d]), None, None, None, None, pack(place[part].astype("<u4"), ids[doc[src]], place[src].astype("<u4"))))
+            parts = _parts(rid[doc[at]], buckets, place[at].astype("<u4"), ids[doc[lead[at]]], place[lead[at]].astype("<u4"))
             sent = np.flatnonzero(~own)
             o, which, cut = by_bucket(_bucket(anchor[sent], buckets))
-            for i, k in enumerate(which):
+            blobs = []
+            for i in range(len(which)):
                 part = sent[o[cut[i] : cut[i + 1]]]
                 names, inv = np.unique(doc[part], return_inverse=True)
-                out.append((EDGES, int(k), None, None, None, None, None, pack(h[part], inv.astype(np.uint16 if len(names) < 65536 else np.uint32), place[part].astype("<u4"), rid[names], ids[names])))
-            yield _rows(out)
+                blobs.append(pack(h[part], inv.astype(np.uint16 if len(names) < 65536 else np.uint32), place[part].astype("<u4"), rid[names], ids[names]))
+            none = pa.nulls(len(parts), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([none, pa.array(which, pa.int32())]), pa.concat_arrays([parts["part"].combine_chunks(), pa.nulls(len(which), pa.int32())]), pa.concat_arrays([parts["blob"].combine_chunks(), pa.array(blobs, pa.binary())])], ["bucket", "part", "blob"])
 
     return run
 
 
-def _edge_bucket(key, table):
-    """Repeats by row: places, and the source's document and place."""
-    hs, rows, ids, places = [], [], [], []
-    for blob in table.column("blob").to_pylist():
-        h, inv, place, names, docs = unpack(blob, "<u8", _narrow(blob), "<u4", "<i8", "<i8")
-        hs.append(h), rows.append(names[inv]), ids.append(docs[inv]), places.append(place)
-    h, row, ids, place = map(np.concatenate, (hs, rows, ids, places))
-    order = np.lexsort((place, ids, h))
-    h, row, ids, place = h[order], row[order], ids[order], place[order]
-    g = groups(h)
-    lead = np.repeat(g[:-1], np.diff(g))
-    at = np.flatnonzero(ids > ids[lead])
-    o, who, cut = by_bucket(row[at])
-    out_rid, out_blob = [], []
-    for i, r in enumerate(who):
-        part = at[o[cut[i] : cut[i + 1]]]
-        out_rid.append(int(r)), out_blob.append(pack(place[part], ids[lead[part]], place[lead[part]]))
-    return pa.table([pa.array(out_rid, pa.int64()), pa.array(out_blob, pa.binary())], ["rid", "blob"])
+def _edge_bucket(buckets: int):
+    def run(key, table):
+        """Repeats by part of the rows: row, place, and the source's document and place."""
+        hs, rows, ids, places = [], [], [], []
+        for blob in table.column("blob").to_pylist():
+            h, inv, place, names, docs = unpack(blob, "<u8", _narrow(blob), "<u4", "<i8", "<i8")
+            hs.append(h), rows.append(names[inv]), ids.append(docs[inv]), places.append(place)
+        h, row, ids, place = map(np.concatenate, (hs, rows, ids, places))
+        order = np.lexsort((place, ids, h))
+        h, row, ids, place = h[order], row[order], ids[order], place[order]
+        g = groups(h)
+        lead = np.repeat(g[:-1], np.diff(g))
+        at = np.flatnonzero(ids > ids[lead])
+        return _parts(row[at], buckets, place[at], ids[lead[at]], place[lead[at]])
+
+    return run
 
 
 def _repeats(docs: DataFrame, span: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The documents (finished, or with text) and the repeats of each row (rid, list of blobs)."""
+    """The rows (rid, doc_id, text), and the repeats of those that have some (rid, blob)."""
     spark = docs.sparkSession
     buckets = 2 * partitions(spark, 8)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
-    anchors = rows.where("doc_id is not null").mapInArrow(_anchor_batches(span, buckets), "bucket int, rid bigint, blob binary")
-    marked = anchors.groupBy("bucket").applyInArrow(_anchor_bucket, _BLOB).groupBy("rid").agg(F.collect_list("blob").alias("marked"))
-    passed = rows.join(marked, "rid", "left").mapInArrow(_edge_batches(span, buckets), _PASSED)
-    passed = scratch.keep(passed, "passed")
-    found = passed.where(f"kind = {EDGES}").select("bucket", "blob").groupBy("bucket").applyInArrow(_edge_bucket, _BLOB)
-    repeats = passed.where(f"kind = {OWN}").select("rid", "blob").union(found).groupBy("rid").agg(F.collect_list("blob").alias("repeats"))
-    return passed.where(f"kind = {DOCUMENT}"), repeats
+    known = rows.where("doc_id is not null")
+    anchors = known.mapInArrow(_anchor_batches(span, buckets), "bucket int, rid bigint, blob binary")
+    marked = anchors.groupBy("bucket").applyInArrow(_anchor_bucket(buckets), _PART).groupBy("part").applyInArrow(_by_row("<u4"), _MARKED)
+    marked = scratch.keep(marked, "marked")
+    chosen = known.mapInArrow(_chosen_batches(bitmap(marked, "rid")), known.schema)
+    passed = scratch.keep(chosen.join(marked, "rid").mapInArrow(_edge_batches(span, buckets), "bucket int, part int, blob binary"), "edges")
+    found = passed.where("part is null").select("bucket", "blob").groupBy("bucket").applyInArrow(_edge_bucket(buckets), _PART)
+    repeats = passed.where("part is not null").select("part", "blob").union(found).groupBy("part").applyInArrow(_by_row("<u4", "<i8", "<u4"), _MARKED)
+    return rows, repeats
 
 
 def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of repeats of each row that follow each other in row and source: place, source document and place, edges."""
     for batch in batches:
         cols: list[list] = [[], [], [], [], []]
-        for rid, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            parts = [unpack(b, "<u4", "<i8", "<u4") for b in blobs]
-            place, src, at = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3))
+        for rid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            place, src, at = (a.astype(np.int64) for a in unpack(blob, "<u4", "<i8", "<u4"))
             order = np.lexsort((place, at - place, src))
             place, src, at = place[order], src[order], at[order]
             g = groups(place - np.arange(len(place)), src, at - place)
@@ -279,31 +286,49 @@ def _paths(repeats: DataFrame, span: int, scratch: Scratch) -> DataFrame:
 def repeated_paths(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, place, source_id, source_place and n_words of the maximal paths of repeats."""
     scratch = Scratch(docs.sparkSession, "paths")
-    done, repeats = _repeats(docs, span, scratch)
-    ids = done.where("text is not null").select("rid", "doc_id").distinct()
-    return _paths(repeats, span, scratch).join(ids, "rid").select("doc_id", "place", "source_id", "source_place", "n_words")
+    rows, repeats = _repeats(docs, span, scratch)
+    return _paths(repeats, span, scratch).join(rows.select("rid", "doc_id").distinct(), "rid").select("doc_id", "place", "source_id", "source_place", "n_words")
+
+
+def _finished_batches(table: np.ndarray):
+    """Word count and hash of each text; the text itself only where the bitmap says that it may lose words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maybe = hit(table, batch.column(0).to_numpy().view(np.uint64))
+            texts, n_words, sha = [], [], []
+            for m, t in zip(maybe, batch.column(2)):
+                text = t.as_py() or ""
+                words = () if m else text.encode().split()
+                texts.append(text if m else None), n_words.append(len(words)), sha.append(None if m else hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(sha, pa.string())], ["rid", "doc_id", "text", "n_words", "kept_sha256"])
+
+    return run
 
 
 def _removed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_words, n_removed, sha = [], [], []
-        for text, paths in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        n_words, sha, n_removed = batch.column(2).to_pylist(), batch.column(3).to_pylist(), [0] * batch.num_rows
+        for i, (text, paths) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist())):
+            if text is None:
+                continue
             words = text.encode().split()
             cover = np.zeros(len(words) + 1, np.int64)
             for path in paths or []:
                 cover[path["place"]] += 1
                 cover[path["place"] + path["n_words"]] -= 1
             kept = (np.cumsum(cover[:-1]) == 0).tolist()
-            n_words.append(len(words)), n_removed.append(len(words) - sum(kept))
-            sha.append(hashlib.sha256(b" ".join(itertools.compress(words, kept))).hexdigest())
+            n_words[i], n_removed[i] = len(words), len(words) - sum(kept)
+            sha[i] = hashlib.sha256(b" ".join(itertools.compress(words, kept))).hexdigest()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the words on no path, joined by single spaces."""
     scratch = Scratch(docs.sparkSession, "debruijn")
-    done, repeats = _repeats(docs, span, scratch)
-    paths = _paths(repeats, span, scratch).groupBy("rid").agg(F.collect_list(F.struct("place", "n_words")).alias("paths"))
-    whole = done.where("text is null").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256")
-    cut = done.where("text is not null").join(paths, "rid", "left").select("doc_id", "text", "paths")
-    return whole.union(cut.mapInArrow(_removed_batches, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))
+    rows, repeats = _repeats(docs, span, scratch)
+    paths = scratch.keep(_paths(repeats, span, scratch).groupBy("rid").agg(F.collect_list(F.struct("place", "n_words")).alias("paths")), "paths")
+    scratch.drop("marked", "edges", "runs")
+    done = rows.mapInArrow(_finished_batches(bitmap(paths, "rid")), "rid bigint, doc_id bigint, text string, n_words bigint, kept_sha256 string")
+    cut = done.join(paths, "rid", "left").select("doc_id", "text", "n_words", "kept_sha256", "paths")
+    return cut.mapInArrow(_removed_batches, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
