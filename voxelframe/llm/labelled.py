@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,19 +33,30 @@ def hashed(features: Callable[[B.Block], tuple[np.ndarray, np.ndarray]], max_wor
 
 
 def sample(docs: DataFrame, labels: DataFrame, features, rows: int, max_words: int):
-    """The labelled texts with the least hashes of doc_id, ``rows`` at most.
+    """The labelled texts with the least hashes of doc_id: ``rows`` at most, dealt evenly over the labels.
 
     labels: doc_id and label.  The ids are drawn first; that table has at most
     ``rows`` rows, so the join sends it to every executor.  Texts over
     ``max_words`` features are not learned from, which bounds what is fetched.
+
+    Gives hashes, the first place of each text, labels, languages, and for how
+    many rows of the whole each text stands.
     """
     ids = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("doc_id is not null and label is not null")
-    share = min(1.0, 2 * rows / max(1, ids.count()))  # twice what is needed, so that tasks send little to the driver
-    ids = ids.withColumn("k", F.xxhash64("doc_id")).where(F.col("k") <= min(2**63 - 1, int(-(2**63) + share * 2**64))).orderBy("k", "doc_id", "label").limit(rows).drop("k")
+    counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).limit(1000).collect()}
+    quota = max(1, rows // max(1, len(counts)))
+    parts = []
+    for label, n in sorted(counts.items()):
+        share = min(1.0, 2 * quota / n)  # twice what is needed, so that tasks send little to the driver
+        mine = ids.where(F.col("label") == label).withColumn("k", F.xxhash64("doc_id"))
+        parts.append(mine.where(F.col("k") <= min(2**63 - 1, int(-(2**63) + share * 2**64))).orderBy("k", "doc_id").limit(quota).drop("k"))
+    drawn = functools.reduce(DataFrame.union, parts, ids.limit(0))
     lang = "lang" if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    got = docs.select("doc_id", "text", lang).join(F.broadcast(ids), "doc_id").select("text", "label", "lang", "doc_id")
+    got = docs.select("doc_id", "text", lang).join(F.broadcast(drawn), "doc_id").select("text", "label", "lang", "doc_id")
     out = got.mapInArrow(hashed(features, max_words), "doc_id bigint, label int, lang string, h binary").toPandas()
     out = out.sort_values(["doc_id", "label"], kind="stable")
-    h = np.frombuffer(b"".join(map(bytes, out["h"])), np.uint64)
+    y, lang = out["label"].to_numpy(), out["lang"].to_numpy()
     first = np.concatenate([[0], np.cumsum([len(x) // 8 for x in out["h"]])]).astype(np.int64)
-    return h, first, out["label"].to_numpy(), out["lang"].to_numpy()
+    h = np.frombuffer(b"".join(out.pop("h")), np.uint64)
+    weight = np.array([counts[k] / max(1, (y == k).sum()) for k in y])
+    return h, first, y, lang, weight

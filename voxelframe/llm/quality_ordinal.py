@@ -73,14 +73,15 @@ class Ordinal:
         return p
 
 
-def train(h: np.ndarray, first: np.ndarray, y: np.ndarray, grades: list[int], steps: int = 80, rate: float = 0.05, ridge: float = 1e-3) -> Ordinal:
-    """y: place of each row's grade in grades."""
+def train(h: np.ndarray, first: np.ndarray, y: np.ndarray, grades: list[int], weight: np.ndarray | None = None, steps: int = 80, rate: float = 0.05, ridge: float = 1e-3) -> Ordinal:
+    """y: place of each row's grade in grades; weight: for how many rows each stands."""
     k, n = len(grades), len(y)
+    weight = np.ones(n) if weight is None else weight / weight.mean()
     lens = np.diff(first)
-    cells, doc = _cells(h), np.repeat(np.arange(n), lens)
+    cells, doc = _cells(h).astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), lens)
     share = (GAIN / np.maximum(lens, 1)).astype(np.float64)
     w = np.zeros(SIZE)
-    upto = np.clip(np.cumsum(np.bincount(y, minlength=k))[:-1] / n, 1e-3, 1 - 1e-3)
+    upto = np.clip(np.cumsum(np.bincount(y, weight, minlength=k))[:-1] / n, 1e-3, 1 - 1e-3)
     start = np.log(upto / (1 - upto))
     free = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     mw, vw, mt, vt = np.zeros(SIZE), np.zeros(SIZE), np.zeros(k - 1), np.zeros(k - 1)
@@ -92,10 +93,10 @@ def train(h: np.ndarray, first: np.ndarray, y: np.ndarray, grades: list[int], st
         hi[y == k - 1], lo[y == 0] = 1.0, 0.0
         p = np.maximum(hi - lo, 1e-9)
         dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-        gs = (dhi - dlo) / p / n  # of the negative log-likelihood
+        gs = weight * (dhi - dlo) / p / n  # of the negative log-likelihood
         gt = np.zeros(k + 1)
-        np.add.at(gt, y + 1, -dhi / p / n)
-        np.add.at(gt, y, dlo / p / n)
+        np.add.at(gt, y + 1, -weight * dhi / p / n)
+        np.add.at(gt, y, weight * dlo / p / n)
         gt = np.cumsum(gt[1:k][::-1])[::-1]  # each free value moves all later thresholds
         gt[1:] *= np.exp(free[1:])
         gw = np.bincount(cells, (gs * share)[doc], SIZE) + ridge * w / n
@@ -110,13 +111,13 @@ def train(h: np.ndarray, first: np.ndarray, y: np.ndarray, grades: list[int], st
     return Ordinal(grades, w.astype(np.float32), theta)
 
 
-def fit(docs: DataFrame, ratings: DataFrame, rows: int = 8000, max_words: int = 2000, **options) -> Ordinal:
+def fit(docs: DataFrame, ratings: DataFrame, rows: int = 6000, max_words: int = 1500, **options) -> Ordinal:
     """ratings: doc_id and label, the integer grade.  rows, max_words: bounds of the sample."""
-    h, first, y, _ = sample(docs, ratings, features, rows, max_words * KINDS)
+    h, first, y, _, weight = sample(docs, ratings, features, rows, max_words * KINDS)
     grades = sorted(set(y.tolist()))
     if len(grades) < 2:
         return Ordinal(grades or [0], np.zeros(SIZE, np.float32), np.zeros(0))
-    return train(h, first, np.searchsorted(grades, y), grades, **options)
+    return train(h, first, np.searchsorted(grades, y), grades, weight, **options)
 
 
 def _grade_batches(model: Ordinal, least: int):
