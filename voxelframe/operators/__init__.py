@@ -1 +1,5 @@
+"""Operators; importing this package gives array frames their methods."""
 
+from . import correlation, image, points, segment
+
+__all__ = ["correlation", "image", "points", "segment"]
