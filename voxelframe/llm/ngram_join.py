@@ -9,12 +9,14 @@ apart from the others:
 
 1. Equal sets are one set, known by the hash of its n-grams.
 2. Two sets that are similar enough share an n-gram among the first of each in
-   the global order (prefix filter).  In each fragment, the sets under an
+   the global order (prefix filter), and what is left of both from their first
+   common one on is enough (positional filter).  In each fragment, the sets under an
    n-gram are paired with the least of them only, after a task has done the
    same with its own, so a group of any size sends one row per task and gives
    as many pairs as it has members.
-3. For each pair, every fragment counts the overlap of the two sets within
-   it; the counts are summed per pair and compared with the threshold.
+3. Pairs whose signatures differ in more bits than similar sets can are out.
+   For each other pair, every fragment counts the overlap of the two sets
+   within it; the counts are summed per pair and compared with the threshold.
 4. Connected components of the links.  Where an n-gram still has sets of
    different components under it, some of them are counted against the others
    and the components are made again; then all pairs of such sets that are
@@ -48,8 +50,10 @@ N, PERCENT = 5, 80
 #: Frequent n-grams that a task reports, and that the global order knows.
 TASK_FREQUENT, FREQUENT = 20_000, 1 << 17
 FRAGMENTS, MEMBERS = 4, 1000
-#: Sets of an n-gram that are counted against all others before the rest is.
-LEADERS_TESTED = 24
+#: Bits of a set's signature.
+SIGNATURE = 1024
+#: Sets of an n-gram that are tried against all others before the rest is, in turns.
+LEADERS_TESTED = (24, 96)
 
 
 def sets(b: B.Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +84,22 @@ def identity(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return B.mix((total[first[1:]] - total[first[:-1]]) + np.diff(first).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
-def _batch_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signature(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SIGNATURE bits of each set: whether an odd number of its n-grams fall on the bit.  Each bit in which two sets differ takes an n-gram that only one of them has."""
+    n = len(first) - 1
+    doc = np.repeat(np.arange(n), np.diff(first))
+    odd = np.bincount(doc * SIGNATURE + (B.mix(h) & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=n * SIGNATURE) & 1
+    return np.packbits(odd.astype(bool).reshape(n, SIGNATURE), axis=1).view(np.int64)
+
+
+def _batch_sets(column: pa.Array, n: int, signed: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     ids = [np.zeros(0, np.uint64)]
     for b in B.blocks(column):
         h, first = sets(b, n)
         parts.append(h), sizes.append(np.diff(first)), ids.append(identity(h, first))
+        if signed is not None:
+            signed.append(signature(h, first))
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(ids)
 
 
@@ -107,7 +121,8 @@ def _profile_batches(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.slices(batches, 1):
-            h, first, ids = _batch_sets(batch.column(1), n)
+            signed: list = []
+            h, first, ids = _batch_sets(batch.column(1), n, signed)
             values, _ = _take(h, first, _distinct(first, ids))
             values, count = np.unique(values, return_counts=True)
             at = np.flatnonzero(count >= 3)
@@ -116,7 +131,8 @@ def _profile_batches(n: int):
             size = np.concatenate([np.diff(first), count[at]])
             key = np.concatenate([ids, values[at]]).view(np.int64)
             kind = np.repeat([0, 1], [batch.num_rows, len(at)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), doc, pa.array(size, pa.int64()), pa.array(key, pa.int64())], ["kind", "doc_id", "n", "sid"])
+            bits = pa.array([*np.concatenate(signed), *[None] * len(at)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), doc, pa.array(size, pa.int64()), pa.array(key, pa.int64()), bits], ["kind", "doc_id", "n", "sid", "bits"])
 
     return run
 
@@ -132,8 +148,9 @@ PAIRS, MEMBER, LEADERS = range(3)
 _PREFIX = "kind int, bucket int, a binary, b binary"
 
 
-def _similar_size(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+def _enough(n1: np.ndarray, left1: np.ndarray, n2: np.ndarray, left2: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two sets of n1 and n2 n-grams can be similar if the n-gram at hand is the first that they share: what is left of each from it on must do (this holds their sizes together, too)."""
+    return (100 + percent) * np.minimum(left1, left2) >= percent * (n1 + n2)
 
 
 def _prefix_batches(n: int, percent: int, buckets: int, frequent: np.ndarray, counts: np.ndarray):
@@ -157,24 +174,25 @@ def _prefix_batches(n: int, percent: int, buckets: int, frequent: np.ndarray, co
             h, of = h[order], of[order]
             begin = np.searchsorted(of, np.arange(len(sid)))
             prefix = size - -(-percent * size // 100) + 1
-            take = (np.arange(len(h)) - begin[of]) < prefix[of]
+            place = np.arange(len(h)) - begin[of]
+            take = place < prefix[of]
             h, of = h[take], of[take]
+            left = size[of] - place[take]  # n-grams from here on
             fragment, key = _key(h, buckets)
             order = np.lexsort((of, key))
-            fragment, key, of = fragment[order], key[order], of[order]
+            fragment, key, of, left = fragment[order], key[order], of[order], left[order]
             g = groups(key)
             count = np.diff(g)
             lead, number = np.repeat(g[:-1], count), np.repeat(count, count)
             out: list[tuple] = []
             rest = np.flatnonzero((np.arange(len(key)) != lead) & (of != of[lead]))
             if len(rest):
-                pair = np.unique(of[lead[rest]] * len(sid) + of[rest])
+                close = rest[_enough(size[of[lead[rest]]], left[lead[rest]], size[of[rest]], left[rest], percent)]
+                pair = np.unique(of[lead[close]] * len(sid) + of[close])
                 x, y = pair // len(sid), pair % len(sid)
-                ok = _similar_size(size[x], size[y], percent)
-                x, y = x[ok], y[ok]
                 out.append((PAIRS, None, pack(sid[x], size[x]), pack(sid[y], size[y])))
                 at = np.flatnonzero(((np.arange(len(key)) != lead) & (of != of[lead])) | (number >= 3))
-                out.append((MEMBER, None, pack(key[at]), pack(sid[of[at]], size[of[at]])))
+                out.append((MEMBER, None, pack(key[at], left[at]), pack(sid[of[at]], size[of[at]])))
             lead = g[:-1]
             o, which, cut = by_bucket(fragment[lead])
             for i, k in enumerate(which):
@@ -182,7 +200,7 @@ def _prefix_batches(n: int, percent: int, buckets: int, frequent: np.ndarray, co
                 names, inv = np.unique(of[part], return_inverse=True)
                 many = (count[o[cut[i] : cut[i + 1]]] > 1).astype(np.uint8)
                 short = (key[part] & 0xFFFFFFFF).astype(np.uint32)
-                out.append((LEADERS, int(k), pack(short, inv.astype(np.uint16 if len(names) < 65536 else np.uint32), many), pack(sid[names], size[names])))
+                out.append((LEADERS, int(k), pack(short, inv.astype(np.uint16 if len(names) < 65536 else np.uint32), many, left[part].astype(np.uint32)), pack(sid[names], size[names].astype(np.uint32))))
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["kind", "bucket", "a", "b"])
 
@@ -192,26 +210,27 @@ def _prefix_batches(n: int, percent: int, buckets: int, frequent: np.ndarray, co
 def _fragment(percent: int):
     def run(key, table):
         """Pairs of the least set under each n-gram with the others, and members of groups of three or more."""
-        hs, sids, sizes, many = [], [], [], []
+        hs, sids, sizes, many, lefts = [], [], [], [], []
         for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
-            short, inv, m = unpack(a, "<u4", "<u2" if a[13] == 2 else "<u4", "u1")
-            sid, size = unpack(b, "<i8", "<i8")
-            hs.append(short), sids.append(sid[inv]), sizes.append(size[inv]), many.append(m)
-        h, sid, size, m = map(np.concatenate, (hs, sids, sizes, many))
+            short, inv, m, left = unpack(a, "<u4", "<u2" if a[13] == 2 else "<u4", "u1", "<u4")
+            sid, size = unpack(b, "<i8", "<u4")
+            size = size.astype(np.int64)
+            hs.append(short), sids.append(sid[inv]), sizes.append(size[inv]), many.append(m), lefts.append(left.astype(np.int64))
+        h, sid, size, m, left = map(np.concatenate, (hs, sids, sizes, many, lefts))
         order = np.lexsort((sid, h))
-        h, sid, size, m = h[order], sid[order], size[order], m[order]
+        h, sid, size, m, left = h[order], sid[order], size[order], m[order], left[order]
         g = groups(h, sid)[:-1]  # the same set from several tasks
         m = np.maximum.reduceat(m, g)
-        h, sid, size = h[g], sid[g], size[g]
+        h, sid, size, left = h[g], sid[g], size[g], left[g]
         g = groups(h)
         count = np.diff(g)
         lead = np.repeat(g[:-1], count)
         rest = np.flatnonzero(np.arange(len(h)) != lead)
-        rest = rest[_similar_size(size[lead[rest]], size[rest], percent)]
+        rest = rest[_enough(size[lead[rest]], left[lead[rest]], size[rest], left[rest], percent)]
         pairs = np.unique(np.stack([sid[lead[rest]], size[lead[rest]], sid[rest], size[rest]], 1), axis=0)
         more = np.repeat((count >= 3) | ((count >= 2) & (np.maximum.reduceat(m, g[:-1]) > 0)), count)
         names = (np.int64(key[0].as_py()) << 32) | h[more].astype(np.int64)
-        rows = [(PAIRS, None, pack(pairs[:, 0], pairs[:, 1]), pack(pairs[:, 2], pairs[:, 3])), (MEMBER, None, pack(names), pack(sid[more], size[more]))]
+        rows = [(PAIRS, None, pack(pairs[:, 0], pairs[:, 1]), pack(pairs[:, 2], pairs[:, 3])), (MEMBER, None, pack(names, left[more]), pack(sid[more], size[more]))]
         return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["kind", "bucket", "a", "b"])
 
     return run
@@ -226,7 +245,7 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _member_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*unpack(a, "<i8"), *unpack(b, "<i8", "<i8"))], ["key", "sid", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*unpack(a, "<i8", "<i8"), *unpack(b, "<i8", "<i8"))], ["key", "left", "sid", "n"])
 
 
 def _chosen_batches(table: np.ndarray):
@@ -303,6 +322,14 @@ def _most_frequent(counts: DataFrame, most: int = FREQUENT):
     return counts.where(F.col("n") >= (int(enough.iloc[-1]) if len(enough) else 2**62)).toPandas()
 
 
+def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures do not rule out that they are similar enough; exact: no similar pair goes."""
+    both = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    most = both.withColumn("most", F.floor((F.col("na") + F.col("nb") - differ) / 2))
+    return most.where(f"100 * most >= {percent} * (na + nb - most)").select("a", "na", "b", "nb")
+
+
 def _across(members: DataFrame, parts: DataFrame, tested: DataFrame, percent: int, leaders: int | None, scratch: Scratch, turn: int) -> DataFrame | None:
     """Untested pairs of similar size that share an n-gram and are in different components.
 
@@ -315,7 +342,7 @@ def _across(members: DataFrame, parts: DataFrame, tested: DataFrame, percent: in
     x, y = mixed.toDF(*[f"{c}1" if c != "key" else c for c in mixed.columns]), mixed.toDF(*[f"{c}2" if c != "key" else c for c in mixed.columns])
     if leaders is not None:
         x = x.where(f"(xxhash64(sid1) / {2.0**64} + 0.5) * k1 < {leaders}")
-    pairs = x.join(y, "key").where(f"component1 <> component2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)" + " and sid1 < sid2" * (leaders is None))
+    pairs = x.join(y, "key").where(f"component1 <> component2 and {100 + percent} * least(left1, left2) >= {percent} * (n1 + n2)" + " and sid1 < sid2" * (leaders is None))
     first = F.col("sid1") < F.col("sid2")
     a, b = (F.when(first, F.col(f"{c}1")).otherwise(F.col(f"{c}2")) for c in ("sid", "n"))
     c, d = (F.when(first, F.col(f"{c}2")).otherwise(F.col(f"{c}1")) for c in ("sid", "n"))
@@ -331,7 +358,7 @@ def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     scratch = Scratch(spark, "ngrams")
     docs = docs.select("doc_id", "text")
     buckets = 2 * partitions(spark, 8)
-    seen = scratch.keep(docs.mapInArrow(_profile_batches(n), "kind int, doc_id bigint, n bigint, sid bigint"), "profile")
+    seen = scratch.keep(docs.mapInArrow(_profile_batches(n), "kind int, doc_id bigint, n bigint, sid bigint, bits array<bigint>"), "profile")
     profile = seen.where("kind = 0").drop("kind")
     common = _most_frequent(scratch.keep(seen.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")), "frequent"))
     h = common["sid"].to_numpy(np.int64).view(np.uint64)
@@ -343,21 +370,25 @@ def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     scratch.drop("prefixes")
     pairs = groups_.where(f"kind = {PAIRS}").select("a", "b").mapInArrow(_pair_batches, "a bigint, na bigint, b bigint, nb bigint").distinct()
     linked = F.expr(f"100 * both >= {percent} * (na + nb - both)")
-    counted = overlaps(docs, profile, scratch.keep(pairs, "pairs1"), n, scratch, "overlaps1")
-    links = counted.where(linked).select("a", "b")
+    bits = profile.where("n > 0").groupBy("sid").agg(F.first("bits").alias("bits"))
+    tested = scratch.keep(pairs, "pairs1")
+    counted = overlaps(docs, profile, scratch.keep(_possible(tested, bits, percent), "possible1"), n, scratch, "overlaps1")
+    tested, links = tested.select("a", "b"), counted.where(linked).select("a", "b")
     parts = scratch.keep(components(links, scratch, "c1"), "parts1")
     # n-grams whose sets are in different components: first some sets of each against the others, then all that is left
-    members = groups_.where(f"kind = {MEMBER}").select("a", "b").mapInArrow(_member_batches, "key bigint, sid bigint, n bigint").distinct()
+    members = groups_.where(f"kind = {MEMBER}").select("a", "b").mapInArrow(_member_batches, "key bigint, left bigint, sid bigint, n bigint").distinct()
     members = scratch.keep(members, "members")
-    tested = counted.select("a", "b")
-    for turn, leaders in ((2, LEADERS_TESTED), (3, None)):
+    for turn, leaders in enumerate((*LEADERS_TESTED, None), 2):
         more = _across(members, parts, tested, percent, leaders, scratch, turn)
         if more is None:
             break
-        counted = overlaps(docs, profile, more, n, scratch, f"overlaps{turn}")
-        again = counted.where(linked).select("a", "b")
-        links, tested = links.union(again), tested.union(counted.select("a", "b"))
+        tested = tested.union(more.select("a", "b"))
+        more = scratch.keep(_possible(more, bits, percent), f"possible{turn}")
+        if more.isEmpty():
+            continue
+        again = overlaps(docs, profile, more, n, scratch, f"overlaps{turn}").where(linked).select("a", "b")
         if not again.isEmpty():
+            links = links.union(again)
             parts = scratch.keep(components(links, scratch, f"c{turn}"), f"parts{turn}")
     scratch.drop("groups", "members")
     of = profile.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("component", "sid"))
