@@ -147,11 +147,23 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut between rows into parts with about limit bytes of text each."""
+    """The rows of the batches, cut and joined between rows to batches with about limit bytes of text each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         _, off = buffers(batch.column(column))
         at, n = 0, batch.num_rows
         while at < n:
-            to = min(n, max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1))
-            yield batch.slice(at, to - at)
+            to = min(n, max(at + 1, int(np.searchsorted(off, off[at] + limit - size, "right")) - 1))
+            held.append(batch.slice(at, to - at))
+            size += int(off[to] - off[at])
             at = to
+            if size >= limit or at < n:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language_id, line_dedup, ngram_join, packing, quality_ordinal, quality_rules, substring_dedup, toxicity, warc
+from .shared import small_batches
 
 #: Remainders of crc32(doc_id as text) that are held out of learning.
 LANGUAGE_FOLD, LABEL_FOLD = "pmod(crc32(cast(doc_id as string)), 4) = 2", "pmod(crc32(cast(doc_id as string)), 5) = 0"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

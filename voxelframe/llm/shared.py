@@ -47,3 +47,10 @@ def partitions(spark: SparkSession, at_least: int = 1) -> int:
 def pack_columns(df: DataFrame, *needed: str) -> DataFrame:
     """Only the columns an operator reads, so that further columns of any name are out of its way."""
     return df.select(*[f"`{c}`" for c in needed])
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Limit the rows that go to a Python worker at once, where the session has not set its own number: texts are much longer than the rows that Spark's default is made for."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))

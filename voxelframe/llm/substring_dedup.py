@@ -77,7 +77,7 @@ def _anchor_batches(span: int, buckets: int):
     """(bucket, row, blob): to a bucket the short hashes of anchors and the row and document of each; to a row (bucket from its hash) those known to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.slices(batches, 2, 16 << 20):
+        for batch in B.slices(batches, 2):
             rid, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for b in B.blocks(batch.column(2)):
@@ -177,7 +177,7 @@ def _edge_batches(span: int, buckets: int):
     """(bucket, part, blob): repeats found within the task for parts of rows, and edges for buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.slices(batches, 2, 16 << 20):
+        for batch in B.slices(batches, 2):
             rid, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             marked = batch.column(3).to_pylist()
             hs, anchors, docs, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
