@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.llm import decontamination, line_dedup, ngram_join, packing, toxicity
 from voxelframe.llm.queries import LABEL_FOLD
-from voxelframe.llm.shared import Scratch
+from voxelframe.llm.shared import Scratch, small_batches
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -24,28 +24,33 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(f"not ({LABEL_FOLD})").select("doc_id", F.col("toxic").alias("label"))
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines within one edit of an earlier line go; documents stay."""
+    small_batches(spark)
     return line_dedup.line_dedup(docs).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id stays."""
+    small_batches(spark)
     return _without(docs, ngram_join.similar_groups(docs).where("component_id <> doc_id").select("doc_id"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
+    small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _without(docs, decontamination.contaminated(docs, benchmark).select("doc_id").distinct())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids."""
+    small_batches(spark)
     return packing.best_fit_packing(docs)
 
 
