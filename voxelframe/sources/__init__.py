@@ -1 +1,267 @@
+"""Reading and writing array frames.
 
+Parquet is the native format: one row per array, partitioned by batch axes if
+wanted, with the axes as metadata of the data column.  Array files (npy, npz,
+mrc) are read through Spark's binaryFile source, so any file system that Spark
+knows will do; further formats are added with ``mark_reader``.
+"""
+
+from __future__ import annotations
+
+import io
+import json
+import re
+import struct
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..axes import Axes, AxesError, Axis, parse
+from ..frame import ArrayFrame
+
+Reader = Callable[[bytes], tuple[np.ndarray, str | None, dict[str, float]]]
+_READERS: dict[str, Reader] = {}
+_WRITERS: dict[str, Callable[[np.ndarray, Axes], bytes]] = {}
+
+
+def mark_reader(*extensions: str) -> Callable[[Reader], Reader]:
+    """Register a function from a file's bytes to an array, its axes (or None) and scales."""
+
+    def register(f: Reader) -> Reader:
+        _READERS.update(dict.fromkeys(extensions, f))
+        return f
+
+    return register
+
+
+def mark_writer(*extensions: str):
+    def register(f):
+        _WRITERS.update(dict.fromkeys(extensions, f))
+        return f
+
+    return register
+
+
+def extension(path: str, known: dict) -> str:
+    """The longest known ending of a path."""
+    name = path.rsplit("/", 1)[-1]
+    found = [e for e in known if name.endswith(e)]
+    if not found:
+        raise ValueError(f"no reader or writer for {name!r}")
+    return max(found, key=len)
+
+
+@mark_reader(".npy")
+def _npy(data: bytes):
+    return np.load(io.BytesIO(data), allow_pickle=False), None, {}
+
+
+@mark_reader(".npz")
+def _npz(data: bytes):
+    with np.load(io.BytesIO(data), allow_pickle=False) as z:
+        axes = str(z["axes"]) if "axes" in z else None
+        scale = dict(zip(axes, z["scale"].tolist())) if axes and "scale" in z else {}
+        return z["data"] if "data" in z else z[z.files[0]], axes, scale
+
+
+@mark_writer(".npy")
+def _to_npy(array: np.ndarray, axes: Axes) -> bytes:
+    out = io.BytesIO()
+    np.save(out, array)
+    return out.getvalue()
+
+
+@mark_writer(".npz")
+def _to_npz(array: np.ndarray, axes: Axes) -> bytes:
+    out = io.BytesIO()
+    np.savez_compressed(out, data=array, axes=str(axes), scale=np.array([a.scale for a in axes]))
+    return out.getvalue()
+
+
+_MRC = {0: "i1", 1: "<i2", 2: "<f4", 6: "<u2", 12: "<f2"}
+
+
+@mark_reader(".mrc", ".rec", ".st", ".map", ".mrcs")
+def _mrc(data: bytes):
+    """The public MRC2014 layout: sizes and type in the first words, cell lengths in angstrom, then the values."""
+    nx, ny, nz, mode = struct.unpack_from("<4i", data, 0)
+    mx, my, mz = struct.unpack_from("<3i", data, 28)
+    cell = struct.unpack_from("<3f", data, 40)
+    extra = struct.unpack_from("<i", data, 92)[0]
+    if mode not in _MRC:
+        raise ValueError(f"unknown MRC mode {mode}")
+    x = np.frombuffer(data, _MRC[mode], nx * ny * nz, 1024 + extra).reshape(nz, ny, nx)
+    scale = {a: c / m / 10 for a, c, m in zip("xyz", cell, (mx, my, mz)) if m and c > 0}
+    return (x[0], "yx", {k: v for k, v in scale.items() if k != "z"}) if nz == 1 else (x, "zyx", scale)
+
+
+@mark_writer(".mrc")
+def _to_mrc(array: np.ndarray, axes: Axes) -> bytes:
+    x = np.asarray(array, "<f4").reshape((1,) * (3 - array.ndim) + array.shape)
+    head = bytearray(1024)
+    nz, ny, nx = x.shape
+    struct.pack_into("<4i", head, 0, nx, ny, nz, 2)
+    struct.pack_into("<3i", head, 28, nx, ny, nz)
+    by = {a.name: a.scale for a in axes}
+    struct.pack_into("<3f", head, 40, *[n * by.get(a, 1.0) * 10 for a, n in zip("xyz", (nx, ny, nz))])
+    struct.pack_into("<3f", head, 52, 90, 90, 90)
+    struct.pack_into("<3i", head, 64, 1, 2, 3)
+    head[208:212], head[212:216] = b"MAP ", b"DD\x00\x00"
+    return bytes(head) + x.tobytes()
+
+
+# parquet -----------------------------------------------------------------------
+
+
+def imsave(frame: ArrayFrame, path: str, *, overwrite: bool = True, partition_by: str = "") -> None:
+    """Parquet, or one array file per batch position for a known ending (see ``write_files``)."""
+    meta = {"space": str(frame.space), "shape": list(frame.shape), "dtype": frame.dtype, "name": frame.name, "axes": [[a.name, a.scale, a.unit, list(a.labels)] for a in frame.axes]}
+    df = frame.df.withMetadata("data", {"voxelframe": json.dumps(meta)})
+    writer = df.write.mode("overwrite" if overwrite else "errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
+def read_meta(spark: SparkSession, path: str) -> dict:
+    """Axes, shape and type; no job is run."""
+    field = spark.read.parquet(path).schema["data"]
+    return json.loads(field.metadata["voxelframe"])
+
+
+def imread(spark: SparkSession, path: str, key: str | None = None) -> ArrayFrame:
+    """A parquet frame, or array files by their ending; ``key`` is a slice that is pushed into the scan where it is on batch axes."""
+    try:
+        extension(path, _READERS)
+    except ValueError:
+        df = spark.read.parquet(path)
+        meta = json.loads(df.schema["data"].metadata["voxelframe"])
+        axes = Axes(tuple(Axis(n, s, u, tuple(labels)) for n, s, u, labels in meta["axes"]))
+        k = len(axes) - len(meta["shape"])
+        frame = ArrayFrame(df, Axes(axes.items[:k]), Axes(axes.items[k:]), meta["shape"], meta["dtype"], meta["name"])
+    else:
+        frame = read_files(spark, path)
+    return frame if key is None else frame.isel(**parse(key, frame.sizes(key)))
+
+
+def _file_batches(ending: str, shape: list[int], names: int):
+    read = _READERS[ending]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                x = np.asarray(read(b.column(names)[i].as_py())[0], float)
+                if list(x.shape) != shape:
+                    raise AxesError(f"{b.column(names + 1)[i]} has shape {x.shape}, not {tuple(shape)}")
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, 1) for c in b.columns[:names]], pa.array([x.ravel()], pa.list_(pa.float64()))], [*b.schema.names[:names], "data"])
+
+    return run
+
+
+def read_files(spark: SparkSession, path: str, axes: str | None = None) -> ArrayFrame:
+    """Array files of one shape.
+
+    A glob gives a batch axis p; ``$t`` or ``$z`` in the path stand for numbers
+    and give batch axes of these names, counted by the order of the numbers.
+    Missing combinations or repeated ones are errors.
+    """
+    names = re.findall(r"\$(\w)", path)
+    glob = re.sub(r"\$\w", "*", path)
+    ending = extension(path, _READERS)
+    files = spark.read.format("binaryFile").load(glob).select("path", "content")
+    first = files.orderBy("path").limit(1).collect()
+    if not first:
+        raise FileNotFoundError(path)
+    array, own, scale = _READERS[ending](bytes(first[0]["content"]))
+    space = Axes.of(axes or own or Axes.default(array.ndim)).scaled(scale)
+    if names:
+        pattern = re.escape(path.rsplit("/", 1)[-1]).replace(r"\*", ".*")
+        for n in names:
+            pattern = pattern.replace(rf"\${n}", r"(\d+)", 1)
+        for i, n in enumerate(names, 1):
+            files = files.withColumn(n, F.regexp_extract("path", pattern, i).cast("int"))
+            # the distinct numbers of one axis are few; their order gives the position
+            files = files.withColumn(n, (F.dense_rank().over(Window.orderBy(n)) - 1).cast("int"))
+        size = files.agg(F.count("*").alias("all"), F.countDistinct(*names).alias("some"), *[(F.max(n) + 1).alias(n) for n in names]).first()
+        if size["all"] != size["some"] or size["all"] != int(np.prod([size[n] for n in names])):
+            raise AxesError(f"files for {path} are missing or repeated")
+    elif "*" in path or "?" in path or "[" in path:
+        names = ["p"]
+        files = files.withColumn("p", (F.row_number().over(Window.orderBy("path")) - 1).cast("int"))
+    df = files.select(*names, "content", "path").mapInArrow(_file_batches(ending, list(array.shape), len(names)), ", ".join([f"{n} int" for n in names] + ["data array<double>"]))
+    kind = {"b": "bool", "u": str(array.dtype), "i": "int64"}.get(array.dtype.kind, "float32")
+    return ArrayFrame(df, names, space, array.shape, kind)
+
+
+def write_file(frame: ArrayFrame, path: str) -> None:
+    """A small frame as one array file on the driver's file system."""
+    ending = extension(path, _WRITERS)
+    array = frame.to_numpy()
+    kind = {"float32": np.float32, "uint8": np.uint8, "uint16": np.uint16, "bool": bool, "int64": np.int64}.get(frame.dtype, float)
+    with open(path, "wb") as f:
+        f.write(_WRITERS[ending](array.astype(kind), frame.axes))
+
+
+# generators ---------------------------------------------------------------------
+
+
+def full(spark: SparkSession, shape: tuple[int, ...], value: float, axes: str, dtype: str = "uint16") -> ArrayFrame:
+    """A constant frame, made on the executors: spatial axes are zyx among the axes."""
+    axes_ = Axes.of(axes)
+    if len(axes_) != len(shape):
+        raise AxesError(f"axes {axes_} do not fit the shape {shape}")
+    space = [a for a in axes_.names if a in "zyx"]
+    batch = [a for a in axes_.names if a not in space]
+    size = dict(zip(axes_.names, shape))
+    n = int(np.prod([size[b] for b in batch])) if batch else 1
+    df, stride = spark.range(n), 1
+    cols = {}
+    for b in reversed(batch):
+        cols[b] = F.expr(f"cast((id div {stride}) % {size[b]} as int)")
+        stride *= size[b]
+    k = int(np.prod([size[a] for a in space]))
+    return ArrayFrame(df.select(*[cols[b].alias(b) for b in batch], F.array_repeat(F.lit(float(value)), k).alias("data")), batch, space, [size[a] for a in space], dtype)
+
+
+def zeros(spark, shape, axes, dtype="uint16"):
+    return full(spark, shape, 0, axes, dtype)
+
+
+def ones(spark, shape, axes, dtype="uint16"):
+    return full(spark, shape, 1, axes, dtype)
+
+
+def random(spark: SparkSession, shape: tuple[int, ...], axes: str, kind: str = "uniform", seed: int = 0, **options) -> ArrayFrame:
+    """uniform, normal, exponential, poisson, uint8 (255 never occurs) or uint16; the same values for a seed, whatever the partitions."""
+
+    def run(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.empty(x.shape)
+        for i, k in enumerate(at.reshape(len(x), -1)[:, 0]):
+            g = np.random.default_rng([seed, int(k)])
+            out[i] = {"uniform": lambda: g.random(x.shape[1:]), "normal": lambda: g.normal(options.get("loc", 0.0), options.get("scale", 1.0), x.shape[1:]), "exponential": lambda: g.standard_exponential(x.shape[1:]), "poisson": lambda: g.poisson(options.get("lam", 1.0), x.shape[1:]), "uint8": lambda: g.integers(0, 255, x.shape[1:]), "uint16": lambda: g.integers(0, 65535, x.shape[1:])}[kind]()
+        return out
+
+    base = zeros(spark, shape, axes, kind if kind.startswith("uint") else "float32")
+    number, stride = F.lit(0), 1
+    for b, n in reversed([(a, s) for a, s in zip(Axes.of(axes).names, shape) if a not in "zyx"]):
+        number, stride = number + F.col(b) * stride, stride * n
+    ids = ArrayFrame(base.df.withColumn("data", F.array(number.cast("double"))), base.batch, "k", (1,), "int64")
+    return base.map_with(ids, run)
+
+
+def gaussian_kernel(shape, sigma=1.0, peak: float = 1.0) -> np.ndarray:
+    sigma = np.broadcast_to(np.asarray(sigma, float), len(shape))
+    g = np.meshgrid(*[(np.arange(n) - (n - 1) / 2) / s for n, s in zip(shape, sigma)], indexing="ij")
+    return peak * np.exp(-0.5 * sum(a**2 for a in g))
+
+
+def circular_mask(radius, shape, centre=None, soft: bool = False, out_value: bool = True) -> np.ndarray:
+    """True outside of the ellipse by default; a soft edge falls off over one pixel."""
+    centre = [(n - 1) / 2 for n in shape] if centre is None else centre
+    r = np.broadcast_to(np.asarray(radius, float), len(shape))
+    d = np.sqrt(sum(((a - c) / q) ** 2 for a, c, q in zip(np.meshgrid(*[np.arange(n) for n in shape], indexing="ij"), centre, r)))
+    if soft:
+        inside = np.clip((1 - d) * r.mean() + 0.5, 0, 1)
+        return 1 - inside if out_value else inside
+    return d > 1 if out_value else d <= 1
