@@ -132,8 +132,7 @@ def link(points: DataFrame, reach: float, *, memory: int = 0, least: int = 0, by
         pdf["N"] = _link_series(pdf, axes, reach, memory)
         return pdf
 
-    keyed = points.groupBy(*by) if by else points.groupBy(F.lit(0))
-    out = keyed.applyInPandas(run, schema)
+    out = points.groupBy(*by).applyInPandas(run, schema)
     if least:
         long = out.groupBy(*by, "N").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
         out = out.join(long, [*by, "N"], "left_semi")

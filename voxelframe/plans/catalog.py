@@ -190,7 +190,7 @@ def _times(a: ArrayFrame) -> ArrayFrame:
     return ArrayFrame(a.df.select(F.expr("cast(p div 10 as int)").alias("p"), F.expr("cast(p % 10 as int)").alias("t"), "data"), "pt", "yx", (8, 8), a.dtype)
 
 
-add("kalman_filter", lambda a: _times(a).kalman_filter(0.8).each(lambda v: F.round(v, 3)), sql.query("SELECT (p // 10)::INT AS p, (p % 10)::INT AS t, y, x, round(e, 3) + 0.0 AS value FROM k", "k AS (SELECT p, y, x, v AS e FROM px WHERE p % 10 = 0 UNION ALL SELECT px.p, px.y, px.x, 0.8 * k.e + 0.2 * px.v + (px.v - k.e) / (px.p % 10 + 1) FROM k JOIN px ON px.p = k.p + 1 AND px.y = k.y AND px.x = k.x AND px.p % 10 > 0)", recursive=True))
+add("kalman_filter", lambda a: _times(a).kalman_filter(0.73713), sql.query("SELECT (p // 10)::INT AS p, (p % 10)::INT AS t, y, x, round(e, 6) + 0.0 AS value FROM k", "k AS (SELECT p, y, x, v AS e FROM px WHERE p % 10 = 0 UNION ALL SELECT px.p, px.y, px.x, 0.73713::DOUBLE * k.e + (1 - 0.73713::DOUBLE) * px.v + (px.v - k.e) / (px.p % 10 + 1) FROM k JOIN px ON px.p = k.p + 1 AND px.y = k.y AND px.x = k.x AND px.p % 10 > 0)", recursive=True))
 
 # objects ------------------------------------------------------------------------------
 
