@@ -40,11 +40,11 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 #: Transformed statistics, each with the least standard deviation that counts.
 FEATURES = {
-    "length": ("ln(word_chars / n_words)", 0.10),
-    "symbols": ("ln(1 + 20 * n_symbols / word_chars)", 0.12),
-    "dup_lines": ("ln(1 + 100 * n_dup_lines / n_words)", 0.25),
-    "repeats": ("ln(1 + 10 * n_repeat_words / n_words)", 0.25),
-    "words": ("ln(n_words)", 0.50),
+    "length": ("ln(word_chars / nullif(n_words, 0))", 0.10),
+    "symbols": ("ln(1 + 20 * n_symbols / nullif(word_chars, 0))", 0.12),
+    "dup_lines": ("ln(1 + 100 * n_dup_lines / nullif(n_words, 0))", 0.25),
+    "repeats": ("ln(1 + 10 * n_repeat_words / nullif(n_words, 0))", 0.25),
+    "words": ("ln(nullif(n_words, 0))", 0.50),
 }
 #: Widths of the bins that are counted, of a statistic and of a log distance.
 BIN, LOG_BIN = 0.01, 0.05
