@@ -17,7 +17,7 @@ from .shared import Scratch
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -33,8 +33,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     seen, step = None, 0
     while True:
         step += 1
-        edges = scratch.keep(_small(scratch.keep(_large(edges), f"{name}{step}a")), f"{name}{step}")
-        scratch.drop(f"{name}{step - 1}", f"{name}{step}a")
+        edges = scratch.keep(_small(_large(edges)), f"{name}{step}")
+        scratch.drop(f"{name}{step - 1}")
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break

@@ -53,7 +53,7 @@ FRAGMENTS, MEMBERS = 4, 1000
 #: Bits of a set's signature.
 SIGNATURE = 1024
 #: Sets of an n-gram that are tried against all others before the rest is, in turns.
-LEADERS_TESTED = (24, 96)
+LEADERS_TESTED = (32,)
 
 
 def sets(b: B.Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +125,7 @@ def _profile_batches(n: int):
             h, first, ids = _batch_sets(batch.column(1), n, signed)
             values, _ = _take(h, first, _distinct(first, ids))
             values, count = np.unique(values, return_counts=True)
-            at = np.flatnonzero(count >= 3)
+            at = np.flatnonzero(count >= 2)
             at = at[np.argsort(-count[at], kind="stable")[:TASK_FREQUENT]]
             doc = pa.concat_arrays([batch.column(0), pa.nulls(len(at), pa.int64())])
             size = np.concatenate([np.diff(first), count[at]])
@@ -330,14 +330,15 @@ def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return most.where(f"100 * most >= {percent} * (na + nb - most)").select("a", "na", "b", "nb")
 
 
-def _across(members: DataFrame, parts: DataFrame, tested: DataFrame, percent: int, leaders: int | None, scratch: Scratch, turn: int) -> DataFrame | None:
+def _across(members: DataFrame, parts: DataFrame, tested: DataFrame, percent: int, leaders: int | None, done: int, scratch: Scratch, turn: int) -> DataFrame | None:
     """Untested pairs of similar size that share an n-gram and are in different components.
 
     With ``leaders``, only pairs with one of about so many sets of each n-gram,
     chosen by hash, so that they are the same for n-grams that share sets.
+    n-grams with ``done`` sets or fewer had all their pairs before.
     """
     now = members.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    mixed = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x < y").select("key", "k")
+    mixed = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where(f"x < y and k > {done}").select("key", "k")
     mixed = scratch.keep(now.join(mixed, "key"), f"mixed{turn}")
     x, y = mixed.toDF(*[f"{c}1" if c != "key" else c for c in mixed.columns]), mixed.toDF(*[f"{c}2" if c != "key" else c for c in mixed.columns])
     if leaders is not None:
@@ -378,8 +379,10 @@ def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     # n-grams whose sets are in different components: first some sets of each against the others, then all that is left
     members = groups_.where(f"kind = {MEMBER}").select("a", "b").mapInArrow(_member_batches, "key bigint, left bigint, sid bigint, n bigint").distinct()
     members = scratch.keep(members, "members")
+    done = 0
     for turn, leaders in enumerate((*LEADERS_TESTED, None), 2):
-        more = _across(members, parts, tested, percent, leaders, scratch, turn)
+        more = _across(members, parts, tested, percent, leaders, done, scratch, turn)
+        done = leaders
         if more is None:
             break
         tested = tested.union(more.select("a", "b"))
@@ -388,8 +391,7 @@ def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
             continue
         again = overlaps(docs, profile, more, n, scratch, f"overlaps{turn}").where(linked).select("a", "b")
         if not again.isEmpty():
-            links = links.union(again)
-            parts = scratch.keep(components(links, scratch, f"c{turn}"), f"parts{turn}")
+            parts = scratch.keep(components(parts.union(again), scratch, f"c{turn}"), f"parts{turn}")
     scratch.drop("groups", "members")
     of = profile.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("component", "sid"))
     least = of.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
