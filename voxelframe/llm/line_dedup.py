@@ -56,8 +56,10 @@ def _half_keys(line: Column) -> Column:
 
 
 def _variants(line: Column) -> Column:
-    """Hash and place (from 1; 0: nothing) of each line with a character left out, and of the line itself."""
-    return F.transform(F.sequence(F.lit(0), F.length(line)), lambda i: F.struct(F.xxhash64(F.when(i == 0, line).otherwise(F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, F.length(line))))).alias("v"), i.alias("i")))
+    """Hash and place (from 1; 0: nothing) of each line with a character left out, and of the line itself; line: as binary with four bytes for each character, so that a place needs no search."""
+    n = F.length(line)
+    left_out = lambda i: F.concat(F.substring(line, F.lit(1), 4 * (i - 1)), F.substring(line, 4 * i + 1, n))
+    return F.transform(F.sequence(F.lit(0), (n / 4).cast("int")), lambda i: F.struct(F.xxhash64(F.when(i == 0, line).otherwise(left_out(i))).alias("v"), i.alias("i")))
 
 
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratch | None = None) -> DataFrame:
@@ -80,7 +82,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratc
     candidates = lines(docs, min_chars).join(where, ["doc_id", "place"]).groupBy("h", "at").agg(F.min("line").alias("line"))
     candidates = scratch.keep(candidates, "candidates")
     # deletion neighbourhoods
-    variants = scratch.keep(candidates.select("h", "at", F.explode(_variants(F.col("line"))).alias("x")).select("h", "at", "x.v", "x.i"), "variants")
+    variants = scratch.keep(candidates.select("h", "at", F.encode("line", "UTF-32").alias("wide")).select("h", "at", F.explode(_variants(F.col("wide"))).alias("x")).select("h", "at", "x.v", "x.i"), "variants")
     groups = variants.groupBy("v").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("at").alias("any"), F.min(F.when(F.col("i") == 0, F.col("at"))).alias("whole")).where("a < b").drop("a", "b")
     met = scratch.keep(variants.join(groups, "v"), "met")
     scratch.drop("variants")
