@@ -15,20 +15,25 @@ from .image import method, over
 
 @method
 def label(self: ArrayFrame, *, connectivity: int | None = None, dims=None, unique: bool = False) -> ArrayFrame:
-    """Components of equal non-zero neighbours, numbered within each array, or uniquely over all of them.
-
-    Unique numbers come from a running sum of counts over the arrays in the
-    order of the batch axes; one row per array is in that window.
-    """
+    """Components of equal non-zero neighbours, numbered within each array, or uniquely over all of them."""
     out = over(self, lambda x: objects.label(x.astype(np.int64), connectivity), dims, "int64")
     return unique_labels(out) if unique else out
 
 
 @method
 def unique_labels(self: ArrayFrame) -> ArrayFrame:
-    most = self.df.select(*self.batch.names, F.array_max("data").alias("_n"))
-    before = Window.orderBy(*self.batch.names).rowsBetween(Window.unboundedPreceding, -1)
-    offset = most.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0.0))).drop("_n")
+    """Numbers of each array moved above those of the arrays before it.
+
+    Running sums in two steps: over blocks of the first batch axis (few rows),
+    and within each block, so that no task orders all arrays.
+    """
+    first, *_ = self.batch.names
+    block = F.expr(f"{first} div 4096")
+    most = self.df.select(*self.batch.names, F.coalesce(F.array_max("data"), F.lit(0.0)).alias("_n")).withColumn("_b", block)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = most.groupBy("_b").agg(F.sum("_n").alias("_s")).select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_base"))
+    inside = Window.partitionBy("_b").orderBy(*self.batch.names).rowsBetween(Window.unboundedPreceding, -1)
+    offset = most.withColumn("_i", F.coalesce(F.sum("_n").over(inside), F.lit(0.0))).join(blocks, "_b").select(*self.batch.names, (F.col("_i") + F.col("_base")).alias("_o"))
     df = self.df.join(offset, self.batch.names)
     return ArrayFrame(df.withColumn("data", F.transform("data", lambda v: F.when(v > 0, v + F.col("_o")).otherwise(0.0))), self.batch, self.space, self.shape, "int64")
 

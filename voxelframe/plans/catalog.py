@@ -215,6 +215,7 @@ _REACH = [
     "n AS (SELECT p, i, root, dense_rank() OVER (PARTITION BY p ORDER BY root) AS id FROM l)",
 ]
 add("label", lambda a: (a > 60).label(), sql.query("SELECT px.p, y, x, coalesce(id, 0)::DOUBLE AS value FROM px LEFT JOIN n ON n.p = px.p AND n.i = px.y * 8 + px.x", *_REACH, recursive=True))
+add("label_unique", lambda a: (a > 60).label(unique=True), sql.query("SELECT px.p, y, x, coalesce(id + o, 0)::DOUBLE AS value FROM px LEFT JOIN n ON n.p = px.p AND n.i = px.y * 8 + px.x LEFT JOIN (SELECT p, coalesce(sum(k) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM (SELECT p, max(id) AS k FROM n GROUP BY p)) q ON q.p = px.p", *_REACH, recursive=True))
 add("area_opening", lambda a: (a > 60).area_opening(3, 2), sql.query("SELECT px.p, y, x, coalesce(k >= 3, false)::INT::DOUBLE AS value FROM px LEFT JOIN (SELECT p, i, count(*) OVER (PARTITION BY p, root) AS k FROM n) n ON n.p = px.p AND n.i = px.y * 8 + px.x", *_REACH, recursive=True))
 add("region_properties", lambda a: a.regionprops((a > 60).label(), ("area", "intensity_mean", "intensity_max", "centroid", "extent")), sql.query(
     "SELECT p, N, prop, round(value, 6) + 0.0 AS value FROM (SELECT p, id - 1 AS N, unnest(['area', 'intensity_mean', 'intensity_max', 'centroid-0', 'centroid-1', 'extent']) AS prop, unnest([count(*)::DOUBLE, avg(v), max(v), avg(y), avg(x), count(*)::DOUBLE / ((max(y) - min(y) + 1) * (max(x) - min(x) + 1))]) AS value "
