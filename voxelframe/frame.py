@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .axes import Axes, AxesError, Axis, Slicer, parse, spatial
+from .axes import Axes, AxesError, Slicer, parse, spatial
 
 DATA = "data"
 _LIMITS = {"uint8": 255, "uint16": 65535, "uint32": 2**32 - 1}

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..axes import Axes, AxesError, Axis
+from ..axes import AxesError, Axis
 from ..frame import ArrayFrame
 from ..functions import filters, fourier, geometry, objects
 
