@@ -146,7 +146,7 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of the batches, cut and joined between rows to batches with about limit bytes of text each."""
     held: list[pa.RecordBatch] = []
     size = 0
