@@ -242,6 +242,20 @@ def test_ngram_join_large_near_group(spark, monkeypatch):
     assert got == brute_groups(dict(rows), 5, 80)
 
 
+def test_ngram_join_leaders_out_of_reach(spark):
+    """The one similar pair meets only under n-grams with many other sets, whose pairs are all filtered by position."""
+    rng = random.Random(23)
+    base = [f"b{i}" for i in range(1000)]
+    rows = []
+    for i in range(198):
+        rows.append((i, rng.sample(base, 870) + [f"o{i}x{j}" for j in range(130)]))
+    rows += [(500, base[50:] + [f"fu{j}" for j in range(50)]), (501, base[:50] + base[100:] + [f"fv{j}" for j in range(50)])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(df, n=1).collect()}
+    want = brute_groups({i: " ".join(w) for i, w in rows}, 1, 80)
+    assert got == want and want[501] == (1000, 500)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(50, 80)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(25)]
@@ -494,4 +508,4 @@ def test_quality_rules(spark, empty):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i]["base_failed"] and not got[i]["kept"] for i in (900, 901, 902))
     assert all(got[i]["kept"] == (i % 20 != 0) for i in range(400))
-    assert quality_rules.quality_rules(empty).count() == 0
+    assert quality_rules.quality_rules(empty).count() == 0
\ No newline at end of file

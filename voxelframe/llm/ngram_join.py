@@ -383,8 +383,8 @@ def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
     for turn, leaders in enumerate((*LEADERS_TESTED, None), 2):
         more = _across(members, parts, tested, percent, leaders, done, scratch, turn)
         done = leaders
-        if more is None:
-            break
+        if more is None:  # no pair with one of these leaders; sets that are none may still have some
+            continue
         tested = tested.union(more.select("a", "b"))
         more = scratch.keep(_possible(more, bits, percent), f"possible{turn}")
         if more.isEmpty():
