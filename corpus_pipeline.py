@@ -16,6 +16,9 @@ from voxelframe.llm import decontamination, line_dedup, ngram_join, packing, tox
 from voxelframe.llm.queries import LABEL_FOLD
 from voxelframe.llm.shared import Scratch, small_batches
 
+#: Shorter lines are a word or two, a number or a date, and one edit makes another of them ("Chapter 12", "2024-01-05").
+NEAR_CHARS = 12
+
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id is not among the ids."""
@@ -30,9 +33,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within one edit of an earlier line go; documents stay."""
+    """Lines that repeat an earlier line go, from NEAR_CHARS characters on also those within one edit of one; blank lines and documents stay."""
     small_batches(spark)
-    return line_dedup.line_dedup(docs).select(*docs.columns)
+    return line_dedup.line_dedup(docs, NEAR_CHARS, every=True).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from voxelframe.llm import bytetext as B
@@ -327,6 +328,31 @@ def test_line_dedup_odd_rows(spark, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    """Exact repeats of any line with something in it go; one edit counts from the floor on."""
+    rng = random.Random(29)
+    lines = ["".join(rng.choice("abcé ") for _ in range(n)) for n in (1, 3, 7, 8, 9, 12, 13, 14, 15, 16, 17, 23, 24, 31, 32) for _ in range(3)] + ["", "  ", "\t"]
+    for least, dedup in ((8, lambda df: line_dedup.line_dedup(df, 8, every=True)), (corpus_pipeline.NEAR_CHARS, lambda df: corpus_pipeline.distinct_lines(spark, df, ""))):
+        rows = []
+        for i in range(80):
+            part = []
+            for _ in range(rng.randint(0, 6)):
+                line = rng.choice(lines)
+                how, at = rng.randrange(5), rng.randrange(len(line) + 1)
+                part.append({0: line, 1: line[:at] + line[at + 1 :], 2: line[:at] + "Z" + line[at:], 3: line[:at] + "Y" + line[at + 1 :], 4: line}[how])
+            rows.append((i, "\n".join(part)))
+        want, seen = {}, []
+        for i, t in rows:
+            kept = []
+            for line in t.split("\n"):
+                if not (line.strip() and line in seen or len(line) >= least and any(len(s) >= least and one_edit(line, s) for s in seen)):
+                    kept.append(line)
+                seen.append(line)
+            want[i] = "\n".join(kept)
+        got = {r["doc_id"]: r["text"] for r in dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+        assert got == want
+
+
 # benchmark ------------------------------------------------------------------------
 
 

@@ -2,7 +2,8 @@
 
 A line goes if an earlier line (by doc_id, then place) is within one character
 edit of it, so the earliest of each chain stays.  Lines under ``min_chars``
-characters stay always; blank ones among them.
+characters have no such match; with ``every`` they go if an earlier line equals
+them, unless they are blank, else they stay always.
 
 1. Every line gives hashed keys of its first and its last half, with its
    length.  Two lines one edit apart agree in one of the halves and differ in
@@ -36,23 +37,25 @@ MIN_CHARS = 24
 SEND_ROWS = 200_000
 
 
-def lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, place, line of all lines that are long enough."""
+def lines(docs: DataFrame, min_chars: int, every: bool = False) -> DataFrame:
+    """doc_id, place, line of all lines that are long enough, or not blank."""
     split = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return split.where(F.length("line") >= min_chars)
+    enough = F.length("line") >= min_chars
+    return split.where(enough | F.col("line").rlike(r"\S") if every else enough)
 
 
 def _half_keys(line: Column) -> Column:
-    """Keys of the halves. Halves are cut in steps of 8 characters, so that lengths that differ by one have the same; where they don't, the longer line emits both cuts."""
+    """Keys of the halves. Halves are cut in steps of 8 characters (of one under 16), so that lengths that differ by one have the same; where they don't, the longer line emits both cuts."""
     n = F.length(line)
-    half = F.floor(n / 16) * 8
+    half = F.when(n < 16, F.floor(n / 2)).otherwise(F.floor(n / 16) * 8)
 
     def keys(m: Column, length: Column) -> list[Column]:
         return [F.xxhash64(F.lit(0), length, m, F.substring(line, F.lit(1), m)), F.xxhash64(F.lit(1), length, m, F.substring(line, n - m + 1, m))]
 
     m = half.cast("int")
     both = F.array(*keys(m, n), *keys(m, n + 1))
-    return F.when((n % 16 == 0) & (m > 8), F.concat(both, F.array(*keys(m - 8, n)))).otherwise(both)
+    shorter = F.when((n <= 16) & (n % 2 == 0), m - 1).when(n % 16 == 0, m - 8)
+    return F.when(shorter.isNotNull(), F.concat(both, F.array(*keys(shorter, n)))).otherwise(both)
 
 
 def _variants(line: Column) -> Column:
@@ -62,11 +65,12 @@ def _variants(line: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), (n / 4).cast("int")), lambda i: F.struct(F.xxhash64(F.when(i == 0, line).otherwise(left_out(i))).alias("v"), i.alias("i")))
 
 
-def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratch | None = None) -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratch | None = None, every: bool = False) -> DataFrame:
     """doc_id and the sorted places of the lines that go."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     at = F.struct("doc_id", "place").alias("at")
-    table = lines(docs, min_chars).select(at, F.xxhash64("line").alias("h"), _half_keys(F.col("line")).alias("keys"))
+    keys = F.when(F.length("line") >= min_chars, _half_keys(F.col("line")))
+    table = lines(docs, min_chars, every).select(at, F.xxhash64("line").alias("h"), keys.alias("keys"))
     table = scratch.keep(table, "table")
     # exact repeats: one row per repeated line hash
     repeated = table.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").drop("last")
@@ -95,9 +99,9 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratc
     return exact.union(edited).select("at.*").groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
     """The documents without the lines that repeat earlier ones, with n_removed_lines."""
-    places = duplicate_lines(docs, min_chars).toDF("__lines_of", "__lines")
+    places = duplicate_lines(docs, min_chars, every=every).toDF("__lines_of", "__lines")
     joined = docs.join(places, F.col("doc_id") == F.col("__lines_of"), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__lines"), i)), "\n")
     whole = F.col("__lines").isNull() | F.col("text").isNull()
