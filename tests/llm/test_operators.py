@@ -382,6 +382,23 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.decontamination(more, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_by_occurrence(spark):
+    """A verbatim copy beside variants of it, variants of one template, and items of one template."""
+    ask = "Train {} leaves the old station at {} and runs for {} hours before it reaches the harbour where {} passengers wait for the ferry"
+    item, other = ask.format(7, 9, 3, 250), ask.format(11, 6, 5, 410)
+    bench = spark.createDataFrame([(1, item), (2, other), (3, "every one of these plain words stands here without any value behind it at all")], "item_id bigint, text string")
+    variants = [ask.format(20 + i, 30 + i, 40 + i, 500 + i) for i in range(9)]
+    rows = [
+        (1, item + ". " + variants[0]),
+        (2, "first some words. " + ". ".join(variants) + " and a tail"),
+        (3, item + "\n" + other),
+        (4, variants[1].replace("hours", "long hours") + ". " + variants[2]),
+        (5, "the train leaves the old station and nobody reaches the harbour"),
+    ]
+    got = {r["doc_id"]: r["item_ids"] for r in decontamination.decontamination(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == {1: [1, 2], 2: [1, 2], 3: [1, 2], 4: [1, 2], 5: []}
+
+
 def test_canonical_tokens():
     b = next(B.blocks(pa.array(["He met Anna Smith. Then 12 kg of tea, 3 Miles"])))
     _, kind, _, _ = decontamination.canonical(b)

@@ -6,13 +6,16 @@ names (a run of words with a capital and then a
 small letter, not at a sentence's start) and units (a unit
 word after a number).  Windows of ``window`` tokens are hashed and joined with
 the windows of the benchmark's items.  Where windows meet, the values behind
-their placeholders are compared: an item's value must stand for one value of
-the document throughout.  A question asked again with other numbers or names
+their placeholders are compared: an item's value must stand for one value
+throughout an occurrence.  A question asked again with other numbers or names
 passes this check; chance meetings of templates mostly don't.
 
-A document is contaminated by an item if the windows found cover at least
-``coverage`` of the item's windows and at least ``consistency`` of the slots
-keep to the most frequent value.  Items with fewer tokens than a window count
+An occurrence is what a document holds at one distance between its places and
+the item's: at the same distance exactly, or (words put in or left out) within
+the item's length, or in the whole document.  A document is contaminated by an
+item if the windows found in one of its occurrences cover at least ``coverage``
+of the item's windows and at least ``consistency`` of the slots keep to the
+most frequent value, so copies beside it, with other values, take nothing away.  Items with fewer tokens than a window count
 as one window of their own length (three tokens at least).
 
 A bitmap of fixed size of the benchmark's window hashes goes to the executors
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
@@ -143,24 +146,36 @@ def _window_batches(lengths: list[int], window: int, table: np.ndarray | None):
 _SCHEMA = "id bigint, place int, h bigint, k int, slots array<bigint>"
 
 
+def _occurrences() -> Column:
+    """The occurrences that a window found at ``at`` for ``place`` is part of: at its distance, in two rows of ranges as wide as the item (the second half a range on), and in the whole document."""
+    away = F.col("at") - F.col("place")
+    ranges = [F.floor((away + shift) / F.col("length")) for shift in (F.lit(0), F.floor(F.col("length") / 2))]
+    kinds = [away, *ranges, F.lit(0)]
+    return F.array(*[F.struct(F.lit(i).alias("kind"), k.cast("bigint").alias("n")) for i, k in enumerate(kinds)])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
-    """doc_id, item_id, share of the item's windows found, and consistency of the slots, of each contaminated document and item."""
+    """doc_id, item_id, share of the item's windows found, and consistency of the slots, of each contaminated document and item, where it holds most of it."""
     scratch = Scratch(docs.sparkSession, "templates")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("id"), "text").where("id is not null")
     items = scratch.keep(items.mapInArrow(_window_batches([], window, None), _SCHEMA), "items")
     lengths = [r["k"] for r in items.select("k").distinct().collect()]  # at most ``window`` values
     table = bitmap(items)
     found = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_window_batches(lengths, window, table), _SCHEMA).withColumnsRenamed({"id": "doc_id", "place": "at", "slots": "values"})
-    total = items.groupBy("id").agg(F.countDistinct("place").alias("windows"))
+    total = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("windows"), F.max(F.col("place") + F.col("k")).alias("length"))
     met = found.join(items, ["h", "k"]).where("size(slots) = size(values)").withColumnRenamed("id", "item_id")
-    met = scratch.keep(met.select("doc_id", "item_id", "place", "slots", "values"), "met")
-    covered = met.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("found"))
-    pairs = met.select("doc_id", "item_id", F.explode(F.arrays_zip("slots", "values")).alias("s")).groupBy("doc_id", "item_id", "s.slots", "s.values").agg(F.count("*").alias("n"))
-    slot = pairs.groupBy("doc_id", "item_id", "slots").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
-    agreed = slot.groupBy("doc_id", "item_id").agg((F.sum("most") / F.sum("all")).alias("agreed"))
-    rows = covered.join(total.withColumnRenamed("id", "item_id"), "item_id").join(agreed, ["doc_id", "item_id"], "left")
-    rows = rows.select("doc_id", "item_id", F.round(F.col("found") / F.col("windows"), 6).alias("coverage"), F.round(F.coalesce("agreed", F.lit(1.0)), 6).alias("consistency"))
-    return rows.where((F.col("coverage") >= coverage) & (F.col("consistency") >= consistency))
+    met = scratch.keep(met.select("doc_id", "item_id", "place", "at", "slots", "values"), "met")
+    share = F.round(F.countDistinct("place") / F.first("windows"), 6).alias("coverage")
+    whole = met.join(total, "item_id").groupBy("doc_id", "item_id", "length").agg(share).where(F.col("coverage") >= coverage)
+    # no occurrence covers more than the whole document
+    met = met.join(whole.select("doc_id", "item_id", "length"), ["doc_id", "item_id"]).withColumn("occurrence", F.explode(_occurrences()))
+    by = ["doc_id", "item_id", "occurrence"]
+    covered = met.join(total.drop("length"), "item_id").groupBy(*by).agg(share).where(F.col("coverage") >= coverage)
+    pairs = met.select(*by, F.explode(F.arrays_zip("slots", "values")).alias("s")).groupBy(*by, "s.slots", "s.values").agg(F.count("*").alias("n"))
+    slot = pairs.groupBy(*by, "slots").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    agreed = slot.groupBy(*by).agg((F.sum("most") / F.sum("all")).alias("agreed"))
+    rows = covered.join(agreed, by, "left").withColumn("consistency", F.round(F.coalesce("agreed", F.lit(1.0)), 6)).where(F.col("consistency") >= consistency)
+    return rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "consistency")).alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
