@@ -399,6 +399,21 @@ def test_decontamination_by_occurrence(spark):
     assert got == {1: [1, 2], 2: [1, 2], 3: [1, 2], 4: [1, 2], 5: []}
 
 
+def test_decontamination_dense_items(spark):
+    """Windows that are mostly placeholders are found by their values; they take nothing from what the others find."""
+    dense = "12 + 7 = 19 and 5 + 6 = 11"
+    mixed = "the small shop near the river sells bread and counts 4 8 15 16 23 42 51 62 73 84 95 106 117 128 139 150 161 172 183 194 205 216 227 238"
+    bench = spark.createDataFrame([(1, dense), (2, mixed)], "item_id bigint, text string")
+    rows = [
+        (1, "we read that " + dense + " in a book"),
+        (2, "we read that 13 + 8 = 21 and 4 + 5 = 9 in a book"),
+        (3, re.sub(r"\d+", lambda m: str(int(m[0]) + 1000), mixed)),
+        (4, "numbers 15 16 23 42 51 62 73 84 95 106 117 128 139 150 161 172 183 194 205 216"),
+    ]
+    got = {r["doc_id"]: r["item_ids"] for r in decontamination.decontamination(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == {1: [1], 2: [], 3: [2], 4: [2]}
+
+
 def test_canonical_tokens():
     b = next(B.blocks(pa.array(["He met Anna Smith. Then 12 kg of tea, 3 Miles"])))
     _, kind, _, _ = decontamination.canonical(b)

@@ -15,7 +15,13 @@ the item's: at the same distance exactly, or (words put in or left out) within
 the item's length, or in the whole document.  A document is contaminated by an
 item if the windows found in one of its occurrences cover at least ``coverage``
 of the item's windows and at least ``consistency`` of the slots keep to the
-most frequent value, so copies beside it, with other values, take nothing away.  Items with fewer tokens than a window count
+most frequent value, so copies beside it, with other values, take nothing away.
+
+Windows of which more than half are placeholders would meet any row of numbers
+by their template; they are hashed with the values and meet only where these
+agree.  What a copy with other values covers is measured on the windows that it
+can have: coverage is the greater of the shares of all windows, and of those
+that meet by template.  Items with fewer tokens than a window count
 as one window of their own length (three tokens at least).
 
 A bitmap of fixed size of the benchmark's window hashes goes to the executors
@@ -57,6 +63,8 @@ _SMALL[97:123] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:"]] = True
 WORD, NUMBER, NAME, UNIT = range(4)
+#: Keeps hashes with values apart from those of templates.
+DENSE = 1 << 40
 _PLACE = B.mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
 
 
@@ -128,22 +136,24 @@ def _window_batches(lengths: list[int], window: int, table: np.ndarray | None):
                 for k in sorted({*lengths, window}) if table is not None else [*range(3, window + 1)]:
                     h = B.windows(token, k) ^ np.uint64(k)
                     ok = B.inside(first, len(token), k)
-                    ok &= 2 * (slots[k:] - slots[: len(slots) - k]) <= k if len(slots) > k else ok  # half of the tokens are words
+                    dense = 2 * (slots[k:] - slots[: len(slots) - k]) > k if len(slots) > k else ~ok  # most of the tokens are placeholders
+                    if dense.any():
+                        h = np.where(dense, B.windows(value, k) ^ np.uint64(k + DENSE), h)
                     if table is None:
                         ok &= (size[: len(h)] >= k) if k == window else (size[: len(h)] == k)
                     else:
                         ok &= hit(table, h)
                     for i in np.flatnonzero(ok):
-                        at = np.flatnonzero(kind[i : i + k] != WORD) + i
-                        rows.append((ids[b.first + doc[i]], int(i - first[doc[i]]), int(h[i].astype(np.int64)), k, value[at].view(np.int64).tolist()))
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["id", "place", "h", "k", "slots"])
+                        at = np.flatnonzero(kind[i : i + k] != WORD) + i if not dense[i] else np.zeros(0, np.int64)  # their values are in the hash
+                        rows.append((ids[b.first + doc[i]], int(i - first[doc[i]]), int(h[i].astype(np.int64)), k, bool(dense[i]), value[at].view(np.int64).tolist()))
+            cols = list(zip(*rows)) or [[]] * 6
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["id", "place", "h", "k", "dense", "slots"])
 
     return run
 
 
-_SCHEMA = "id bigint, place int, h bigint, k int, slots array<bigint>"
+_SCHEMA = "id bigint, place int, h bigint, k int, dense boolean, slots array<bigint>"
 
 
 def _occurrences() -> Column:
@@ -162,10 +172,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     lengths = [r["k"] for r in items.select("k").distinct().collect()]  # at most ``window`` values
     table = bitmap(items)
     found = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_window_batches(lengths, window, table), _SCHEMA).withColumnsRenamed({"id": "doc_id", "place": "at", "slots": "values"})
-    total = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("windows"), F.max(F.col("place") + F.col("k")).alias("length"))
-    met = found.join(items, ["h", "k"]).where("size(slots) = size(values)").withColumnRenamed("id", "item_id")
-    met = scratch.keep(met.select("doc_id", "item_id", "place", "at", "slots", "values"), "met")
-    share = F.round(F.countDistinct("place") / F.first("windows"), 6).alias("coverage")
+    open_ = F.when(~F.col("dense"), F.col("place"))
+    total = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("windows"), F.countDistinct(open_).alias("open"), F.max(F.col("place") + F.col("k")).alias("length"))
+    met = found.join(items, ["h", "k", "dense"]).where("size(slots) = size(values)").withColumnRenamed("id", "item_id")
+    met = scratch.keep(met.select("doc_id", "item_id", "place", "at", "dense", "slots", "values"), "met")
+    share = F.round(F.greatest(F.countDistinct("place") / F.first("windows"), F.countDistinct(open_) / F.nullif(F.first("open"), F.lit(0))), 6).alias("coverage")
     whole = met.join(total, "item_id").groupBy("doc_id", "item_id", "length").agg(share).where(F.col("coverage") >= coverage)
     # no occurrence covers more than the whole document
     met = met.join(whole.select("doc_id", "item_id", "length"), ["doc_id", "item_id"]).withColumn("occurrence", F.explode(_occurrences()))
