@@ -566,4 +566,28 @@ def test_quality_rules(spark, empty):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i]["base_failed"] and not got[i]["kept"] for i in (900, 901, 902))
     assert all(got[i]["kept"] == (i % 20 != 0) for i in range(400))
-    assert quality_rules.quality_rules(empty).count() == 0
\ No newline at end of file
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_quality_rules_small_groups(spark):
+    """Groups too small for an estimate are judged by their language, or by all rows."""
+    rng = np.random.default_rng(19)
+    rows, junk = [], set()
+
+    def add(lang, source, bad):
+        w = ["".join(rng.choice(list("abcdef"), rng.integers(2, 8))) + ("%%%" if bad else "") for _ in range(rng.integers(60, 300))]
+        junk.update([len(rows)] if bad else [])
+        rows.append((len(rows), " ".join(w), lang, source, 0))
+
+    for i in range(120):
+        add("en", "large", False)
+    for i in range(30):
+        add("en", f"tail{i // 3}", i % 6 == 0)
+    for i in range(8):
+        add("de", None, i == 5)
+    add(None, "alone", True)
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert len(got) == len(rows) and all(r["distance2"] is not None for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == junk
+    few = quality_rules.quality_rules(spark.createDataFrame(rows[:4], SCHEMA)).collect()
+    assert [r["kept"] and r["distance2"] is not None for r in few] == [True] * 4

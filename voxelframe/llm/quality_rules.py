@@ -16,7 +16,9 @@ infinite weight.
 
 Defined results: null text counts as empty (0 words, base_failed).  Null lang
 or source is a group of its own.  Groups with fewer than ``min_group`` rows
-that pass the base rules give no estimate; their rows keep the base verdict.
+that pass the base rules are judged by the estimate of their language over all
+sources, and where that has too few as well by the one of all rows, whatever
+their number; so every row that passes the base rules has a distance.
 Repeated rows each give a row.  An empty table gives an empty result.
 """
 
@@ -114,15 +116,13 @@ def _weighted_median(x: np.ndarray, n: np.ndarray) -> float:
 _FIT = "g string, mean array<double>, inverse array<double>, scale double"
 
 
-def _start(p: int, floors: np.ndarray, min_group: int):
+def _start(p: int, floors: np.ndarray):
     """For one group's counted bins of each statistic: medians and median deviations, as a first estimate."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         mean, var = np.zeros(p), np.zeros(p)
         for i, part in pdf.groupby("i"):
             x, n = part["bin"].to_numpy() * BIN, part["n"].to_numpy()
-            if n.sum() < min_group:
-                return pd.DataFrame(columns=["g", "mean", "inverse", "scale"])
             mean[i] = _weighted_median(x, n)
             var[i] = (1.4826 * _weighted_median(np.abs(x - mean[i]), n)) ** 2
         return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mean": [mean], "inverse": [np.diag(1 / (var + floors**2)).ravel()], "scale": [1.0]})
@@ -150,15 +150,28 @@ def _step(p: int, floors: np.ndarray, h: float):
     return run
 
 
+def _pools(data: DataFrame, min_group: int, scratch: Scratch) -> DataFrame:
+    """For each group g the pool that judges it (itself, its language or all), and the pools that its rows are part of."""
+    sizes = data.where("use").groupBy("g", F.concat(F.lit("lang "), F.to_json(F.struct("lang"))).alias("wide")).agg(F.count("*").alias("n"))
+    sizes = scratch.keep(sizes, "sizes")
+    wide = sizes.groupBy("wide").agg(F.sum("n").alias("wide_n"), (F.min("n") < min_group).alias("asked"))
+    every = bool(wide.agg(F.min("wide_n") < min_group).first()[0])
+    small, few = F.col("n") < min_group, F.col("wide_n") < min_group
+    pool = F.when(~small, F.col("g")).when(~few, F.col("wide")).otherwise("all")
+    feeds = F.array(F.when(~small, F.col("g")), F.when(F.col("asked") & ~few, F.col("wide")), F.lit("all" if every else None).cast("string"))
+    return scratch.keep(sizes.join(wide, "wide").select("g", pool.alias("pool"), F.array_compact(feeds).alias("feeds")), "pools")
+
+
 def robust_outliers(stats: DataFrame, h: float = 0.75, steps: int = 4, min_group: int = 50, features: dict = FEATURES, scratch: Scratch | None = None) -> DataFrame:
-    """Rows of stats with g (group) and d2, the squared robust distance scaled so that its group median is that of a chi-square; null without an estimate."""
+    """Rows of stats with g (group) and d2, the squared robust distance scaled so that its group median is that of a chi-square; null for rows that fail the base rules."""
     names, p = list(features), len(features)
     floors = np.array([floor for _, floor in features.values()])
     scratch = scratch or Scratch(stats.sparkSession, "mcd")
     data = scratch.keep(stats.withColumn("g", F.to_json(F.struct("lang", "source"))).withColumn("use", ~base_failed()).withColumns({k: F.coalesce(F.expr(e), F.lit(0.0)) for k, (e, _) in features.items()}), "data")
-    used = data.where("use").select("g", *names)
+    pools = _pools(data, min_group, scratch)
+    used = data.where("use").join(pools, "g").select(F.explode("feeds").alias("g"), *names)
     bins = used.select("g", F.posexplode(F.array(*[F.round(F.col(x) / BIN).cast("int") for x in names])).alias("i", "bin")).groupBy("g", "i", "bin").agg(F.count("*").alias("n"))
-    fit = scratch.keep(bins.groupBy("g").applyInPandas(_start(p, floors, min_group), _FIT), "fit0")
+    fit = scratch.keep(bins.groupBy("g").applyInPandas(_start(p, floors), _FIT), "fit0")
     moments = [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]]
     for step in range(1, steps + 2):  # the last one only measures the scale of the estimate before it
         near = used.join(fit.drop("scale"), "g").groupBy("g", F.round(F.ln(_distance(names) + 1e-6) / LOG_BIN).cast("int").alias("bin")).agg(*moments)
@@ -167,7 +180,7 @@ def robust_outliers(stats: DataFrame, h: float = 0.75, steps: int = 4, min_group
             new = fit.drop("scale").join(new.select("g", "scale"), "g")
         fit = scratch.keep(new, f"fit{step}")
     scratch.drop(*[f"fit{i}" for i in range(steps + 1)])
-    return data.join(fit, "g", "left").withColumn("d2", F.when(F.col("use"), _distance(names) / F.col("scale"))).select("g", "doc_id", *STATS, "d2")
+    return data.join(pools.drop("feeds"), "g", "left").join(fit.withColumnRenamed("g", "pool"), "pool", "left").withColumn("d2", F.when(F.col("use"), _distance(names) / F.col("scale"))).select("g", "doc_id", *STATS, "d2")
 
 
 def chi_square(p: int, z: float) -> float:
