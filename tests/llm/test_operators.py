@@ -257,6 +257,20 @@ def test_ngram_join_leaders_out_of_reach(spark):
     assert got == want and want[501] == (1000, 500)
 
 
+def test_ngram_join_equal_ids(spark):
+    """Rows that repeat a doc_id, with the same text or with another one."""
+    w = [f"w{i}" for i in range(400)]
+    half = w[:200] + [f"z{i}" for i in range(200)]
+    near = [*w[:390], *[f"y{i}" for i in range(10)]]
+    rows = [(1, w), (1, w), (2, half), (2, half), (3, near), (3, [f"q{i}" for i in range(300)]), (4, [f"q{i}" for i in range(295)])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(df, n=1, percent=80).collect())
+    assert got == Counter({(1, 400, 1): 2, (2, 400, 2): 2, (3, 400, 1): 1, (3, 300, 3): 1, (4, 295, 3): 1})
+    pairs = spark.createDataFrame([sorted(zip(ngram_join._batch_sets(pa.array([" ".join(w), " ".join(half)]), 1)[2].view(np.int64).tolist(), (400, 400)))], "x struct<a: bigint, na: bigint>, y struct<b: bigint, nb: bigint>").select("x.*", "y.*")
+    profile = df.mapInArrow(ngram_join._profile_batches(1), "kind int, doc_id bigint, n bigint, sid bigint, bits array<bigint>").where("kind = 0")
+    assert [r["both"] for r in ngram_join.overlaps(df, profile, pairs, 1, Scratch(spark, "t"), "o").collect()] == [200]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(50, 80)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(25)]

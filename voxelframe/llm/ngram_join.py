@@ -267,9 +267,12 @@ def _overlap_batches(n: int, buckets: int):
             out: list[tuple] = []
             for b in B.blocks(batch.column(0)):
                 h, first = sets(b, n)
+                own = identity(h, first).view(np.int64)
                 fragment = (h >> np.uint64(62)).astype(np.int64)  # FRAGMENTS parts of the hash order
                 for d in range(b.n):
                     row = b.first + d
+                    if own[d] != sids[row]:  # another text under the same doc_id
+                        continue
                     lo, hi = first[d], first[d + 1]
                     cut = lo + np.searchsorted(fragment[lo:hi], np.arange(FRAGMENTS + 1))
                     for f in range(FRAGMENTS):
@@ -290,7 +293,7 @@ def _count_overlaps(key, table):
     cols = [table.column(c).to_pylist() for c in ("a", "b", "f", "share", "blob")]
     own = {(a, f, s): np.frombuffer(x, "<u8") for a, b, f, s, x in zip(*cols) if b is None}
     found = []
-    for a, b, f, s, x in zip(*cols):
+    for (a, b, f, s), x in {(a, b, f, s): x for a, b, f, s, x in zip(*cols)}.items():  # rows that repeat doc_id and text count once
         if b is not None and (lead := own.get((a, f, s))) is not None and len(lead) and x:
             h = np.frombuffer(x, "<u8")
             found.append((a, b, int((lead[np.minimum(np.searchsorted(lead, h), len(lead) - 1)] == h).sum())))
