@@ -229,7 +229,7 @@ def test_ngram_join(docs, empty):
 
 def test_ngram_join_large_near_group(spark, monkeypatch):
     """A chain of near copies around the threshold, more sets than are tried in a turn."""
-    monkeypatch.setattr(ngram_join, "LEADERS_TESTED", (3, 6))
+    monkeypatch.setattr(ngram_join, "LEADERS_TESTED", 3)
     rng = random.Random(3)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -267,8 +267,30 @@ def test_ngram_join_equal_ids(spark):
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(df, n=1, percent=80).collect())
     assert got == Counter({(1, 400, 1): 2, (2, 400, 2): 2, (3, 400, 1): 1, (3, 300, 3): 1, (4, 295, 3): 1})
     pairs = spark.createDataFrame([sorted(zip(ngram_join._batch_sets(pa.array([" ".join(w), " ".join(half)]), 1)[2].view(np.int64).tolist(), (400, 400)))], "x struct<a: bigint, na: bigint>, y struct<b: bigint, nb: bigint>").select("x.*", "y.*")
-    profile = df.mapInArrow(ngram_join._profile_batches(1), "kind int, doc_id bigint, n bigint, sid bigint, bits array<bigint>").where("kind = 0")
-    assert [r["both"] for r in ngram_join.overlaps(df, profile, pairs, 1, Scratch(spark, "t"), "o").collect()] == [200]
+    profile = df.mapInArrow(ngram_join._profile_batches(1), "kind int, doc_id bigint, n bigint, sid bigint, bits binary").where("kind = 0")
+    grams = ngram_join.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    assert [r["overlap"] for r in ngram_join.overlaps(df, profile, pairs, 1, grams, Scratch(spark, "t"), "o").collect()] == [200]
+
+
+def test_ngram_join_signatures():
+    """No more bits differ than n-grams, at any two widths; sets under the threshold mostly show it."""
+    rng = np.random.default_rng(31)
+    for n, m, both in ((300, 300, 270), (300, 300, 220), (500, 530, 480), (1000, 1100, 1000), (5000, 5000, 4200)):
+        h = rng.integers(0, 2**63, n + m - both, dtype=np.uint64)
+        x, y = ngram_join.signature(np.concatenate([h[:n], h[n - both :]]), np.array([0, n, n + m]))
+        differ = int(ngram_join.differing(pa.array([x]), pa.array([y]))[0])
+        assert differ <= n + m - 2 * both and differ % 2 == (n + m) % 2 and differ >= 0.7 * (n + m - 2 * both)
+
+
+def test_ngram_join_one_order():
+    """Fragments are consecutive parts of the order that prefixes are taken from."""
+    rng = np.random.default_rng(37)
+    h = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    grams = ngram_join.Order(h[:500], np.arange(500, dtype=np.int64) % 7 + 2)
+    often = grams.often(h)
+    assert (often[:500] > 0).all() and not often[500:].any()
+    fragment = grams.fragment(h, often)[np.lexsort((h, often))]
+    assert (np.diff(fragment) >= 0).all() and set(fragment) == set(range(ngram_join.FRAGMENTS))
 
 
 def test_components(spark):
