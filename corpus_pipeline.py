@@ -14,17 +14,12 @@ from pyspark.sql import functions as F
 
 from voxelframe.llm import decontamination, line_dedup, ngram_join, packing, toxicity
 from voxelframe.llm.queries import LABEL_FOLD
-from voxelframe.llm.shared import Scratch, small_batches
+from voxelframe.llm.shared import Scratch, small_batches, without
 
 #: Shorter lines are a word or two, a number or a date, and one edit makes another of them ("Chapter 12", "2024-01-05").
 NEAR_CHARS = 12
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among the ids."""
-    return docs.join(ids.toDF("__gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
-
-
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go."""
     small_batches(spark)
@@ -35,20 +30,20 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go, from NEAR_CHARS characters on also those within one edit of one; blank lines and documents stay."""
     small_batches(spark)
-    return line_dedup.line_dedup(docs, NEAR_CHARS, every=True).select(*docs.columns)
+    return line_dedup.line_dedup(docs, NEAR_CHARS, counted=None)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id stays."""
     small_batches(spark)
-    return _without(docs, ngram_join.similar_groups(docs).where("component_id <> doc_id").select("doc_id"))
+    return without(docs, ngram_join.similar_groups(docs).where("component_id <> doc_id").select("doc_id"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
     small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontamination.contaminated(docs, benchmark).select("doc_id").distinct())
+    return without(docs, decontamination.contaminated(docs, benchmark).select("doc_id").distinct())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

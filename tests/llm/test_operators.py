@@ -329,10 +329,9 @@ def brute_lines(texts, least):
             continue
         kept = []
         for line in t.split("\n"):
-            if len(line) < least or not any(one_edit(line, s) for s in seen):
+            if not (split(line) and (line in seen or len(line) >= least and any(len(s) >= least and one_edit(line, s) for s in seen))):
                 kept.append(line)
-            if len(line) >= least:
-                seen.append(line)
+            seen.append(line)
         out[i] = "\n".join(kept)
     return out
 
@@ -362,13 +361,43 @@ def test_line_dedup_odd_rows(spark, empty):
     got = sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.line_dedup(df).collect())
     assert got == [(0, long), (1, long), (1, long), (2, "")]
     assert line_dedup.line_dedup(empty).count() == 0
+    clash = df.select("doc_id", F.lit(1).alias("gone"), "text", F.lit(2).alias("of"), F.lit(3).alias("_0"), F.lit(4).alias("n_removed_lines"), F.lit(5).alias("h"), F.lit(6).alias("n_chars"))
+    with pytest.raises(ValueError):
+        line_dedup.line_dedup(clash)
+    out = line_dedup.line_dedup(clash, counted=None)
+    assert out.columns == clash.columns and {tuple(r)[3:7] for r in out.collect()} == {(2, 3, 4, 5)}
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in out.collect()) == [(0, long, 6), (1, long, 6), (1, long, 6), (2, "", 0)]
+
+
+def test_line_dedup_long_text(spark):
+    """A document of many lines, nearly all of which go, and very long lines."""
+    head = "\n".join(f"line number {i} of a long text" for i in range(3000))
+    df = spark.createDataFrame([(1, head), (2, head + "\nand one of its own, long enough"), (3, "x" * 40_000), (4, "x" * 39_999)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df).collect()}
+    assert got[2] == "and one of its own, long enough" and got[3] == "x" * 40_000 and got[4] == "" and got[1].startswith("line number 0 of")
+
+
+def test_line_dedup_long_lines(spark, monkeypatch):
+    """Lines around the lengths from which variants are made by block, and around the ends of blocks."""
+    monkeypatch.setattr(line_dedup, "LONG", 40)
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    rng = random.Random(41)
+    lines = ["".join(rng.choice("abé") for _ in range(n)) for n in (39, 40, 41, 42, 47, 48, 49, 55, 56, 57, 64, 65, 71)]
+    rows = []
+    for i in range(150):
+        line = rng.choice(lines)
+        at = rng.choice([0, len(line) - 1, rng.randrange(len(line))])
+        rows.append((i, rng.choice([line, line[:at] + line[at + 1 :], line[:at] + "Z" + line[at:], line[:at] + "Y" + line[at + 1 :], line[:at] + "QQ" + line[at:], line + "e"])))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    want = brute_lines(dict(rows), line_dedup.MIN_CHARS)
+    assert got == want and 20 < sum(t != "" for t in want.values()) < 120
 
 
 def test_line_dedup_short_lines(spark):
     """Exact repeats of any line with something in it go; one edit counts from the floor on."""
     rng = random.Random(29)
     lines = ["".join(rng.choice("abcé ") for _ in range(n)) for n in (1, 3, 7, 8, 9, 12, 13, 14, 15, 16, 17, 23, 24, 31, 32) for _ in range(3)] + ["", "  ", "\t"]
-    for least, dedup in ((8, lambda df: line_dedup.line_dedup(df, 8, every=True)), (corpus_pipeline.NEAR_CHARS, lambda df: corpus_pipeline.distinct_lines(spark, df, ""))):
+    for least, dedup in ((8, lambda df: line_dedup.line_dedup(df, 8)), (corpus_pipeline.NEAR_CHARS, lambda df: corpus_pipeline.distinct_lines(spark, df, ""))):
         rows = []
         for i in range(80):
             part = []
@@ -377,14 +406,7 @@ def test_line_dedup_short_lines(spark):
                 how, at = rng.randrange(5), rng.randrange(len(line) + 1)
                 part.append({0: line, 1: line[:at] + line[at + 1 :], 2: line[:at] + "Z" + line[at:], 3: line[:at] + "Y" + line[at + 1 :], 4: line}[how])
             rows.append((i, "\n".join(part)))
-        want, seen = {}, []
-        for i, t in rows:
-            kept = []
-            for line in t.split("\n"):
-                if not (line.strip() and line in seen or len(line) >= least and any(len(s) >= least and one_edit(line, s) for s in seen)):
-                    kept.append(line)
-                seen.append(line)
-            want[i] = "\n".join(kept)
+        want = brute_lines(dict(rows), least)
         got = {r["doc_id"]: r["text"] for r in dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
         assert got == want
 

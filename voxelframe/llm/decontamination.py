@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import bytetext as B
 from .bitmaps import bitmap, hit
-from .shared import Scratch
+from .shared import Scratch, lean
 from .toxicity import _PUNCT
 
 WINDOW, COVERAGE, CONSISTENCY = 8, 0.25, 0.8
@@ -124,6 +124,7 @@ def canonical(b: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 def _window_batches(lengths: list[int], window: int, table: np.ndarray | None):
     """Windows of the given lengths; without a table (the benchmark) each text's own: of ``window`` tokens, or all of a shorter text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
+from .shared import lean
 
 
 def hashed(features: Callable[[B.Block], tuple[np.ndarray, np.ndarray]], max_words: int):
     """For mapInArrow: label, lang and the packed feature hashes of each text that has at most max_words of them."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, lang, packed = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []

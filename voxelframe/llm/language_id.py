@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .shared import pack_columns
+from .shared import lean, pack_columns
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 12, 128
 NEVER = np.float32(-1e4)
@@ -112,6 +112,7 @@ def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x.reshape(-1, WINDOW), first
 
 
+@lean
 def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Four windows of each text, spread by a hash of place and content, and their hashes."""
     for batch in batches:
@@ -146,6 +147,7 @@ def fit(rows: DataFrame, sample: int = 6000, **options) -> ByteNet:
 
 
 def _predict_batches(net: ByteNet):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)

@@ -2,8 +2,8 @@
 
 A line goes if an earlier line (by doc_id, then place) is within one character
 edit of it, so the earliest of each chain stays.  Lines under ``min_chars``
-characters have no such match; with ``every`` they go if an earlier line equals
-them, unless they are blank, else they stay always.
+characters are a word or two, a number or a date, and one edit makes another of
+them: they go only if an earlier line equals them.  Blank lines stay.
 
 1. Every line gives hashed keys of its first and its last half, with its
    length.  Two lines one edit apart agree in one of the halves and differ in
@@ -21,7 +21,7 @@ them, unless they are blank, else they stay always.
 Defined results: null text stays null.  Rows with null doc_id are left as they
 are.  Rows that repeat a doc_id are taken as one document: they neither remove
 each other's lines nor are treated differently.  All columns are passed on,
-n_chars (where there is one) follows the text.  A text whose lines all go
+whatever their names; n_chars (where there is one) follows the text.  A text whose lines all go
 becomes empty.  An empty table gives an empty result.
 """
 
@@ -30,18 +30,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, numbered
 
 MIN_CHARS = 24
+#: Lines over LONG characters have their variants by block of BLOCK.
+LONG, BLOCK = 512, 256
 #: Candidate lines are sent to the executors if they are this few, else joined by a shuffle.
 SEND_ROWS = 200_000
 
 
-def lines(docs: DataFrame, min_chars: int, every: bool = False) -> DataFrame:
-    """doc_id, place, line of all lines that are long enough, or not blank."""
+def lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """doc_id, place, line of all lines that are not blank and long enough."""
     split = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    enough = F.length("line") >= min_chars
-    return split.where(enough | F.col("line").rlike(r"\S") if every else enough)
+    return split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]") & (F.length("line") >= min_chars))
 
 
 def _half_keys(line: Column) -> Column:
@@ -58,26 +59,55 @@ def _half_keys(line: Column) -> Column:
     return F.when(shorter.isNotNull(), F.concat(both, F.array(*keys(shorter, n)))).otherwise(both)
 
 
+def _left_out(line: Column, i: Column) -> Column:
+    """The line (four bytes for each character) without its i-th character."""
+    return F.concat(F.substring(line, F.lit(1), 4 * (i - 1)), F.substring(line, 4 * i + 1, F.length(line)))
+
+
+def _short_variants(line: Column) -> Column:
+    n = F.length(line) / 4
+    return F.transform(F.sequence(F.lit(0), n.cast("int")), lambda i: F.struct(F.xxhash64(F.when(i == 0, line).otherwise(_left_out(line, i))).alias("v"), i.alias("i")))
+
+
+def _long_variants(line: Column) -> Column:
+    """Variants by block of BLOCK characters: one is the hashes of what stands before and behind the block, and the block without the character. The whole line stands once for each block, one character shorter, as it is in a line from which that one was left out."""
+    n, size = F.length(line), 4 * BLOCK
+
+    def parts(j: Column, wide: int) -> Column:
+        ahead = F.xxhash64(F.substring(line, F.lit(1), size * j))
+        behind = F.xxhash64(F.substring(line, size * j + wide + 1, n))
+        return F.struct(ahead.alias("ahead"), F.substring(line, size * j + 1, F.lit(wide)).alias("block"), behind.alias("behind"))
+
+    def of_block(j: Column, x: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.lit(BLOCK)), lambda i: 4 * i <= F.length(x["block"]))
+        return F.transform(places, lambda i: F.struct(F.xxhash64(x["ahead"], _left_out(x["block"], i), x["behind"]).alias("v"), (j * BLOCK + i).alias("i")))
+
+    blocks = F.sequence(F.lit(0), F.floor(n / size).cast("int"))
+    left_out = F.flatten(F.transform(blocks, lambda j: F.flatten(F.transform(F.array(parts(j, size)), lambda x: of_block(j, x)))))
+    whole = F.transform(blocks, lambda j: F.transform(F.array(parts(j, size - 4)), lambda x: F.struct(F.xxhash64(x["ahead"], x["block"], x["behind"]).alias("v"), F.lit(0).alias("i")))[0])
+    return F.concat(left_out, whole)
+
+
 def _variants(line: Column) -> Column:
-    """Hash and place (from 1; 0: nothing) of each line with a character left out, and of the line itself; line: as binary with four bytes for each character, so that a place needs no search."""
+    """Hash and place (from 1; 0: nothing) of each line with a character left out, and of the line itself; line: as binary with four bytes for each character, so that a place needs no search.  Lines over LONG characters have variants by block, else the work would grow with the square of their length; those of LONG + 1 have both."""
     n = F.length(line)
-    left_out = lambda i: F.concat(F.substring(line, F.lit(1), 4 * (i - 1)), F.substring(line, 4 * i + 1, n))
-    return F.transform(F.sequence(F.lit(0), (n / 4).cast("int")), lambda i: F.struct(F.xxhash64(F.when(i == 0, line).otherwise(left_out(i))).alias("v"), i.alias("i")))
+    return F.when(n <= 4 * LONG, _short_variants(line)).when(n == 4 * LONG + 4, F.concat(_short_variants(line), _long_variants(line))).otherwise(_long_variants(line))
 
 
-def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratch | None = None, every: bool = False) -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id and the sorted places of the lines that go."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     at = F.struct("doc_id", "place").alias("at")
     keys = F.when(F.length("line") >= min_chars, _half_keys(F.col("line")))
-    table = lines(docs, min_chars, every).select(at, F.xxhash64("line").alias("h"), keys.alias("keys"))
+    table = lines(docs).select(at, F.xxhash64("line").alias("h"), keys.alias("keys"))
     table = scratch.keep(table, "table")
+    # what is aggregated by a key is written before it is joined by it, so that a join can split the rows of a frequent key
     # exact repeats: one row per repeated line hash
-    repeated = table.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").drop("last")
+    repeated = scratch.keep(table.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").drop("last"), "repeated")
     exact = table.select("at", "h").join(repeated, "h").where("at > first").select("at")
     # lines that share a half with another one
     keys = table.select(F.explode("keys").alias("key"), "h")
-    shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
+    shared = scratch.keep(keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key"), "shared")
     near = scratch.keep(keys.join(shared, "key").select("h").distinct(), "near")
     firsts = scratch.keep(table.select("at", "h").join(near, "h").groupBy("h").agg(F.min("at").alias("at")), "firsts")
     where = firsts.select("at.doc_id", "at.place", "h", "at")
@@ -99,13 +129,20 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratc
     return exact.union(edited).select("at.*").groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
-    """The documents without the lines that repeat earlier ones, with n_removed_lines."""
-    places = duplicate_lines(docs, min_chars, every=every).toDF("__lines_of", "__lines")
-    joined = docs.join(places, F.col("doc_id") == F.col("__lines_of"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__lines"), i)), "\n")
-    whole = F.col("__lines").isNull() | F.col("text").isNull()
-    out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(kept)).withColumn("n_removed_lines", F.coalesce(F.size("__lines"), F.lit(0)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.drop("__lines_of", "__lines")
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, counted: str | None = "n_removed_lines") -> DataFrame:
+    """The documents without the lines that repeat earlier ones.  counted: name of a further column with their number, if any; docs must not have it."""
+    if counted in docs.columns:
+        raise ValueError(f"the documents have a column {counted}")
+    places = duplicate_lines(docs.select("doc_id", "text"), min_chars).toDF("of", "gone")
+    rows, column = numbered(docs)
+    text = F.col(column["text"])
+    whole = F.col("gone").isNull() | text.isNull()
+    # the lines are bound once as x; array_except is a hash set
+    kept = F.transform(F.array(F.split(text, "\n")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"))[0]
+    out = {column["text"]: F.when(whole, text).otherwise(kept)}
+    if "n_chars" in column:
+        n = F.col(column["n_chars"])
+        out[column["n_chars"]] = F.when(whole, n).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))
+    joined = rows.join(places, F.col(column["doc_id"]) == F.col("of"), "left")
+    result = joined.select(*[out.get(c, F.col(c)).alias(c) for c in rows.columns], F.coalesce(F.size("gone"), F.lit(0)).alias("n"))
+    return result.toDF(*docs.columns, counted) if counted else result.drop("n").toDF(*docs.columns)

@@ -48,7 +48,7 @@ from . import bytetext as B
 from .bitmaps import bitmap, hit
 from .blobs import by_bucket, groups, pack, unpack
 from .components import components
-from .shared import Scratch, partitions
+from .shared import Scratch, lean, partitions
 
 N, PERCENT = 5, 80
 #: Frequent n-grams that a task reports, and that the global order knows.
@@ -139,6 +139,7 @@ def _take(h: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarra
 def _profile_batches(n: int):
     """doc_id, size, hash and signature of each set; and (without doc_id) n-grams that several sets of the task have, with their number."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.slices(batches, 1):
             signed: list = []
@@ -196,6 +197,7 @@ def _enough(n1: np.ndarray, left1: np.ndarray, n2: np.ndarray, left2: np.ndarray
 def _prefix_batches(n: int, percent: int, per: int, grams: Order):
     """Three kinds of rows: pairs of the task's own sets, members (key, set) of groups, and for each bucket of a fragment the least own set under each n-gram."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.slices(batches, 0):
             h, first, ids = _batch_sets(batch.column(0), n)
@@ -274,12 +276,14 @@ def _fragment(percent: int):
     return run
 
 
+@lean
 def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*unpack(a, "<i8", "<i8"), *unpack(b, "<i8", "<i8"))], ["a", "na", "b", "nb"])
 
 
+@lean
 def _member_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -289,6 +293,7 @@ def _member_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _chosen_batches(table: np.ndarray):
     """Only rows whose doc_id may be in the bitmap."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(hit(table, batch.column(2).to_numpy().view(np.uint64)))).select([0, 1])
@@ -299,6 +304,7 @@ def _chosen_batches(table: np.ndarray):
 def _overlap_batches(n: int, buckets: int, grams: Order):
     """For each fragment of a set, a row for every set it is counted against and, where it leads, one for every share of its members."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sids, leads, shares = (c.to_pylist() for c in batch.columns[1:])
@@ -369,6 +375,7 @@ def _most_frequent(counts: DataFrame, most: int = FREQUENT):
 def _possible_batches(percent: int):
     """Pairs whose signatures do not rule out that they are similar enough, with the most that they can share; the last two columns are the signatures."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, pack_columns
+from .shared import Scratch, lean, pack_columns
 
 CAPACITY, END = 2048, 0
 
@@ -77,6 +77,7 @@ def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
 
 
 def _piece_batches(capacity: int, paths: tuple, keep_ids: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(*paths)
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from . import bytetext as B
 from .labelled import sample
-from .shared import pack_columns
+from .shared import lean, pack_columns
 
 BITS = 18
 SIZE = 1 << BITS
@@ -121,6 +121,7 @@ def fit(docs: DataFrame, ratings: DataFrame, rows: int = 6000, max_words: int =
 
 
 def _grade_batches(model: Ordinal, least: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gaps = np.diff(model.grades)
         k = int(np.searchsorted(model.grades, least)) - 1  # P(grade >= least) = P(grade > k)

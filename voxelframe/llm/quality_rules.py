@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .shared import Scratch, pack_columns
+from .shared import Scratch, lean, pack_columns
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SCHEMA = "doc_id bigint, lang string, source string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
@@ -81,6 +81,7 @@ def block_statistics(b: B.Block) -> tuple[np.ndarray, ...]:
     return np.diff(first), chars, symbols, dup, B.sums(covered, first)
 
 
+@lean
 def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = [block_statistics(b) for b in B.blocks(batch.column(3))]

@@ -111,12 +111,12 @@ c AS (SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT e.b, c.root FROM c
 SELECT c.id AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c.root) AS component_id FROM c LEFT JOIN n ON n.doc_id = c.id GROUP BY c.id
 """
 
-#: Every variant of every distinct line, joined without any filter before it.
-OP9_SQL = """
+#: Every variant of every distinct line that is long enough, joined without any filter before it; exact repeats of every line that is not blank.
+OP9_SQL = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place, unnest(string_split(text, chr(10))) AS line FROM documents),
-o AS (SELECT doc_id, place, line, doc_id * 10000000 + place AS ord FROM l WHERE length(line) >= 24),
+o AS (SELECT doc_id, place, line, doc_id * 10000000 + place AS ord FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 f AS (SELECT line, min(ord) AS ord FROM o GROUP BY line),
-n AS (SELECT line, ord, unnest(range(0, length(line) + 1)) AS i FROM f),
+n AS (SELECT line, ord, unnest(range(0, length(line) + 1)) AS i FROM f WHERE length(line) >= 24),
 v AS (SELECT line, ord, i, hash(CASE WHEN i = 0 THEN line ELSE left(line, (i - 1)::BIGINT) || substr(line, i + 1) END) AS x FROM n),
 e AS (SELECT DISTINCT b.line FROM v a JOIN v b ON a.x = b.x AND a.ord < b.ord AND (a.i = b.i OR a.i = 0 OR b.i = 0)),
 gone AS (SELECT o.doc_id, o.place FROM o JOIN f USING (line) LEFT JOIN e USING (line) WHERE o.ord > f.ord OR e.line IS NOT NULL),

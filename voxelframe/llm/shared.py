@@ -1,21 +1,29 @@
 """Tables written to the folder that driver and executors share.
 
 The folder comes from the session's ``spark.checkpoint.dir``.  Only where that
-is unset (local tests) a temporary folder is made and set.  A written table
+is unset and the master is local (tests) a temporary folder is made and set; on
+a cluster that is an error.  A written table
 cuts lineage and survives the loss of executors.
 """
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="voxelframe-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -44,11 +52,36 @@ def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def lean(run: Callable) -> Callable:
+    """A batch function that hands freed memory back to the system when it ends: workers live on through later stages, and what they hold counts against the executor."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 def pack_columns(df: DataFrame, *needed: str) -> DataFrame:
     """Only the columns an operator reads, so that further columns of any name are out of its way."""
     return df.select(*[f"`{c}`" for c in needed])
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns _0, _1, .. and which of them each column is, so that no name clashes with an operator's own."""
+    names = [f"_{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not among the ids, with all columns; rows with null doc_id stay."""
+    rows, column = numbered(docs)
+    return rows.join(ids.toDF("gone"), F.col(column["doc_id"]) == F.col("gone"), "left_anti").toDF(*docs.columns)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Limit the rows that go to a Python worker at once, where the session has not set its own number: texts are much longer than the rows that Spark's default is made for."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import bytetext as B
 from .bitmaps import bitmap, hit
 from .blobs import by_bucket, groups, pack, unpack
-from .shared import Scratch, partitions
+from .shared import Scratch, lean, partitions
 
 SPAN, K = 13, 8
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -76,6 +76,7 @@ def _of(doc_first: np.ndarray, n: int) -> np.ndarray:
 def _anchor_batches(span: int, buckets: int):
     """(bucket, row, blob): to a bucket the short hashes of anchors and the row and document of each; to a row (bucket from its hash) those known to repeat."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.slices(batches, 2):
             rid, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -166,6 +167,7 @@ def _by_row(*kinds: str):
 def _chosen_batches(table: np.ndarray):
     """Only rows whose rid may be in the bitmap."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(hit(table, batch.column(0).to_numpy().view(np.uint64))))
@@ -176,6 +178,7 @@ def _chosen_batches(table: np.ndarray):
 def _edge_batches(span: int, buckets: int):
     """(bucket, part, blob): repeats found within the task for parts of rows, and edges for buckets."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.slices(batches, 2):
             rid, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -247,6 +250,7 @@ def _repeats(docs: DataFrame, span: int, scratch: Scratch) -> tuple[DataFrame, D
     return rows, repeats
 
 
+@lean
 def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of repeats of each row that follow each other in row and source: place, source document and place, edges."""
     for batch in batches:
@@ -293,6 +297,7 @@ def repeated_paths(docs: DataFrame, span: int = SPAN) -> DataFrame:
 def _finished_batches(table: np.ndarray):
     """Word count and hash of each text; the text itself only where the bitmap says that it may lose words."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             maybe = hit(table, batch.column(0).to_numpy().view(np.uint64))
@@ -306,6 +311,7 @@ def _finished_batches(table: np.ndarray):
     return run
 
 
+@lean
 def _removed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, sha, n_removed = batch.column(2).to_pylist(), batch.column(3).to_pylist(), [0] * batch.num_rows
