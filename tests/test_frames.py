@@ -243,3 +243,83 @@ def test_streams(spark, tmp_path):
         assert got[1, t] == pytest.approx(est)
     events = spark.createDataFrame([("2024-01-01 00:10:00", 1.0), ("2024-01-01 00:50:00", 3.0), ("2024-01-01 01:10:00", 5.0)], "ts string, v double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["mean"] for r in windowed(events, "ts", "v", []).collect()) == [2.0, 5.0]
+
+
+def test_large_slices(spark):
+    """Slices that keep many values, as the values say and not only the shape."""
+    for n in (100, 300):
+        x = rng.normal(size=(2, n, n)).round(3)
+        a = ArrayFrame.from_numpy(spark, x, "tyx")
+        for key, want in (("y=0:80;x=10:90", x[:, :80, 10:90]), ("y=5:N:2;x=1:N:3", x[:, 5::2, 1::3]), ("x=7", x[:, :, 7])):
+            np.testing.assert_allclose(a[key].to_numpy(), want)
+            assert a[key].pixels().count() == want.size
+        np.testing.assert_allclose(a.isel(y=[3, 99, 4, 4], x=slice(None, None, -1)).to_numpy(), x[:, [3, 99, 4, 4], ::-1])
+        np.testing.assert_allclose(a.isel(y=slice(0, 80)).reduce("mean").to_numpy(), x[:, :80].mean())
+        np.testing.assert_allclose(a.remove_edges(3).to_numpy(), x[:, 3:-3, 3:-3])
+    assert a.isel(y=slice(5, 5)).shape == (0, 300)
+
+
+def test_batch_positions(spark):
+    x, a = frame(spark)
+    np.testing.assert_allclose(a.isel(t=-1).to_numpy(), x[-1])
+    np.testing.assert_allclose(a.isel(c=[-1, 0]).to_numpy(), x[:, [-1, 0]])
+    np.testing.assert_allclose(a.isel(c=[0, 2, 2, 1]).to_numpy(), x[:, [0, 2, 2, 1]])
+    np.testing.assert_allclose(a.isel(c=slice(None, None, -1)).to_numpy(), x[:, ::-1])
+    np.testing.assert_allclose(a.isel(t=slice(-1, None)).to_numpy(), x[-1:])
+    for bad in (lambda: a.isel(t=-3), lambda: a.isel(c=[-4]), lambda: a.set_labels(c=["r", "g", "b"]).isel(c=3), lambda: a.isel(t=9, c=9).to_numpy()):
+        with pytest.raises(IndexError):
+            bad()
+
+
+def test_more_arithmetic(spark):
+    x = np.array([[4.0, 0.0, -7.0], [0.0, 2.0, 5.0]])
+    a = ArrayFrame.from_numpy(spark, x, "yx")
+    np.testing.assert_allclose((1 - a).to_numpy(), 1 - x)
+    np.testing.assert_allclose((2 + a * 3).to_numpy(), 2 + x * 3)
+    zero = ArrayFrame.from_numpy(spark, np.array([[0.0, 3.0, 2.0]] * 2), "yx")
+    assert (a // zero).to_numpy().tolist() == [[0, 0, -4], [0, 0, 2]] and (a % zero).to_numpy().tolist() == [[0, 0, 1], [0, 2, 1]]
+    assert (6 / a).to_numpy()[0].tolist() == [1.5, 0, -6 / 7]
+    u = ArrayFrame.from_numpy(spark, np.array([[250, 3]], np.uint8), "yx")
+    assert (u + 10).to_numpy().tolist() == [[4, 13]] and (3 - u).to_numpy().tolist() == [[9, 0]] and (u + 10).dtype == "uint8"
+    assert (u * 1.5).dtype == "float32" and (u + u.as_type("uint16")).dtype == "uint16"
+
+
+def test_stack_is_one_by_one(spark):
+    """No kernel mixes the arrays of a stack, whatever their levels are."""
+    from voxelframe.functions import filters, fourier, objects
+
+    dim, bright = rng.random((24, 24)), 50 + 40 * rng.random((24, 24))
+    both, template = np.stack([dim, bright]), rng.random((3, 3))
+    kernels = [
+        lambda x: filters.template_correlation(x, template), filters.total_variation, filters.rolling_ball, lambda x: filters.enhance_contrast(x), lambda x: objects.threshold(x, "sauvola"),
+        *[lambda x, h=h: objects.threshold(x, h) for h in (*objects.THRESHOLDS, "niblack", "local", "30%")], lambda x: fourier.power(x, norm=True), lambda x: fourier.lowpass(x), lambda x: filters.gaussian(x, 1.0),
+        lambda x: np.array([len(p) for p in objects.peaks(x)]),
+    ]
+    for k in kernels:
+        np.testing.assert_allclose(k(both), np.concatenate([k(both[:1]), k(both[1:])]))
+    a = ArrayFrame.from_numpy(spark, both, "tyx")
+    table = np.linspace(0, 1, 40).reshape(10, 4)
+    for op in (lambda f: f.ncc_filter(template), lambda f: f.as_rgba(table), lambda f: f.rof_filter(), lambda f: f.local_power_spectra(norm=True, y=(0, 4), x=(0, 4))):
+        got = op(a.set_axes("tyx")).to_numpy()
+        for t in (0, 1):
+            np.testing.assert_allclose(got[t], op(ArrayFrame.from_numpy(spark, both[t], "yx")).to_numpy())
+    v = ArrayFrame.from_numpy(spark, np.stack([both, both[::-1]]), "tzyx")
+    psf = np.ones((1, 3, 3))
+    np.testing.assert_allclose(v.pad_defocus(psf, depth=1, width=2).to_numpy()[0], ArrayFrame.from_numpy(spark, both, "zyx").pad_defocus(psf, depth=1, width=2).to_numpy())
+
+
+def test_transforms(spark):
+    x, a = frame(spark, (2, 6, 8), "tyx")
+    y = a.fft(shift=False).to_numpy()
+    np.testing.assert_allclose(y[..., 0] + 1j * y[..., 1], np.fft.fft2(x), atol=1e-9)
+    np.testing.assert_allclose(a.fft().ifft().to_numpy(), x, atol=1e-9)
+    assert a.fft(shape="square").shape == (8, 8, 2) and a.fft().ifft(real=False).shape == (6, 8, 2)
+    z = a.local_dft(y=(0, 12), x=(3, 5), upsample=2).to_numpy()
+    np.testing.assert_allclose((z[..., 0] + 1j * z[..., 1])[:, ::2, 1], np.fft.fft2(x)[:, :, 2], atol=1e-9)
+    np.testing.assert_allclose(a.local_power_spectra(x=(1, 4)).to_numpy(), np.abs(np.fft.fft2(x)[:, :, 1:4]) ** 2, atol=1e-8)
+    with pytest.raises(AxesError):
+        a.ifft()
+    with pytest.raises(AxesError):
+        a.local_dft(q=(0, 1))
+    with pytest.raises(ValueError):
+        a.tile("t", 1, 1)

@@ -9,6 +9,7 @@ anything over batch axes is a relational operation on coordinates.
 from __future__ import annotations
 
 import functools
+import json
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .axes import Axes, AxesError, Slicer, parse, spatial
+from .axes import Axes, AxesError, Axis, Slicer, parse, spatial
 
 DATA = "data"
 _LIMITS = {"uint8": 255, "uint16": 65535, "uint32": 2**32 - 1}
@@ -81,6 +82,8 @@ class ArrayFrame:
     def to_numpy(self) -> np.ndarray:
         """All values on the driver, in the order of the axes; for small arrays."""
         rows = self.df.collect()
+        if not rows and not self.batch.names:
+            raise IndexError("the frame has no array; an index is outside of its axis")
         size = [max((r[b] for r in rows), default=-1) + 1 for b in self.batch.names]
         out = np.zeros((*size, *self.shape), bool if self.dtype == "bool" else float)
         for r in rows:
@@ -103,10 +106,12 @@ class ArrayFrame:
         index = F.lit(0)
         for a, n in zip(space.names, shape):
             index = index * n + F.col(a)
-        pairs = F.map_from_entries(F.collect_list(F.struct(index.cast("int"), F.col(value).cast("double"))))
-        rows = df.groupBy(*batch.names).agg(pairs.alias("_m"))
+        pixel = F.struct(index.cast("int").alias("i"), F.col(value).cast("double").alias("v"))
+        rows = df.groupBy(*batch.names).agg(F.collect_list(pixel).alias("_p"))
         size = math.prod(shape)
-        data = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(float(fill))))
+        gaps = F.array_except(F.sequence(F.lit(0), F.lit(size - 1)), F.transform("_p", lambda x: x["i"]))
+        whole = F.concat("_p", F.transform(gaps, lambda i: F.struct(i.alias("i"), F.lit(float(fill)).alias("v"))))
+        data = F.transform(F.sort_array(F.when(F.size("_p") == size, F.col("_p")).otherwise(whole)), lambda x: x["v"])
         return cls(rows.select(*batch.names, data.alias(DATA)), batch, space, shape, dtype)
 
     # kernels -----------------------------------------------------------------
@@ -181,26 +186,54 @@ class ArrayFrame:
         df = self._joined(other)
         return self._with(df.select(*self.batch.names, F.zip_with(DATA, "_other", lambda a, b: f(a, b).cast("double")).alias(DATA)), dtype=dtype)
 
+    def _arithmetic(self, other, f: Callable[[Column, Column], Column]) -> ArrayFrame:
+        """Unsigned values with whole numbers or their own type wrap around; with a wider unsigned type they take it, with others they become floats."""
+        kind = self.dtype
+        if kind in _LIMITS:
+            its = other.dtype if isinstance(other, ArrayFrame) else kind if isinstance(other, (bool, int, np.integer)) else "float32"
+            kind = max(kind, its, key=_LIMITS.get) if its in _LIMITS else kind if its == "bool" else "float32"
+        if kind not in _LIMITS:
+            return self._binary(other, f, kind)
+        return self._binary(other, lambda a, b: F.pmod(f(a.cast("double"), b.cast("double")), F.lit(_LIMITS[kind] + 1.0)), kind)
+
     def __add__(self, other):
-        return self._binary(other, lambda a, b: a + b)
+        return self._arithmetic(other, lambda a, b: a + b)
 
     def __sub__(self, other):
-        return self._binary(other, lambda a, b: a - b)
+        return self._arithmetic(other, lambda a, b: a - b)
 
     def __mul__(self, other):
-        return self._binary(other, lambda a, b: a * b)
+        return self._arithmetic(other, lambda a, b: a * b)
 
-    def __truediv__(self, other):
-        """Zero where an array divides by zero."""
+    def __radd__(self, other):
+        return self._arithmetic(other, lambda a, b: b + a)
+
+    def __rsub__(self, other):
+        return self._arithmetic(other, lambda a, b: b - a)
+
+    def __rmul__(self, other):
+        return self._arithmetic(other, lambda a, b: b * a)
+
+    @staticmethod
+    def _divisor(other) -> None:
         if not isinstance(other, ArrayFrame) and other == 0:
             raise ZeroDivisionError("division of an array by zero")
+
+    def __truediv__(self, other):
+        """Zero where an array divides by zero, as for // and %."""
+        self._divisor(other)
         return self._binary(other, lambda a, b: F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0)), "float32")
 
+    def __rtruediv__(self, other):
+        return self._binary(other, lambda a, b: F.coalesce(b / F.nullif(a.cast("double"), F.lit(0.0)), F.lit(0.0)), "float32")
+
     def __floordiv__(self, other):
-        return self._binary(other, lambda a, b: F.floor(a / b))
+        self._divisor(other)
+        return self._binary(other, lambda a, b: F.coalesce(F.floor(a / F.nullif(b.cast("double"), F.lit(0.0))), F.lit(0)))
 
     def __mod__(self, other):
-        return self._binary(other, lambda a, b: a - F.floor(a / b) * b)
+        self._divisor(other)
+        return self._binary(other, lambda a, b: F.coalesce(a - F.floor(a / F.nullif(b.cast("double"), F.lit(0.0))) * b, F.lit(0.0)))
 
     def __pow__(self, power):
         return self._binary(power, lambda a, b: F.pow(a, b))
@@ -272,6 +305,23 @@ class ArrayFrame:
             out |= {b: int(row[b] if row[b] is not None else -1) + 1 for b in need}
         return {**{b: 0 for b in self.batch.names}, **out}
 
+    def _size(self, axis: Axis) -> int:
+        """Of a batch axis: its labels', or counted."""
+        if axis.labels:
+            return len(axis.labels)
+        last = self.df.agg(F.max(axis.name)).first()[0]
+        return 0 if last is None else int(last) + 1
+
+    def _position(self, axis: Axis, k) -> int:
+        """A place on a batch axis, from its end if negative; outside of a known size is an error (without labels and not negative, nothing is counted)."""
+        k = int(k)
+        if k >= 0 and not axis.labels:
+            return k
+        n = self._size(axis)
+        if not -n <= k < n:
+            raise IndexError(f"index {k} is outside of axis {axis.name} with size {n}")
+        return k % n
+
     def isel(self, **keys) -> ArrayFrame:
         df, batch, space = self.df, [], []
         for axis in self.batch:
@@ -280,16 +330,14 @@ class ArrayFrame:
             if isinstance(k, slice):
                 start, step = k.start or 0, k.step or 1
                 if start < 0 or (k.stop or 0) < 0 or step < 0:
-                    n = self.sizes()[axis.name]
-                    at = list(range(n))[k]
-                    df = _rebased(df, axis.name, at)
+                    df = _rebased(df, axis.name, range(self._size(axis))[k])
                 elif k != slice(None):
                     df = df.where((c >= start) & ((c - start) % step == 0) & (F.lit(True) if k.stop is None else c < k.stop))
                     df = df.withColumn(axis.name, F.expr(f"cast(({axis.name} - {start}) div {step} as int)"))
             elif isinstance(k, (list, tuple, range)):
-                df = _rebased(df, axis.name, list(k))
+                df = _rebased(df, axis.name, [self._position(axis, i) for i in k])
             else:
-                df = df.where(c == int(k)).drop(axis.name)
+                df = df.where(c == self._position(axis, k)).drop(axis.name)
             if (a := axis.sliced(k)) is not None:
                 batch.append(a)
         index, shape = [], []
@@ -303,9 +351,8 @@ class ArrayFrame:
                 shape.append(len(index[-1]))
         if keys:
             raise AxesError(f"axes {', '.join(keys)} are not among {self.axes}")
-        flat = np.arange(math.prod(self.shape)).reshape(self.shape)[np.ix_(*index)].ravel().tolist() if self.shape else [0]
-        if flat != list(range(math.prod(self.shape))):
-            df = df.withColumn(DATA, F.transform(F.array(*[F.lit(i) for i in flat]), lambda i: F.col(DATA)[i]) if len(flat) <= 4096 else F.col(DATA))
+        if any(i != list(range(n)) for i, n in zip(index, self.shape)):
+            df = df.withColumn(DATA, _picked(self.shape, index))
         return ArrayFrame(df, Axes(tuple(batch)), Axes(tuple(space)), shape, self.dtype, self.name)
 
     def sel(self, **labels) -> ArrayFrame:
@@ -383,12 +430,55 @@ def _arrow(schema: T.StructType):
     return list(to_arrow_schema(schema))
 
 
-def _rebased(df: DataFrame, name: str, at: list[int]) -> DataFrame:
+def _table(values: Sequence[int]) -> Column:
+    """An array as one literal, however long."""
+    return F.from_json(F.lit(json.dumps([int(v) for v in values])), "array<int>")
+
+
+def _lookup(values: Sequence[int]) -> Callable[[Column], Column]:
+    """From a place to its value: a formula where the values are evenly spaced."""
+    steps = set(np.diff(values).tolist())
+    if len(steps) <= 1:
+        step = steps.pop() if steps else 0
+        return lambda k: k * step + int(values[0])
+    return lambda k: F.get(_table(values), k)
+
+
+def _picked(shape: Sequence[int], index: Sequence[Sequence[int]]) -> Column:
+    """The data at some places of each spatial axis: runs along the last axis, put together."""
+    if not all(len(i) for i in index):
+        return F.array().cast("array<double>")
+    *outer, last = index
+    count, stride = math.prod(map(len, outer)), math.prod(shape)
+    div = lambda a, b: F.call_function("div", a, F.lit(int(b))).cast("int")
+
+    def start(r: Column) -> Column:
+        at, below, size = F.lit(0), count, stride
+        for n, i in zip(shape, outer):
+            below, size = below // len(i), size // n
+            at = at + _lookup(i)(div(r, below) % len(i)) * size
+        return at
+
+    def run(r: Column) -> Column:
+        if len(last) == 1 or set(np.diff(last)) == {1}:
+            return F.slice(DATA, start(r) + int(last[0]) + 1, len(last))
+        return F.transform(F.array(start(r)), lambda s: F.transform(F.sequence(F.lit(0), F.lit(len(last) - 1)), lambda j: F.get(DATA, s + _lookup(last)(j))))[0]
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), run))
+
+
+def _rebased(df: DataFrame, name: str, at: Sequence[int]) -> DataFrame:
     """Rows at the given positions, which become 0, 1, ...; a position may occur twice."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("old"), F.lit(j).alias("new")) for j, i in enumerate(at)])) if at else None
-    if pairs is None:
+    at = list(at)
+    if not at:
         return df.limit(0)
-    return df.where(F.col(name).isin(at)).withColumn("_p", pairs).where(F.col("_p.old") == F.col(name)).withColumn(name, F.col("_p.new")).drop("_p")
+    c, steps = F.col(name), set(np.diff(at).tolist())
+    if len(steps) == 1 and 0 not in steps:  # evenly spaced: a formula
+        step = steps.pop()
+        near = (c >= min(at)) & (c <= max(at)) & ((c - at[0]) % step == 0)
+        return df.where(near).withColumn(name, F.call_function("div", c - at[0], F.lit(step)).cast("int"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(len(at) - 1)), lambda j: F.get(_table(at), j) == c)
+    return df.where(F.array_contains(_table(at), c.cast("int"))).withColumn(name, F.explode(places))
 
 
 _NUMPY: dict[str, Callable] = {"mean": np.mean, "sum": np.sum, "min": np.min, "max": np.max, "std": np.std, "var": np.var, "median": np.median, "any": np.any, "all": np.all, "ptp": np.ptp, "prod": np.prod, "count": np.count_nonzero}

@@ -32,7 +32,7 @@ def power(x, shift=True, norm=False, zero=False):
     y = np.abs(fft(x, shift)) ** 2
     if zero:
         y[(slice(None), *(n // 2 if shift else 0 for n in x.shape[1:]))] = 0
-    return y / y.max() if norm else y
+    return y / y.max(_axes(y), keepdims=True) if norm else y
 
 
 def local_dft(x, ranges: Sequence[tuple[int, int]], upsample: int = 1):

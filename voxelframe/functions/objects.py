@@ -379,7 +379,8 @@ def threshold(x: np.ndarray, how: float | str = "otsu", **options) -> np.ndarray
         if how == "niblack":
             return x >= m - k * s
         if how == "sauvola":
-            r = options.get("r", (x.max() - x.min()) / 2 or 1.0)
+            half = np.ptp(x, tuple(range(1, x.ndim)), keepdims=True) / 2
+            r = options.get("r", np.where(half > 0, half, 1.0))
             return x >= m * (1 + k * (s / r - 1))
         return x >= m - options.get("offset", 0)
     t = np.array([THRESHOLDS[how](a) for a in x])
@@ -392,7 +393,7 @@ def threshold(x: np.ndarray, how: float | str = "otsu", **options) -> np.ndarray
 def peaks(x: np.ndarray, distance: float = 1.0, level: float | None = None, most: int | None = None, border: bool = True, labels: np.ndarray | None = None, most_per_label: int | None = None) -> list[np.ndarray]:
     """Coordinates of local maxima of each array, brightest first; equal neighbours are thinned in that order."""
     f = ball(distance, x.ndim - 1)
-    top = (x == maximum(x, f, "nearest")) & (x > (x.min() if level is None else level))
+    top = (x == maximum(x, f, "nearest")) & (x > (x.min(tuple(range(1, x.ndim)), keepdims=True) if level is None else level))
     if labels is not None:
         top &= labels > 0
     if border:

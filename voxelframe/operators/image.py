@@ -120,6 +120,57 @@ for _name, _kernel, _doc, _dtype in (
     _simple(_name, _kernel, _doc, _dtype)
 
 
+def _paired(y: np.ndarray) -> np.ndarray:
+    return np.stack([y.real, y.imag], -1)
+
+
+@method
+def fft(self: ArrayFrame, *, shape=None, shift: bool = True) -> ArrayFrame:
+    """The transform over the spatial axes, with real and imaginary parts on a new last axis k.  shape: sizes to pad or crop to, or 'square'."""
+    size = fourier.fft(np.zeros((1, *self.shape)), shift, shape).shape[1:]
+    return self.map(lambda x: _paired(fourier.fft(x, shift, shape)), "float64", [*self.space, "k"], (*size, 2))
+
+
+@method
+def ifft(self: ArrayFrame, *, shift: bool = True, real: bool = True) -> ArrayFrame:
+    """Back from a transform with parts on the last axis k; with real only the real part stays."""
+    if self.space.names[-1:] != ["k"] or self.shape[-1] != 2:
+        raise AxesError("a transform has its real and imaginary parts on a last axis k")
+
+    def run(x):
+        y = fourier.ifft(x[..., 0] + 1j * x[..., 1], shift, real)
+        return y if real else _paired(y)
+
+    space, size = (self.space.items[:-1], self.shape[:-1]) if real else (self.space, self.shape)
+    return self.map(run, "float64", space, size)
+
+
+def _window(self: ArrayFrame, upsample: int, ranges: dict) -> list[tuple[int, int]]:
+    """The (start, stop) of frequencies k / upsample on each axis; the whole axis by default."""
+    if unknown := set(ranges) - set(self.space.names):
+        raise AxesError(f"axes {', '.join(sorted(unknown))} are not among {self.space}")
+    return [tuple(ranges.get(a, (0, n * upsample))) for a, n in zip(self.space.names, self.shape)]
+
+
+@method
+def local_dft(self: ArrayFrame, *, upsample: int = 1, **ranges) -> ArrayFrame:
+    """The transform at frequencies k / upsample for k in each axis' range (start, stop), with parts on a new last axis k."""
+    at = _window(self, upsample, ranges)
+    return self.map(lambda x: _paired(fourier.local_dft(x, at, upsample)), "float64", [*self.space, "k"], (*[b - a for a, b in at], 2))
+
+
+@method
+def local_power_spectra(self: ArrayFrame, *, upsample: int = 1, norm: bool = False, **ranges) -> ArrayFrame:
+    """Power at such frequencies; with norm the greatest of each array is 1."""
+    at = _window(self, upsample, ranges)
+
+    def run(x):
+        y = np.abs(fourier.local_dft(x, at, upsample)) ** 2
+        return y / y.max(tuple(range(1, y.ndim)), keepdims=True) if norm else y
+
+    return self.map(run, "float64", shape=[b - a for a, b in at])
+
+
 @method
 def gaussian_filter(self: ArrayFrame, sigma=1.0, *, fourier_space: bool = False, dims=None) -> ArrayFrame:
     return over(self, lambda x: fourier.gaussian(x, sigma) if fourier_space else filters.gaussian(x, sigma), dims)
@@ -299,8 +350,8 @@ def pad(self: ArrayFrame, width, mode: str = "constant", *, dims=None, **options
 def pad_defocus(self: ArrayFrame, kernel: np.ndarray, *, depth: int = 3, width: int = 6, background: float | None = None) -> ArrayFrame:
     """Borders in z, y and x filled with the image blurred by a point spread function."""
     def run(x):
-        bg = np.percentile(x, 0) if background is None else background
-        y = np.pad(x, [(0, 0), (depth, depth), (width, width), (width, width)], constant_values=bg)
+        bg = x.min((1, 2, 3), keepdims=True) if background is None else background
+        y = np.pad(x - bg, [(0, 0), (depth, depth), (width, width), (width, width)]) + bg
         blur = filters.convolve(np.pad(x, [(0, 0), (depth, depth), (width, width), (width, width)], "edge"), kernel / kernel.sum(), "nearest")
         inner = (slice(None), slice(depth, -depth or None), slice(width, -width or None), slice(width, -width or None))
         out = blur
@@ -485,8 +536,9 @@ def as_rgba(self: ArrayFrame, table: np.ndarray, limits: tuple[float, float] | N
     table = np.asarray(table, float)
 
     def run(x):
-        lo, hi = limits or (x.min(), x.max())
-        i = np.clip((x - lo) / ((hi - lo) or 1) * len(table), 0, len(table) - 1).astype(int)
+        over = tuple(range(1, x.ndim))
+        lo, hi = limits or (x.min(over, keepdims=True), x.max(over, keepdims=True))
+        i = np.clip((x - lo) / np.where(hi > lo, hi - lo, 1) * len(table), 0, len(table) - 1).astype(int)
         return table[i]
 
     return self.map(run, "float32", [*self.space, "c"], (*self.shape, 4))
@@ -564,10 +616,12 @@ def along(self: ArrayFrame, axis: str, how: str) -> DataFrame:
 
 @method
 def tile(self: ArrayFrame, axis: str, rows: int, columns: int) -> DataFrame:
-    """The arrays along a batch axis as a mosaic, as pixels."""
+    """The arrays along a batch axis as a mosaic, as pixels; the axis must fit the grid."""
     h, w = self.shape
-    k = F.col(axis)
-    px = self.pixels().where(k < rows * columns)
+    k, n = F.col(axis), self._size(self.batch[axis])
+    if n > rows * columns:
+        raise ValueError(f"{n} arrays do not fit a grid of {rows} x {columns}")
+    px = self.pixels()
     px = px.withColumns({"y": F.col("y") + F.expr(f"{axis} div {columns}") * h, "x": F.col("x") + (k % columns) * w})
     return px.select(*[b for b in self.batch.names if b != axis], F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "value")
 

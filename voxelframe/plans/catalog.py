@@ -116,6 +116,28 @@ add("histogram", lambda a: a.hist(-400, 400, 16), sql.query("SELECT least(floor(
 add("unique_values", lambda a: a.pixels().groupBy("value").agg(F.count("*").alias("n")), sql.query("SELECT v AS value, count(*) AS n FROM px GROUP BY v"))
 add("project_cube", lambda a: a.pixels().cube("y", "x").agg(F.sum("value").alias("value")), sql.query("SELECT y, x, sum(v) AS value FROM px GROUP BY CUBE (y, x)"))
 
+# large arrays -----------------------------------------------------------------------
+
+SHEET = "sheet AS (SELECT vec_id // 128 AS p, (vec_id % 128)::INT AS y, (i - 1)::INT AS x, round(embedding[i]::DOUBLE * 1000) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))"
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> ArrayFrame:
+    """128 embeddings under each other as one array of 128 by 64; what the last one lacks is 0."""
+    px = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.expr("vec_id div 128").alias("p"), F.expr("cast(vec_id % 128 as int)").alias("y"), F.posexplode("embedding").alias("x", "e"))
+    return ArrayFrame.from_pixels(px.withColumn("value", F.round(F.col("e").cast("double") * 1000)), "p", "yx", (128, 64), dtype="float64")
+
+
+def _sheet(expression: str, where: str, y: str = "y", x: str = "x") -> str:
+    whole = "whole AS (SELECT p, y::INT AS y, x::INT AS x, coalesce(v, 0) AS v FROM (SELECT DISTINCT p FROM sheet) CROSS JOIN (SELECT unnest(range(128)) AS y) CROSS JOIN (SELECT unnest(range(64)) AS x) LEFT JOIN sheet USING (p, y, x))"
+    return f"WITH {SHEET}, {whole} SELECT p, ({y})::INT AS y, ({x})::INT AS x, round({expression}, 6) + 0.0 AS value FROM whole WHERE {where}"
+
+
+add_table("sheet_slice", lambda s, d: sheets(s, d)["y=10:120;x=3:60"], _sheet("v", "y BETWEEN 10 AND 119 AND x BETWEEN 3 AND 59", "y - 10", "x - 3"))
+add_table("sheet_slice_steps", lambda s, d: sheets(s, d).isel(y=slice(None, None, -1), x=list(range(0, 40)) + [63, 41]), _sheet("v", "x < 40 OR x IN (41, 63)", "127 - y", "CASE x WHEN 63 THEN 40 WHEN 41 THEN 41 ELSE x END"))
+add_table("sheet_crop_center", lambda s, d: sheets(s, d).crop_center(0.9), _sheet("v", "y BETWEEN 7 AND 120 AND x BETWEEN 4 AND 59", "y - 7", "x - 4"))
+add_table("sheet_remove_edges", lambda s, d: sheets(s, d).remove_edges(2), _sheet("v", "y BETWEEN 2 AND 125 AND x BETWEEN 2 AND 61", "y - 2", "x - 2"))
+add_table("sheet_mean_of_slice", lambda s, d: sheets(s, d)["y=0:100;x=1:60"].reduce("mean", "yx"), _sheet("v", "y < 100 AND x BETWEEN 1 AND 59").replace("SELECT p, (y)::INT AS y, (x)::INT AS x, round(v, 6) + 0.0 AS value", "SELECT p, round(avg(v), 6) + 0.0 AS value") + " GROUP BY p")
+
 # along axes -----------------------------------------------------------------------
 
 add("diff_axis", lambda a: a.along("x", "diff"), sql.query("SELECT p, y, (x - 1)::INT AS x, value FROM (SELECT p, y, x, v - lag(v) OVER (PARTITION BY p, y ORDER BY x) AS value FROM px) WHERE value IS NOT NULL"))
@@ -125,9 +147,9 @@ add("sort_axis", lambda a: a.map(lambda x: np.sort(x, 2)), sql.query("SELECT p,
 add("roll_axis", lambda a: a.map(lambda x: np.roll(x, 3, 2)), sql.query("SELECT p, y, ((x + 3) % 8)::INT AS x, v AS value FROM px"))
 add("flip_axis", lambda a: a.map(lambda x: x[:, ::-1]), sql.query("SELECT p, (7 - y)::INT AS y, x, v AS value FROM px"))
 add("rotate_90", lambda a: a.map(lambda x: np.rot90(x, 1, (1, 2))), sql.query("SELECT p, (7 - x)::INT AS y, y::INT AS x, v AS value FROM px"))
-add("tile_mosaic", lambda a: a.tile("p", 2, 3), sql.query("SELECT (y + p // 3 * 8)::INT AS y, (x + p % 3 * 8)::INT AS x, v AS value FROM px WHERE p < 6"))
+add("tile_mosaic", lambda a: ArrayFrame(a.df.select(F.expr("p div 6").alias("m"), F.expr("p % 6").alias("p"), "data"), "mp", "yx", (8, 8), a.dtype).tile("p", 2, 3), sql.query("SELECT (p // 6)::BIGINT AS m, (y + p % 6 // 3 * 8)::INT AS y, (x + p % 3 * 8)::INT AS x, v AS value FROM px"))
 add("stack_frames", lambda a: stack([a, a * 2], "c"), sql.query("SELECT p, c::INT AS c, y, x, v * (c + 1) AS value FROM px CROSS JOIN (SELECT unnest([0, 1]) AS c)"))
-add("concatenate_frames", lambda a: concatenate([a.isel(p=slice(0, 10)), a.isel(p=slice(20, 25))], "p"), sql.query("SELECT (CASE WHEN p < 10 THEN p ELSE p - 10 END)::INT AS p, y, x, v AS value FROM px WHERE p < 10 OR (p >= 20 AND p < 25)"))
+add("concatenate_frames", lambda a: concatenate([a, a * 2], "p"), sql.query("SELECT (p + c * (SELECT max(p) + 1 FROM px))::BIGINT AS p, y, x, v * (c + 1) AS value FROM px CROSS JOIN (SELECT unnest([0, 1]) AS c)"))
 add("pad_constant", lambda a: a.pad(1, "constant", constant_values=-1), sql.query("SELECT p, (g.y + 1)::INT AS y, (g.x + 1)::INT AS x, coalesce(v, -1) AS value FROM (SELECT DISTINCT p FROM px) CROSS JOIN g LEFT JOIN px USING (p, y, x)", "g AS (SELECT y, x FROM (SELECT unnest(range(-1, 9)) AS y) CROSS JOIN (SELECT unnest(range(-1, 9)) AS x))"))
 add("pad_symmetric", lambda a: a.pad(2, "symmetric"), sql.query(f"SELECT p, (g.y + 2)::INT AS y, (g.x + 2)::INT AS x, v AS value FROM g JOIN px ON px.y = {sql.fold('g.y', 'reflect')} AND px.x = {sql.fold('g.x', 'reflect')}", "g AS (SELECT y, x FROM (SELECT unnest(range(-2, 10)) AS y) CROSS JOIN (SELECT unnest(range(-2, 10)) AS x))"))
 
@@ -180,6 +202,7 @@ add("tophat", lambda a: a.tophat(1), sql.query("SELECT p, y, x, px.v - r.v AS va
 add("enhance_contrast", lambda a: a.enhance_contrast(1), sql.query("SELECT p, y, x, CASE WHEN d.v - px.v <= px.v - e.v THEN d.v ELSE e.v END AS value FROM px JOIN e USING (p, y, x) JOIN d USING (p, y, x)", *_TWO))
 add("entropy_filter", lambda a: (a // 100 + 10).entropy_filter(1), sql.query("SELECT p, y, x, round(-sum(n / 5.0 * log2(n / 5.0)), 6) + 0.0 AS value FROM (SELECT c.p, c.y, c.x, s.v, count(*) AS n FROM q c CROSS JOIN o JOIN q s ON s.p = c.p AND s.y = " + sql.fold("c.y + o.dy", "reflect") + " AND s.x = " + sql.fold("c.x + o.dx", "reflect") + " GROUP BY c.p, c.y, c.x, s.v) GROUP BY p, y, x", "q AS (SELECT p, y, x, floor(v / 100) + 10 AS v FROM px)", sql.offsets(_N1)))
 _T = np.array([[0.0, 1, 0], [1, 4, 1], [0, 1, 2]])
+add("ncc_filter_default", lambda a: a.ncc_filter(_T), sql.query("SELECT p, y, x, CASE WHEN z > 1.1920929e-07 THEN round(st / sqrt(z), 6) + 0.0 ELSE 1.0 END AS value FROM (SELECT p, y, x, v.a AS st, (v.c - v.b * v.b / 9) * " + repr(float(np.square(_T - _T.mean()).sum())) + " AS z FROM r)", "m AS (SELECT p, y, x, v - avg(v) OVER (PARTITION BY p) AS v FROM px)", sql.offsets([(i - 1, j - 1, float(_T[i, j] - _T.mean())) for i in range(3) for j in range(3)]), sql.gather("m", "r", "o", "{'a': sum(s.v * o.w), 'b': sum(s.v), 'c': sum(s.v * s.v)}", "constant")))
 add("ncc_filter", lambda a: a.ncc_filter(_T, "reflect"), sql.query("SELECT p, y, x, CASE WHEN z > 1.1920929e-07 THEN round(st / sqrt(z), 6) + 0.0 ELSE 1.0 END AS value FROM (SELECT p, y, x, v.a AS st, (v.c - v.b * v.b / 9) * " + repr(float(np.square(_T - _T.mean()).sum())) + " AS z FROM r)", sql.offsets([(i - 1, j - 1, float(_T[i, j] - _T.mean())) for i in range(3) for j in range(3)]), sql.gather("px", "r", "o", "{'a': sum(s.v * o.w), 'b': sum(s.v), 'c': sum(s.v * s.v)}")))
 add("focus_map", lambda a: a.focus_map(), sql.query("SELECT p, round(var_pop(v), 6) + 0.0 AS focus FROM r GROUP BY p", sql.offsets(sql.weights([[0, -1, 0], [-1, 4, -1], [0, -1, 0]])), sql.gather("px", "r", "o", "sum(s.v * o.w)")))
 add("rolling_ball", lambda a: a.rolling_ball(2, ""), sql.query("SELECT p, y, x, round(px.v - r.v, 6) + 0.0 AS value FROM px JOIN r USING (p, y, x)", sql.offsets([(dy, dx, 2 - math.sqrt(4 - dy * dy - dx * dx)) for dy, dx, _ in _N2]), sql.gather("px", "r", "o", "min(s.v + o.w)", "constant", 1e18)))
@@ -247,6 +270,10 @@ add("rotate_cubic", lambda a: a.rotate(30), None)
 
 _DFT = "f AS (SELECT p, k, l, sum(v * cos(2 * pi() * (k * y + l * x) / 8)) AS re, -sum(v * sin(2 * pi() * (k * y + l * x) / 8)) AS im FROM px CROSS JOIN (SELECT unnest(range(0, 8)) AS k) CROSS JOIN (SELECT unnest(range(0, 8)) AS l) GROUP BY p, k, l)"
 add("power_spectrum", lambda a: a.power_spectra(shift=False).each(lambda v: F.round(v, 2)), sql.query("SELECT p, k::INT AS y, l::INT AS x, round(re * re + im * im, 2) + 0.0 AS value FROM f", _DFT))
+add("fft_parts", lambda a: a.fft(shift=False).each(lambda v: F.round(v, 3)), sql.query("SELECT p, k::INT AS y, l::INT AS x, c::INT AS k, round(CASE WHEN c = 0 THEN re ELSE im END, 3) + 0.0 AS value FROM f CROSS JOIN (SELECT unnest([0, 1]) AS c)", _DFT))
+add("ifft_round_trip", lambda a: a.fft().ifft().each(lambda v: F.round(v, 3)), sql.each("v"))
+add("local_power_spectrum", lambda a: a.local_power_spectra(y=(0, 3), x=(2, 6)).each(lambda v: F.round(v, 2)), sql.query("SELECT p, k::INT AS y, (l - 2)::INT AS x, round(re * re + im * im, 2) + 0.0 AS value FROM f WHERE k < 3 AND l BETWEEN 2 AND 5", _DFT))
+add("local_dft_parts", lambda a: a.local_dft(y=(1, 4), x=(0, 2)).each(lambda v: F.round(v, 3)), sql.query("SELECT p, (k - 1)::INT AS y, l::INT AS x, c::INT AS k, round(CASE WHEN c = 0 THEN re ELSE im END, 3) + 0.0 AS value FROM f CROSS JOIN (SELECT unnest([0, 1]) AS c) WHERE k BETWEEN 1 AND 3 AND l < 2", _DFT))
 add("lowpass_filter", lambda a: a.lowpass_filter(0.2).each(lambda v: F.round(v, 4)), sql.query(
     "SELECT px.p, px.y, px.x, round(sum(w * (re * cos(2 * pi() * (k * px.y + l * px.x) / 8) - im * sin(2 * pi() * (k * px.y + l * px.x) / 8))) / 64, 4) + 0.0 AS value FROM px JOIN g ON g.p = px.p GROUP BY px.p, px.y, px.x",
     _DFT, "g AS (SELECT *, 1 / (1 + (((CASE WHEN k < 4 THEN k ELSE k - 8 END) / 8.0 / 0.2) ** 2 + ((CASE WHEN l < 4 THEN l ELSE l - 8 END) / 8.0 / 0.2) ** 2) ** 2) AS w FROM f)"))
