@@ -649,3 +649,37 @@ def test_quality_rules_small_groups(spark):
     assert {i for i, r in got.items() if not r["kept"]} == junk
     few = quality_rules.quality_rules(spark.createDataFrame(rows[:4], SCHEMA)).collect()
     assert [r["kept"] and r["distance2"] is not None for r in few] == [True] * 4
+
+
+def test_least_determinant(spark):
+    """Small groups against the determinants of all subsets of h rows."""
+    import itertools
+
+    rng = np.random.default_rng(43)
+    features = {"a": ("word_chars / 1e3", 0.01), "b": ("n_symbols / 1e3", 0.01)}
+    rows, points = [], {}
+    for g in ("u", "v", "w"):
+        x = rng.normal(0, 1, (12, 2)) * [1, 0.2]
+        x[rng.permutation(12)[:3]] += 6 if g == "u" else -4
+        x = np.round(x + 20, 3)
+        points[g] = x
+        rows += [(len(rows) + i, g, None, 100, int(round(a * 1e3)), int(round(b * 1e3)), 0, 0) for i, (a, b) in enumerate(x)]
+    stats = spark.createDataFrame(rows, quality_rules._SCHEMA).repartition(3)
+    got = quality_rules.robust_outliers(stats, h=0.75, starts=6, min_group=5, features=features).collect()
+    for g, x in points.items():
+        det = lambda at: np.linalg.slogdet(np.cov(x[list(at)].T, bias=True) + 0.01**2 * np.eye(2))[1]
+        least = min(det(at) for at in itertools.combinations(range(12), 9))
+        mine = {r["doc_id"]: r for r in got if r["g"] == f'{{"lang":"{g}"}}'}
+        assert len(mine) == 12 and next(iter(mine.values()))["logdet"] == pytest.approx(least, abs=0.05)
+        far = sorted(mine, key=lambda i: -mine[i]["d2"])[:3]
+        best = min(itertools.combinations(range(12), 9), key=det)
+        assert {i - min(mine) for i in far} == set(range(12)) - set(best)
+
+
+def test_quality_rules_odd_rows(spark):
+    """Columns with clashing names, repeated rows, null ids."""
+    text = " ".join(f"word{i} and" for i in range(60))
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "")], "doc_id bigint, text string")
+    df = df.select("doc_id", F.lit("en").alias("lang"), F.lit("a").alias("source"), "text", F.lit(1).alias("g"), F.lit(2).alias("use"), F.lit(3).alias("length"), F.lit(4).alias("n_words"))
+    got = sorted((r["doc_id"] or 0, r["base_failed"], r["kept"]) for r in quality_rules.quality_rules(df).collect())
+    assert got == [(0, False, True), (1, False, True), (1, False, True), (2, True, False)]

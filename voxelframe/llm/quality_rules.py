@@ -6,10 +6,12 @@ characters, repeated lines and words in repeated 3-word windows.
 covariance determinant estimate of transformed statistics and gives each row's
 squared Mahalanobis distance from it.
 
-The estimate starts from medians and median deviations and takes
-concentration steps: keep the share ``h`` of a group with the least distances,
-take mean and covariance of those, repeat.  Quantiles come from counts of
-binned values and moments from sums per bin, so a group of any size is
+Each group has several starts: medians with median deviations, and moments of
+small random subsets.  A concentration step keeps the share ``h`` of a group with the least distances
+and takes mean and covariance of those.  After two steps the start with the
+least determinant goes on, until the determinant no longer falls.  Quantiles come from counts of
+binned values and moments from sums per bin (the bin in which the share ends
+counts in part, so that the share is exact), so a group of any size is
 aggregated in parts before the shuffle and no task holds more than a group's bins.  A floor on
 the variances keeps statistics that are constant in a group from having
 infinite weight.
@@ -114,10 +116,14 @@ def _weighted_median(x: np.ndarray, n: np.ndarray) -> float:
     return float(x[order][np.searchsorted(upto, upto[-1] / 2)])
 
 
-_FIT = "g string, mean array<double>, inverse array<double>, scale double"
+_FIT = "g string, s int, mean array<double>, inverse array<double>, logdet double, scale double"
 
 
-def _start(p: int, floors: np.ndarray):
+def _fit_row(pdf: pd.DataFrame, mean: np.ndarray, cov: np.ndarray, scale: float) -> pd.DataFrame:
+    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "s": [pdf["s"].iloc[0] if "s" in pdf else 0], "mean": [mean], "inverse": [np.linalg.inv(cov).ravel()], "logdet": [float(np.linalg.slogdet(cov)[1])], "scale": [scale]})
+
+
+def _medians(p: int, floors: np.ndarray):
     """For one group's counted bins of each statistic: medians and median deviations, as a first estimate."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -126,27 +132,26 @@ def _start(p: int, floors: np.ndarray):
             x, n = part["bin"].to_numpy() * BIN, part["n"].to_numpy()
             mean[i] = _weighted_median(x, n)
             var[i] = (1.4826 * _weighted_median(np.abs(x - mean[i]), n)) ** 2
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mean": [mean], "inverse": [np.diag(1 / (var + floors**2)).ravel()], "scale": [1.0]})
+        return _fit_row(pdf, mean, np.diag(var + floors**2), 1.0)
 
     return run
 
 
-def _step(p: int, floors: np.ndarray, h: float):
-    """For one group's counts and moments by bin of distance: mean and covariance of the nearest share h."""
+def _concentrated(p: int, floors: np.ndarray, h: float):
+    """For counts and moments by bin of distance of one group and start: mean and covariance of the nearest share h, and the scale of the estimate that the distances are from."""
     upper = [(i, j) for i in range(p) for j in range(i, p)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin", kind="stable")
         n = pdf["n"].to_numpy(float)
-        take = int(np.searchsorted(np.cumsum(n), h * n.sum())) + 1
-        near = pdf.iloc[:take]
-        m = near["n"].sum()
-        mean = np.array([near[f"s{i}"].sum() for i in range(p)]) / m
+        part = np.clip((h * n.sum() - (np.cumsum(n) - n)) / n, 0, 1)  # of each bin; all before, none behind the one in which the share ends
+        total = lambda c: float((pdf[c].to_numpy() * part).sum()) / (h * n.sum())
+        mean = np.array([total(f"s{i}") for i in range(p)])
         cov = np.zeros((p, p))
         for i, j in upper:
-            cov[i, j] = cov[j, i] = near[f"s{i}_{j}"].sum() / m - mean[i] * mean[j]
+            cov[i, j] = cov[j, i] = total(f"s{i}_{j}") - mean[i] * mean[j]
         middle = np.exp(_weighted_median(pdf["bin"].to_numpy() * LOG_BIN, n))
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mean": [mean], "inverse": [np.linalg.inv(cov + np.diag(floors**2)).ravel()], "scale": [max(1.0, middle / chi_square(p, 0.0))]})
+        return _fit_row(pdf, mean, cov + np.diag(floors**2), max(1.0, middle / chi_square(p, 0.0)))
 
     return run
 
@@ -160,28 +165,51 @@ def _pools(data: DataFrame, min_group: int, scratch: Scratch) -> DataFrame:
     small, few = F.col("n") < min_group, F.col("wide_n") < min_group
     pool = F.when(~small, F.col("g")).when(~few, F.col("wide")).otherwise("all")
     feeds = F.array(F.when(~small, F.col("g")), F.when(F.col("asked") & ~few, F.col("wide")), F.lit("all" if every else None).cast("string"))
-    return scratch.keep(sizes.join(wide, "wide").select("g", pool.alias("pool"), F.array_compact(feeds).alias("feeds")), "pools")
+    return scratch.keep(sizes.join(wide, "wide").select("g", "n", pool.alias("pool"), F.array_compact(feeds).alias("feeds")), "pools")
+
 
+def robust_outliers(stats: DataFrame, h: float = 0.75, starts: int = 4, steps: int = 12, tolerance: float = 1e-6, min_group: int = 50, features: dict = FEATURES, scratch: Scratch | None = None) -> DataFrame:
+    """Rows of stats with g (group), d2, the squared robust distance scaled so that its group median is at most that of a chi-square (null for rows that fail the base rules), and logdet of the estimate it is from.
 
-def robust_outliers(stats: DataFrame, h: float = 0.75, steps: int = 4, min_group: int = 50, features: dict = FEATURES, scratch: Scratch | None = None) -> DataFrame:
-    """Rows of stats with g (group) and d2, the squared robust distance scaled so that its group median is that of a chi-square; null for rows that fail the base rules."""
+    starts: of each group; steps: the most that are taken; tolerance: fall of the log determinant that still counts.
+    """
     names, p = list(features), len(features)
     floors = np.array([floor for _, floor in features.values()])
     scratch = scratch or Scratch(stats.sparkSession, "mcd")
     data = scratch.keep(stats.withColumn("g", F.to_json(F.struct("lang", "source"))).withColumn("use", ~base_failed()).withColumns({k: F.coalesce(F.expr(e), F.lit(0.0)) for k, (e, _) in features.items()}), "data")
     pools = _pools(data, min_group, scratch)
-    used = data.where("use").join(pools, "g").select(F.explode("feeds").alias("g"), *names)
-    bins = used.select("g", F.posexplode(F.array(*[F.round(F.col(x) / BIN).cast("int") for x in names])).alias("i", "bin")).groupBy("g", "i", "bin").agg(F.count("*").alias("n"))
-    fit = scratch.keep(bins.groupBy("g").applyInPandas(_start(p, floors), _FIT), "fit0")
+    sizes = pools.select(F.explode("feeds").alias("g"), "n").groupBy("g").agg(F.sum("n").alias("size"))
+    used = data.where("use").join(pools.select("g", "feeds"), "g").select(F.explode("feeds").alias("g"), "doc_id", *names)
     moments = [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]]
-    for step in range(1, steps + 2):  # the last one only measures the scale of the estimate before it
-        near = used.join(fit.drop("scale"), "g").groupBy("g", F.round(F.ln(_distance(names) + 1e-6) / LOG_BIN).cast("int").alias("bin")).agg(*moments)
-        new = near.groupBy("g").applyInPandas(_step(p, floors, h), _FIT)
-        if step > steps:
-            new = fit.drop("scale").join(new.select("g", "scale"), "g")
-        fit = scratch.keep(new, f"fit{step}")
-    scratch.drop(*[f"fit{i}" for i in range(steps + 1)])
-    return data.join(pools.drop("feeds"), "g", "left").join(fit.withColumnRenamed("g", "pool"), "pool", "left").withColumn("d2", F.when(F.col("use"), _distance(names) / F.col("scale"))).select("g", "doc_id", *STATS, "d2")
+
+    bins = used.select("g", F.posexplode(F.array(*[F.round(F.col(x) / BIN).cast("int") for x in names])).alias("i", "bin")).groupBy("g", "i", "bin").agg(F.count("*").alias("n"))
+    fit = bins.groupBy("g").applyInPandas(_medians(p, floors), _FIT)
+    if starts > 1:  # random subsets of about 8 (p + 1) rows
+        drawn = used.join(scratch.keep(sizes, "pool_sizes"), "g").withColumn("s", F.explode(F.array(*[F.lit(i) for i in range(1, starts)])))
+        drawn = drawn.where((F.xxhash64("doc_id", "s", *names) / 2.0**64 + 0.5) * F.col("size") < 8 * (p + 1))
+        fit = fit.union(drawn.groupBy("g", "s", F.lit(0).alias("bin")).agg(*moments).groupBy("g", "s").applyInPandas(_concentrated(p, floors, 1.0), _FIT))
+    fit = scratch.keep(fit, "fit0")
+
+    def stepped(fit: DataFrame) -> DataFrame:
+        near = used.join(fit.drop("scale", "logdet"), "g").groupBy("g", "s", F.round(F.ln(_distance(names) + 1e-6) / LOG_BIN).cast("int").alias("bin")).agg(*moments)
+        return near.groupBy("g", "s").applyInPandas(_concentrated(p, floors, h), _FIT)
+
+    for step in range(1, steps + 1):
+        new = stepped(fit)
+        if step == 2:  # of each group the start with the least determinant
+            best = F.min_by(F.struct("s", "mean", "inverse", "logdet", "scale"), F.struct("logdet", "s"))
+            new = new.groupBy("g").agg(best.alias("b")).select("g", "b.*")
+        if step > 3:  # a step that does not lower the determinant is not taken
+            old = fit.select("g", *[F.col(c).alias(f"old_{c}") for c in ("mean", "inverse", "logdet")])
+            better = F.col("logdet") < F.col("old_logdet")
+            new = new.join(old, "g").select("g", "s", *[F.when(better, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in ("mean", "inverse", "logdet")], "scale", (F.col("old_logdet") - F.col("logdet")).alias("fall"))
+        kept = scratch.keep(new, f"fit{step}")
+        fit, fell = kept.drop("fall"), kept.agg(F.max("fall")).first()[0] if step > 3 else 1.0
+        if fell is None or fell <= tolerance:
+            break
+    scale = scratch.keep(stepped(fit).select("g", "scale"), "scale")
+    fit = fit.drop("scale", "s").join(scale, "g").withColumnRenamed("g", "pool")
+    return data.join(pools.select("g", "pool"), "g", "left").join(fit, "pool", "left").withColumn("d2", F.when(F.col("use"), _distance(names) / F.col("scale"))).select("g", "doc_id", *STATS, "d2", "logdet")
 
 
 def chi_square(p: int, z: float) -> float:
