@@ -185,14 +185,52 @@ def test_substring_dedup(docs, empty):
         a, b = split(texts[p["doc_id"]]), split(texts[p["source_id"]])
         assert p["source_id"] < p["doc_id"] and a[p["place"] : p["place"] + p["n_words"]] == b[p["source_place"] : p["source_place"] + p["n_words"]]
     assert max(p["n_words"] for p in paths) >= 60
+    # maximal: no path goes on where another of the same row and source ends
+    ends = {(p["doc_id"], p["source_id"], p["place"] + p["n_words"] - 12, p["source_place"] - p["place"]) for p in paths}
+    assert not ends & {(p["doc_id"], p["source_id"], p["place"], p["source_place"] - p["place"]) for p in paths}
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_pieces_need_the_joins(spark):
+    """What buckets find is shorter than the paths: without the compaction no piece is as long as a copy."""
+    rng = random.Random(47)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    df = spark.createDataFrame([(1, " ".join(w)), (2, "before it " + " ".join(w) + " behind")], "doc_id bigint, text string").repartition(2, "doc_id")
+    rows, pieces = substring_dedup._repeats(df, 13, Scratch(spark, "t"))
+    tasks = df.select(F.spark_partition_id()).distinct().count()
+    assert sum(r["edges"] for r in pieces.collect()) == 288 and (tasks == 1 or pieces.count() > 20)
+    path = substring_dedup.repeated_paths(df).collect()
+    assert [tuple(p) for p in path] == [(2, 2, 1, 0, 300)]
+
+
+def test_substring_words_are_compared(spark, monkeypatch):
+    """Where hashes of different words agree, the words of source and copy decide."""
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string")
+    rows = df.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
+    rid = rows.where("doc_id = 2").first()["rid"]
+    false = spark.createDataFrame([(rid, 0, 1, 0, 20)], "rid bigint, place bigint, source_id bigint, source_place bigint, n_words bigint")
+    told = substring_dedup._with_digests(false, rows, Scratch(spark, "t")).groupBy("rid").agg(F.collect_list(F.struct("place", "source_id", "source_place", "n_words", "digests")).alias("paths"))
+    found = rows.join(told, "rid").select("doc_id", "text", "paths").mapInArrow(substring_dedup._agreeing_batches, "doc_id bigint, place bigint, source_id bigint, source_place bigint, n_words bigint")
+    assert told.count() == 1 and found.count() == 0
+
+
 def test_substring_null_and_equal_ids(spark):
     t = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(None, t), (1, t), (1, t), (2, t)], "doc_id bigint, text string")
     got = sorted(((r["doc_id"] or 0), r["n_removed"]) for r in substring_dedup.remove_repeats(df).collect())
     assert got == [(0, 0), (1, 0), (1, 0), (2, 30)]
+    # rows that share a doc_id but not the text, in one task, with their source in another
+    u, v, w = (" ".join(f"{c}{i}" for i in range(30)) for c in "uvw")
+    df = spark.createDataFrame([(1, f"{u} {v} {w}")], "doc_id bigint, text string").union(spark.createDataFrame([(2, f"x {u}"), (2, f"y {u} {v}"), (2, f"z {w}")], "doc_id bigint, text string").coalesce(1))
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(df).collect())
+    assert got == [(1, 90, 0), (2, 31, 30), (2, 31, 30), (2, 61, 60)]
+    # equal rows in different tasks whose pieces are cut differently
+    pieces = [(0, 50), (0, 3), (3, 97), (20, 5)]
+    cut = spark.createDataFrame([(7, p, 1, p + 10, n) for p, n in pieces], ", ".join(f"{c} bigint" for c in substring_dedup.PIECE))
+    assert sorted((r["place"], r["source_place"], r["n_words"]) for r in substring_dedup._compacted(cut, 13).collect()) == [(0, 10, 37), (0, 10, 62), (20, 30, 92)]
+
+
 
 
 # joins ----------------------------------------------------------------------------

@@ -3,11 +3,8 @@
 Words are as they stand in the text.  A run of ``span`` words is an edge
 between its first and its last ``span - 1`` words.  An edge is a repeat in a
 document if it also starts in a document with a smaller doc_id; its source is
-the least (document, place) where it starts.  Repeats that follow each other
-and whose sources follow each other, too, lie on one path on which document
-and source agree word by word; ``repeated_paths`` compacts such paths by
-joins of the edges' coordinates, which also verify each path against its
-source.  ``remove_repeats`` takes the words of all repeats out.
+the least (document, place) where it starts.  ``remove_repeats`` takes the
+words of all repeats out.
 
 Edges are many and most of them occur once, so they are found in two steps:
 
@@ -18,6 +15,14 @@ Edges are many and most of them occur once, so they are found in two steps:
 2. Only edges with such an anchor go to buckets by their anchor, with a hash
    of all their words and their coordinates.
 
+A bucket has few neighbouring edges of a document, so what it finds are short
+pieces of paths, as rows.  Pieces end in nodes, known by the place in the
+document and in the source.  Nodes with one piece coming in and one going out
+do not branch and vanish; what begins at a node without a piece before it is
+joined with what ends at one without a piece behind it.  The words of such a
+path, in the document and at its source, must agree (by a digest of the words
+themselves, made from both texts), else it is dropped: hashes alone decide nothing.
+
 A task sends an edge only for the least document among its own, as others
 are repeats already: a passage that a third of all documents share costs one
 row per task.  Nothing depends on how the rows are dealt out.
@@ -25,6 +30,7 @@ row per task.  Nothing depends on how the rows are dealt out.
 Defined results: null text has no words.  Rows with null doc_id count as no
 source and lose no words.  Rows with equal doc_id are no sources of each
 other.  Texts under ``span`` words lose none.  Further columns are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -89,7 +95,7 @@ def _anchor_batches(span: int, buckets: int):
                 found.append(anchor[new])
                 docs.append(doc[new] + b.first)
             anchor, doc = np.concatenate(found), np.concatenate(docs)
-            order = np.lexsort((ids[doc], anchor))
+            order = np.lexsort((doc, ids[doc], anchor))
             anchor, doc = anchor[order], doc[order]
             g = groups(anchor)
             size = np.diff(g)
@@ -100,7 +106,10 @@ def _anchor_batches(span: int, buckets: int):
             short = _short(anchor[mine])[o]
             for i, d in enumerate(who):
                 out.append((int(rid[d] % buckets), int(rid[d]), short[at[i] : at[i + 1]].tobytes()))
-            lead, flag = g[:-1], many
+            # the rows of the least document, which may be several with its doc_id
+            lead = np.flatnonzero(ids[doc] == ids[doc[np.repeat(g[:-1], size)]])
+            lead = lead[groups(anchor[lead], doc[lead])[:-1]]
+            flag = np.repeat(many, size)[lead]
             o, which, at = by_bucket(_bucket(anchor[lead], buckets))
             for i, k in enumerate(which):
                 part = lead[o[at[i] : at[i + 1]]]
@@ -175,8 +184,19 @@ def _chosen_batches(table: np.ndarray):
     return run
 
 
+PIECE = ["rid", "place", "source_id", "source_place", "edges"]
+
+
+def _pieces(rid: np.ndarray, place: np.ndarray, source: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """Repeats that follow each other in row and source, as one: row, place, source's document and place, number of edges."""
+    order = np.lexsort((place, at - place, source, rid))
+    rid, place, source, at = rid[order], place[order], source[order], at[order]
+    g = groups(rid, source, at - place, place - np.arange(len(place)))
+    return [pa.array(v.astype(np.int64)) for v in (rid[g[:-1]], place[g[:-1]], source[g[:-1]], at[g[:-1]], np.diff(g))]
+
+
 def _edge_batches(span: int, buckets: int):
-    """(bucket, part, blob): repeats found within the task for parts of rows, and edges for buckets."""
+    """Paths found within the task, and edges for buckets."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +222,7 @@ def _edge_batches(span: int, buckets: int):
             lead = np.repeat(g[:-1], size)
             own = ids[doc] > ids[doc[lead]]  # repeats of a document of the same task
             at = np.flatnonzero(own)
-            parts = _parts(rid[doc[at]], buckets, place[at].astype("<u4"), ids[doc[lead[at]]], place[lead[at]].astype("<u4"))
+            found = _pieces(rid[doc[at]], place[at], ids[doc[lead[at]]], place[lead[at]])
             sent = np.flatnonzero(~own)
             o, which, cut = by_bucket(_bucket(anchor[sent], buckets))
             blobs = []
@@ -210,32 +230,30 @@ def _edge_batches(span: int, buckets: int):
                 part = sent[o[cut[i] : cut[i + 1]]]
                 names, inv = np.unique(doc[part], return_inverse=True)
                 blobs.append(pack(h[part], inv.astype(np.uint16 if len(names) < 65536 else np.uint32), place[part].astype("<u4"), rid[names], ids[names]))
-            none = pa.nulls(len(parts), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([none, pa.array(which, pa.int32())]), pa.concat_arrays([parts["part"].combine_chunks(), pa.nulls(len(which), pa.int32())]), pa.concat_arrays([parts["blob"].combine_chunks(), pa.array(blobs, pa.binary())])], ["bucket", "part", "blob"])
+            cols = [pa.concat_arrays([c, pa.nulls(len(which), pa.int64())]) for c in found]
+            none = pa.nulls(len(found[0]))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([none.cast(pa.int32()), pa.array(which, pa.int32())]), *cols, pa.concat_arrays([none.cast(pa.binary()), pa.array(blobs, pa.binary())])], ["bucket", *PIECE, "blob"])
 
     return run
 
 
-def _edge_bucket(buckets: int):
-    def run(key, table):
-        """Repeats by part of the rows: row, place, and the source's document and place."""
-        hs, rows, ids, places = [], [], [], []
-        for blob in table.column("blob").to_pylist():
-            h, inv, place, names, docs = unpack(blob, "<u8", _narrow(blob), "<u4", "<i8", "<i8")
-            hs.append(h), rows.append(names[inv]), ids.append(docs[inv]), places.append(place)
-        h, row, ids, place = map(np.concatenate, (hs, rows, ids, places))
-        order = np.lexsort((place, ids, h))
-        h, row, ids, place = h[order], row[order], ids[order], place[order]
-        g = groups(h)
-        lead = np.repeat(g[:-1], np.diff(g))
-        at = np.flatnonzero(ids > ids[lead])
-        return _parts(row[at], buckets, place[at], ids[lead[at]], place[lead[at]])
-
-    return run
+def _edge_bucket(key, table):
+    """The pieces of paths that one bucket finds."""
+    hs, rows, ids, places = [], [], [], []
+    for blob in table.column("blob").to_pylist():
+        h, inv, place, names, docs = unpack(blob, "<u8", _narrow(blob), "<u4", "<i8", "<i8")
+        hs.append(h), rows.append(names[inv]), ids.append(docs[inv]), places.append(place.astype(np.int64))
+    h, row, ids, place = map(np.concatenate, (hs, rows, ids, places))
+    order = np.lexsort((place, ids, h))
+    h, row, ids, place = h[order], row[order], ids[order], place[order]
+    g = groups(h)
+    lead = np.repeat(g[:-1], np.diff(g))
+    at = np.flatnonzero(ids > ids[lead])
+    return pa.table(_pieces(row[at], place[at], ids[lead[at]], place[lead[at]]), PIECE)
 
 
 def _repeats(docs: DataFrame, span: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The rows (rid, doc_id, text), and the repeats of those that have some (rid, blob)."""
+    """The rows (rid, doc_id, text), and the pieces of paths in them."""
     spark = docs.sparkSession
     buckets = 2 * partitions(spark, 8)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
@@ -244,54 +262,75 @@ def _repeats(docs: DataFrame, span: int, scratch: Scratch) -> tuple[DataFrame, D
     marked = anchors.groupBy("bucket").applyInArrow(_anchor_bucket(buckets), _PART).groupBy("part").applyInArrow(_by_row("<u4"), _MARKED)
     marked = scratch.keep(marked, "marked")
     chosen = known.mapInArrow(_chosen_batches(bitmap(marked, "rid")), known.schema)
-    passed = scratch.keep(chosen.join(marked, "rid").mapInArrow(_edge_batches(span, buckets), "bucket int, part int, blob binary"), "edges")
-    found = passed.where("part is null").select("bucket", "blob").groupBy("bucket").applyInArrow(_edge_bucket(buckets), _PART)
-    repeats = passed.where("part is not null").select("part", "blob").union(found).groupBy("part").applyInArrow(_by_row("<u4", "<i8", "<u4"), _MARKED)
-    return rows, repeats
+    piece = ", ".join(f"{c} bigint" for c in PIECE)
+    passed = scratch.keep(chosen.join(marked, "rid").mapInArrow(_edge_batches(span, buckets), f"bucket int, {piece}, blob binary"), "edges")
+    found = passed.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_edge_bucket, piece)
+    pieces = scratch.keep(passed.where("bucket is null").select(*PIECE).union(found), "pieces")
+    scratch.drop("marked", "edges")
+    return rows, pieces
+
+
+def _compacted(pieces: DataFrame, span: int) -> DataFrame:
+    """Maximal paths: rid, place, source_id, source_place, n_words.  A node is a place on a line of (row, source, shift between them); the n-th head and the n-th tail on a line are of one path."""
+    pieces = pieces.withColumn("shift", F.col("source_place") - F.col("place"))
+    line = ["rid", "source_id", "shift"]
+    out = pieces.select(*line, "place", F.lit(1).alias("degree"))
+    into = pieces.select(*line, (F.col("place") + F.col("edges")).alias("place"), F.lit(-1).alias("degree"))
+    ends = out.union(into).groupBy(*line, "place").agg(F.sum("degree").alias("degree")).where("degree <> 0")
+    # rows that are equal have one rid and may have their pieces cut differently, so several paths can begin at a node
+    ends = ends.select(*line, "place", (F.col("degree") > 0).alias("head"), F.explode(F.sequence(F.lit(1), F.abs("degree"))).alias("j"))
+    ends = ends.withColumn("i", F.row_number().over(Window.partitionBy(*line, "head").orderBy("place", "j")))
+    heads, tails = ends.where("head").drop("head", "j"), ends.where("not head").select(*line, "i", F.col("place").alias("end"))
+    return heads.join(tails, [*line, "i"]).select("rid", "place", "source_id", (F.col("place") + F.col("shift")).alias("source_place"), (F.col("end") - F.col("place") + span - 1).alias("n_words"))
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()[:16]
 
 
 @lean
-def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of repeats of each row that follow each other in row and source: place, source document and place, edges."""
+def _source_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the words of a source's spans."""
     for batch in batches:
-        cols: list[list] = [[], [], [], [], []]
-        for rid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            place, src, at = (a.astype(np.int64) for a in unpack(blob, "<u4", "<i8", "<u4"))
-            order = np.lexsort((place, at - place, src))
-            place, src, at = place[order], src[order], at[order]
-            g = groups(place - np.arange(len(place)), src, at - place)
-            cols[0] += [rid] * (len(g) - 1)
-            for c, v in zip(cols[1:], (place[g[:-1]], src[g[:-1]], at[g[:-1]], np.diff(g))):
-                c += v.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rid", "place", "source_id", "source_place", "edges"])
-
-
-def _paths(repeats: DataFrame, span: int, scratch: Scratch) -> DataFrame:
-    """Maximal paths of repeats: rid, place, source_id, source_place, n_words.
-
-    A run of edges is continued by the run that starts where it ends, in the
-    row and in the source: the end of one and the head of the other are the
-    same node and the path does not branch there.  Heads and tails are the
-    runs that an anti-join leaves without a run before or behind them; the
-    n-th head and the n-th tail on a diagonal (row, source, shift) are joined
-    to a path.
-    """
-    runs = repeats.mapInArrow(_run_batches, "rid bigint, place bigint, source_id bigint, source_place bigint, edges bigint")
-    runs = scratch.keep(runs.withColumn("shift", F.col("source_place") - F.col("place")), "runs")
-    line = ["rid", "source_id", "shift"]
-    ends = runs.select(*line, (F.col("place") + F.col("edges")).alias("place"))
-    starts = runs.select(*line, "place", "source_place")
-    number = Window.partitionBy(*line).orderBy("place")
-    heads = starts.join(ends, [*line, "place"], "left_anti").withColumn("i", F.row_number().over(number))
-    tails = ends.join(starts, [*line, "place"], "left_anti").withColumn("i", F.row_number().over(number)).withColumnRenamed("place", "end")
-    return heads.join(tails, [*line, "i"]).select("rid", "place", "source_id", "source_place", (F.col("end") - F.col("place") + span - 1).alias("n_words"))
+        rows: list[tuple] = []
+        for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            words = (text.as_py() or "").encode().split()
+            rows += [(doc, s["source_place"], s["n_words"], _digest(words[s["source_place"] : s["source_place"] + s["n_words"]])) for s in spans]
+        cols = list(zip(*rows)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["source_id", "source_place", "n_words", "digest"])
+
+
+def _with_digests(paths: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The paths with what their words must be, as the texts of their sources say."""
+    span = ["source_id", "source_place", "n_words"]
+    asked = scratch.keep(paths.select(*span).distinct().groupBy("source_id").agg(F.collect_list(F.struct("source_place", "n_words")).alias("spans")), "asked")
+    key = F.xxhash64("doc_id")
+    sources = rows.where("doc_id is not null").select(key.alias("k"), "doc_id", "text")
+    sources = sources.mapInArrow(_chosen_batches(bitmap(asked.select(F.xxhash64("source_id").alias("h")))), sources.schema)
+    digests = sources.join(asked, F.col("doc_id") == F.col("source_id")).select("doc_id", "text", "spans").mapInArrow(_source_batches, "source_id bigint, source_place bigint, n_words bigint, digest binary")
+    digests = scratch.keep(digests.groupBy(*span).agg(F.collect_set("digest").alias("digests")), "digests")  # rows that repeat a doc_id give several
+    return paths.join(digests, span)
+
+
+@lean
+def _agreeing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans (and where they come from) of each text whose words are those of their source."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc, text, paths in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            words = (text.as_py() or "").encode().split()
+            rows += [(doc, p["place"], p["source_id"], p["source_place"], p["n_words"]) for p in paths if _digest(words[p["place"] : p["place"] + p["n_words"]]) in p["digests"]]
+        cols = list(zip(*rows)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["doc_id", "place", "source_id", "source_place", "n_words"])
 
 
 def repeated_paths(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, place, source_id, source_place and n_words of the maximal paths of repeats."""
     scratch = Scratch(docs.sparkSession, "paths")
-    rows, repeats = _repeats(docs, span, scratch)
-    return _paths(repeats, span, scratch).join(rows.select("rid", "doc_id").distinct(), "rid").select("doc_id", "place", "source_id", "source_place", "n_words")
+    rows, pieces = _repeats(docs, span, scratch)
+    paths = _with_digests(scratch.keep(_compacted(pieces, span), "paths"), rows, scratch)
+    paths = paths.groupBy("rid").agg(F.collect_list(F.struct("place", "source_id", "source_place", "n_words", "digests")).alias("paths"))
+    return rows.join(paths, "rid").select("doc_id", "text", "paths").mapInArrow(_agreeing_batches, "doc_id bigint, place bigint, source_id bigint, source_place bigint, n_words bigint").distinct()
 
 
 def _finished_batches(table: np.ndarray):
@@ -321,8 +360,10 @@ def _removed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             words = text.encode().split()
             cover = np.zeros(len(words) + 1, np.int64)
             for path in paths or []:
-                cover[path["place"]] += 1
-                cover[path["place"] + path["n_words"]] -= 1
+                lo, hi = path["place"], path["place"] + path["n_words"]
+                if _digest(words[lo:hi]) in path["digests"]:
+                    cover[lo] += 1
+                    cover[hi] -= 1
             kept = (np.cumsum(cover[:-1]) == 0).tolist()
             n_words[i], n_removed[i] = len(words), len(words) - sum(kept)
             sha[i] = hashlib.sha256(b" ".join(itertools.compress(words, kept))).hexdigest()
@@ -332,9 +373,11 @@ def _removed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the words on no path, joined by single spaces."""
     scratch = Scratch(docs.sparkSession, "debruijn")
-    rows, repeats = _repeats(docs, span, scratch)
-    paths = scratch.keep(_paths(repeats, span, scratch).groupBy("rid").agg(F.collect_list(F.struct("place", "n_words")).alias("paths")), "paths")
-    scratch.drop("marked", "edges", "runs")
+    rows, pieces = _repeats(docs, span, scratch)
+    paths = scratch.keep(_compacted(pieces, span), "compacted")
+    scratch.drop("pieces")
+    paths = scratch.keep(_with_digests(paths, rows, scratch).groupBy("rid").agg(F.collect_list(F.struct("place", "n_words", "digests")).alias("paths")), "paths")
+    scratch.drop("compacted", "asked", "digests")
     done = rows.mapInArrow(_finished_batches(bitmap(paths, "rid")), "rid bigint, doc_id bigint, text string, n_words bigint, kept_sha256 string")
     cut = done.join(paths, "rid", "left").select("doc_id", "text", "n_words", "kept_sha256", "paths")
     return cut.mapInArrow(_removed_batches, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
