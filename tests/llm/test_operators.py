@@ -331,7 +331,9 @@ def test_ngram_join_one_order():
     assert (np.diff(fragment) >= 0).all() and set(fragment) == set(range(ngram_join.FRAGMENTS))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, components.SMALL])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(50, 80)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(25)]
     root = {}

@@ -58,6 +58,8 @@ CUTS = (1 / 16, 1 / 8, 1 / 4, 1 / 2)
 FRAGMENTS = len(CUTS) + 2
 #: n-grams in the blobs that meet a copy of a leader's, and bytes of a bucket.
 SHARE, BUCKET_BYTES = 1 << 20, 4 << 20
+#: Least bits of a signature.
+SHORT = 1024
 #: About so many sets of each n-gram are laid beside the others; n-grams with no more have all their pairs this way.
 LEADERS_TESTED = 32
 
@@ -91,8 +93,8 @@ def identity(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signature(h: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Bits of each set, twice as many as it has n-grams: whether an odd number of n-grams fall on the bit.  Each bit in which two sets differ takes an n-gram that only one of them has."""
-    size = np.maximum(np.diff(first), 128)
+    """Bits of each set, twice as many as it has n-grams and SHORT at least: whether an odd number of n-grams fall on the bit.  Each bit in which two sets differ takes an n-gram that only one of them has."""
+    size = np.maximum(np.diff(first), SHORT // 2)
     width = np.left_shift(1, np.ceil(np.log2(2 * size)).astype(np.int64))
     begin = np.concatenate([[0], np.cumsum(width)])
     doc = np.repeat(np.arange(len(width)), np.diff(first))
@@ -112,6 +114,15 @@ def differing(x: pa.Array, y: pa.Array) -> np.ndarray:
     return out
 
 
+@lean
+def _short_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sid, and its signature folded to SHORT bits."""
+    for batch in batches:
+        rows = [np.bitwise_xor.reduce(np.frombuffer(x, "<i8").reshape(-1, SHORT // 64), 0) for x in batch.column(1).to_pylist()]
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * (SHORT // 64), flat)], ["sid", "short"])
+
+
 def _batch_sets(column: pa.Array, n: int, signed: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     ids = [np.zeros(0, np.uint64)]
@@ -425,10 +436,13 @@ def _beside_leaders(mixed: DataFrame, percent: int, scratch: Scratch) -> DataFra
     return _oriented(pairs.select(F.col("sid").alias("sid1"), F.col("n").alias("n1"), F.col("component").alias("component1"), F.col("l.sid").alias("sid2"), F.col("l.n").alias("n2"), F.col("l.component").alias("component2")))
 
 
-def _every_pair(mixed: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components under an n-gram."""
+def _every_pair(mixed: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components under an n-gram whose short signatures do not rule them out."""
+    mixed = mixed.join(bits.mapInArrow(_short_batches, "sid bigint, short array<bigint>"), "sid")
     x, y = (mixed.toDF(*[f"{c}{i}" if c != "key" else c for c in mixed.columns]) for i in (1, 2))
-    return _oriented(x.join(y, "key").where(f"component1 <> component2 and {100 + percent} * least(left1, left2) >= {percent} * (n1 + n2) and sid1 < sid2"))
+    differ = " + ".join(f"bit_count(short1[{i}] ^ short2[{i}])" for i in range(SHORT // 64))
+    near = f"100 * (n1 + n2 - ({differ})) >= {percent} * (n1 + n2 + ({differ}))"
+    return _oriented(x.join(y, "key").where(f"component1 <> component2 and {100 + percent} * least(left1, left2) >= {percent} * (n1 + n2) and sid1 < sid2 and {near}"))
 
 
 def _merged(parts: DataFrame, links: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
@@ -484,7 +498,7 @@ def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataF
         apart = apart.join(parts.toDF(c, "new"), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
     apart = apart.where("ca <> cb").select("a", "na", "ca", "b", "nb", "cb")
     known = pairs.select("a", "b").union(beside.select("a", "b"))
-    every = _every_pair(scratch.keep(_mixed(members, parts, LEADERS_TESTED), "mixed3"), percent).join(known, ["a", "b"], "left_anti")
+    every = _every_pair(scratch.keep(_mixed(members, parts, LEADERS_TESTED), "mixed3"), bits, percent).join(known, ["a", "b"], "left_anti")
     rest = scratch.keep(_possible(every, bits, percent).select(*apart.columns).union(apart), "possible3")
     scratch.drop("mixed3", "members", "beside", "possible2", "best")
     if not rest.isEmpty():
