@@ -170,9 +170,11 @@ def read_files(spark: SparkSession, path: str, axes: str | None = None) -> Array
     glob = re.sub(r"\$\w", "*", path)
     ending = extension(path, _READERS)
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    first = files.orderBy("path").limit(1).collect()
-    if not first:
+    paths = files.select("path")  # places come from the paths alone; no content is moved for them
+    least = paths.agg(F.min("path")).first()[0]
+    if least is None:
         raise FileNotFoundError(path)
+    first = files.where(F.col("path") == least).limit(1).collect()
     array, own, scale = _READERS[ending](bytes(first[0]["content"]))
     space = Axes.of(axes or own or Axes.default(array.ndim)).scaled(scale)
     if names:
@@ -180,16 +182,17 @@ def read_files(spark: SparkSession, path: str, axes: str | None = None) -> Array
         for n in names:
             pattern = pattern.replace(rf"\${n}", r"(\d+)", 1)
         for i, n in enumerate(names, 1):
-            files = files.withColumn(n, F.regexp_extract("path", pattern, i).cast("int"))
+            paths = paths.withColumn(f"{n}_number", F.regexp_extract("path", pattern, i).cast("int"))
             # the distinct numbers of one axis are few; their order gives the position
-            files = files.withColumn(n, (F.dense_rank().over(Window.orderBy(n)) - 1).cast("int"))
-        size = files.agg(F.count("*").alias("all"), F.countDistinct(*names).alias("some"), *[(F.max(n) + 1).alias(n) for n in names]).first()
+            rank = (F.row_number().over(Window.orderBy(f"{n}_number")) - 1).cast("int").alias(n)
+            paths = paths.join(paths.select(f"{n}_number").distinct().select(f"{n}_number", rank), f"{n}_number")
+        size = paths.agg(F.count("*").alias("all"), F.countDistinct(*names).alias("some"), *[(F.max(n) + 1).alias(n) for n in names]).first()
         if size["all"] != size["some"] or size["all"] != int(np.prod([size[n] for n in names])):
             raise AxesError(f"files for {path} are missing or repeated")
     elif "*" in path or "?" in path or "[" in path:
         names = ["p"]
-        files = files.withColumn("p", (F.row_number().over(Window.orderBy("path")) - 1).cast("int"))
-    df = files.select(*names, "content", "path").mapInArrow(_file_batches(ending, list(array.shape), len(names)), ", ".join([f"{n} int" for n in names] + ["data array<double>"]))
+        paths = paths.withColumn("p", (F.row_number().over(Window.orderBy("path")) - 1).cast("int"))
+    df = files.join(paths.select("path", *names), "path").select(*names, "content", "path").mapInArrow(_file_batches(ending, list(array.shape), len(names)), ", ".join([f"{n} int" for n in names] + ["data array<double>"]))
     kind = {"b": "bool", "u": str(array.dtype), "i": "int64"}.get(array.dtype.kind, "float32")
     return ArrayFrame(df, names, space, array.shape, kind)
 
