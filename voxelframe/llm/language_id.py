@@ -112,33 +112,38 @@ def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x.reshape(-1, WINDOW), first
 
 
-@lean
-def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Four windows of each text, spread by a hash of place and content, and their hashes."""
-    for batch in batches:
-        lang, data, hashes = [], [], []
-        names = batch.column(1).to_pylist()
-        for b in B.blocks(batch.column(0)):
-            x, first = cut(b.data, b.off)
-            if not b.n:
-                continue
-            h = B.mix(B.windows(B.LUT[x].ravel(), WINDOW)[:: WINDOW] + B.mix(np.arange(len(x), dtype=np.uint64)))
-            doc = np.repeat(np.arange(b.n), np.diff(first))
-            order = np.lexsort((h, doc))
-            keep = order[(np.arange(len(order)) - first[doc[order]]) < 4]
-            lang += [names[b.first + d] for d in doc[keep]]
-            data += [w.tobytes() for w in x[keep]]
-            hashes.append(h[keep].view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(data, pa.binary()), pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], ["lang", "window", "h"])
-
-
-def fit(rows: DataFrame, sample: int = 6000, **options) -> ByteNet:
-    """Learn from the columns text and lang; sample: the most windows that are fetched."""
+def _sample_batches(per_text: int):
+    """Some windows of each text, spread by a hash of place and content, and their hashes."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, data, hashes = [], [], []
+            names = batch.column(1).to_pylist()
+            for b in B.blocks(batch.column(0)):
+                x, first = cut(b.data, b.off)
+                if not b.n:
+                    continue
+                h = B.mix(B.windows(B.LUT[x].ravel(), WINDOW)[::WINDOW] + B.mix(np.arange(len(x), dtype=np.uint64)))
+                doc = np.repeat(np.arange(b.n), np.diff(first))
+                order = np.lexsort((h, doc))
+                keep = order[(np.arange(len(order)) - first[doc[order]]) < per_text]
+                lang += [names[b.first + d] for d in doc[keep]]
+                data += [w.tobytes() for w in x[keep]]
+                hashes.append(h[keep].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(data, pa.binary()), pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], ["lang", "window", "h"])
+
+    return run
+
+
+def fit(rows: DataFrame, sample: int = 6000, per_text: int = 4, **options) -> ByteNet:
+    """Learn from the columns text and lang; sample: the most windows that are fetched; per_text: the most of one text. Equal windows of a language count once, so a group of copies has no more weight than one text."""
     rows = rows.select("text", "lang").where("text is not null and lang is not null and text rlike '\\\\p{L}'")
-    windows = rows.mapInArrow(_sample_batches, "lang string, window binary, h bigint")
+    windows = rows.mapInArrow(_sample_batches(per_text), "lang string, window binary, h bigint")
     # every text gives a window at least: twice the share that is needed is enough, and keeps what tasks send to the driver small
     share = min(1.0, 2 * sample / max(1, rows.select("lang").where("lang is not null").count()))
-    got = windows.where(F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2**64))).orderBy("h", "lang", "window").limit(sample).toPandas()
+    got = windows.where(F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2**64)))
+    got = got.groupBy("lang", "window").agg(F.min("h").alias("h")).orderBy("h", "lang", "window").limit(sample).toPandas()
     labels = sorted(set(got["lang"]))
     if not labels:
         return ByteNet([], [], np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
