@@ -9,7 +9,6 @@ anything over batch axes is a relational operation on coordinates.
 from __future__ import annotations
 
 import functools
-import json
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -431,8 +430,8 @@ def _arrow(schema: T.StructType):
 
 
 def _table(values: Sequence[int]) -> Column:
-    """An array as one literal, however long."""
-    return F.from_json(F.lit(json.dumps([int(v) for v in values])), "array<int>")
+    """An array of literals, which Catalyst folds to one."""
+    return F.array(*[F.lit(int(v)) for v in values])
 
 
 def _lookup(values: Sequence[int]) -> Callable[[Column], Column]:
