@@ -458,12 +458,13 @@ def _picked(shape: Sequence[int], index: Sequence[Sequence[int]]) -> Column:
             at = at + _lookup(i)(div(r, below) % len(i)) * size
         return at
 
-    def run(r: Column) -> Column:
+    def run(data: Column, r: Column) -> Column:
         if len(last) == 1 or set(np.diff(last)) == {1}:
-            return F.slice(DATA, start(r) + int(last[0]) + 1, len(last))
-        return F.transform(F.array(start(r)), lambda s: F.transform(F.sequence(F.lit(0), F.lit(len(last) - 1)), lambda j: F.get(DATA, s + _lookup(last)(j))))[0]
+            return F.slice(data, start(r) + int(last[0]) + 1, len(last))
+        return F.transform(F.array(start(r)), lambda s: F.transform(F.sequence(F.lit(0), F.lit(len(last) - 1)), lambda j: F.get(data, s + _lookup(last)(j))))[0]
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), run))
+    # the data is bound once: an expression behind the column would be made again for every place
+    return F.transform(F.array(F.col(DATA)), lambda data: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda r: run(data, r))))[0]
 
 
 def _rebased(df: DataFrame, name: str, at: Sequence[int]) -> DataFrame:
