@@ -34,7 +34,7 @@ def test_round_trips(spark, tmp_path):
         sources.imsave(a, f"{tmp_path}/a", overwrite=False)
 
 
-@pytest.mark.parametrize("ending", [".npy", ".npz", ".mrc"])
+@pytest.mark.parametrize("ending", [".npy", ".npz", ".mrc", ".tif"])
 def test_array_files(spark, tmp_path, ending):
     x = rng.normal(size=(4, 5, 6)).astype(np.float32)
     a = ArrayFrame.from_numpy(spark, x, "zyx").set_scale(zyx=0.5)
@@ -323,3 +323,118 @@ def test_transforms(spark):
         a.local_dft(q=(0, 1))
     with pytest.raises(ValueError):
         a.tile("t", 1, 1)
+
+
+@pytest.mark.parametrize("kind", ["uint8", "uint16", "float32"])
+def test_tiff(spark, tmp_path, kind):
+    x = (rng.random((2, 3, 4, 5, 6)) * 200).astype(kind)
+    a = ArrayFrame.from_numpy(spark, x, "tzcyx", dtype=kind).set_scale(yx=0.25, z=0.5)
+    sources.write_file(a, f"{tmp_path}/one.tif")
+    b = sources.imread(spark, f"{tmp_path}/one.tif")
+    assert str(b.axes) == "tzcyx" and b.dtype == kind and b.axes.scale["z"] == 0.5 and b.axes.scale["x"] == pytest.approx(0.25)
+    np.testing.assert_array_equal(b.to_numpy(), x)
+    assert sources.read_meta(spark, f"{tmp_path}/one.tif")["shape"] == [2, 3, 4, 5, 6]
+    np.save(f"{tmp_path}/i.npy", x[0, 0, 0]), np.save(f"{tmp_path}/j.npy", x[0, 0])
+    found = sources.imread_collection(spark, f"{tmp_path}/*.npy")
+    assert {k: v.shape for k, v in found.items()} == {"i": (5, 6), "j": (4, 5, 6)}
+
+
+def _tiff_bytes(x, order, packed, predictor=1, whole=True):
+    """A small file made apart from the library's writer: two strips a page, or one page's fields for all pages."""
+    import struct
+    import zlib
+
+    out, pages = bytearray(struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 0)), x if whole else x[:1]
+    note, last = f"ImageJ=1\nimages={len(x)}\n".encode() + b"\0", 4
+    for page in pages:
+        y = np.concatenate([page[:, :1], np.diff(page, axis=1)], 1).astype(x.dtype) if predictor == 2 else page
+        parts = [y[:2], y[2:]] if whole else [x]
+        strips = [p.astype(x.dtype.newbyteorder(order)).tobytes() for p in parts]
+        strips = [zlib.compress(s) if packed == 8 else s for s in strips]
+        at = []
+        for s in strips:
+            at.append(len(out))
+            out += s
+        lists = len(out)
+        out += struct.pack(f"{order}{2 * len(at)}I", *at, *map(len, strips))
+        text = len(out)
+        out += note + bytes(len(note) % 2)
+        two = len(at) > 1
+        short = lambda v: struct.pack(order + "HH", v, 0)
+        long = lambda v: struct.pack(order + "I", v)
+        rows = [(256, 4, 1, long(x.shape[2])), (257, 4, 1, long(x.shape[1])), (258, 3, 1, short(16)), (259, 3, 1, short(packed)), (270, 2, len(note), long(text)), (273, 4, len(at), long(lists if two else at[0])), (279, 4, len(at), long(lists + 4 * len(at) if two else len(strips[0]))), (317, 3, 1, short(predictor))]
+        struct.pack_into(order + "I", out, last, len(out))
+        out += struct.pack(order + "H", len(rows)) + b"".join(struct.pack(order + "HHI", *r[:3]) + r[3] for r in rows)
+        last = len(out)
+        out += bytes(4)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("order, packed, predictor, whole", [("<", 1, 1, True), (">", 8, 2, True), (">", 1, 1, False)])
+def test_tiff_layouts(order, packed, predictor, whole):
+    x = rng.integers(0, 60000, (3, 5, 4)).astype("u2")
+    got, axes, _ = sources._READERS[".tif"](_tiff_bytes(x, order, packed, predictor, whole))
+    np.testing.assert_array_equal(got, x)
+    assert axes == "tyx"
+    with pytest.raises(ValueError):
+        sources._READERS[".tif"](b"no file at all")
+
+
+def test_reshape_and_paths(spark):
+    x, a = frame(spark, (2, 6, 8), "tyx")
+    np.testing.assert_allclose(a.reshape("zyx", (2, 4, 6)).to_numpy(), x.reshape(2, 2, 4, 6))
+    with pytest.raises(AxesError):
+        a.reshape("yx", (5, 5))
+    paths = [[[0, 0], [0, 5]], [[1, 1], [4, 1], [4, 3]]]
+    got = {(r["t"], r["N"], r["prop"]): r["value"] for r in a.pathprops(paths, ("mean", np.max)).collect()}
+    assert len(got) == 8
+    assert got[1, 0, "mean"] == pytest.approx(x[1, 0, :6].mean()) and got[0, 0, "max"] == x[0, 0, :6].max()
+    assert got[0, 1, "mean"] == pytest.approx(np.mean([x[0, 1, 1], x[0, 2, 1], x[0, 3, 1], x[0, 4, 1], x[0, 4, 2], x[0, 4, 3]]))
+
+
+def test_gaussian_fit(spark):
+    y, x = np.mgrid[:56, :56]
+    true = np.stack([1.5 * np.exp(-0.5 * (((y - m) / 22.1) ** 2 + ((x - 26.3) / 19.6) ** 2)) + 0.2 for m in (30.5, 20.0)])
+    a = ArrayFrame.from_numpy(spark, true + rng.normal(0, 0.1, true.shape), "tyx")
+    rows = {r["t"]: r for r in a.gaussfit_params().collect()}
+    assert rows[0]["mu"] == pytest.approx([30.5, 26.3], abs=1) and rows[1]["mu"][0] == pytest.approx(20, abs=1)
+    assert rows[0]["sg"] == pytest.approx([22.1, 19.6], rel=0.1) and rows[0]["a"] == pytest.approx(1.5, rel=0.1) and rows[0]["rmse"] == pytest.approx(0.1, rel=0.1)
+    assert np.abs(a.gaussfit(2).to_numpy() - true).max() < 0.1
+    flat = ArrayFrame.from_numpy(spark, true, "tyx").gauss_correction(median_radius=0).to_numpy()
+    assert flat.std(axis=(1, 2)).max() < 0.2
+
+
+def test_kalman_pieces(spark, monkeypatch):
+    from voxelframe.functions import filters
+    from voxelframe.operators import image
+
+    x, a = frame(spark, (3, 5, 6, 8), "ctyx")
+    want = np.stack([filters.kalman(i[None], 0.7)[0] for i in x])
+    np.testing.assert_allclose(a.kalman_filter(0.7).to_numpy(), want, rtol=1e-12)
+    monkeypatch.setattr(image, "SERIES_VALUES", 10)
+    np.testing.assert_allclose(a.kalman_filter(0.7).to_numpy(), want, rtol=1e-12)
+    along = np.moveaxis(filters.kalman(np.moveaxis(x.reshape(15, 6, 8), 2, 1), 0.7), 1, 2).reshape(x.shape)
+    np.testing.assert_allclose(a.kalman_filter(0.7, "x").to_numpy(), along, rtol=1e-12)
+
+
+def test_masked_correlation(spark):
+    x, a = frame(spark, (2, 6, 8), "tyx")
+    y, b = frame(spark, (6, 8), "yx")
+    for m, mask in (frame(spark, (6, 8), "yx"), frame(spark, (2, 6, 8), "tyx")):
+        got = {r["t"]: r["value"] for r in correlation.zncc(a, b, mask > 0).collect()}
+        for t in range(2):
+            keep = ~((m if m.ndim == 2 else m[t]) > 0)
+            assert got[t] == pytest.approx(np.corrcoef(x[t][keep], y[keep])[0, 1])
+    line, c = frame(spark, (6,), "y")
+    got = {r["t"]: r["value"] for r in correlation.zncc(a, c).collect()}
+    assert got[1] == pytest.approx(np.corrcoef(x[1].ravel(), np.repeat(line, 8))[0, 1])
+
+
+def test_unique_labels_over_all_axes(spark):
+    x = rng.integers(0, 4, (3, 2, 5, 2, 2))
+    a = ArrayFrame.from_numpy(spark, x, "ptcyx")
+    want, offset = x.copy(), 0
+    for at in np.ndindex(3, 2, 5):
+        want[at] = np.where(x[at] > 0, x[at] + offset, 0)
+        offset += x[at].max()
+    np.testing.assert_array_equal(a.unique_labels().to_numpy(), want)

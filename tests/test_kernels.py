@@ -163,3 +163,27 @@ def test_texture():
     assert g.tolist() == [[0, 1], [1, 0]]
     assert objects.cooccurrence_property(g, "contrast") == 1 and objects.cooccurrence_property(g, "energy") == pytest.approx(0.5**0.5)
     assert objects.cooccurrence_property(g, "correlation") == pytest.approx(-1)
+
+
+def test_walker_equals_dense_solve():
+    g = np.random.default_rng(5)
+    x, seeds = g.normal(size=(7, 9)), np.zeros((7, 9), int)
+    seeds[0, 0], seeds[6, 8], seeds[3, 4] = 1, 2, 5
+    n, flat, scale = x.size, np.arange(x.size).reshape(x.shape), 3.0 / (10 * x.std())
+    lap = np.zeros((n, n))
+    for a, b in [(flat[:-1], flat[1:]), (flat[:, :-1], flat[:, 1:])]:
+        for i, j in zip(a.ravel(), b.ravel()):
+            w = np.exp(-scale * (x.flat[i] - x.flat[j]) ** 2) + 1e-10
+            lap[i, j] -= w
+            lap[j, i] -= w
+            lap[i, i] += w
+            lap[j, j] += w
+    s = seeds.ravel()
+    free, ids = np.flatnonzero(s == 0), np.array([1, 2, 5])
+    fixed = np.flatnonzero(s)
+    p = np.linalg.solve(lap[np.ix_(free, free)], -lap[np.ix_(free, fixed)] @ (s[fixed][:, None] == ids))
+    want = s.copy()
+    want[free] = ids[p.argmax(1)]
+    assert (objects.random_walker(x, seeds, 3.0) == want.reshape(x.shape)).all()
+    big = objects.random_walker(np.pad(x, 60), np.pad(seeds, 60), 3.0)
+    assert set(np.unique(big)) <= {1, 2, 5}

@@ -398,3 +398,44 @@ def local_binary_pattern(x, points=12, radius=1.0, method="default"):
         changes = (bits != np.roll(bits, 1, 0)).sum(0)
         return np.where(changes <= 2, bits.sum(0), points + 1).astype(float)
     raise ValueError(f"unknown method {method!r}")
+
+
+# surfaces -----------------------------------------------------------------------
+
+
+def gaussian_surface(shape, a: float, b: float, mu, sg) -> np.ndarray:
+    """a exp(-((r - mu) / sg)^2 / 2) + b on a grid."""
+    r = np.indices(shape)
+    return a * np.exp(-0.5 * sum(((q - m) / s) ** 2 for q, m, s in zip(r, mu, sg))) + b
+
+
+def fit_gaussian(x: np.ndarray, step: int = 1, turns: int = 200) -> tuple[float, float, np.ndarray, np.ndarray, float]:
+    """Least squares by damped Gauss-Newton steps from the greatest value and the 5th and 95th percentiles: a, b, mu, sg, root mean square error."""
+    d, grid = x.ndim, np.indices(x.shape)[(slice(None), *[slice(None, None, step)] * x.ndim)].reshape(x.ndim, -1)
+    y = x[(slice(None, None, step),) * d].ravel().astype(float)
+    low, high = np.percentile(y, [5, 95])
+    p = np.concatenate([[high - low, low], grid[:, y.argmax()], np.array(x.shape, float) / 2])
+
+    def model(p):
+        u = (grid - p[2 : 2 + d, None]) / p[2 + d :, None]
+        e = np.exp(-0.5 * (u**2).sum(0))
+        slopes = np.stack([e, np.ones_like(e), *(p[0] * e * u / p[2 + d :, None]), *(p[0] * e * u**2 / p[2 + d :, None])])
+        return p[0] * e + p[1] - y, slopes
+
+    damp, (error, slopes) = 1e-3, model(p)
+    for _ in range(turns):
+        square = slopes @ slopes.T
+        move = np.linalg.lstsq(square + damp * np.diag(np.diag(square) + 1e-12), slopes @ error, rcond=None)[0]
+        trial = p - move
+        trial[2 + d :] = np.maximum(np.abs(trial[2 + d :]), 1e-3)
+        error2, slopes2 = model(trial)
+        if (error2**2).sum() < (error**2).sum():
+            done = (error**2).sum() - (error2**2).sum() <= 1e-12 * (error**2).sum()
+            p, error, slopes, damp = trial, error2, slopes2, damp / 3
+            if done:
+                break
+        else:
+            damp *= 4
+            if damp > 1e12:
+                break
+    return float(p[0]), float(p[1]), p[2 : 2 + d], p[2 + d :], float(np.sqrt((error**2).mean()))

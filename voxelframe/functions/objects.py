@@ -441,26 +441,49 @@ def watershed(x: np.ndarray, markers: np.ndarray, mask: np.ndarray | None = None
 
 
 def random_walker(x: np.ndarray, seeds: np.ndarray, beta: float = 130.0) -> np.ndarray:
-    """Each pixel takes the seed that a random walk on image gradients meets most likely first (dense solve)."""
-    n, flat = x.size, np.arange(x.size).reshape(x.shape)
-    lap = np.zeros((n, n))
+    """Each pixel takes the seed that a random walk on image gradients meets most likely first.
+
+    Conjugate gradients on the grid itself, a seed at a time: memory is a few arrays of x's size.
+    """
     scale = beta / (10 * x.std()) if x.std() else beta
-    for axis in range(x.ndim):
-        a, b = flat.take(range(x.shape[axis] - 1), axis).ravel(), flat.take(range(1, x.shape[axis]), axis).ravel()
-        w = np.exp(-scale * (x.ravel()[a] - x.ravel()[b]) ** 2) + 1e-10
-        lap[a, b] -= w
-        lap[b, a] -= w
-        np.add.at(lap, (a, a), w)
-        np.add.at(lap, (b, b), w)
-    s = seeds.ravel()
-    free, fixed = np.flatnonzero(s == 0), np.flatnonzero(s != 0)
-    ids = np.unique(s[fixed])
-    if not len(ids) or not len(free):
+    weight = [np.exp(-scale * np.diff(x, axis=a) ** 2) + 1e-10 for a in range(x.ndim)]
+    lower = [tuple(slice(None, -1) if i == a else slice(None) for i in range(x.ndim)) for a in range(x.ndim)]
+    upper = [tuple(slice(1, None) if i == a else slice(None) for i in range(x.ndim)) for a in range(x.ndim)]
+    degree = np.zeros(x.shape)
+    for w, lo, hi in zip(weight, lower, upper):
+        degree[lo] += w
+        degree[hi] += w
+
+    def laplacian(p: np.ndarray) -> np.ndarray:
+        out = degree * p
+        for w, lo, hi in zip(weight, lower, upper):
+            out[lo] -= w * p[hi]
+            out[hi] -= w * p[lo]
+        return out
+
+    free, ids = seeds == 0, np.unique(seeds[seeds != 0])
+    if not len(ids) or not free.any():
         return seeds.copy()
-    p = np.linalg.solve(lap[np.ix_(free, free)], -lap[np.ix_(free, fixed)] @ (s[fixed][:, None] == ids))
-    out = s.copy()
-    out[free] = ids[p.argmax(1)]
-    return out.reshape(x.shape)
+    best, out = np.full(x.shape, -np.inf), seeds.copy()
+    for k in ids:
+        right = np.where(free, -laplacian((seeds == k).astype(float)), 0)
+        p, left = np.zeros(x.shape), right.copy()
+        z = left / degree
+        way, size = z.copy(), float((left * z).sum())
+        goal = size * 1e-20
+        for _ in range(2 * int(free.sum())):
+            if size <= goal:
+                break
+            moved = np.where(free, laplacian(way), 0)
+            t = size / float((way * moved).sum())
+            p += t * way
+            left -= t * moved
+            z = left / degree
+            size, before = float((left * z).sum()), size
+            way = z + size / before * way
+        nearer = free & (p > best)
+        best[nearer], out[nearer] = p[nearer], k
+    return out
 
 
 def flood(x: np.ndarray, seed: Sequence[int], tolerance: float = 0.0, connectivity: int | None = None) -> np.ndarray:

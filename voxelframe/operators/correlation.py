@@ -11,11 +11,29 @@ from ..functions import fourier
 
 
 def _pairs(a: ArrayFrame, b: ArrayFrame, mask: ArrayFrame | None) -> DataFrame:
-    """Pixels of both; where the mask is true they are left out."""
-    out = a.pixels("u").join(b.pixels("v"), [n for n in a.axes.names if n in b.axes])
-    if mask is not None:
-        out = out.join(mask.pixels("m"), [n for n in mask.axes.names if n in a.axes], "left").where("coalesce(m, 0) = 0")
-    return out
+    """Pixels of both; where the mask is true they are left out.
+
+    Arrays of one shape are joined as rows and spread afterwards, so pixels
+    are not shuffled; fewer spatial axes are met pixel by pixel.
+    """
+    if not (_alike(a, b) and (mask is None or _alike(a, mask))):
+        out = a.pixels("u").join(b.pixels("v"), [n for n in a.axes.names if n in b.axes])
+        if mask is not None:
+            out = out.join(mask.pixels("m"), [n for n in mask.axes.names if n in a.axes], "left").where("coalesce(m, 0) = 0")
+        return out
+    keys = a.batch.names
+    both = a._joined(b).select(*keys, F.arrays_zip(F.col("data").alias("u"), F.col("_other").alias("v")).alias("data"))
+    if mask is None:
+        return both.select(*keys, F.inline("data"))
+    masks = mask.df.withColumnRenamed("data", "_m")
+    on = mask.batch.names
+    both = both.join(masks, on, "left") if on else both.join(masks.withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one"), "left")
+    kept = F.when(F.col("_m").isNull(), F.col("data")).otherwise(F.filter("data", lambda x, i: F.coalesce(F.get("_m", i), F.lit(0.0)) == 0))
+    return both.select(*keys, F.inline(kept))
+
+
+def _alike(a: ArrayFrame, b: ArrayFrame) -> bool:
+    return a.space.names == b.space.names and a.shape == b.shape and all(n in a.batch for n in b.batch.names)
 
 
 def ncc(a: ArrayFrame, b: ArrayFrame, mask: ArrayFrame | None = None) -> DataFrame:
@@ -34,7 +52,7 @@ pearson_coloc = zncc
 
 def manders_coloc(a: ArrayFrame, mask: ArrayFrame) -> DataFrame:
     """Share of a's intensity where the mask is true."""
-    px = a.pixels("u").join(mask.pixels("m"), [n for n in mask.axes.names if n in a.axes])
+    px = _pairs(a, mask, None).withColumnRenamed("v", "m")
     return px.groupBy(*a.batch.names).agg((F.sum(F.when(F.col("m") != 0, F.col("u")).otherwise(0.0)) / F.sum("u")).alias("value"))
 
 

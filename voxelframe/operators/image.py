@@ -11,13 +11,16 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..axes import AxesError, Axis
-from ..frame import ArrayFrame
+from ..frame import ArrayFrame, cast
 from ..functions import filters, fourier, geometry, objects
 
+SERIES_VALUES = 4096  # values of a plane that one task filters along a series
+
 
 def method(f: Callable) -> Callable:
     """Make the function a method of array frames; names may not be taken."""
@@ -202,20 +205,90 @@ def lowpass_conv_filter(self: ArrayFrame, cutoff: float = 0.2, order: float = 2,
 
 @method
 def kalman_filter(self: ArrayFrame, gain: float = 0.8, along: str = "t") -> ArrayFrame:
-    """Recursive filter along an axis, in order, natively: each series is folded as an array."""
-    rest = [a for a in self.axes.names if a != along]
-    px = self.pixels().groupBy(*rest).agg(F.array_sort(F.collect_list(F.struct(along, "value"))).alias("s"))
-    first = F.struct(F.col("s")[0]["value"].alias("e"), F.array(F.col("s")[0]["value"]).alias("all"))
-    rest_of = F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(1)))
-
-    def step(acc, x):
-        k = F.size(acc["all"]) + 1
-        e = gain * acc["e"] + (1 - gain) * x["value"] + (x["value"] - acc["e"]) / k
-        return F.struct(e.alias("e"), F.concat(acc["all"], F.array(e)).alias("all"))
-
-    folded = F.when(F.size("s") > 1, F.aggregate(rest_of, first, step)["all"]).otherwise(first["all"])
-    out = px.select(*rest, F.explode(F.arrays_zip(F.col("s")[along].alias("k"), folded.alias("v"))).alias("z")).select(*rest, F.col("z.k").alias(along), F.col("z.v").alias("value"))
-    return ArrayFrame.from_pixels(out, self.batch, self.space, self.shape, dtype=self.dtype)
+    """Recursive filter along an axis, in order.
+
+    Along a batch axis the planes are cut into pieces of SERIES_VALUES values, and each
+    task takes the series of one piece; arrays are shuffled, not pixels.
+    """
+    if along in self.space:
+        i = self.space.find(along) + 1
+        return self.map(lambda x: np.moveaxis(filters.kalman(np.moveaxis(x, i, 1), gain), 1, i))
+    self.axes.find(along)
+    rest = [b for b in self.batch.names if b != along]
+    pieces = -(-math.prod(self.shape) // SERIES_VALUES)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.slice("data", k * SERIES_VALUES + 1, SERIES_VALUES))
+    series = self.df.select(*rest, along, F.posexplode(cut).alias("_k", "data"))
+    kind = self.dtype
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by(along)
+        x = np.stack(table.column("data").to_numpy(zero_copy_only=False))
+        y = cast(filters.kalman(x[None], gain)[0], kind).astype(float)
+        field = table.schema.field("data")
+        return table.set_column(table.schema.get_field_index("data"), field, pa.array(list(y), field.type))
+
+    out = series.groupBy(*rest, "_k").applyInArrow(run, series.schema)
+    if pieces > 1:
+        parts = F.array_sort(F.collect_list(F.struct("_k", "data")))
+        out = out.groupBy(*self.batch.names).agg(F.flatten(F.transform(parts, lambda q: q["data"])).alias("data"))
+    return self._with(out.select(*self.batch.names, "data"))
+
+
+@method
+def reshape(self: ArrayFrame, space, shape: Sequence[int]) -> ArrayFrame:
+    """Other spatial axes for the same values in the same order; the data are not touched."""
+    if math.prod(shape) != math.prod(self.shape):
+        raise AxesError(f"{tuple(shape)} does not hold the values of {self.shape}")
+    return self._with(self.df, space=space, shape=tuple(shape))
+
+
+@method
+def pathprops(self: ArrayFrame, paths: Sequence, properties: Sequence = ("mean",), *, order: int = 1) -> DataFrame:
+    """A row per array, path and property: N (the path's place), prop, value. Paths are point lists; properties are numpy's names or functions of the values along a path."""
+    known = {(f if isinstance(f, str) else f.__name__): (getattr(np, f) if isinstance(f, str) else f) for f in properties}
+    along = [geometry.polyline(np.asarray(p, float)) for p in paths]
+    if any(len(p) != len(self.shape) for p in along):
+        raise AxesError(f"paths need a coordinate for each of {self.space}")
+
+    def run(x):
+        rows = [(i, n, name, float(f(values))) for i, a in enumerate(x) for n, p in enumerate(along) for values in [geometry.sample(a, p, order)] for name, f in known.items()]
+        row, number, prop, value = zip(*rows) if rows else ((), (), (), ())
+        return {"row": list(row), "N": list(number), "prop": list(prop), "value": list(value)}
+
+    return self.table(run, "N long, prop string, value double")
+
+
+@method
+def gaussfit_params(self: ArrayFrame, step: int = 1) -> DataFrame:
+    """The fit a exp(-((r - mu) / sg)^2 / 2) + b of each array: a, b, mu, sg and its root mean square error. step: only each step-th place along the axes is fitted."""
+
+    def run(x):
+        fits = [filters.fit_gaussian(i, step) for i in x]
+        return {"a": [f[0] for f in fits], "b": [f[1] for f in fits], "mu": [f[2].tolist() for f in fits], "sg": [f[3].tolist() for f in fits], "rmse": [f[4] for f in fits]}
+
+    return self.table(run, "a double, b double, mu array<double>, sg array<double>, rmse double")
+
+
+@method
+def gaussfit(self: ArrayFrame, step: int = 1) -> ArrayFrame:
+    """The fitted Gaussian of each array as an image."""
+    return self.map(lambda x: np.stack([filters.gaussian_surface(i.shape, *filters.fit_gaussian(i, step)[:4]) for i in x]), "float32")
+
+
+@method
+def gauss_correction(self: ArrayFrame, ref: ArrayFrame | None = None, *, step: int = 1, median_radius: float = 15) -> ArrayFrame:
+    """Uneven light taken out by the Gaussian of the reference (its own by default, after a median filter): x / fit * greatest of the fit - background."""
+    ref = self if ref is None else ref
+
+    def run(x, r):
+        out = np.empty(x.shape)
+        for i, (a, b) in enumerate(zip(x, r)):
+            p = filters.fit_gaussian(b, step)
+            fit = filters.gaussian_surface(b.shape, *p[:4])
+            out[i] = a / np.where(fit == 0, 1, fit) * fit.max() - p[1]
+        return out
+
+    return self.map_with(ref.median_filter(median_radius) if median_radius >= 1 else ref, run)
 
 
 @method

@@ -24,11 +24,13 @@ def label(self: ArrayFrame, *, connectivity: int | None = None, dims=None, uniqu
 def unique_labels(self: ArrayFrame) -> ArrayFrame:
     """Numbers of each array moved above those of the arrays before it.
 
-    Running sums in two steps: over blocks of the first batch axis (few rows),
-    and within each block, so that no task orders all arrays.
+    Running sums in two steps: over blocks of 4096 places in the order of all
+    batch axes (few rows), and within each block, so that no task orders all arrays.
     """
-    first, *_ = self.batch.names
-    block = F.expr(f"{first} div 4096")
+    place, sizes = F.lit(0).cast("long"), self.df.agg(*[F.max(b).alias(b) for b in self.batch.names]).first()
+    for b in self.batch.names:
+        place = place * (int(sizes[b] or 0) + 1) + F.col(b)
+    block = F.call_function("div", place, F.lit(4096))
     most = self.df.select(*self.batch.names, F.coalesce(F.array_max("data"), F.lit(0.0)).alias("_n")).withColumn("_b", block)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = most.groupBy("_b").agg(F.sum("_n").alias("_s")).select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_base"))

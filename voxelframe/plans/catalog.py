@@ -306,6 +306,10 @@ def _channels(a: ArrayFrame, axis: str, n: int) -> ArrayFrame:
 
 
 _MIX = [[1.0, 0.5], [0.0, 2.0]]
+add("reshape", lambda a: a.reshape("yx", (4, 16)), sql.query("SELECT p, ((y * 8 + x) // 16)::INT AS y, ((y * 8 + x) % 16)::INT AS x, v + 0.0 AS value FROM px"))
+add("pathprops", lambda a: a.pathprops([[[0, 0], [0, 7]], [[2, 3], [6, 3]]], ("mean", "max")), sql.query(
+    "SELECT p, n AS N, prop, round(CASE prop WHEN 'max' THEN m ELSE s / k END, 6) + 0.0 AS value FROM l CROSS JOIN (SELECT unnest(['mean', 'max']) AS prop)",
+    "l AS (SELECT p, 0::BIGINT AS n, max(v) AS m, sum(v) AS s, count(*) AS k FROM px WHERE y = 0 GROUP BY p UNION ALL SELECT p, 1::BIGINT, max(v), sum(v), count(*) FROM px WHERE x = 3 AND y BETWEEN 2 AND 6 GROUP BY p)"))
 add("unmix", lambda a: _channels(a, "c", 2).unmix(_MIX), sql.query("SELECT a.p, c::INT AS c, a.y, a.x, round(CASE c WHEN 0 THEN a.v ELSE (b.v - 0.5 * a.v) / 2 END, 6) + 0.0 AS value FROM px a JOIN px b ON b.p = a.p AND b.y = a.y + 4 AND b.x = a.x CROSS JOIN (SELECT unnest([0, 1]) AS c)"))
 _ST = "i AS (SELECT a.p, a.y, a.x, (a.v + b.v + c.v + d.v) / 2 + 10000 AS s0, a.v - c.v AS s1, b.v - d.v AS s2 FROM px a JOIN px b ON b.p = a.p AND b.x = a.x AND b.y = a.y + 2 JOIN px c ON c.p = a.p AND c.x = a.x AND c.y = a.y + 4 JOIN px d ON d.p = a.p AND d.x = a.x AND d.y = a.y + 6)"
 add("stokes_degree", lambda a: _channels(a + 5000, "a", 4).stokes()["dolp"], sql.query("SELECT p, y, x, round(sqrt(s1 * s1 + s2 * s2) / s0, 6) + 0.0 AS value FROM i", _ST))

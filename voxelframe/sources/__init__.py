@@ -2,7 +2,7 @@
 
 Parquet is the native format: one row per array, partitioned by batch axes if
 wanted, with the axes as metadata of the data column.  Array files (npy, npz,
-mrc) are read through Spark's binaryFile source, so any file system that Spark
+mrc, tif) are read through Spark's binaryFile source, so any file system that Spark
 knows will do; further formats are added with ``mark_reader``.
 """
 
@@ -12,6 +12,7 @@ import io
 import json
 import re
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..axes import Axes, AxesError, Axis, parse
+from ..bind import DataDict
 from ..frame import ArrayFrame
 
 Reader = Callable[[bytes], tuple[np.ndarray, str | None, dict[str, float]]]
@@ -113,11 +115,112 @@ def _to_mrc(array: np.ndarray, axes: Axes) -> bytes:
     return bytes(head) + x.tobytes()
 
 
+# Fixed values of the public TIFF layout: bytes of each field type, and kinds of samples.
+_FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 12: "d", 16: "Q"}
+_SAMPLE = {1: "u", 2: "i", 3: "f"}
+
+
+def _tiff_pages(data: bytes) -> tuple[str, list[dict[int, tuple]]]:
+    """Byte order and the fields of each page (classic and 64-bit files)."""
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if order is None:
+        raise ValueError("no TIFF file")
+    big = struct.unpack_from(order + "H", data, 2)[0] == 43
+    word, count, entry = ("Q", "Q", 20) if big else ("I", "H", 12)
+    at, pages = struct.unpack_from(order + word, data, 8 if big else 4)[0], []
+    while at:
+        n = struct.unpack_from(order + count, data, at)[0]
+        at += struct.calcsize(count)
+        fields = {}
+        for i in range(n):
+            tag, kind, k = struct.unpack_from(order + "HH" + word, data, at + entry * i)
+            if kind not in _FIELD:
+                continue
+            layout = f"{k}s" if kind == 2 else _FIELD[kind] * k
+            inline = at + entry * i + 4 + struct.calcsize(order + word)
+            size = struct.calcsize(order + layout)
+            where = inline if size <= struct.calcsize(order + word) else struct.unpack_from(order + word, data, inline)[0]
+            fields[tag] = struct.unpack_from(order + layout, data, where)
+        pages.append(fields)
+        at = struct.unpack_from(order + word, data, at + entry * n)[0]
+    return order, pages
+
+
+def _tiff_page(data: bytes, order: str, f: dict[int, tuple]) -> np.ndarray:
+    """One page: strips, plain or deflated, with or without horizontal differences."""
+    w, h, samples = f[256][0], f[257][0], f.get(277, (1,))[0]
+    bits, packed = f.get(258, (1,))[0], f.get(259, (1,))[0]
+    if 273 not in f or packed not in (1, 8, 32946) or bits % 8 or f.get(284, (1,))[0] != 1:
+        raise ValueError("only TIFF pages in strips of whole bytes, plain or deflated, are read")
+    raw = b"".join(data[a : a + n] if packed == 1 else zlib.decompress(data[a : a + n]) for a, n in zip(f[273], f[279]))
+    x = np.frombuffer(raw, f"{order}{_SAMPLE[f.get(339, (1,))[0]]}{bits // 8}", h * w * samples).reshape(h, w, samples)
+    x = x.astype(x.dtype.newbyteorder("="))
+    if f.get(317, (1,))[0] == 2:
+        x = np.cumsum(x, 1, dtype=x.dtype)
+    return x[..., 0] if samples == 1 else x
+
+
+@mark_reader(".tif", ".tiff")
+def _tiff(data: bytes):
+    """Pages as a stack; a description of lines like ``slices=4`` gives frames, slices and channels (tzc), spacing and unit scale."""
+    order, pages = _tiff_pages(data)
+    head = pages[0]
+    text = head.get(270, (b"",))[0].rstrip(b"\0").decode("utf-8", "replace")
+    known = dict(line.split("=", 1) for line in text.splitlines() if "=" in line)
+    first = _tiff_page(data, order, head)
+    n = int(known.get("images", len(pages)))
+    if len(pages) < n and head.get(259, (1,))[0] == 1:  # one page's fields, then all pages in a row
+        kind = first.dtype.newbyteorder(order)
+        x = np.frombuffer(data, kind, n * first.size, head[273][0]).astype(first.dtype).reshape(n, *first.shape)
+    else:
+        x = np.stack([first, *[_tiff_page(data, order, p) for p in pages[1:]]])
+    sizes = {a: int(known.get(k, 1)) for a, k in (("t", "frames"), ("z", "slices"), ("c", "channels"))}
+    if np.prod(list(sizes.values())) != len(x):
+        sizes = {"t": len(x), "z": 1, "c": 1}
+    names = [a for a, k in sizes.items() if k > 1]
+    x = x.reshape(*[sizes[a] for a in names], *first.shape)
+    colour = "c" if "c" not in names else "s"
+    scale = {a: head[tag][1] / head[tag][0] for a, tag in (("x", 282), ("y", 283)) if tag in head and head[tag][0] and known}
+    if "z" in names and "spacing" in known:
+        scale["z"] = float(known["spacing"])
+    return x, "".join(names) + "yx" + (colour if first.ndim == 3 else ""), scale
+
+
+@mark_writer(".tif", ".tiff")
+def _to_tiff(array: np.ndarray, axes: Axes) -> bytes:
+    """A page per plane in the order t, z, c, with sizes, spacing and resolution."""
+    names = axes.names
+    if not {"y", "x"} <= set(names) <= set("tzcyx"):
+        raise AxesError(f"a TIFF file holds the axes tzcyx with y and x, not {axes}")
+    array = array.astype({"u1": "u1", "u2": "u2", "b1": "u1"}.get(array.dtype.str[1:], "f4"))
+    array = array.transpose([names.index(a) for a in "tzcyx" if a in names])
+    size, scale = dict(zip([a for a in "tzcyx" if a in names], array.shape)), axes.scale
+    pages = array.reshape(-1, *array.shape[-2:])
+    text = "\n".join(["ImageJ=1.53", f"images={len(pages)}", f"channels={size.get('c', 1)}", f"slices={size.get('z', 1)}", f"frames={size.get('t', 1)}", "hyperstack=true", f"spacing={scale.get('z', 1.0)!r}", "unit=" + (axes["x"].unit or "pixel")])
+    note = text.encode("ascii", "replace") + b"\0"
+    bits, kind = array.dtype.itemsize * 8, 3 if array.dtype.kind == "f" else 1
+    steps = [(1_000_000, max(1, round(scale[a] * 1_000_000))) for a in "xy"]
+    fields, extra = 14, 8 + len(note) + 16
+    extra += extra % 2
+    ifd = 2 + 12 * fields + 4
+    pixels = extra + ifd * len(pages)
+    if pixels + array.nbytes >= 2**32:
+        raise ValueError("a TIFF file of 4 GB or more is not written")
+    out = bytearray(struct.pack("<2sHI", b"II", 42, extra) + note + struct.pack("<4I", *steps[0], *steps[1]))
+    out += bytes(extra - len(out))
+    h, w = pages.shape[1:]
+    for i in range(len(pages)):
+        rows = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, bits), (259, 3, 1, 1), (262, 3, 1, 1), (270, 2, len(note), 8), (273, 4, 1, pixels + i * pages[0].nbytes), (277, 3, 1, 1), (278, 4, 1, h), (279, 4, 1, pages[0].nbytes), (282, 5, 1, 8 + len(note)), (283, 5, 1, 16 + len(note)), (296, 3, 1, 1), (339, 3, 1, kind)]
+        out += struct.pack("<H", fields) + b"".join(struct.pack("<HHII", *r) for r in rows)
+        out += struct.pack("<I", extra + ifd * (i + 1) if i + 1 < len(pages) else 0)
+    return bytes(out) + pages.astype(pages.dtype.newbyteorder("<")).tobytes()
+
+
 # parquet -----------------------------------------------------------------------
 
 
 def imsave(frame: ArrayFrame, path: str, *, overwrite: bool = True, partition_by: str = "") -> None:
-    """Parquet, or one array file per batch position for a known ending (see ``write_files``)."""
+    """As parquet; ``write_file`` writes a small frame as an array file."""
     meta = {"space": str(frame.space), "shape": list(frame.shape), "dtype": frame.dtype, "name": frame.name, "axes": [[a.name, a.scale, a.unit, list(a.labels)] for a in frame.axes]}
     df = frame.df.withMetadata("data", {"voxelframe": json.dumps(meta)})
     writer = df.write.mode("overwrite" if overwrite else "errorifexists")
@@ -125,7 +228,12 @@ def imsave(frame: ArrayFrame, path: str, *, overwrite: bool = True, partition_by
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
-    """Axes, shape and type; no job is run."""
+    """Axes, shape and type: of a parquet frame from its schema, of an array file from its bytes."""
+    if any(path.rsplit("/", 1)[-1].endswith(e) for e in _READERS):
+        rows = spark.read.format("binaryFile").load(path).select("content").limit(1).collect()
+        array, axes, scale = _READERS[extension(path, _READERS)](bytes(rows[0]["content"]))
+        axes = Axes.of(axes or Axes.default(array.ndim)).scaled(scale)
+        return {"shape": list(array.shape), "dtype": str(array.dtype), "axes": [[a.name, a.scale, a.unit, list(a.labels)] for a in axes]}
     field = spark.read.parquet(path).schema["data"]
     return json.loads(field.metadata["voxelframe"])
 
@@ -197,6 +305,13 @@ def read_files(spark: SparkSession, path: str, axes: str | None = None) -> Array
     return ArrayFrame(df, names, space, array.shape, kind)
 
 
+def imread_collection(spark: SparkSession, pattern: str) -> DataDict:
+    """A frame for each file of a pattern, by its name without the ending; shapes may differ. Only names come to the driver here, contents stay with the tasks of each frame."""
+    ending = extension(pattern, _READERS)
+    paths = [r[0] for r in spark.read.format("binaryFile").load(pattern).select("path").orderBy("path").collect()]
+    return DataDict({p.rsplit("/", 1)[-1][: -len(ending)]: read_files(spark, p) for p in paths})
+
+
 def write_file(frame: ArrayFrame, path: str) -> None:
     """A small frame as one array file on the driver's file system."""
     ending = extension(path, _WRITERS)
