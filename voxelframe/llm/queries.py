@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, ngram_join, packing, quality_ordinal, quality_rules, substring_dedup, toxicity, warc
+from . import decontamination, filter_audit, language_id, line_dedup, ngram_join, packing, quality_ordinal, quality_rules, substring_dedup, toxicity, warc
 from .shared import small_batches
 
 #: Remainders of crc32(doc_id as text) that are held out of learning.
@@ -74,6 +74,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY sha1(h)) AS lead FROM p)
@@ -127,8 +131,31 @@ SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(ke
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
+#: Every order by brute force over the counts of each part's masks.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality IS NOT DISTINCT FROM 1)::INT) AS good, max((toxic IS NOT DISTINCT FROM 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+e AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  concat(CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+    CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN d.doc_id > e.least THEN 'E' END) AS failed
+  FROM d JOIN e USING (t) LEFT JOIN l ON l.doc_id = d.doc_id),
+x AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, failed),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT part, o, step, substr(o, step, 1) AS f, n, good, toxic, contains(failed, substr(o, step, 1)) AS fails, failed = substr(o, step, 1) AS alone,
+    step > 1 AND regexp_matches(failed, '[' || left(o, step - 1) || '_]') AS gone FROM x, o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, o AS filter_order, step::INT AS step, f,
+  coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (NOT gone AND fails), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails), 0)::BIGINT AS toxic_lost
+  FROM s GROUP BY part, o, step, f)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_warc_normaliser, op3_substring_dedup, op4_benchmark_decontamination, op5_quality_classifier, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_line_dedup, op10_quality_rules)
+    for f in (op1_language_id, op2_warc_normaliser, op3_substring_dedup, op4_benchmark_decontamination, op5_quality_classifier, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_line_dedup, op10_quality_rules, op11_filter_audit)
 }
-ORACLES: dict[str, str] = {"op2_warc_normaliser": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_warc_normaliser": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL}
