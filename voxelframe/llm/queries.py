@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, language_id, line_dedup, ngram_join, packing, quality_ordinal, quality_rules, substring_dedup, toxicity, warc
+from . import decontamination, filter_audit, language_id, line_dedup, ngram_join, packing, quality_ordinal, quality_rules, substring_dedup, toxicity, vector_codes, warc
 from .shared import small_batches
 
 #: Remainders of crc32(doc_id as text) that are held out of learning.
@@ -78,6 +78,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_read(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024.0)
+
+
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY sha1(h)) AS lead FROM p)
@@ -154,8 +158,32 @@ r AS (SELECT part, o AS filter_order, step::INT AS step, f,
 SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
 """
 
+
+
+def _op13_sql(rounds: int = 4) -> str:
+    """Every part against every entry, round by round; a table x of parts (vec_id, label, p, x) and books b0, b1, .. (p, e, x)."""
+    part = "list_transform(v[(p * len(v)) // 4 + 1:((p + 1) * len(v)) // 4], lambda c: floor(1024 * c)::BIGINT)"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, p, min(d * 256 + e) % 256 AS e, min(d * 256 + e) // 256 AS d FROM
+  (SELECT x.vec_id, x.p, b.e, list_sum(list_transform(list_zip(x.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN b{k} b USING (p)) GROUP BY vec_id, p)""")
+        if k < rounds:
+            steps.append(f"""u{k} AS (SELECT p, e, i, floor(sum(c)::DOUBLE / count(*))::BIGINT AS c FROM
+  (SELECT p, e, unnest(x.x) AS c, generate_subscripts(x.x, 1) AS i FROM a{k} JOIN x USING (vec_id, p)) GROUP BY p, e, i),
+b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.x, b.x) AS x FROM b{k} b LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS x FROM u{k} GROUP BY p, e) n USING (p, e))""")
+    return f"""
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c)))),
+x AS MATERIALIZED (SELECT vec_id, label, p, {part} AS x FROM v, (SELECT unnest(range(4)) AS p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM x WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256)),
+{", ".join(steps)},
+c AS (SELECT vec_id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT v.vec_id, code, error, (sum(error) OVER (PARTITION BY v.label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN c USING (vec_id), h
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_warc_normaliser, op3_substring_dedup, op4_benchmark_decontamination, op5_quality_classifier, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_line_dedup, op10_quality_rules, op11_filter_audit)
+    for f in (op1_language_id, op2_warc_normaliser, op3_substring_dedup, op4_benchmark_decontamination, op5_quality_classifier, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_line_dedup, op10_quality_rules, op11_filter_audit, op13_vector_codes)
 }
-ORACLES: dict[str, str] = {"op2_warc_normaliser": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL}
+ORACLES: dict[str, str] = {"op2_warc_normaliser": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL, "op13_vector_codes": _op13_sql()}
