@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, language_id, line_dedup, ngram_join, packing, quality_ordinal, quality_rules, substring_dedup, toxicity, vector_codes, warc
+from . import decontamination, embedding_dedup, filter_audit, language_id, line_dedup, ngram_join, packing, quality_ordinal, quality_rules, substring_dedup, toxicity, vector_codes, warc
 from .shared import small_batches
 
 #: Remainders of crc32(doc_id as text) that are held out of learning.
@@ -78,6 +78,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(_read(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024.0)
 
@@ -158,6 +162,17 @@ r AS (SELECT part, o AS filter_order, step::INT AS step, f,
 SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
 """
 
+#: Every pair.
+OP12_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL
+  AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c))) AND list_bool_or(list_transform(embedding, lambda c: c <> 0))),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+c AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.id),
+m AS (SELECT id, min(root) AS component_id FROM c GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN m ON m.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
 
 
 def _op13_sql(rounds: int = 4) -> str:
@@ -184,6 +199,6 @@ SELECT v.vec_id, code, error, (sum(error) OVER (PARTITION BY v.label))::BIGINT A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_warc_normaliser, op3_substring_dedup, op4_benchmark_decontamination, op5_quality_classifier, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_line_dedup, op10_quality_rules, op11_filter_audit, op13_vector_codes)
+    for f in (op1_language_id, op2_warc_normaliser, op3_substring_dedup, op4_benchmark_decontamination, op5_quality_classifier, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_line_dedup, op10_quality_rules, op11_filter_audit, op12_embedding_near_dedup, op13_vector_codes)
 }
-ORACLES: dict[str, str] = {"op2_warc_normaliser": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL, "op13_vector_codes": _op13_sql()}
+ORACLES: dict[str, str] = {"op2_warc_normaliser": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_embedding_near_dedup": OP12_SQL, "op13_vector_codes": _op13_sql()}
