@@ -126,7 +126,8 @@ def vector_codes(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds:
     least = rows.orderBy(*ranked).limit(1).collect()
     width = len(least[0]["v"]) if least else 0
     rows = rows.where(F.size("v") == width)
-    start = np.array([r["v"] for r in rows.orderBy(*ranked).limit(entries).select("v").collect()], float).reshape(-1, width)
+    start = [r["v"] for r in rows.orderBy(*ranked).limit(entries).select("v").collect()]
+    start = np.array(start, float).reshape(len(start), width)
     padded = -(-width // parts) * parts
     books = np.zeros((len(start), padded), np.int64)
     books[:, :width] = whole(start, scale)
