@@ -286,8 +286,7 @@ def histogram(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return counts.astype(float), (at[1:] + at[:-1]) / 2
 
 
-def otsu(v):
-    n, c = histogram(v)
+def otsu(n, c):
     w1, w2 = np.cumsum(n), np.cumsum(n[::-1])[::-1]
     m1 = np.cumsum(n * c) / w1
     m2 = (np.cumsum((n * c)[::-1]) / w2[::-1])[::-1]
@@ -295,8 +294,7 @@ def otsu(v):
     return float(c[np.round(between, 3).argmax()]) if len(between) else float(c[0])
 
 
-def yen(v):
-    n, c = histogram(v)
+def yen(n, c):
     p = n / n.sum()
     below = np.cumsum(p)
     sq, rest = np.cumsum(p**2), np.cumsum((p**2)[::-1])[::-1]
@@ -305,8 +303,7 @@ def yen(v):
     return float(c[np.nan_to_num(crit, nan=-np.inf, posinf=-np.inf).argmax()]) if len(crit) else float(c[0])
 
 
-def isodata(v):
-    n, c = histogram(v)
+def isodata(n, c):
     low, high = np.cumsum(n), np.cumsum(n[::-1])[::-1] - n
     total = np.cumsum(n * c)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -334,8 +331,7 @@ def li(v, steps=1000):
     return float(t + low)
 
 
-def triangle(v):
-    n, c = histogram(v)
+def triangle(n, c):
     peak, lo, hi = n.argmax(), np.flatnonzero(n)[0], np.flatnonzero(n)[-1]
     if lo == hi:
         return float(c[lo])
@@ -348,8 +344,7 @@ def triangle(v):
     return float(c[len(n) - 1 - level if flip else level])
 
 
-def minimum_between_modes(v, steps=10000):
-    n, c = histogram(v)
+def minimum_between_modes(n, c, steps=10000):
     for _ in range(steps):
         peaks = [i for i in range(len(n)) if (i == 0 or n[i] > n[i - 1]) and (i == len(n) - 1 or n[i] >= n[i + 1])]
         if len(peaks) <= 2:
@@ -360,7 +355,9 @@ def minimum_between_modes(v, steps=10000):
     return float(c[peaks[0] + n[peaks[0] : peaks[1] + 1].argmin()])
 
 
-THRESHOLDS: dict[str, Callable[[np.ndarray], float]] = {"otsu": otsu, "yen": yen, "isodata": isodata, "li": li, "triangle": triangle, "minimum": minimum_between_modes, "mean": lambda v: float(v.mean())}
+#: From counts and bin centres.
+OF_HISTOGRAM: dict[str, Callable[[np.ndarray, np.ndarray], float]] = {"otsu": otsu, "yen": yen, "isodata": isodata, "triangle": triangle, "minimum": minimum_between_modes}
+THRESHOLDS: dict[str, Callable[[np.ndarray], float]] = {"li": li, "mean": lambda v: float(v.mean()), **{k: (lambda v, f=f: f(*histogram(v))) for k, f in OF_HISTOGRAM.items()}}
 
 
 def threshold(x: np.ndarray, how: float | str = "otsu", **options) -> np.ndarray:

@@ -1,5 +1,6 @@
 """Operators; importing this package gives array frames their methods."""
 
+from .. import chunks
 from . import correlation, image, points, segment
 
-__all__ = ["correlation", "image", "points", "segment"]
+__all__ = ["chunks", "correlation", "image", "points", "segment"]

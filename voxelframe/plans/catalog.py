@@ -358,3 +358,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["flagship"] = flagship
+
+from . import large  # noqa: E402,F401  (adds its queries to the same tables)
