@@ -275,6 +275,76 @@ class ChunkedFrame:
         kernel, kind = _kernel(name, args, options, self.space, self.dtype)
         return self.map_overlap(kernel, depth, boundary, kind)
 
+    # slices ----------------------------------------------------------------------
+
+    def isel(self, **keys) -> ChunkedFrame:
+        """Places, lists or slices on batch axes; slices without a step on spatial ones, which leave out chunks before any are opened."""
+        batch = {k: keys.pop(k) for k in self.batch.names if k in keys}
+        out = self
+        if batch:
+            rows = ArrayFrame(self.df, [*self.batch, *self._index], "#", (1,)).isel(**batch)
+            kept = Axes(tuple(a for a in rows.batch if a.name not in self._index))
+            out = ChunkedFrame(rows.df, kept, self.space, self.grid.shape, self.grid.chunks, self.dtype)
+        region, space = [], []
+        for a, n in zip(self.space, self.grid.shape):
+            k = keys.pop(a.name, slice(None))
+            if not isinstance(k, slice) or k.step not in (None, 1):
+                raise AxesError(f"axis {a} of chunks is sliced without a step")
+            region.append((start := k.indices(n)[0], max(start, k.indices(n)[1])))
+            space.append(a.sliced(k))
+        if keys:
+            raise AxesError(f"axes {', '.join(keys)} are not among {self.batch}{self.space}")
+        if any(b <= a for a, b in region):
+            raise AxesError("a slice of chunks holds one place at least")
+        return out._recut(region, self.grid.chunks, space) if region != [(0, n) for n in self.grid.shape] else out
+
+    def rechunk(self, chunks: int | Sequence[int]) -> ChunkedFrame:
+        """Chunks of another size, by one shuffle of the parts that they share."""
+        sizes = tuple(min(int(c), n) for c, n in zip(np.broadcast_to(chunks, len(self.space)), self.grid.shape))
+        return self._recut([(0, n) for n in self.grid.shape], sizes, list(self.space))
+
+    def _recut(self, region: list[tuple[int, int]], chunks: Sequence[int], space: list) -> ChunkedFrame:
+        old, new, k = self.grid, Grid(tuple(b - a for a, b in region), tuple(min(c, b - a) for c, (a, b) in zip(chunks, region))), len(self.space)
+        df = self.df
+        for c, size, (a, b) in zip(self._index, old.chunks, region):
+            df = df.where((F.col(c) >= a // size) & (F.col(c) <= (b - 1) // size))
+
+        def parts(*columns: pa.Array) -> pa.Array:
+            targets, boxes, values, count = [], [], [], [0]
+            for i, at in enumerate(np.stack([c.to_numpy() for c in columns[:k]], 1)):
+                x = _row(columns[k], i).reshape(old.size(at))
+                spans = [(max(a, lo), min(b, hi), lo) for (lo, hi), (a, b) in zip(old.region(at), region)]
+                for target in itertools.product(*[range((s - a) // c, -(-(e - a) // c)) for (s, e, _), (a, _), c in zip(spans, region, new.chunks)]):
+                    box = [(max(s - a, t * c), min(e - a, (t + 1) * c)) for (s, e, _), (a, _), c, t in zip(spans, region, new.chunks, target)]
+                    targets.append(np.array(target))
+                    boxes.append(np.array(box).ravel())
+                    values.append(x[tuple(slice(p + a - lo, q + a - lo) for (p, q), (a, _), (_, _, lo) in zip(box, region, spans))].ravel())
+                count.append(len(targets))
+            rows = pa.StructArray.from_arrays([_lists(targets, pa.int32()), _lists(boxes, pa.int32()), _lists(values, pa.float64())], ["target", "box", "values"])
+            return pa.ListArray.from_arrays(np.array(count, np.int32), rows)
+
+        def put(*columns: pa.Array) -> pa.Array:
+            out, fields = [], columns[k].values
+            boxes, values = fields.field("box"), fields.field("values")
+            for i, at in enumerate(np.stack([c.to_numpy() for c in columns[:k]], 1)):
+                x, base = np.zeros(new.size(at)), [a for a, _ in new.region(at)]
+                for j in range(columns[k].offsets[i].as_py(), columns[k].offsets[i + 1].as_py()):
+                    part = tuple(slice(a - c, b - c) for (a, b), c in zip(_row(boxes, j).reshape(-1, 2), base))
+                    x[part] = _row(values, j).reshape([s.stop - s.start for s in part])
+                out.append(x.ravel())
+            return _lists(out, pa.float64())
+
+        sent = df.select(*self.batch.names, F.explode(column_function(parts, STRIP)(*self._index, "data")).alias("_part"))
+        target = [F.col("_part.target")[i].alias(c) for i, c in enumerate(self._index)]
+        met = sent.select(*self.batch.names, *target, "_part")
+        aligned = new.chunks == old.chunks and all(a % c == 0 for (a, _), c in zip(region, old.chunks))
+        if aligned:  # every part is a chunk of its own
+            out = met.select(*self.keys, F.col("_part.values").alias("data"))
+        else:
+            grouped = met.groupBy(*self.keys).agg(F.collect_list("_part").alias("_parts"))
+            out = grouped.select(*self.keys, column_function(put, "array<double>")(*self._index, "_parts").alias("data"))
+        return ChunkedFrame(out, self.batch, space, new.shape, new.chunks, self.dtype)
+
     # whole arrays ---------------------------------------------------------------
 
     def _to_chunks(self, table: DataFrame) -> DataFrame:

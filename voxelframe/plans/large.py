@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
+from .. import graph
 from ..functions import filters
+from ..sources import zarr
 from . import sql
 from .catalog import SHEET, add_table, sheets
 
@@ -40,3 +44,15 @@ _LABELS = (
     "n AS (SELECT p, i, dense_rank() OVER (PARTITION BY p ORDER BY root) AS id FROM (SELECT p, i, min(root) AS root FROM c GROUP BY p, i))",
 )
 add_table("chunked_label", lambda s, d: chunked(s, d).threshold(120.5).label(1).pixels(), on_sheets("SELECT w.p, y, x, coalesce(id, 0)::DOUBLE AS value FROM whole w LEFT JOIN n ON n.p = w.p AND n.i = w.y * 64 + w.x", *_LABELS, recursive=True))
+
+
+def stored(spark, sf_dir, key=None):
+    """The sheets written to a chunk store in the shared folder, and (a slice of them) read back."""
+    path = f"{graph.shared_folder(spark)}/sheets-{uuid.uuid4().hex}.zarr"
+    zarr.write(sheets(spark, sf_dir), path, CHUNKS)
+    return zarr.read(spark, path, key)
+
+
+add_table("zarr_round_trip", lambda s, d: stored(s, d).pixels(), on_sheets(_PIXELS + "whole"))
+add_table("zarr_slice", lambda s, d: stored(s, d, "y=30:100;x=10:64").pixels(), on_sheets("SELECT p, (y - 30)::INT AS y, (x - 10)::INT AS x, round(v, 6) + 0.0 AS value FROM whole WHERE y >= 30 AND y < 100 AND x >= 10"))
+add_table("chunked_rechunk", lambda s, d: chunked(s, d).rechunk((50, 64)).apply("max_filter", 1, depth=1).pixels(), on_sheets(_PIXELS + "m", "m AS (SELECT c.p, c.y, c.x, max(s.v) AS v FROM whole c JOIN whole s ON s.p = c.p AND abs(s.y - c.y) + abs(s.x - c.x) <= 1 GROUP BY c.p, c.y, c.x)"))

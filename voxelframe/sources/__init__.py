@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..axes import Axes, AxesError, Axis, parse
 from ..bind import DataDict
+from ..chunks import ChunkedFrame
 from ..frame import ArrayFrame
 
 Reader = Callable[[bytes], tuple[np.ndarray, str | None, dict[str, float]]]
@@ -220,7 +221,11 @@ def _to_tiff(array: np.ndarray, axes: Axes) -> bytes:
 
 
 def imsave(frame: ArrayFrame, path: str, *, overwrite: bool = True, partition_by: str = "") -> None:
-    """As parquet; ``write_file`` writes a small frame as an array file."""
+    """As parquet, or as a chunk store (``.zarr``); ``write_file`` writes a small frame as an array file."""
+    if path.rstrip("/").endswith(".zarr"):
+        from . import zarr
+
+        return zarr.write(frame, path, overwrite=overwrite)
     meta = {"space": str(frame.space), "shape": list(frame.shape), "dtype": frame.dtype, "name": frame.name, "axes": [[a.name, a.scale, a.unit, list(a.labels)] for a in frame.axes]}
     df = frame.df.withMetadata("data", {"voxelframe": json.dumps(meta)})
     writer = df.write.mode("overwrite" if overwrite else "errorifexists")
@@ -228,7 +233,11 @@ def imsave(frame: ArrayFrame, path: str, *, overwrite: bool = True, partition_by
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
-    """Axes, shape and type: of a parquet frame from its schema, of an array file from its bytes."""
+    """Axes, shape and type: of a parquet frame from its schema, of a chunk store from its description, of an array file from its bytes."""
+    if path.rstrip("/").endswith(".zarr"):
+        from . import zarr
+
+        return zarr.meta(path)
     if any(path.rsplit("/", 1)[-1].endswith(e) for e in _READERS):
         rows = spark.read.format("binaryFile").load(path).select("content").limit(1).collect()
         array, axes, scale = _READERS[extension(path, _READERS)](bytes(rows[0]["content"]))
@@ -239,7 +248,9 @@ def read_meta(spark: SparkSession, path: str) -> dict:
 
 
 def imread(spark: SparkSession, path: str, key: str | None = None) -> ArrayFrame:
-    """A parquet frame, or array files by their ending; ``key`` is a slice that is pushed into the scan where it is on batch axes."""
+    """A parquet frame, a chunk store (``.zarr``), or array files by their ending; ``key`` is a slice that is pushed into the scan where it is on batch axes (in a chunk store on all)."""
+    if path.rstrip("/").endswith(".zarr"):
+        return big_imread(spark, path, key).to_frame()
     try:
         extension(path, _READERS)
     except ValueError:
@@ -253,6 +264,20 @@ def imread(spark: SparkSession, path: str, key: str | None = None) -> ArrayFrame
     return frame if key is None else frame.isel(**parse(key, frame.sizes(key)))
 
 
+def big_imread(spark: SparkSession, path: str, key: str | None = None, chunks: int | tuple[int, ...] = 1024) -> ChunkedFrame:
+    """In chunks: those of a chunk store, or whole rows cut in the tasks that read them."""
+    if path.rstrip("/").endswith(".zarr"):
+        from . import zarr
+
+        return zarr.read(spark, path, key)
+    return imread(spark, path, key).rechunk(chunks)
+
+
+def roiread(spark: SparkSession, path: str, box: dict[str, tuple[int, int]]) -> ArrayFrame:
+    """Only a box of spatial axes: ``roiread(spark, path, {"y": (10, 50), "x": (0, 20)})``. Of a chunk store only the chunks in it are opened."""
+    return imread(spark, path, ";".join(f"{a}={lo}:{hi}" for a, (lo, hi) in box.items()))
+
+
 def _file_batches(ending: str, shape: list[int], names: int):
     read = _READERS[ending]
 
