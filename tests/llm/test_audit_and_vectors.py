@@ -160,9 +160,12 @@ def test_estimates_and_recall(width, places):
     e /= np.linalg.norm(e, axis=1, keepdims=True)
     plan = embedding_dedup.Plan(0.9, *places, 4.5, 7)
     (left, k), (right, m) = embedding_dedup.encode(a, plan), embedding_dedup.encode(0.9 * a + np.sqrt(0.19) * e, plan)
-    found = [np.diag(v) for v in embedding_dedup.estimates(left, right, width, plan)]
-    assert abs(found[0].mean() - 0.9) < 0.01 and (0.7 if width < 64 else 0.85) < found[0].std() / found[1].mean() < 1.15
-    assert (found[0] + 4.5 * found[1] >= 0.9).all()
+    codes = embedding_dedup.Codes.of(np.concatenate([left, right]), width, plan)
+    value = np.concatenate([np.diag(codes.cosines(slice(s, s + 500), slice(s + 3000, s + 3500))) for s in range(0, 3000, 500)])
+    spread = codes.spread(np.arange(3000), np.arange(3000, 6000), 0.9)
+    assert abs(value.mean() - 0.9) < 0.01 and (0.7 if width < 64 else 0.85) < value.std() / spread.mean() < 1.15
+    assert (value + 4.5 * spread >= 0.9).all()
+    assert plan.width(int(k[0, 0]), left.dtype.itemsize) == width
     assert (k[:, :, None] == m[:, None, :]).any(axis=(1, 2)).mean() > 0.97
 
 

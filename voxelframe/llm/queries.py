@@ -79,11 +79,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
 
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_codes.vector_codes(_read(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024.0)
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=4, entries=256, rounds=4, scale=1024.0)
 
 
 OP2_SQL = """
