@@ -1,6 +1,6 @@
 """Operators; importing this package gives array frames their methods."""
 
-from .. import chunks
+from .. import chunks, covariates
 from . import correlation, image, points, segment
 
-__all__ = ["chunks", "correlation", "image", "points", "segment"]
+__all__ = ["chunks", "covariates", "correlation", "image", "points", "segment"]

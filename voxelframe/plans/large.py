@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from .. import graph
+from ..covariates import Rois
 from ..functions import filters
 from ..sources import zarr
 from . import sql
-from .catalog import SHEET, add_table, sheets
+from .catalog import SHEET, add_table, images, labels_of, sheets
 
 WHOLE = "whole AS (SELECT p, y::INT AS y, x::INT AS x, coalesce(v, 0) AS v FROM (SELECT DISTINCT p FROM sheet) CROSS JOIN (SELECT unnest(range(128)) AS y) CROSS JOIN (SELECT unnest(range(64)) AS x) LEFT JOIN sheet USING (p, y, x))"
 CHUNKS = (48, 40)
@@ -56,3 +59,21 @@ def stored(spark, sf_dir, key=None):
 add_table("zarr_round_trip", lambda s, d: stored(s, d).pixels(), on_sheets(_PIXELS + "whole"))
 add_table("zarr_slice", lambda s, d: stored(s, d, "y=30:100;x=10:64").pixels(), on_sheets("SELECT p, (y - 30)::INT AS y, (x - 10)::INT AS x, round(v, 6) + 0.0 AS value FROM whole WHERE y >= 30 AND y < 100 AND x >= 10"))
 add_table("chunked_rechunk", lambda s, d: chunked(s, d).rechunk((50, 64)).apply("max_filter", 1, depth=1).pixels(), on_sheets(_PIXELS + "m", "m AS (SELECT c.p, c.y, c.x, max(s.v) AS v FROM whole c JOIN whole s ON s.p = c.p AND abs(s.y - c.y) + abs(s.x - c.x) <= 1 GROUP BY c.p, c.y, c.x)"))
+
+# labels and regions ------------------------------------------------------------------
+
+
+def annotated(spark, sf_dir):
+    """Each image with its positive pixels as labels, a line of its own and a point on every image."""
+    a = images(spark, sf_dir)
+    own = labels_of(spark, sf_dir).select(F.col("p").alias("roi"), F.lit("line").alias("kind"), "p", F.expr("array(array(label * 0.5, 1.0), array(3.0, label * 1.0))").alias("points"))
+    every = own.limit(0).union(own.sparkSession.range(1).select(F.lit(-1).cast("bigint"), F.lit("point"), F.lit(None).cast("int"), F.expr("array(array(2.0, 5.0))")))
+    return a.annotate((a > 60).map(lambda x: x, "int64"), Rois(own.union(every), "p", "yx"))
+
+
+_VERTICES = "r AS (SELECT vec_id AS roi, 'line' AS kind, vec_id AS p, k AS vertex, CASE k WHEN 0 THEN label * 0.5 ELSE 3.0 END AS y, CASE k WHEN 0 THEN 1.0 ELSE label END AS x FROM embeddings CROSS JOIN (SELECT unnest([0, 1]) AS k) UNION ALL SELECT -1, 'point', NULL, 0, 2.0, 5.0)"
+add_table("roi_slice", lambda s, d: annotated(s, d).isel(p=slice(4, 200, 3), y=slice(2, 7), x=slice(7, 0, -2)).rois.vertices().fillna(-1, ["p"]), f"WITH {_VERTICES} SELECT roi, kind, coalesce((p - 4) // 3, -1)::INT AS p, vertex::INT AS vertex, (y - 2)::DOUBLE AS y, ((x - 7) / -2 + 0.0)::DOUBLE AS x FROM r WHERE p IS NULL OR (p >= 4 AND p < 200 AND (p - 4) % 3 = 0)")
+add_table("roi_place", lambda s, d: annotated(s, d)["p=17;x=3:8"].rois.vertices(), f"WITH {_VERTICES} SELECT roi, kind, vertex::INT AS vertex, y::DOUBLE AS y, (x - 3)::DOUBLE AS x FROM r WHERE p IS NULL OR p = 17")
+add_table("labels_slice", lambda s, d: (annotated(s, d) + 1)["y=2:7;x=1:8:3"].labels.pixels(), sql.query("SELECT p, (y - 2)::INT AS y, ((x - 1) // 3)::INT AS x, (v > 60)::INT::DOUBLE AS value FROM px WHERE y BETWEEN 2 AND 6 AND x % 3 = 1"))
+add_table("labels_proj", lambda s, d: images(s, d).annotate((images(s, d).reduce("mean", "p") > 0).map(lambda x: x, "int64")).projection("p", "max").labels.pixels(), sql.query("SELECT y, x, (avg(v) > 0)::INT::DOUBLE AS value FROM px GROUP BY y, x"))
+add_table("labels_measure", lambda s, d: annotated(s, d).regionprops(("area", "intensity_mean")), sql.query("SELECT p, 0::BIGINT AS N, prop, round(CASE prop WHEN 'area' THEN n ELSE m END, 6) + 0.0 AS value FROM (SELECT p, count(*) AS n, avg(v) AS m FROM px WHERE v > 60 GROUP BY p) CROSS JOIN (SELECT unnest(['area', 'intensity_mean']) AS prop)"))
