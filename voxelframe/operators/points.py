@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import graph
 from ..axes import parse
 
 
@@ -118,21 +119,86 @@ def _link_series(frame: pd.DataFrame, axes: list[str], reach: float, memory: int
     return out
 
 
-def link(points: DataFrame, reach: float, *, memory: int = 0, least: int = 0, by: list[str] | None = None) -> DataFrame:
-    """Tracks from points: N is unique within the series that ``by`` names (all points are one series without it).
+def _candidates(points: DataFrame, axes: list[str], reach: float, memory: int, keys: list[str]) -> DataFrame:
+    """Pairs (src, dst, _gap, _d) of points of later frames within reach: a point looks into the cells around its own, one frame after the other."""
+    cell = {a: F.floor(F.col(a) / float(reach)).cast("long") for a in axes}
+    there = points.select(*keys, F.col("t").alias("_t"), F.col("_id").alias("dst"), *[F.col(a).alias(f"_{a}") for a in axes], *[cell[a].alias(f"_c{a}") for a in axes])
+    here = points.select(*keys, "t", F.col("_id").alias("src"), *axes, F.explode(F.sequence(F.lit(1), F.lit(memory + 1))).alias("_gap"), *[cell[a].alias(f"_o{a}") for a in axes])
+    for a in axes:
+        here = here.withColumn(f"_c{a}", F.explode(F.sequence(F.col(f"_o{a}") - 1, F.col(f"_o{a}") + 1))).drop(f"_o{a}")
+    here = here.withColumn("_t", F.col("t") + F.col("_gap"))
+    d = F.sqrt(sum((F.pow(F.col(a) - F.col(f"_{a}"), 2) for a in axes), F.lit(0.0)))
+    return here.join(there, [*keys, "_t", *[f"_c{a}" for a in axes]]).select("src", "dst", "_gap", d.alias("_d")).where(F.col("_d") <= float(reach))
+
 
-    A series is ordered in time and handled by one task; independent series
-    (positions, channels, tiles) run side by side.
+def _assigned(pairs: DataFrame) -> DataFrame:
+    """src and dst of the pairs that nearest-first assignment from frame to frame takes.
+
+    A point takes the first frame that it can, there the nearest free point; a
+    point is taken by its nearest.  A pair that is first on both sides is final,
+    and all others of its points go; rounds of this end with the assignment that
+    goes through the frames one after the other, as the least pair that is left is
+    always first on both sides.
+    """
+    taken = None
+    pairs = graph.settled(pairs)
+    while not pairs.isEmpty():
+        out = pairs.groupBy("src").agg(F.min(F.struct("_gap", "_d", "dst")).alias("_out"))
+        into = pairs.groupBy("dst").agg(F.min(F.struct("_d", "src")).alias("_in"))
+        first = out.select("src", F.col("_out.dst").alias("dst")).join(into.select("dst", F.col("_in.src").alias("src")), ["src", "dst"])
+        first = graph.settled(first)
+        pairs = graph.settled(pairs.join(first.select("src"), "src", "left_anti").join(first.select("dst"), "dst", "left_anti"))
+        taken = first if taken is None else taken.union(first)
+    return pairs.select("src", "dst") if taken is None else taken
+
+
+def _roots(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """_id and _root, the first point of each one's track: pointers to the point before are doubled until all are at the start."""
+    links = graph.settled(links)
+    now = graph.settled(ids.join(links.select(F.col("dst").alias("_id"), F.col("src").alias("_root")), "_id", "left").select("_id", F.coalesce("_root", "_id").alias("_root")))
+    while True:
+        up = now.select(F.col("_id").alias("_root"), F.col("_root").alias("_next"))
+        new = graph.settled(now.join(up, "_root").select("_id", F.col("_next").alias("_root"), (F.col("_next") != F.col("_root")).alias("_moved")))
+        now = new.select("_id", "_root")
+        if new.where("_moved").isEmpty():
+            return now
+
+
+def _link_all(points: DataFrame, axes: list[str], reach: float, memory: int) -> DataFrame:
+    numbered = graph.settled(points.withColumn("_id", F.monotonically_increasing_id()))
+    sound = numbered.where(" and ".join(f"{c} is not null" for c in ("t", *axes)))
+    roots = _roots(numbered.select("_id"), _assigned(_candidates(sound, axes, reach, memory, [])))
+    placed = numbered.join(roots, "_id")
+    starts = placed.where("_id = _root").select("_root", "t", *axes)
+    before = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)  # a row per frame
+    frames = starts.groupBy("t").agg(F.count("*").alias("_n")).select(F.col("t").alias("_ft"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("t").orderBy(*axes, "_root"))
+    numbers = starts.withColumn("_k", within).join(frames, F.col("t").eqNullSafe(F.col("_ft"))).select("_root", (F.col("_base") + F.col("_k") - 1).cast("long").alias("N"))
+    return placed.join(numbers, "_root").select(*points.columns, "N")
+
+
+def link(points: DataFrame, reach: float, *, memory: int = 0, least: int = 0, by: list[str] | None = None) -> DataFrame:
+    """Tracks from points: N is unique within the series that ``by`` names (all points are one series without it), in the order of first frames and coordinates.
+
+    From frame to frame nearest pairs are taken first (of equal ones any); a
+    point that finds none within reach is looked for in ``memory`` more frames.
+    Series are handled by a task each and run side by side.  Without series all
+    frames are linked at once: candidates come from a join by cells of the
+    reach's size, assignment is rounds of mutual first choices, and steps are
+    joined to tracks by pointer doubling.
     """
     by, axes = list(by or []), _space(points)
-    schema = T.StructType([*points.schema.fields, T.StructField("N", T.LongType())])
+    if not by:
+        out = _link_all(points, axes, reach, memory)
+    else:
+        schema = T.StructType([*points.schema.fields, T.StructField("N", T.LongType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", *axes], kind="stable").reset_index(drop=True)
-        pdf["N"] = _link_series(pdf, axes, reach, memory)
-        return pdf
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["t", *axes], kind="stable").reset_index(drop=True)
+            pdf["N"] = _link_series(pdf, axes, reach, memory)
+            return pdf
 
-    out = points.groupBy(*by).applyInPandas(run, schema)
+        out = points.groupBy(*by).applyInPandas(run, schema)
     if least:
         long = out.groupBy(*by, "N").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
         out = out.join(long, [*by, "N"], "left_semi")

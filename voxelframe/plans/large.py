@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import graph
 from ..covariates import Rois
 from ..functions import filters
+from ..operators import points, temporal
 from ..sources import zarr
 from . import sql
 from .catalog import SHEET, add_table, images, labels_of, sheets
@@ -77,3 +78,46 @@ add_table("roi_place", lambda s, d: annotated(s, d)["p=17;x=3:8"].rois.vertices(
 add_table("labels_slice", lambda s, d: (annotated(s, d) + 1)["y=2:7;x=1:8:3"].labels.pixels(), sql.query("SELECT p, (y - 2)::INT AS y, ((x - 1) // 3)::INT AS x, (v > 60)::INT::DOUBLE AS value FROM px WHERE y BETWEEN 2 AND 6 AND x % 3 = 1"))
 add_table("labels_proj", lambda s, d: images(s, d).annotate((images(s, d).reduce("mean", "p") > 0).map(lambda x: x, "int64")).projection("p", "max").labels.pixels(), sql.query("SELECT y, x, (avg(v) > 0)::INT::DOUBLE AS value FROM px GROUP BY y, x"))
 add_table("labels_measure", lambda s, d: annotated(s, d).regionprops(("area", "intensity_mean")), sql.query("SELECT p, 0::BIGINT AS N, prop, round(CASE prop WHEN 'area' THEN n ELSE m END, 6) + 0.0 AS value FROM (SELECT p, count(*) AS n, avg(v) AS m FROM px WHERE v > 60 GROUP BY p) CROSS JOIN (SELECT unnest(['area', 'intensity_mean']) AS prop)"))
+
+# points and times ----------------------------------------------------------------------
+
+
+def spots(spark, sf_dir):
+    """Fifty events a frame as points."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return df.select(F.expr("cast(event_id div 50 as int)").alias("t"), F.col("value").alias("y"), (F.col("user_id") * 1.0 + F.length("event_type") * 0.37).alias("x"), "event_id")
+
+
+def _linked(rounds: int, reach: float, memory: int) -> str:
+    """Rounds of mutual first choices, as many as the tables need at most (the last must be empty), then tracks by their first points."""
+    steps = [f"q0 AS MATERIALIZED (SELECT a.event_id AS src, b.event_id AS dst, b.t - a.t AS gap, sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS d FROM pt a JOIN pt b ON b.t > a.t AND b.t <= a.t + {memory + 1} AND abs(a.y - b.y) <= {reach} AND abs(a.x - b.x) <= {reach} WHERE sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) <= {reach})"]
+    for k in range(rounds):
+        steps.append(f"f{k} AS MATERIALIZED (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY gap, d, dst) AS i, row_number() OVER (PARTITION BY dst ORDER BY d, src) AS j FROM q{k}) WHERE i = 1 AND j = 1)")
+        steps.append(f"q{k + 1} AS MATERIALIZED (SELECT * FROM q{k} WHERE src NOT IN (SELECT src FROM f{k}) AND dst NOT IN (SELECT dst FROM f{k}))")
+    links = " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(rounds))
+    return (
+        f"WITH RECURSIVE pt AS (SELECT (event_id // 50)::INT AS t, value AS y, user_id * 1.0 + length(event_type) * 0.37 AS x, event_id FROM events), {', '.join(steps)}, l AS MATERIALIZED ({links}), "
+        "c AS (SELECT event_id AS id, event_id AS root FROM pt WHERE event_id NOT IN (SELECT dst FROM l) UNION ALL SELECT l.dst, c.root FROM c JOIN l ON l.src = c.id), "
+        "n AS (SELECT event_id AS root, row_number() OVER (ORDER BY t, y, x, event_id) - 1 AS N FROM pt WHERE event_id NOT IN (SELECT dst FROM l)) "
+        f"SELECT pt.event_id, n.N, (SELECT count(*) FROM q{rounds})::BIGINT AS open FROM pt JOIN c ON c.id = pt.event_id JOIN n USING (root)"
+    )
+
+
+add_table("link_tracks", lambda s, d: points.link(spots(s, d), 4.0, memory=1).select("event_id", "N", F.lit(0).cast("bigint").alias("open")), _linked(14, 4.0, 1))
+
+
+def _events(spark, sf_dir, kind):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") == kind).select("event_id", "user_id", "ts", "value")
+
+
+add_table("as_of_join", lambda s, d: temporal.as_of_join(_events(s, d, "purchase"), _events(s, d, "view"), "ts", ["user_id"], rows_each=500).select("event_id", "user_id", F.coalesce("event_id_right", F.lit(-1)).alias("seen"), F.coalesce("value_right", F.lit(-1.0)).alias("value")), "SELECT a.event_id, a.user_id, coalesce(b.event_id, -1) AS seen, round(coalesce(b.value, -1), 6) + 0.0 AS value FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.ts >= b.ts")
+add_table("as_of_tolerance", lambda s, d: temporal.as_of_join(_events(s, d, "purchase"), _events(s, d, "view"), "ts", ["user_id"], tolerance=86400.0, rows_each=500).select("event_id", F.coalesce("event_id_right", F.lit(-1)).alias("seen")), "SELECT a.event_id, CASE WHEN epoch_us(a.ts) - epoch_us(b.ts) <= 86400000000 THEN b.event_id ELSE -1 END AS seen FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.ts >= b.ts")
+
+
+def _visits(spark, sf_dir):
+    """Half a day after every sign-up of a user."""
+    df = _events(spark, sf_dir, "signup")
+    return df.select(F.col("event_id").alias("visit"), "user_id", F.col("ts").alias("start"), F.expr("ts + interval 12 hours").alias("end"))
+
+
+add_table("interval_join", lambda s, d: temporal.interval_join(_events(s, d, "click"), _visits(s, d), "ts", "start", "end", ["user_id"]).select("event_id", "user_id", "visit"), "SELECT c.event_id, c.user_id, v.event_id AS visit FROM events c JOIN events v ON c.user_id = v.user_id AND c.event_type = 'click' AND v.event_type = 'signup' AND c.ts >= v.ts AND c.ts < v.ts + INTERVAL 12 HOURS")
