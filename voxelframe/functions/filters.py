@@ -11,6 +11,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
+from . import wide
+
 #: Padding names of image filters, as numpy.pad names them.
 MODES = {"reflect": "symmetric", "mirror": "reflect", "nearest": "edge", "wrap": "wrap", "constant": "constant"}
 
@@ -51,30 +53,50 @@ def convolve(x: np.ndarray, kernel: np.ndarray, mode: str = "reflect", cval: flo
     return correlate(x, kernel[(slice(None, None, -1),) * kernel.ndim], mode, cval, [(s - 1) // 2 for s in kernel.shape])
 
 
+def _wide(x: np.ndarray, footprint: np.ndarray, mode: str, cval: float) -> np.ndarray:
+    """The stack padded by the footprint around its centre."""
+    centre = [s // 2 for s in footprint.shape]
+    return pad(x, centre, [s - 1 - c for s, c in zip(footprint.shape, centre)], mode, cval)
+
+
 def minimum(x, footprint, mode="reflect", cval=0.0):
+    if wide.large(footprint):
+        return wide.extreme(_wide(x, footprint, mode, cval), x.shape[1:], footprint, np.minimum)
     return functools.reduce(np.minimum, (p for _, p in taps(x, footprint, mode, cval)))
 
 
 def maximum(x, footprint, mode="reflect", cval=0.0):
+    if wide.large(footprint):
+        return wide.extreme(_wide(x, footprint, mode, cval), x.shape[1:], footprint, np.maximum)
     return functools.reduce(np.maximum, (p for _, p in taps(x, footprint, mode, cval)))
 
 
 def median(x, footprint, mode="reflect", cval=0.0):
     """The upper median: rank n // 2."""
+    return rank_filter(x, footprint, int(footprint.sum()) // 2, mode, cval)
+
+
+def rank_filter(x, footprint, rank: int, mode="reflect", cval=0.0):
+    """The value of a rank, from 0, in the footprint."""
+    if wide.large(footprint) and wide.runs(footprint, 0) is not None:
+        return np.stack([wide.ranked(a, x.shape[1:], footprint, rank) for a in _wide(x, footprint, mode, cval)]).astype(x.dtype)
     many = np.stack([p for _, p in taps(x, footprint, mode, cval)])
-    return np.partition(many, len(many) // 2, axis=0)[len(many) // 2]
+    return np.partition(many, rank, axis=0)[rank]
+
+
+def _sum(x, footprint, mode, cval):
+    if wide.large(footprint):
+        return wide.total(_wide(x, footprint, mode, cval).astype(float), x.shape[1:], footprint)
+    return sum(p for _, p in taps(x, footprint, mode, cval))
 
 
 def mean(x, footprint, mode="reflect", cval=0.0):
-    return sum(p for _, p in taps(x, footprint, mode, cval)) / footprint.sum()
+    return _sum(x, footprint, mode, cval) / footprint.sum()
 
 
 def deviation(x, footprint, mode="reflect", cval=0.0):
-    n = footprint.sum()
-    one, two = np.zeros(x.shape), np.zeros(x.shape)
-    for _, p in taps(x, footprint, mode, cval):
-        one += p
-        two += p * p
+    n, x = footprint.sum(), np.asarray(x, float)
+    one, two = _sum(x, footprint, mode, cval), _sum(x * x, footprint, mode, cval * cval)
     return np.sqrt(np.maximum(two / n - (one / n) ** 2, 0))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
+from . import tree
 from .filters import ball, maximum, mean, minimum, deviation, pad, taps
 
 
@@ -74,9 +75,9 @@ def renumber(x: np.ndarray) -> np.ndarray:
 
 
 def area_opening(x, area=64, connectivity=1):
-    """Components of True with fewer pixels go; grey images by level sets."""
+    """Components of True with fewer pixels go; grey images by their component trees."""
     if x.dtype != bool:
-        return _by_levels(x, lambda m: area_opening(m, area, connectivity))
+        return np.stack([tree.area_opening(a, area, neighbours(a.ndim, connectivity)) for a in x])
     lab = label(x.astype(np.int64), connectivity)
     out = x.copy()
     for i, a in enumerate(lab):
@@ -104,7 +105,7 @@ def _extent(lab: np.ndarray) -> np.ndarray:
 
 def diameter_opening(x, diameter=8, connectivity=1):
     if x.dtype != bool:
-        return _by_levels(x, lambda m: diameter_opening(m, diameter, connectivity))
+        return np.stack([tree.diameter_opening(a, diameter, neighbours(a.ndim, connectivity)) for a in x])
     lab = label(x.astype(np.int64), connectivity)
     out = x.copy()
     for i, a in enumerate(lab):
@@ -116,20 +117,6 @@ def diameter_closing(x, diameter=8, connectivity=1):
     return ~diameter_opening(~x, diameter, connectivity) if x.dtype == bool else -diameter_opening(-x, diameter, connectivity)
 
 
-def _by_levels(x: np.ndarray, keep: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """A grey attribute opening: the highest level at which a pixel stays in a kept component (or the lowest level)."""
-    out = np.empty(x.shape, x.dtype)
-    for i, a in enumerate(x):
-        levels = np.unique(a)
-        out[i] = levels[0]
-        for v in levels[1:]:
-            kept = keep((a >= v)[None])[0]
-            if not kept.any():
-                break
-            out[i][kept] = v
-    return out
-
-
 def distance_map(x: np.ndarray) -> np.ndarray:
     """Distance of each True pixel to the nearest False one, axis by axis on squared distances."""
     big = float(sum(n**2 for n in x.shape[1:]) + 1) ** 2

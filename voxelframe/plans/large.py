@@ -121,3 +121,36 @@ def _visits(spark, sf_dir):
 
 
 add_table("interval_join", lambda s, d: temporal.interval_join(_events(s, d, "click"), _visits(s, d), "ts", "start", "end", ["user_id"]).select("event_id", "user_id", "visit"), "SELECT c.event_id, c.user_id, v.event_id AS visit FROM events c JOIN events v ON c.user_id = v.user_id AND c.event_type = 'click' AND v.event_type = 'signup' AND c.ts >= v.ts AND c.ts < v.ts + INTERVAL 12 HOURS")
+
+# large neighbourhoods and component trees --------------------------------------------------
+
+_GATHER = (
+    sql.offsets(sql.ball(5)),
+    "w AS MATERIALIZED (SELECT p, y AS yy, x AS xx, v FROM whole)",
+    f"n AS MATERIALIZED (SELECT c.p, c.y, c.x, {sql.fold('c.y + o.dy', 'reflect', 128)} AS yy, {sql.fold('c.x + o.dx', 'reflect', 64)} AS xx FROM whole c CROSS JOIN o)",
+    "g AS MATERIALIZED (SELECT n.p, n.y, n.x, w.v FROM n JOIN w USING (p, yy, xx))",
+)
+for _how, _value in (("median", "list_sort(list(v))[41]"), ("max", "max(v)"), ("mean", "avg(v)")):
+    add_table(f"sheet_{_how}_filter", lambda s, d, h=_how: getattr(sheets(s, d), f"{h}_filter")(5).pixels(), on_sheets(f"SELECT p, y, x, round({_value}, 6) + 0.0 AS value FROM g GROUP BY p, y, x", *_GATHER))
+
+
+def grey(spark, sf_dir):
+    return images(spark, sf_dir).each(lambda v: F.floor(v / 150))
+
+
+def _trees(inside: str, kept: str, value: str, otherwise: str) -> str:
+    """By level sets: of every level of an image the components of what is inside, and which of them are kept."""
+    return sql.query(
+        f"SELECT q.p, q.y, q.x, coalesce({value}, {otherwise}) + 0.0 AS value FROM q LEFT JOIN k ON k.p = q.p AND k.i = q.i GROUP BY q.p, q.y, q.x",
+        "q AS MATERIALIZED (SELECT p, y, x, y * 8 + x AS i, floor(v / 150) AS q, max(floor(v / 150)) OVER (PARTITION BY p) AS hi, min(floor(v / 150)) OVER (PARTITION BY p) AS lo FROM px)",
+        f"m AS MATERIALIZED (SELECT q.p, t, y, x, i FROM q JOIN (SELECT DISTINCT p, q AS t FROM q) l ON l.p = q.p AND {inside})",
+        "e AS MATERIALIZED (SELECT a.p, a.t, a.i AS a, b.i AS b FROM m a JOIN m b ON a.p = b.p AND a.t = b.t AND abs(a.y - b.y) + abs(a.x - b.x) = 1)",
+        "c AS (SELECT p, t, i, i AS root FROM m UNION SELECT c.p, c.t, e.b, c.root FROM c JOIN e ON e.p = c.p AND e.t = c.t AND e.a = c.i)",
+        f"k AS (SELECT c.p, c.t, c.root AS i FROM c JOIN m ON m.p = c.p AND m.t = c.t AND m.i = c.i GROUP BY c.p, c.t, c.root HAVING {kept})",
+        recursive=True,
+    )
+
+
+add_table("area_opening_grey", lambda s, d: grey(s, d).area_opening(6, 1).pixels(), _trees("q.q >= t", "count(*) >= 6", "max(t)", "max(lo)"))
+add_table("area_closing_grey", lambda s, d: grey(s, d).area_closing(6, 1).pixels(), _trees("q.q <= t", "count(*) >= 6", "min(t)", "max(hi)"))
+add_table("diameter_opening_grey", lambda s, d: grey(s, d).diameter_opening(4, 1).pixels(), _trees("q.q >= t", "greatest(max(y) - min(y), max(x) - min(x)) + 1 >= 4", "max(t)", "max(lo)"))
