@@ -319,7 +319,7 @@ def _source_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _with_digests(paths: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The paths with what their words must be, as the texts of their sources say."""
     span = ["source_id", "source_place", "n_words"]
-    asked = scratch.keep(paths.select(*span).distinct().groupBy("source_id").agg(F.collect_list(F.struct("source_place", "n_words")).alias("spans")), "asked")
+    asked = scratch.keep(paths.groupBy("source_id").agg(F.collect_set(F.struct("source_place", "n_words")).alias("spans")), "asked")
     key = F.xxhash64("doc_id")
     sources = rows.where("doc_id is not null").select(key.alias("k"), "doc_id", "text")
     sources = sources.mapInArrow(_chosen_batches(bitmap(asked.select(F.xxhash64("source_id").alias("h")))), "k bigint, doc_id bigint, text binary")
