@@ -130,9 +130,9 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratc
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, counted: str | None = "n_removed_lines") -> DataFrame:
-    """The documents without the lines that repeat earlier ones.  counted: name of a further column with their number, if any; docs must not have it."""
-    if counted in docs.columns:
-        raise ValueError(f"the documents have a column {counted}")
+    """The documents without the lines that repeat earlier ones.  counted: name of a further last column with their number, if any; where docs have a column of that name (in whatever case) theirs keeps it and the further one gets underscores before it."""
+    while counted and counted.lower() in [c.lower() for c in docs.columns]:
+        counted = f"_{counted}"
     places = duplicate_lines(docs.select("doc_id", "text"), min_chars).toDF("of", "gone")
     rows, column = numbered(docs)
     text = F.col(column["text"])
