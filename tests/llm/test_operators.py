@@ -14,7 +14,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from voxelframe.llm import bytetext as B
-from voxelframe.llm import components, decontamination, language_id, line_dedup, ngram_join, packing, quality_ordinal, quality_rules, substring_dedup, toxicity, warc
+from voxelframe.llm import components, decontamination, labelled, language_id, line_dedup, ngram_join, packing, quality_ordinal, quality_rules, substring_dedup, toxicity, warc
 from voxelframe.llm.bitmaps import bitmap, hit
 from voxelframe.llm.shared import Scratch
 
@@ -402,8 +402,10 @@ def test_line_dedup_odd_rows(spark, empty):
     assert got == [(0, long), (1, long), (1, long), (2, "")]
     assert line_dedup.line_dedup(empty).count() == 0
     clash = df.select("doc_id", F.lit(1).alias("gone"), "text", F.lit(2).alias("of"), F.lit(3).alias("_0"), F.lit(4).alias("n_removed_lines"), F.lit(5).alias("h"), F.lit(6).alias("n_chars"))
-    with pytest.raises(ValueError):
-        line_dedup.line_dedup(clash)
+    for name, own in (("n_removed_lines", "_n_removed_lines"), ("N_REMOVED_LINES", "_n_removed_lines")):
+        counted = line_dedup.line_dedup(clash.withColumnRenamed("n_removed_lines", name))
+        assert counted.columns == [*(name if c == "n_removed_lines" else c for c in clash.columns), own]
+        assert sorted((r["doc_id"] or 0, r[5], r[own]) for r in counted.collect()) == [(0, 4, 0), (1, 4, 0), (1, 4, 0), (2, 4, 2)]
     out = line_dedup.line_dedup(clash, counted=None)
     assert out.columns == clash.columns and {tuple(r)[3:7] for r in out.collect()} == {(2, 3, 4, 5)}
     assert sorted((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in out.collect()) == [(0, long, 6), (1, long, 6), (1, long, 6), (2, "", 0)]
@@ -723,3 +725,14 @@ def test_quality_rules_odd_rows(spark):
     df = df.select("doc_id", F.lit("en").alias("lang"), F.lit("a").alias("source"), "text", F.lit(1).alias("g"), F.lit(2).alias("use"), F.lit(3).alias("length"), F.lit(4).alias("n_words"))
     got = sorted((r["doc_id"] or 0, r["base_failed"], r["kept"]) for r in quality_rules.quality_rules(df).collect())
     assert got == [(0, False, True), (1, False, True), (1, False, True), (2, True, False)]
+
+
+def test_sample_is_bounded(spark):
+    """A doc_id that repeats, with labels that repeat, brings no more rows to the driver than asked for."""
+    many = spark.range(3000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"), F.lit("en").alias("lang"))
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(1, 0), (2, 0), (None, 1), (3, None)], "doc_id bigint, label int")
+    h, first, y, lang, weight = labelled.sample(many, labels, toxicity.word_hashes, 10, 1000)
+    assert len(y) == 10 == len(first) - 1 == len(weight) and set(y) <= {0, 1} and set(lang) == {"en"}
+    one = many.limit(1).union(spark.createDataFrame([(2, "clean text", "de")], many.schema))
+    _, _, y, lang, _ = labelled.sample(one, labels, toxicity.word_hashes, 10, 1000)
+    assert sorted(zip(y, lang)) == [(0, "de"), (0, "en"), (1, "en")]

@@ -38,13 +38,15 @@ def sample(docs: DataFrame, labels: DataFrame, features, rows: int, max_words: i
     """The labelled texts with the least hashes of doc_id: ``rows`` at most, dealt evenly over the labels.
 
     labels: doc_id and label.  The ids are drawn first; that table has at most
-    ``rows`` rows, so the join sends it to every executor.  Texts over
+    ``rows`` rows, so the join sends it to every executor; of what the join
+    finds, again ``rows`` rows at most are fetched (where a doc_id repeats they
+    could be more).  Repeated labels count once.  Texts over
     ``max_words`` features are not learned from, which bounds what is fetched.
 
     Gives hashes, the first place of each text, labels, languages, and for how
     many rows of the whole each text stands.
     """
-    ids = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("doc_id is not null and label is not null")
+    ids = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("doc_id is not null and label is not null").distinct()
     counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).limit(1000).collect()}
     quota = max(1, rows // max(1, len(counts)))
     parts = []
@@ -55,7 +57,8 @@ def sample(docs: DataFrame, labels: DataFrame, features, rows: int, max_words: i
     drawn = functools.reduce(DataFrame.union, parts, ids.limit(0))
     lang = "lang" if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
     got = docs.select("doc_id", "text", lang).join(F.broadcast(drawn), "doc_id").select("text", "label", "lang", "doc_id")
-    out = got.mapInArrow(hashed(features, max_words), "doc_id bigint, label int, lang string, h binary").toPandas()
+    made = got.mapInArrow(hashed(features, max_words), "doc_id bigint, label int, lang string, h binary")
+    out = made.orderBy(F.xxhash64("doc_id", "h"), "doc_id", "label").limit(rows).toPandas()  # a doc_id that repeats brings all its rows
     out = out.sort_values(["doc_id", "label"], kind="stable")
     y, lang = out["label"].to_numpy(), out["lang"].to_numpy()
     first = np.concatenate([[0], np.cumsum([len(x) // 8 for x in out["h"]])]).astype(np.int64)
