@@ -14,8 +14,9 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from voxelframe.llm import bytetext as B
-from voxelframe.llm import components, decontamination, labelled, language_id, line_dedup, ngram_join, packing, quality_ordinal, quality_rules, substring_dedup, toxicity, warc
+from voxelframe.llm import components, decontamination, language_id, line_dedup, ngram_join, packing, quality_ordinal, quality_rules, substring_dedup, toxicity, warc
 from voxelframe.llm.bitmaps import bitmap, hit
+from voxelframe.llm.labelled import sample
 from voxelframe.llm.shared import Scratch
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -731,8 +732,8 @@ def test_sample_is_bounded(spark):
     """A doc_id that repeats, with labels that repeat, brings no more rows to the driver than asked for."""
     many = spark.range(3000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"), F.lit("en").alias("lang"))
     labels = spark.createDataFrame([(1, 1)] * 50 + [(1, 0), (2, 0), (None, 1), (3, None)], "doc_id bigint, label int")
-    h, first, y, lang, weight = labelled.sample(many, labels, toxicity.word_hashes, 10, 1000)
+    h, first, y, lang, weight = sample(many, labels, toxicity.word_hashes, 10, 1000)
     assert len(y) == 10 == len(first) - 1 == len(weight) and set(y) <= {0, 1} and set(lang) == {"en"}
     one = many.limit(1).union(spark.createDataFrame([(2, "clean text", "de")], many.schema))
-    _, _, y, lang, _ = labelled.sample(one, labels, toxicity.word_hashes, 10, 1000)
+    _, _, y, lang, _ = sample(one, labels, toxicity.word_hashes, 10, 1000)
     assert sorted(zip(y, lang)) == [(0, "de"), (0, "en"), (1, "en")]
