@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable, Iterator, Sequence
+import warnings
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +50,13 @@ def _column(x: np.ndarray) -> pa.Array:
 
 
 class ArrayFrame:
-    def __init__(self, df: DataFrame, batch: str | Axes, space: str | Axes, shape: Sequence[int], dtype: str = "float32", name: str | None = None) -> None:
+    def __init__(self, df: DataFrame, batch: str | Axes, space: str | Axes, shape: Sequence[int], dtype: str = "float32", name: str | None = None, known: Mapping[str, int] | None = None) -> None:
+        """known: sizes of batch axes, where they are known without counting rows; indices outside of them are errors."""
         self.batch, self.space, self.shape, self.dtype, self.name = Axes.of(batch), Axes.of(space), tuple(int(n) for n in shape), dtype, name
         if len(self.space) != len(self.shape):
             raise AxesError(f"axes {self.space} do not fit the shape {self.shape}")
         self.axes = Axes((*self.batch, *self.space))
+        self.known = {a: n for a, n in (known or {}).items() if a in self.batch}
         self.df = df.select(*self.batch.names, DATA)
 
     def __repr__(self) -> str:
@@ -76,14 +79,16 @@ class ArrayFrame:
         rows = [(*map(int, at), array[at].astype(float).ravel().tolist()) for at in np.ndindex(array.shape[:k])]
         schema = T.StructType([*(T.StructField(b, T.IntegerType(), False) for b in batch), T.StructField(DATA, T.ArrayType(T.DoubleType(), False), False)])
         kind = dtype or {"b": "bool", "u": str(array.dtype), "i": "int64"}.get(array.dtype.kind, "float32")
-        return cls(spark.createDataFrame(rows, schema), [axes_[b] for b in batch], [axes_[a] for a in space], array.shape[k:], kind)
+        return cls(spark.createDataFrame(rows, schema), [axes_[b] for b in batch], [axes_[a] for a in space], array.shape[k:], kind, known=dict(zip(batch, array.shape)))
 
     def to_numpy(self) -> np.ndarray:
         """All values on the driver, in the order of the axes; for small arrays."""
         rows = self.df.collect()
         if not rows and not self.batch.names:
             raise IndexError("the frame has no array; an index is outside of its axis")
-        size = [max((r[b] for r in rows), default=-1) + 1 for b in self.batch.names]
+        size = [self.known.get(b, max((r[b] for r in rows), default=-1) + 1) for b in self.batch.names]
+        if rows and len(rows) < math.prod(size):
+            warnings.warn(f"{math.prod(size) - len(rows)} of {math.prod(size)} arrays are missing and become zeros", stacklevel=2)
         out = np.zeros((*size, *self.shape), bool if self.dtype == "bool" else float)
         for r in rows:
             out[tuple(r[b] for b in self.batch.names)] = np.reshape(r[DATA], self.shape)
@@ -119,7 +124,7 @@ class ArrayFrame:
         return T.StructType([*self.df.select(*self.batch.names).schema.fields, *T._parse_datatype_string(fields).fields])
 
     def _with(self, df: DataFrame, space=None, shape=None, dtype: str | None = None, batch=None) -> ArrayFrame:
-        return ArrayFrame(df, self.batch if batch is None else batch, self.space if space is None else space, self.shape if shape is None else shape, dtype or self.dtype, self.name)
+        return ArrayFrame(df, self.batch if batch is None else batch, self.space if space is None else space, self.shape if shape is None else shape, dtype or self.dtype, self.name, self.known)
 
     def map(self, kernel: Callable[[np.ndarray], np.ndarray], dtype: str | None = None, space=None, shape=None) -> ArrayFrame:
         """The kernel on stacks (n, *shape); integers come back as integers."""
@@ -179,7 +184,8 @@ class ArrayFrame:
 
     def _binary(self, other, f: Callable[[Column, Column], Column], dtype: str | None = None) -> ArrayFrame:
         if not isinstance(other, ArrayFrame):
-            return self.each(lambda v: f(v, F.lit(other)), dtype)
+            plain = other.item() if isinstance(other, np.generic) else other
+            return self.each(lambda v: f(v, F.lit(plain)), dtype)
         if other.space.names != self.space.names or other.shape != self.shape:
             raise AxesError(f"{other!r} does not fit {self!r}")
         df = self._joined(other)
@@ -189,7 +195,7 @@ class ArrayFrame:
         """Unsigned values with whole numbers or their own type wrap around; with a wider unsigned type they take it, with others they become floats."""
         kind = self.dtype
         if kind in _LIMITS:
-            its = other.dtype if isinstance(other, ArrayFrame) else kind if isinstance(other, (bool, int, np.integer)) else "float32"
+            its = other.dtype if isinstance(other, ArrayFrame) else kind if isinstance(other, (bool, int, np.integer, np.bool_)) else "float32"
             kind = max(kind, its, key=_LIMITS.get) if its in _LIMITS else kind if its == "bool" else "float32"
         if kind not in _LIMITS:
             return self._binary(other, f, kind)
@@ -228,16 +234,27 @@ class ArrayFrame:
 
     def __floordiv__(self, other):
         self._divisor(other)
-        return self._binary(other, lambda a, b: F.coalesce(F.floor(a / F.nullif(b.cast("double"), F.lit(0.0))), F.lit(0)))
+        return self._arithmetic(other, _floor_divided)
 
     def __mod__(self, other):
         self._divisor(other)
-        return self._binary(other, lambda a, b: F.coalesce(a - F.floor(a / F.nullif(b.cast("double"), F.lit(0.0))) * b, F.lit(0.0)))
+        return self._arithmetic(other, _remainder)
 
     def __pow__(self, power):
-        return self._binary(power, lambda a, b: F.pow(a, b))
+        return self._arithmetic(power, lambda a, b: F.pow(a, b))
+
+    def __rfloordiv__(self, other):
+        return self._arithmetic(other, lambda a, b: _floor_divided(b, a))
+
+    def __rmod__(self, other):
+        return self._arithmetic(other, lambda a, b: _remainder(b, a))
+
+    def __rpow__(self, other):
+        return self._arithmetic(other, lambda a, b: F.pow(b, a))
 
     def __neg__(self):
+        if self.dtype in _LIMITS:
+            return self.each(lambda v: F.pmod(-v, F.lit(_LIMITS[self.dtype] + 1.0)))
         return self.each(lambda v: -v)
 
     def __invert__(self):
@@ -299,22 +316,26 @@ class ArrayFrame:
         """Sizes of the axes; batch axes are counted where ``only`` mentions N for them."""
         out = dict(zip(self.space.names, self.shape))
         need = self.batch.names if only is None or "N" in only or "-" in only or "," in only else []
+        out |= self.known
+        need = [b for b in need if b not in self.known]
         if need:
             row = self.df.agg(*[F.max(b).alias(b) for b in need]).first()
             out |= {b: int(row[b] if row[b] is not None else -1) + 1 for b in need}
         return {**{b: 0 for b in self.batch.names}, **out}
 
     def _size(self, axis: Axis) -> int:
-        """Of a batch axis: its labels', or counted."""
+        """Of a batch axis: its labels', known, or counted."""
         if axis.labels:
             return len(axis.labels)
+        if axis.name in self.known:
+            return self.known[axis.name]
         last = self.df.agg(F.max(axis.name)).first()[0]
         return 0 if last is None else int(last) + 1
 
     def _position(self, axis: Axis, k) -> int:
-        """A place on a batch axis, from its end if negative; outside of a known size is an error (without labels and not negative, nothing is counted)."""
+        """A place on a batch axis, from its end if negative; outside of a known size is an error (where none is known and the place is not negative, nothing is counted)."""
         k = int(k)
-        if k >= 0 and not axis.labels:
+        if k >= 0 and not axis.labels and axis.name not in self.known:
             return k
         n = self._size(axis)
         if not -n <= k < n:
@@ -322,10 +343,14 @@ class ArrayFrame:
         return k % n
 
     def isel(self, **keys) -> ArrayFrame:
-        df, batch, space = self.df, [], []
+        df, batch, space, known = self.df, [], [], {}
         for axis in self.batch:
             k = keys.pop(axis.name, slice(None))
             c = F.col(axis.name)
+            if isinstance(k, (list, tuple, range)):
+                known[axis.name] = len(k)
+            elif isinstance(k, slice) and (axis.name in self.known or axis.labels):
+                known[axis.name] = len(range(self._size(axis))[k])
             if isinstance(k, slice):
                 start, step = k.start or 0, k.step or 1
                 if start < 0 or (k.stop or 0) < 0 or step < 0:
@@ -352,7 +377,7 @@ class ArrayFrame:
             raise AxesError(f"axes {', '.join(keys)} are not among {self.axes}")
         if any(i != list(range(n)) for i, n in zip(index, self.shape)):
             df = df.withColumn(DATA, _picked(self.shape, index))
-        return ArrayFrame(df, Axes(tuple(batch)), Axes(tuple(space)), shape, self.dtype, self.name)
+        return ArrayFrame(df, Axes(tuple(batch)), Axes(tuple(space)), shape, self.dtype, self.name, known)
 
     def sel(self, **labels) -> ArrayFrame:
         """By the labels of the axes: one, a list, or a slice with an exclusive stop."""
@@ -368,7 +393,8 @@ class ArrayFrame:
         if len(axes) != len(self.axes):
             raise AxesError(f"{axes} does not have {len(self.axes)} axes")
         k = len(self.batch)
-        return ArrayFrame(self.df.toDF(*axes.names[:k], DATA), Axes(axes.items[:k]), Axes(axes.items[k:]), self.shape, self.dtype, self.name)
+        known = {new: self.known[old] for new, old in zip(axes.names, self.batch.names) if old in self.known}
+        return ArrayFrame(self.df.toDF(*axes.names[:k], DATA), Axes(axes.items[:k]), Axes(axes.items[k:]), self.shape, self.dtype, self.name, known)
 
     def set_scale(self, other=None, **scale) -> ArrayFrame:
         return self.set_axes(self.axes.scaled(other, **scale))
@@ -423,6 +449,14 @@ class ArrayFrame:
         return spatial(self.space, dims)
 
 
+def _floor_divided(a: Column, b: Column) -> Column:
+    return F.coalesce(F.floor(a / F.nullif(b.cast("double"), F.lit(0.0))).cast("double"), F.lit(0.0))
+
+
+def _remainder(a: Column, b: Column) -> Column:
+    return F.coalesce(a - F.floor(a / F.nullif(b.cast("double"), F.lit(0.0))) * b, F.lit(0.0))
+
+
 def _arrow(schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -154,3 +154,17 @@ def _trees(inside: str, kept: str, value: str, otherwise: str) -> str:
 add_table("area_opening_grey", lambda s, d: grey(s, d).area_opening(6, 1).pixels(), _trees("q.q >= t", "count(*) >= 6", "max(t)", "max(lo)"))
 add_table("area_closing_grey", lambda s, d: grey(s, d).area_closing(6, 1).pixels(), _trees("q.q <= t", "count(*) >= 6", "min(t)", "max(hi)"))
 add_table("diameter_opening_grey", lambda s, d: grey(s, d).diameter_opening(4, 1).pixels(), _trees("q.q >= t", "greatest(max(y) - min(y), max(x) - min(x)) + 1 >= 4", "max(t)", "max(lo)"))
+
+
+# unsigned values ---------------------------------------------------------------------------
+
+
+def bytes_of(spark, sf_dir):
+    return images(spark, sf_dir, "float64").each(F.abs).as_type("uint8")
+
+
+_BYTE = "least(abs(v), 255)"
+add_table("uint8_power", lambda s, d: (bytes_of(s, d) ** 2).pixels(), sql.each(f"({_BYTE}::BIGINT * {_BYTE}::BIGINT) % 256"))
+add_table("uint8_negative", lambda s, d: (-bytes_of(s, d)).pixels(), sql.each(f"(256 - {_BYTE}::BIGINT) % 256"))
+add_table("uint8_floor_float", lambda s, d: (bytes_of(s, d) // 2.5).pixels(), sql.each(f"floor({_BYTE} / 2.5)"))
+add_table("uint8_remainder", lambda s, d: (1000 % bytes_of(s, d)).pixels(), sql.each(f"CASE WHEN v = 0 THEN 0 ELSE (1000 % {_BYTE}::BIGINT) % 256 END"))

@@ -226,7 +226,7 @@ def imsave(frame: ArrayFrame, path: str, *, overwrite: bool = True, partition_by
         from . import zarr
 
         return zarr.write(frame, path, overwrite=overwrite)
-    meta = {"space": str(frame.space), "shape": list(frame.shape), "dtype": frame.dtype, "name": frame.name, "axes": [[a.name, a.scale, a.unit, list(a.labels)] for a in frame.axes]}
+    meta = {"space": str(frame.space), "shape": list(frame.shape), "dtype": frame.dtype, "name": frame.name, "known": frame.known, "axes": [[a.name, a.scale, a.unit, list(a.labels)] for a in frame.axes]}
     df = frame.df.withMetadata("data", {"voxelframe": json.dumps(meta)})
     writer = df.write.mode("overwrite" if overwrite else "errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
@@ -258,7 +258,7 @@ def imread(spark: SparkSession, path: str, key: str | None = None) -> ArrayFrame
         meta = json.loads(df.schema["data"].metadata["voxelframe"])
         axes = Axes(tuple(Axis(n, s, u, tuple(labels)) for n, s, u, labels in meta["axes"]))
         k = len(axes) - len(meta["shape"])
-        frame = ArrayFrame(df, Axes(axes.items[:k]), Axes(axes.items[k:]), meta["shape"], meta["dtype"], meta["name"])
+        frame = ArrayFrame(df, Axes(axes.items[:k]), Axes(axes.items[k:]), meta["shape"], meta["dtype"], meta["name"], meta.get("known"))
     else:
         frame = read_files(spark, path)
     return frame if key is None else frame.isel(**parse(key, frame.sizes(key)))
@@ -364,7 +364,7 @@ def full(spark: SparkSession, shape: tuple[int, ...], value: float, axes: str, d
         cols[b] = F.expr(f"cast((id div {stride}) % {size[b]} as int)")
         stride *= size[b]
     k = int(np.prod([size[a] for a in space]))
-    return ArrayFrame(df.select(*[cols[b].alias(b) for b in batch], F.array_repeat(F.lit(float(value)), k).alias("data")), batch, space, [size[a] for a in space], dtype)
+    return ArrayFrame(df.select(*[cols[b].alias(b) for b in batch], F.array_repeat(F.lit(float(value)), k).alias("data")), batch, space, [size[a] for a in space], dtype, known=size)
 
 
 def zeros(spark, shape, axes, dtype="uint16"):
