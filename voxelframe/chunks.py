@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .axes import Axes, AxesError
-from .frame import ArrayFrame, cast
+from .frame import ArrayFrame, cast, method
 from .functions import objects
-from .operators.image import method
 
 BOUNDARIES = {"none": None, "reflect": "symmetric", "nearest": "edge", "periodic": None}
 
@@ -142,13 +141,21 @@ class _Probe(_Local):
 
 def _kernel(name: str, args: tuple, options: dict, space: Axes, dtype: str) -> tuple[Callable[[np.ndarray], np.ndarray], str]:
     """The method of array frames as a kernel on stacks, and the type of its result."""
+    from . import operators  # noqa: F401
+
     if not hasattr(ArrayFrame, name):
         raise AttributeError(f"array frames have no {name!r}")
     try:
         kind = getattr(_Probe(np.zeros((1,) * (len(space) + 1)), space, dtype), name)(*args, **options).dtype
     except AttributeError as error:
         raise TypeError(f"{name!r} is no kernel on one array") from error
-    return lambda x: getattr(_Local(x, space, dtype), name)(*args, **options).values, kind
+
+    def run(x: np.ndarray) -> np.ndarray:
+        from . import operators  # noqa: F401  (in a task: gives frames their methods)
+
+        return getattr(_Local(x, space, dtype), name)(*args, **options).values
+
+    return run, kind
 
 
 def _typed(x: np.ndarray, dtype: str) -> np.ndarray:

@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from . import sources
 from .axes import Axes, AxesError, Slicer, parse
-from .frame import ArrayFrame
-from .operators.image import method
+from .frame import ArrayFrame, method
 
 KINDS = ("point", "line", "polyline", "rectangle", "polygon")
 

@@ -16,20 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..axes import AxesError, Axis
-from ..frame import ArrayFrame, cast
+from ..frame import ArrayFrame, cast, method
 from ..functions import filters, fourier, geometry, objects
 
 SERIES_VALUES = 4096  # values of a plane that one task filters along a series
 
 
-def method(f: Callable) -> Callable:
-    """Make the function a method of array frames; names may not be taken."""
-    if hasattr(ArrayFrame, f.__name__):
-        raise AttributeError(f"array frames have {f.__name__!r} already")
-    setattr(ArrayFrame, f.__name__, f)
-    return f
-
-
 def over(frame: ArrayFrame, kernel: Callable[[np.ndarray], np.ndarray], dims=None, dtype: str | None = None) -> ArrayFrame:
     """The kernel on the given spatial axes; the result has the same axes (sizes may change)."""
     dims = frame.dims(dims)

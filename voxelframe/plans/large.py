@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions import filters
 from ..operators import points, temporal
 from ..sources import zarr
 from . import sql
-from .catalog import SHEET, add_table, images, labels_of, sheets
+from .catalog import SHEET, _channels, _outer, add_table, images, labels_of, sheets
 
 WHOLE = "whole AS (SELECT p, y::INT AS y, x::INT AS x, coalesce(v, 0) AS v FROM (SELECT DISTINCT p FROM sheet) CROSS JOIN (SELECT unnest(range(128)) AS y) CROSS JOIN (SELECT unnest(range(64)) AS x) LEFT JOIN sheet USING (p, y, x))"
 CHUNKS = (48, 40)
@@ -168,3 +169,15 @@ add_table("uint8_power", lambda s, d: (bytes_of(s, d) ** 2).pixels(), sql.each(f
 add_table("uint8_negative", lambda s, d: (-bytes_of(s, d)).pixels(), sql.each(f"(256 - {_BYTE}::BIGINT) % 256"))
 add_table("uint8_floor_float", lambda s, d: (bytes_of(s, d) // 2.5).pixels(), sql.each(f"floor({_BYTE} / 2.5)"))
 add_table("uint8_remainder", lambda s, d: (1000 % bytes_of(s, d)).pixels(), sql.each(f"CASE WHEN v = 0 THEN 0 ELSE (1000 % {_BYTE}::BIGINT) % 256 END"))
+
+# sweeps, assignment, contractions --------------------------------------------------------------
+
+_SIGMAS = (0.5, 1.0)
+add_table("sweep_sigma", lambda s, d: images(s, d).for_params("gaussian_filter", sigma=_SIGMAS).pixels(), sql.query(
+    " UNION ALL ".join(f"SELECT {i}::INT AS v, p, y, x, round(v, 6) + 0.0 AS value FROM r{i}" for i in range(2)),
+    *itertools.chain.from_iterable((sql.offsets(_outer(g), f"o{i}"), sql.gather("px", f"r{i}", f"o{i}", "sum(s.v * o.w)")) for i, g in enumerate(_SIGMAS))))
+add_table("assign_slice", lambda s, d: sheets(s, d).assign("y=10:100:3;x=5:20", 7).pixels(), on_sheets("SELECT p, y, x, CASE WHEN y BETWEEN 10 AND 99 AND (y - 10) % 3 = 0 AND x BETWEEN 5 AND 19 THEN 7 ELSE v END + 0.0 AS value FROM whole"))
+add_table("assign_mask", lambda s, d: sheets(s, d).assign(sheets(s, d) > 100, -1).pixels(), on_sheets("SELECT p, y, x, CASE WHEN v > 100 THEN -1 ELSE v END + 0.0 AS value FROM whole"))
+add_table("assign_frame", lambda s, d: sheets(s, d).assign({"y": slice(0, 64), "x": slice(None, None, -1)}, sheets(s, d)["y=64:128"]).pixels(), on_sheets("SELECT a.p, a.y, a.x, coalesce(b.v, a.v) + 0.0 AS value FROM whole a LEFT JOIN whole b ON b.p = a.p AND a.y < 64 AND b.y = a.y + 64 AND b.x = 63 - a.x"))
+add_table("tensordot_axes", lambda s, d: images(s, d).tensordot(images(s, d).set_axes("pzi"), "p").pixels(), sql.query("SELECT a.y, a.x, b.y AS z, b.x AS i, sum(a.v * b.v) + 0.0 AS value FROM px a JOIN px b USING (p) GROUP BY ALL"))
+add_table("corrcoef_channels", lambda s, d: _channels(images(s, d), "c", 4).corrcoef("c").fillna(-9.0, ["value"]), sql.query("SELECT a.p, (a.y // 2)::INT AS c, (b.y // 2)::INT AS c_2, coalesce(round(corr(a.v, b.v), 6), -9) + 0.0 AS value FROM px a JOIN px b ON a.p = b.p AND a.y // 2 <> b.y // 2 AND a.y % 2 = b.y % 2 AND a.x = b.x GROUP BY a.p, a.y // 2, b.y // 2"))
