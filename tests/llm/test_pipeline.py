@@ -108,7 +108,7 @@ def test_registered():
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(found) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
