@@ -16,7 +16,9 @@ def images(shape):
 
 
 @pytest.mark.parametrize("shape,radius", [((2, 40, 37), 6), ((1, 14, 15, 16), 3), ((2, 30, 9), 5.5), ((1, 9, 9), 12)])
-def test_large_footprints(shape, radius):
+@pytest.mark.parametrize("rank_places", [64, 200])
+def test_large_footprints(shape, radius, rank_places, monkeypatch):
+    monkeypatch.setattr(wide, "RANK_PLACES", rank_places)
     f = filters.ball(radius, len(shape) - 1)
     assert wide.large(f)
     for x in images(shape):

@@ -78,7 +78,10 @@ def median(x, footprint, mode="reflect", cval=0.0):
 
 def rank_filter(x, footprint, rank: int, mode="reflect", cval=0.0):
     """The value of a rank, from 0, in the footprint."""
-    if wide.large(footprint) and wide.runs(footprint, 0) is not None:
+    places = int(footprint.sum())
+    if places > wide.PLACES and len(x) > 1:  # a copy of the array for each place: one array at a time
+        return np.concatenate([rank_filter(a[None], footprint, rank, mode, cval) for a in x])
+    if places > wide.RANK_PLACES and wide.runs(footprint, 0) is not None:
         return np.stack([wide.ranked(a, x.shape[1:], footprint, rank) for a in _wide(x, footprint, mode, cval)]).astype(x.dtype)
     many = np.stack([p for _, p in taps(x, footprint, mode, cval)])
     return np.partition(many, rank, axis=0)[rank]

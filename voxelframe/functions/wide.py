@@ -12,8 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Footprints with fewer places are done place by place.
-PLACES = 64
+#: Footprints with fewer places are done place by place; ranks up to the second number, one array at a time, as their histograms cost more.
+PLACES, RANK_PLACES = 64, 200
 
 
 def runs(footprint: np.ndarray, axis: int = -1) -> list[tuple[tuple[int, ...], int, int]] | None:
