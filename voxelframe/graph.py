@@ -29,6 +29,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the input, by a shuffle: rows of a few numbers pack so well that Spark, judging by the packed size, would build the whole table on the driver to broadcast it."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def bucketed(df: DataFrame, keys: Sequence[str], dealt: bool = False) -> DataFrame:
     """Computed once and kept as a table in buckets of the keys: joins and groupings by them do not shuffle it again.
 
@@ -54,9 +59,9 @@ def components(edges: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b"
     while True:
         both = now.union(now.select(*keys, "_v", "_u")).toDF(*keys, "_u", "_v")
         least = both.groupBy(*keys, "_u").agg(F.least(F.min("_v"), F.col("_u")).alias("_m"))
-        large = both.where("_v > _u").join(least, [*keys, "_u"]).select(*keys, F.col("_v").alias("_u"), F.col("_m").alias("_v"))
+        large = merged(both.where("_v > _u"), least, [*keys, "_u"]).select(*keys, F.col("_v").alias("_u"), F.col("_m").alias("_v"))
         hub = large.groupBy(*keys, "_u").agg(F.min("_v").alias("_m"))
-        small = large.join(hub, [*keys, "_u"]).select(*keys, F.col("_v").alias("_u"), F.col("_m").alias("_v"))
+        small = merged(large, hub, [*keys, "_u"]).select(*keys, F.col("_v").alias("_u"), F.col("_m").alias("_v"))
         now = settled(small.union(hub.select(*keys, "_u", F.col("_m").alias("_v"))).where("_u <> _v").distinct())
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64(*keys, "_u", "_v").cast("decimal(38,0)"))).first())
         if state == before:
@@ -78,4 +83,4 @@ def ranked(df: DataFrame, keys: Sequence[str], place: str, rank: str = "rank", b
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     counts = cut.groupBy(*keys, "_block").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*keys, "_block").orderBy(place)
-    return cut.withColumn("_i", F.row_number().over(inside)).join(counts, [*keys, "_block"]).withColumn(rank, F.col("_base") + F.col("_i")).drop("_block", "_base", "_i")
+    return merged(cut.withColumn("_i", F.row_number().over(inside)), counts, [*keys, "_block"]).withColumn(rank, F.col("_base") + F.col("_i")).drop("_block", "_base", "_i")

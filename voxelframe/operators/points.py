@@ -128,7 +128,7 @@ def _candidates(points: DataFrame, axes: list[str], reach: float, memory: int, k
         here = here.withColumn(f"_c{a}", F.explode(F.sequence(F.col(f"_o{a}") - 1, F.col(f"_o{a}") + 1))).drop(f"_o{a}")
     here = here.withColumn("_t", F.col("t") + F.col("_gap"))
     d = F.sqrt(sum((F.pow(F.col(a) - F.col(f"_{a}"), 2) for a in axes), F.lit(0.0)))
-    return here.join(there, [*keys, "_t", *[f"_c{a}" for a in axes]]).select("src", "dst", "_gap", d.alias("_d")).where(F.col("_d") <= float(reach))
+    return graph.merged(here, there, [*keys, "_t", *[f"_c{a}" for a in axes]]).select("src", "dst", "_gap", d.alias("_d")).where(F.col("_d") <= float(reach))
 
 
 def _assigned(pairs: DataFrame) -> DataFrame:
@@ -145,9 +145,10 @@ def _assigned(pairs: DataFrame) -> DataFrame:
     while not pairs.isEmpty():
         out = pairs.groupBy("src").agg(F.min(F.struct("_gap", "_d", "dst")).alias("_out"))
         into = pairs.groupBy("dst").agg(F.min(F.struct("_d", "src")).alias("_in"))
-        first = out.select("src", F.col("_out.dst").alias("dst")).join(into.select("dst", F.col("_in.src").alias("src")), ["src", "dst"])
+        first = graph.merged(out.select("src", F.col("_out.dst").alias("dst")), into.select("dst", F.col("_in.src").alias("src")), ["src", "dst"])
         first = graph.settled(first)
-        pairs = graph.settled(pairs.join(first.select("src"), "src", "left_anti").join(first.select("dst"), "dst", "left_anti"))
+        free = graph.merged(pairs, first.select("src"), "src", "left_anti")
+        pairs = graph.settled(graph.merged(free, first.select("dst"), "dst", "left_anti"))
         taken = first if taken is None else taken.union(first)
     return pairs.select("src", "dst") if taken is None else taken
 
@@ -155,10 +156,10 @@ def _assigned(pairs: DataFrame) -> DataFrame:
 def _roots(ids: DataFrame, links: DataFrame) -> DataFrame:
     """_id and _root, the first point of each one's track: pointers to the point before are doubled until all are at the start."""
     links = graph.settled(links)
-    now = graph.settled(ids.join(links.select(F.col("dst").alias("_id"), F.col("src").alias("_root")), "_id", "left").select("_id", F.coalesce("_root", "_id").alias("_root")))
+    now = graph.settled(graph.merged(ids, links.select(F.col("dst").alias("_id"), F.col("src").alias("_root")), "_id", "left").select("_id", F.coalesce("_root", "_id").alias("_root")))
     while True:
         up = now.select(F.col("_id").alias("_root"), F.col("_root").alias("_next"))
-        new = graph.settled(now.join(up, "_root").select("_id", F.col("_next").alias("_root"), (F.col("_next") != F.col("_root")).alias("_moved")))
+        new = graph.settled(graph.merged(now, up, "_root").select("_id", F.col("_next").alias("_root"), (F.col("_next") != F.col("_root")).alias("_moved")))
         now = new.select("_id", "_root")
         if new.where("_moved").isEmpty():
             return now
@@ -168,13 +169,13 @@ def _link_all(points: DataFrame, axes: list[str], reach: float, memory: int) ->
     numbered = graph.settled(points.withColumn("_id", F.monotonically_increasing_id()))
     sound = numbered.where(" and ".join(f"{c} is not null" for c in ("t", *axes)))
     roots = _roots(numbered.select("_id"), _assigned(_candidates(sound, axes, reach, memory, [])))
-    placed = numbered.join(roots, "_id")
+    placed = graph.merged(numbered, roots, "_id")
     starts = placed.where("_id = _root").select("_root", "t", *axes)
     before = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)  # a row per frame
     frames = starts.groupBy("t").agg(F.count("*").alias("_n")).select(F.col("t").alias("_ft"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     within = F.row_number().over(Window.partitionBy("t").orderBy(*axes, "_root"))
-    numbers = starts.withColumn("_k", within).join(frames, F.col("t").eqNullSafe(F.col("_ft"))).select("_root", (F.col("_base") + F.col("_k") - 1).cast("long").alias("N"))
-    return placed.join(numbers, "_root").select(*points.columns, "N")
+    numbers = graph.merged(starts.withColumn("_k", within), frames, F.col("t").eqNullSafe(F.col("_ft"))).select("_root", (F.col("_base") + F.col("_k") - 1).cast("long").alias("N"))
+    return graph.merged(placed, numbers, "_root").select(*points.columns, "N")
 
 
 def link(points: DataFrame, reach: float, *, memory: int = 0, least: int = 0, by: list[str] | None = None) -> DataFrame:
