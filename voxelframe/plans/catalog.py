@@ -22,10 +22,12 @@ ORACLES: dict[str, str] = {}
 Op = Callable[[ArrayFrame], "ArrayFrame | DataFrame"]
 
 
-def images(spark: SparkSession, sf_dir: str, dtype: str = "float64") -> ArrayFrame:
-    """Each embedding as an 8 by 8 image of whole numbers."""
+def images(spark: SparkSession, sf_dir: str, dtype: str = "float64", signed: bool = False) -> ArrayFrame:
+    """Each embedding as an 8 by 8 image of whole numbers.  signed: what is rounded to zero keeps its sign, as in the SQL."""
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     data = F.transform("embedding", lambda e: F.round(e.cast("double") * 1000))
+    if signed:
+        data = F.zip_with(data, "embedding", lambda v, e: F.abs(v) * F.signum(e.cast("double")))
     return ArrayFrame(df.select(F.col("vec_id").alias("p"), data.alias("data")), "p", "yx", (8, 8), dtype)
 
 
@@ -313,7 +315,8 @@ add("pathprops", lambda a: a.pathprops([[[0, 0], [0, 7]], [[2, 3], [6, 3]]], ("m
 add("unmix", lambda a: _channels(a, "c", 2).unmix(_MIX), sql.query("SELECT a.p, c::INT AS c, a.y, a.x, round(CASE c WHEN 0 THEN a.v ELSE (b.v - 0.5 * a.v) / 2 END, 6) + 0.0 AS value FROM px a JOIN px b ON b.p = a.p AND b.y = a.y + 4 AND b.x = a.x CROSS JOIN (SELECT unnest([0, 1]) AS c)"))
 _ST = "i AS (SELECT a.p, a.y, a.x, (a.v + b.v + c.v + d.v) / 2 + 10000 AS s0, a.v - c.v AS s1, b.v - d.v AS s2 FROM px a JOIN px b ON b.p = a.p AND b.x = a.x AND b.y = a.y + 2 JOIN px c ON c.p = a.p AND c.x = a.x AND c.y = a.y + 4 JOIN px d ON d.p = a.p AND d.x = a.x AND d.y = a.y + 6)"
 add("stokes_degree", lambda a: _channels(a + 5000, "a", 4).stokes()["dolp"], sql.query("SELECT p, y, x, round(sqrt(s1 * s1 + s2 * s2) / s0, 6) + 0.0 AS value FROM i", _ST))
-add("stokes_angle", lambda a: _channels(a + 5000, "a", 4).stokes()["aop"], sql.query("SELECT p, y, x, round(atan2(s2, s1) / 2, 6) + 0.0 AS value FROM i", _ST))
+# the angle does not depend on an offset, which would take the sign from zeros: differences of -0.0 and 0.0 have their own angle
+add_table("stokes_angle", lambda s, d: _channels(images(s, d, signed=True), "a", 4).stokes()["aop"], sql.query("SELECT p, y, x, round(atan2(s2, s1) / 2, 6) + 0.0 AS value FROM i", _ST))
 add("split_channels", lambda a: _channels(a, "c", 2).isel(c=1), sql.query("SELECT p, (y - 4)::INT AS y, x, v AS value FROM px WHERE y >= 4"))
 add("scaled_axes", lambda a: ArrayFrame(a.df, "p", [Axis("y", 0.5), Axis("x", 2.0)], (8, 8), a.dtype).radial_profile(3, most=9.0, how="sum"), sql.query("SELECT p, floor(sqrt(((y - 4.0) * 0.5) ** 2 + ((x - 4.0) * 2) ** 2) * 3 / 9.0)::INT AS r, sum(v) AS value FROM px WHERE floor(sqrt(((y - 4.0) * 0.5) ** 2 + ((x - 4.0) * 2) ** 2) * 3 / 9.0) < 3 GROUP BY ALL"))
 
