@@ -34,6 +34,18 @@ def cast(x: np.ndarray, dtype: str) -> np.ndarray:
     return np.asarray(x, float)
 
 
+#: Values of the arrays that a kernel gets at once, if one array has not more.
+VALUES = 1 << 17
+
+
+def _few(batches: Iterator[pa.RecordBatch], *shapes: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    """The rows in parts of at most VALUES values, so that what a kernel makes of a stack does not grow with a batch."""
+    step = max(1, VALUES // max(1, *(math.prod(s) for s in shapes)))
+    for b in batches:
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 def _stack(batch: pa.RecordBatch, index: int, shape: Sequence[int], dtype: str) -> np.ndarray:
     values = batch.column(index)
     flat = values.flatten().to_numpy(zero_copy_only=False)
@@ -131,7 +143,7 @@ class ArrayFrame:
         n, own, kind, size = len(self.batch), self.dtype, dtype or self.dtype, self.shape
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _few(batches, size):
                 if b.num_rows:
                     y = cast(kernel(_stack(b, n, size, own)), kind)
                     yield pa.RecordBatch.from_arrays([*b.columns[:n], _column(y)], b.schema.names)
@@ -144,7 +156,7 @@ class ArrayFrame:
         own, its, kind, size, size2 = self.dtype, other.dtype, dtype or self.dtype, self.shape, other.shape
 
         def run(batches):
-            for b in batches:
+            for b in _few(batches, size, size2):
                 if b.num_rows:
                     y = cast(kernel(_stack(b, n, size, own), _stack(b, n + 1, size2, its)), kind)
                     yield pa.RecordBatch.from_arrays([*b.columns[:n], _column(y)], [*b.schema.names[:n], DATA])
@@ -158,7 +170,7 @@ class ArrayFrame:
         kinds, arrow = own.names, _arrow(own)
 
         def run(batches):
-            for b in batches:
+            for b in _few(batches, *(s for s, _ in sizes)):
                 if b.num_rows:
                     out = dict(kernel(*[_stack(b, n + i, s, k) for i, (s, k) in enumerate(sizes)]))
                     rows = np.asarray(out.pop("row", np.arange(b.num_rows)), int)
