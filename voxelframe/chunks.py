@@ -364,14 +364,19 @@ class ChunkedFrame:
         """batch and value: mean, sum, min, max, count, var or std of each whole array, from sums of its chunks."""
         v = F.col("data")
         n, total = F.size(v).cast("double"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-        spread = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - total / n) * (x - total / n))
-        part = self.df.select(*self.batch.names, n.alias("_n"), total.alias("_s"), F.array_min(v).alias("_lo"), F.array_max(v).alias("_hi"), F.size(F.filter(v, lambda x: x != 0)).cast("double").alias("_nz"), spread.alias("_m2"))
         if how in ("var", "std"):  # about the chunks' own means, so that large values lose nothing
-            whole = part.groupBy(*self.batch.names).agg(F.sum("_n").alias("_all"), F.sum("_s").alias("_sum"))
-            joined = part.join(whole, self.batch.names) if self.batch.names else part.crossJoin(whole)
-            between = F.col("_n") * F.pow(F.col("_s") / F.col("_n") - F.col("_sum") / F.col("_all"), 2)
-            value = F.sum(F.col("_m2") + between) / F.sum("_n")
-            return joined.groupBy(*self.batch.names).agg((value if how == "var" else F.sqrt(value)).alias("value"))
+
+            def about_mean(data: pa.Array) -> pa.Array:
+                rows = (_row(data, i) for i in range(len(data)))
+                return pa.array([float(((x - x.mean()) ** 2).sum()) if len(x) else 0.0 for x in rows], pa.float64())
+
+            part = self.df.select(*self.batch.names, n.alias("n"), total.alias("s"), column_function(about_mean, "double")("data").alias("m2"))
+            # three numbers a chunk, in an order of their own so that sums do not depend on how rows are dealt out
+            whole = part.groupBy(*self.batch.names).agg(F.sum("n").alias("_n"), F.sort_array(F.collect_list(F.struct("n", "s", "m2"))).alias("_parts"))
+            whole = whole.withColumn("_mean", F.aggregate("_parts", F.lit(0.0), lambda a, c: a + c["s"]) / F.col("_n"))
+            value = F.aggregate("_parts", F.lit(0.0), lambda a, c: a + c["m2"] + c["n"] * F.pow(c["s"] / c["n"] - F.col("_mean"), 2)) / F.col("_n")
+            return whole.select(*self.batch.names, (value if how == "var" else F.sqrt(value)).alias("value"))
+        part = self.df.select(*self.batch.names, n.alias("_n"), total.alias("_s"), F.array_min(v).alias("_lo"), F.array_max(v).alias("_hi"), F.size(F.filter(v, lambda x: x != 0)).cast("double").alias("_nz"))
         value = {"mean": F.sum("_s") / F.sum("_n"), "sum": F.sum("_s"), "min": F.min("_lo"), "max": F.max("_hi"), "count": F.sum("_nz"), "ptp": F.max("_hi") - F.min("_lo")}[how]
         return part.groupBy(*self.batch.names).agg(value.alias("value"))
 
