@@ -34,6 +34,8 @@ from .components import components
 from .shared import Scratch, lean, pack_columns, partitions
 
 ROTATIONS = 3
+#: Largest coordinates of a rotation, and how many of them make a key, for tables of any size: with (4, 2) keys would hold too many of some million vectors.
+PLACES = (6, 3)
 #: Vectors of one block of a key, and of one cell of whole vectors.
 BLOCK, CELL = 1024, 4096
 #: Pairs computed at once.
@@ -69,11 +71,6 @@ class Plan:
         return key // (2 * bits) ** self.shared // ROTATIONS
 
 
-def shared_places(n: int, bits: int = 64) -> tuple[int, int]:
-    """(top, shared) for n vectors: keys of more places where those of fewer would hold over some hundred vectors each; recall is alike (the tests measure both)."""
-    return (4, 2) if n <= 1 << 20 else (6, 3)
-
-
 def encode(x: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """Records (codes, factors, top places) and keys of the rows of x, which are not zero."""
     n, width = x.shape
@@ -313,7 +310,7 @@ def _exact(threshold: float, float_bytes: int) -> Callable:
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vector: str = "embedding", sigmas: float = 4.5, places: tuple[int, int] | None = None, seed: int = 7) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vector: str = "embedding", sigmas: float = 4.5, places: tuple[int, int] | None = PLACES, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row: its links to other rows with cosine >= threshold, and the least vec_id that links lead to.
 
     Every pair that is linked has been computed in double precision.  A pair is
@@ -335,8 +332,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vector: str = "e
     sound = f"vec_id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x <> 0)"
     known = rows.select("vec_id", F.expr(f"case when {sound} then xxhash64(size(v), v) end").alias("node"), "v")
     nodes = known.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("vec_id").alias("rep"), F.first("v").alias("v"))
-    if places is None:
-        places = shared_places(vectors.count())
+    places = places or PLACES
     plan = Plan(threshold, places[0], places[1], sigmas, seed)
     coded = scratch.keep(nodes.mapInArrow(_coded(plan, float_bytes), "node bigint, n bigint, rep bigint, raw binary, record binary, cell bigint, keys array<bigint>"), "coded")
 
