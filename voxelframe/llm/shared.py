@@ -52,15 +52,20 @@ def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release() -> None:
+    """Hand freed memory back to the system: workers live on through later stages, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def lean(run: Callable) -> Callable:
-    """A batch function that hands freed memory back to the system when it ends: workers live on through later stages, and what they hold counts against the executor."""
+    """A batch function that releases memory when it ends."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        release()
 
     return wrapped
 

@@ -33,12 +33,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
 from .bitmaps import bitmap, hit
-from .shared import Scratch, lean, pack_columns
+from .blobs import pack, unpack
+from .shared import Scratch, lean, pack_columns, release
 
 BITS, DIM, FILTERS, WIDTHS, LANG_BITS = 18, 4, 6, (1, 2, 3), 14
 PAD = max(WIDTHS) - 1
@@ -235,6 +237,25 @@ def _labelled_batches(table: np.ndarray):
     return run
 
 
+def _squeezed(words: bytes) -> bytes:
+    """Six-byte hashes as the distinct ones and which of them each word has: a shard is one row, and what the JVM holds to read, copy and write a row is several times the row."""
+    known, which = np.unique(_widened(words), return_inverse=True)
+    return zstandard.ZstdCompressor(level=1).compress(pack(known, which.astype("<u2" if len(known) <= 1 << 16 else "<u4")))
+
+
+def _widened(words: bytes) -> np.ndarray:
+    six = np.frombuffer(words, np.uint8).reshape(-1, 6)
+    h = np.zeros((len(six), 8), np.uint8)
+    h[:, :6] = six
+    return h.view(np.uint64).ravel()
+
+
+def _opened_words(blob: bytes) -> np.ndarray:
+    blob = zstandard.ZstdDecompressor().decompress(blob)
+    known, which = unpack(blob, "<u8", "<u2" if blob[13] == 2 else "<u4")
+    return known[which]
+
+
 _SHARD = "shard int, sizes binary, y binary, held binary, lang array<string>, words binary"
 
 
@@ -246,7 +267,9 @@ def _shard(key, docs, labels):
     rows = [(i, label, w, lang, held) for i, lang, w, held in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "lang", "words", "held"))) for label in known.get(i, ())]
     rows.sort(key=lambda r: (r[0], r[1], r[2], r[3] or ""))
     pack = lambda j, f, t: np.array([f(r[j]) for r in rows], t).tobytes()
-    fields = [[key[0].as_py()], [pack(2, lambda w: len(w) // 6, "<i8")], [pack(1, int, "u1")], [pack(4, int, "u1")], [[r[3] for r in rows]], [b"".join(r[2] for r in rows)]]
+    fields = [[key[0].as_py()], [pack(2, lambda w: len(w) // 6, "<i8")], [pack(1, int, "u1")], [pack(4, int, "u1")], [[r[3] for r in rows]], [_squeezed(b"".join(r[2] for r in rows))]]
+    del rows
+    release()
     kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary())
     return pa.table([pa.array(f, t) for f, t in zip(fields, kinds)], ["shard", "sizes", "y", "held", "lang", "words"])
 
@@ -256,11 +279,9 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for i in range(batch.num_rows):
             shard, sizes, y, held, lang, words = (c[i] for c in batch.columns)
-            six = np.frombuffer(words.as_buffer(), np.uint8).reshape(-1, 6)
-            h = np.zeros((len(six), 8), np.uint8)
-            h[:, :6] = six
+            h = _opened_words(words.as_buffer())
             first = np.concatenate([[0], np.cumsum(np.frombuffer(sizes.as_buffer(), "<i8"))]).astype(np.int64)
-            yield shard.as_py(), h.view(np.uint64).ravel(), first, np.frombuffer(y.as_buffer(), "u1").astype(float), np.frombuffer(held.as_buffer(), "u1") > 0, lang.as_py()
+            yield shard.as_py(), h, first, np.frombuffer(y.as_buffer(), "u1").astype(float), np.frombuffer(held.as_buffer(), "u1") > 0, lang.as_py()
 
 
 def shards(docs: DataFrame, labels: DataFrame, each: int, scratch: Scratch) -> DataFrame | None:
@@ -278,6 +299,7 @@ def shards(docs: DataFrame, labels: DataFrame, each: int, scratch: Scratch) -> D
     return scratch.keep(words.groupBy("shard").cogroup(ids.select(shard, "doc_id", "label").groupBy("shard")).applyInArrow(_shard, _SHARD), "shards")
 
 
+@lean
 def _survey_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is counted over all texts, a row for each count: labels, rows of the tables that words go to, words by language."""
     counts = {"y": np.zeros(2, np.int64), "0": np.zeros(SIZE + 1, bool), "1": np.zeros(SIZE + 1, bool)}
