@@ -80,13 +80,53 @@ def _of(doc_first: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(np.arange(len(doc_first) - 1), np.diff(doc_first))[:n]
 
 
+def _small(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in as few bytes as they need."""
+    top = int(values.max(initial=0))
+    return values.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<i8")
+
+
+def _kind(blob: bytes, k: int) -> str:
+    """The type that _small chose for a blob's k-th array."""
+    return {1: "u1", 2: "<u2", 4: "<u4", 8: "<i8"}[blob[5 + 8 * k]]
+
+
+def _by_document(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Records in the order of their documents, which these are, and how a blob names them: the records of each, the ids above the least, the least.
+
+    A bucket holds few records of a document, the fewer the more buckets there are, so names are what a blob would be made of.
+    """
+    order = np.argsort(doc, kind="stable")
+    g = groups(doc[order])
+    names = doc[order[g[:-1]]]
+    low = ids[names].min(initial=np.iinfo(np.int64).max) if len(names) else 0
+    above = ids[names] - low
+    if (above < 0).any():  # ids further apart than a number can tell
+        low, above = 0, ids[names]
+    return order, names, [_small(np.diff(g)), _small(above) if (above >= 0).all() else above, np.array([low], np.int64)]
+
+
+def _ids(arrays: list[np.ndarray]) -> np.ndarray:
+    """The id of each record; arrays: counts, ids above the least, the least."""
+    return np.repeat(arrays[1].astype(np.int64) + arrays[2][0], arrays[0])
+
+
+def _named(blob: bytes, *more: str) -> list[np.ndarray]:
+    """Arrays of a blob that begins with names."""
+    return unpack(blob, _kind(blob, 0), _kind(blob, 1), "<i8", *more)
+
+
+def _part(ids: np.ndarray, n: int) -> np.ndarray:
+    return (B.mix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int32)
+
+
 def _anchor_batches(span: int, buckets: int):
-    """(bucket, row, blob): to a bucket the short hashes of anchors and the row and document of each; to a row (bucket from its hash) those known to repeat."""
+    """(bucket, doc_id, blob): to a bucket the short hashes of anchors and the document of each; to a document (bucket from its hash) those known to repeat."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.slices(batches, 2):
-            rid, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids = batch.column(1).to_numpy()
             found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for b in B.blocks(batch.column(2)):
                 _, anchor, ok, first = edges(b, span)
@@ -105,73 +145,68 @@ def _anchor_batches(span: int, buckets: int):
             mine = np.repeat(many, size)
             o, who, at = by_bucket(doc[mine])
             short = _short(anchor[mine])[o]
-            for i, d in enumerate(who):
-                out.append((int(rid[d] % buckets), int(rid[d]), short[at[i] : at[i + 1]].tobytes()))
-            # the rows of the least document, which may be several with its doc_id
-            lead = np.flatnonzero(ids[doc] == ids[doc[np.repeat(g[:-1], size)]])
-            lead = lead[groups(anchor[lead], doc[lead])[:-1]]
-            flag = np.repeat(many, size)[lead]
+            for i, (d, k) in enumerate(zip(who, _part(ids[who], buckets))):
+                out.append((int(k), int(ids[d]), short[at[i] : at[i + 1]].tobytes()))
+            lead = g[:-1]
             o, which, at = by_bucket(_bucket(anchor[lead], buckets))
             for i, k in enumerate(which):
-                part = lead[o[at[i] : at[i + 1]]]
-                names, inv = np.unique(doc[part], return_inverse=True)
-                out.append((int(k), None, pack(_short(anchor[part]), inv.astype(np.uint16 if len(names) < 65536 else np.uint32), rid[names], ids[names], flag[o[at[i] : at[i + 1]]].astype(np.uint8))))
+                part = o[at[i] : at[i + 1]]
+                order, _, names = _by_document(doc[lead[part]], ids)
+                out.append((int(k), None, pack(*names, _short(anchor[lead[part[order]]]), np.packbits(many[part[order]]))))
             cols = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int32()), pa.array(list(cols[1]), pa.int64()), pa.array(list(cols[2]), pa.binary())], ["bucket", "rid", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int32()), pa.array(list(cols[1]), pa.int64()), pa.array(list(cols[2]), pa.binary())], ["bucket", "doc_id", "blob"])
 
     return run
 
 
 _PART = "part int, blob binary"
-_MARKED = "rid bigint, blob binary"
-
-
-def _narrow(blob: bytes) -> str:
-    """The type of a blob's second array."""
-    return "<u2" if blob[1 + 12] == 2 else "<u4"
-
-
-def _parts(rid: np.ndarray, buckets: int, *values: np.ndarray) -> pa.Table:
-    """One row per part of the rows (by hash) with packed rid and values."""
-    order, found, at = by_bucket((rid % buckets).astype(np.int32))
-    blobs = [pack(rid[o], *[v[o] for v in values]) for o in (order[at[i] : at[i + 1]] for i in range(len(found)))]
+_MARKED = "doc_id bigint, blob binary"
+
+
+def _parts(ids: np.ndarray, buckets: int, short: np.ndarray) -> pa.Table:
+    """One row per part of the documents (by hash) with their short hashes."""
+    known, doc = np.unique(ids, return_inverse=True)
+    order, found, at = by_bucket(_part(ids, buckets))
+    blobs = []
+    for i in range(len(found)):
+        mine = order[at[i] : at[i + 1]]
+        o, _, names = _by_document(doc[mine], known)
+        blobs.append(pack(*names, short[mine[o]]))
     return pa.table([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
 def _anchor_bucket(buckets: int):
     def run(key, table):
-        """The rows (rid) whose anchors occur in two documents of the whole corpus, with these anchors."""
-        short, row, ids, flag = [], [], [], []
-        out_row, out_short = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        for rid, blob in zip(table.column("rid").to_pylist(), table.column("blob").to_pylist()):
-            if rid is not None:
+        """The documents whose anchors occur in two documents of the whole corpus, with these anchors."""
+        short, ids, flag = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        out_ids, out_short = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for doc, blob in zip(table.column("doc_id").to_pylist(), table.column("blob").to_pylist()):
+            if doc is not None:
                 out_short.append(np.frombuffer(blob, "<u4"))
-                out_row.append(np.full(len(out_short[-1]), rid, np.int64))
+                out_ids.append(np.full(len(out_short[-1]), doc, np.int64))
                 continue
-            h, inv, names, docs, f = unpack(blob, "<u4", _narrow(blob), "<i8", "<i8", "u1")
-            short.append(h), row.append(names[inv]), ids.append(docs[inv]), flag.append(f)
-        if short:
-            short, row, ids, flag = map(np.concatenate, (short, row, ids, flag))
+            *names, h, bits = _named(blob, "<u4", "u1")
+            short.append(h), ids.append(_ids(names)), flag.append(np.unpackbits(bits, count=len(h)) > 0)
+        short, ids, flag = map(np.concatenate, (short, ids, flag))
+        if len(short):
             order = np.lexsort((ids, short))
-            short, row, ids, flag = short[order], row[order], ids[order], flag[order]
+            short, ids, flag = short[order], ids[order], flag[order]
             g = groups(short)
-            many = (ids[g[:-1]] != ids[g[1:] - 1]) | (np.maximum.reduceat(flag, g[:-1]) > 0)
+            many = (ids[g[:-1]] != ids[g[1:] - 1]) | np.logical_or.reduceat(flag, g[:-1])
             mine = np.repeat(many, np.diff(g))
-            out_row.append(row[mine]), out_short.append(short[mine])
-        return _parts(np.concatenate(out_row), buckets, np.concatenate(out_short))
+            out_ids.append(ids[mine]), out_short.append(short[mine])
+        return _parts(np.concatenate(out_ids), buckets, np.concatenate(out_short))
 
     return run
 
 
-def _by_row(*kinds: str):
-    def run(key, table):
-        """The packed values of each row (rid) of a part."""
-        arrays = [np.concatenate(a) for a in zip(*(unpack(b, "<i8", *kinds) for b in table.column("blob").to_pylist()))]
-        order, who, at = by_bucket(arrays[0])
-        blobs = [pack(*[v[o] for v in arrays[1:]]) for o in (order[at[i] : at[i + 1]] for i in range(len(who)))]
-        return pa.table([pa.array(who, pa.int64()), pa.array(blobs, pa.binary())], ["rid", "blob"])
-
-    return run
+def _by_doc_id(key, table):
+    """The short hashes of each document of a part."""
+    found = [(_ids(names), short) for b in table.column("blob").to_pylist() for *names, short in [_named(b, "<u4")]]
+    ids, short = map(np.concatenate, zip(*found))
+    known, doc = np.unique(ids, return_inverse=True)
+    order, _, at = by_bucket(doc)
+    return pa.table([pa.array(known, pa.int64()), pa.array([pack(short[order[at[i] : at[i + 1]]]) for i in range(len(known))], pa.binary())], ["doc_id", "blob"])
 
 
 def _packed(texts: pa.Array) -> pa.Array:
@@ -189,13 +224,13 @@ def _plain(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
 
 
 def _chosen_batches(table: np.ndarray):
-    """Only rows whose rid may be in the bitmap, their texts packed."""
+    """Only rows whose first column may be in the bitmap; the last one has texts, which are packed."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = batch.filter(pa.array(hit(table, batch.column(0).to_numpy().view(np.uint64))))
-            yield pa.RecordBatch.from_arrays([*some.columns[:2], _packed(some.column(2))], some.schema.names)
+            yield pa.RecordBatch.from_arrays([*some.columns[:-1], _packed(some.columns[-1])], some.schema.names)
 
     return run
 
@@ -244,8 +279,8 @@ def _edge_batches(span: int, buckets: int):
             blobs = []
             for i in range(len(which)):
                 part = sent[o[cut[i] : cut[i + 1]]]
-                names, inv = np.unique(doc[part], return_inverse=True)
-                blobs.append(pack(h[part], inv.astype(np.uint16 if len(names) < 65536 else np.uint32), place[part].astype("<u4"), rid[names], ids[names]))
+                order, which_docs, names = _by_document(doc[part], ids)
+                blobs.append(pack(*names, rid[which_docs], h[part[order]], _small(place[part[order]])))
             cols = [pa.concat_arrays([c, pa.nulls(len(which), pa.int64())]) for c in found]
             none = pa.nulls(len(found[0]))
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([none.cast(pa.int32()), pa.array(which, pa.int32())]), *cols, pa.concat_arrays([none.cast(pa.binary()), pa.array(blobs, pa.binary())])], ["bucket", *PIECE, "blob"])
@@ -257,8 +292,8 @@ def _edge_bucket(key, table):
     """The pieces of paths that one bucket finds."""
     hs, rows, ids, places = [], [], [], []
     for blob in table.column("blob").to_pylist():
-        h, inv, place, names, docs = unpack(blob, "<u8", _narrow(blob), "<u4", "<i8", "<i8")
-        hs.append(h), rows.append(names[inv]), ids.append(docs[inv]), places.append(place.astype(np.int64))
+        *names, rid, h, place = _named(blob, "<i8", "<u8", _kind(blob, 5))
+        hs.append(h), rows.append(np.repeat(rid, names[0])), ids.append(_ids(names)), places.append(place.astype(np.int64))
     h, row, ids, place = map(np.concatenate, (hs, rows, ids, places))
     order = np.lexsort((place, ids, h))
     h, row, ids, place = h[order], row[order], ids[order], place[order]
@@ -274,27 +309,80 @@ def _repeats(docs: DataFrame, span: int, scratch: Scratch) -> tuple[DataFrame, D
     buckets = 2 * partitions(spark, 8)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
     known = rows.where("doc_id is not null")
-    anchors = known.mapInArrow(_anchor_batches(span, buckets), "bucket int, rid bigint, blob binary")
-    marked = anchors.groupBy("bucket").applyInArrow(_anchor_bucket(buckets), _PART).groupBy("part").applyInArrow(_by_row("<u4"), _MARKED)
+    anchors = known.mapInArrow(_anchor_batches(span, buckets), "bucket int, doc_id bigint, blob binary")
+    marked = anchors.groupBy("bucket").applyInArrow(_anchor_bucket(buckets), _PART).groupBy("part").applyInArrow(_by_doc_id, _MARKED)
     marked = scratch.keep(marked, "marked")
-    chosen = known.mapInArrow(_chosen_batches(bitmap(marked, "rid")), "rid bigint, doc_id bigint, text binary")
+    key = F.xxhash64("doc_id").alias("h")
+    chosen = known.select(key, *known.columns).mapInArrow(_chosen_batches(bitmap(marked.select(key))), "h bigint, rid bigint, doc_id bigint, text binary")
+    chosen = chosen.join(marked, "doc_id").select("rid", "doc_id", "text", "blob")
     piece = ", ".join(f"{c} bigint" for c in PIECE)
-    passed = scratch.keep(chosen.join(marked, "rid").mapInArrow(_edge_batches(span, buckets), f"bucket int, {piece}, blob binary"), "edges")
+    passed = scratch.keep(chosen.mapInArrow(_edge_batches(span, buckets), f"bucket int, {piece}, blob binary"), "edges")
     found = passed.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_edge_bucket, piece)
     pieces = scratch.keep(passed.where("bucket is null").select(*PIECE).union(found), "pieces")
     scratch.drop("marked", "edges")
     return rows, pieces
 
 
+NODE = ["rid", "source_id", "shift", "place", "degree"]
+
+
+def _nodes(*columns: np.ndarray) -> list[np.ndarray]:
+    """The NODE columns, in their order, of the nodes with more pieces going out than coming in (degree) or less."""
+    order = np.lexsort(columns[3::-1])
+    columns = [c[order] for c in columns]
+    g = groups(*columns[:4])
+    degree = np.diff(np.concatenate([[0], np.cumsum(columns[4])])[g])
+    at = g[:-1][degree != 0]
+    return [*(c[at] for c in columns[:4]), degree[degree != 0]]
+
+
+def _node_batches(parts: int, most: int = 1 << 18):
+    """(part, blob): the nodes of the pieces, to the parts that their rows are in; what ends and begins in one task has gone."""
+
+    def packed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        rid, place, source, at, edges = map(np.concatenate, zip(*held))
+        one = np.ones(len(rid), np.int64)
+        nodes = _nodes(*(np.concatenate(c) for c in ((rid, rid), (source, source), (at - place, at - place), (place, place + edges), (one, -one))))
+        order, found, cut = by_bucket(_part(nodes[0], parts))
+        blobs = []
+        for i in range(len(found)):
+            line, place, degree = (lambda c: (c[:3], c[3], c[4]))([c[order[cut[i] : cut[i + 1]]] for c in nodes])
+            g = groups(*line)
+            blobs.append(pack(_small(np.diff(g)), _small(place), degree.astype("<i4"), *(c[g[:-1]] for c in line)))
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+            if n >= most:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    return run
+
+
+def _node_part(key, table):
+    """The nodes of a part that are left when all tasks' are put together."""
+    columns = []
+    for blob in table.column("blob").to_pylist():
+        n, place, degree, *line = unpack(blob, _kind(blob, 0), _kind(blob, 1), "<i4", "<i8", "<i8", "<i8")
+        columns.append([*(np.repeat(c, n) for c in line), place.astype(np.int64), degree.astype(np.int64)])
+    return pa.table(_nodes(*map(np.concatenate, zip(*columns))), NODE)
+
+
 def _compacted(pieces: DataFrame, span: int) -> DataFrame:
     """Maximal paths: rid, place, source_id, source_place, n_words.  A node is a place on a line of (row, source, shift between them); the n-th head and the n-th tail on a line are of one path."""
-    pieces = pieces.withColumn("shift", F.col("source_place") - F.col("place"))
-    line = ["rid", "source_id", "shift"]
-    out = pieces.select(*line, "place", F.lit(1).alias("degree"))
-    into = pieces.select(*line, (F.col("place") + F.col("edges")).alias("place"), F.lit(-1).alias("degree"))
-    ends = out.union(into).groupBy(*line, "place").agg(F.sum("degree").alias("degree")).where("degree <> 0")
+    line = NODE[:3]
+    parts = 2 * partitions(pieces.sparkSession, 8)
+    nodes = pieces.select(*PIECE).mapInArrow(_node_batches(parts), _PART).groupBy("part")
+    ends = nodes.applyInArrow(_node_part, ", ".join(f"{c} bigint" for c in NODE))
     # rows that are equal have one rid and may have their pieces cut differently, so several paths can begin at a node
-    ends = ends.select(*line, "place", (F.col("degree") > 0).alias("head"), F.explode(F.sequence(F.lit(1), F.abs("degree"))).alias("j"))
+    ends = ends.select(*line, "place", (F.col("degree") > 0).alias("head"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("degree"))).alias("j"))
     ends = ends.withColumn("i", F.row_number().over(Window.partitionBy(*line, "head").orderBy("place", "j")))
     heads, tails = ends.where("head").drop("head", "j"), ends.where("not head").select(*line, "i", F.col("place").alias("end"))
     return heads.join(tails, [*line, "i"]).select("rid", "place", "source_id", (F.col("place") + F.col("shift")).alias("source_place"), (F.col("end") - F.col("place") + span - 1).alias("n_words"))
