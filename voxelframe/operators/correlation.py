@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import ArrayFrame
+from ..frame import ArrayFrame, _few
 from ..functions import fourier
 
 
@@ -16,20 +20,29 @@ def _pairs(a: ArrayFrame, b: ArrayFrame, mask: ArrayFrame | None) -> DataFrame:
     Arrays of one shape are joined as rows and spread afterwards, so pixels
     are not shuffled; fewer spatial axes are met pixel by pixel.
     """
-    if not (_alike(a, b) and (mask is None or _alike(a, mask))):
+    if not _in_rows(a, b, mask):
         out = a.pixels("u").join(b.pixels("v"), [n for n in a.axes.names if n in b.axes])
         if mask is not None:
             out = out.join(mask.pixels("m"), [n for n in mask.axes.names if n in a.axes], "left").where("coalesce(m, 0) = 0")
         return out
+    return _rows(a, b, mask).select(*a.batch.names, F.inline("data"))
+
+
+def _rows(a: ArrayFrame, b: ArrayFrame, mask: ArrayFrame | None) -> DataFrame:
+    """The pixels of both that are not left out as one array per row."""
     keys = a.batch.names
     both = a._joined(b).select(*keys, F.arrays_zip(F.col("data").alias("u"), F.col("_other").alias("v")).alias("data"))
     if mask is None:
-        return both.select(*keys, F.inline("data"))
+        return both
     masks = mask.df.withColumnRenamed("data", "_m")
     on = mask.batch.names
     both = both.join(masks, on, "left") if on else both.join(masks.withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one"), "left")
     kept = F.when(F.col("_m").isNull(), F.col("data")).otherwise(F.filter("data", lambda x, i: F.coalesce(F.get("_m", i), F.lit(0.0)) == 0))
-    return both.select(*keys, F.inline(kept))
+    return both.select(*keys, kept.alias("data"))
+
+
+def _in_rows(a: ArrayFrame, b: ArrayFrame, mask: ArrayFrame | None) -> bool:
+    return _alike(a, b) and (mask is None or _alike(a, mask))
 
 
 def _alike(a: ArrayFrame, b: ArrayFrame) -> bool:
@@ -57,7 +70,14 @@ def manders_coloc(a: ArrayFrame, mask: ArrayFrame) -> DataFrame:
 
 
 def nmi(a: ArrayFrame, b: ArrayFrame, mask: ArrayFrame | None = None, bins: int = 100) -> DataFrame:
-    """Normalised mutual information on a histogram of equal bins per array."""
+    """Normalised mutual information on a histogram of equal bins per array.
+
+    Arrays of one shape are counted row by row where they have met; only others
+    are joined and grouped by pixels.
+    """
+    if _in_rows(a, b, mask):
+        both = _rows(a, b, mask).select(*a.batch.names, *(F.col(f"data.{c}").cast("array<double>").alias(f"_{c}") for c in "uv"))
+        return both.where("size(_u) > 0").mapInArrow(_information(len(a.batch), a.shape, bins), a._schema("value double"))
     keys, px = a.batch.names, _pairs(a, b, mask)
     limits = px.groupBy(*keys).agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.count("*").alias("all"))
 
@@ -77,6 +97,36 @@ def nmi(a: ArrayFrame, b: ArrayFrame, mask: ArrayFrame | None = None, bins: int
     return h.select(*keys, F.when(F.col("hxy") > 0, (F.col("hx") + F.col("hy")) / F.col("hxy")).otherwise(1.0).alias("value"))
 
 
+def _information(n: int, shape: tuple[int, ...], bins: int):
+    """nmi of each row's two arrays, which are behind n columns."""
+
+    def bins_of(x: np.ndarray, first: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        low, high = np.fmin.reduceat(x, first), np.maximum.reduceat(x, first)
+        wide = np.where((high > low) | np.isnan(high), high - low, 1.0)
+        with np.errstate(invalid="ignore"):
+            at = np.floor((x - low[doc]) * bins / wide[doc])
+        return np.minimum(np.where(np.isnan(at), 0, at), bins - 1).astype(np.int64)
+
+    def entropy(cells: np.ndarray, each: int, size: np.ndarray) -> np.ndarray:
+        cell, count = np.unique(cells, return_counts=True)
+        p = count / size[cell // each]
+        return -np.bincount(cell // each, p * np.log(p), len(size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _few(batches, shape):
+            if not b.num_rows:
+                continue
+            size = pc.list_value_length(b.column(n)).to_numpy().astype(np.int64)
+            first, doc = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+            i, j = (bins_of(b.column(n + k).flatten().to_numpy(zero_copy_only=False).astype(float), first, doc) for k in (0, 1))
+            both = entropy((doc * bins + i) * bins + j, bins * bins, size)
+            alone = entropy(doc * bins + i, bins, size) + entropy(doc * bins + j, bins, size)
+            value = np.divide(alone, both, out=np.ones(len(size)), where=both > 0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(value)], [*b.schema.names[:n], "value"])
+
+    return run
+
+
 def _amplitude(a: ArrayFrame) -> ArrayFrame:
     return a.map(lambda x: np.abs(fourier.fft(x)), "float64")
 
