@@ -11,7 +11,10 @@ All labelled texts are learned from, whole.  They are kept in shards by hashes
 of doc_id, one for every ``each`` texts.  In each of a few rounds every shard
 goes on from the common parameters by itself, side by side, and each parameter
 then moves by the mean of the shards that changed it.  Only the parameters (a
-bounded number) come to the driver.
+bounded number) come to the driver.  A learner has the rows of the tables that
+some word goes to; a worker holds it once (as a broadcast, not in a closure,
+which is there as bytes, too), and a shard learns with a copy of the rows of
+its own words.
 
 Decision thresholds are calibrated by language on the fifth of the labelled
 texts that the weights are not learned from, from counts of all their logits
@@ -34,6 +37,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +49,8 @@ from .shared import Scratch, lean, pack_columns, release
 BITS, DIM, FILTERS, WIDTHS, LANG_BITS = 18, 4, 6, (1, 2, 3), 14
 PAD = max(WIDTHS) - 1
 SIZE = 1 << BITS
-#: Words of one training step; slices of a table in which changes are merged; steps of a logit of 1 in which thresholds are counted.
-MOST, SLICES, FINE = 1 << 16, 32, 256
+#: Words that are looked up at once; words of one training step; slices of a table in which changes are merged; steps of a logit of 1 in which thresholds are counted.
+PART, MOST, SLICES, FINE = 1 << 17, 1 << 16, 32, 256
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
@@ -135,28 +139,39 @@ def _threshold(s: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
 
 @dataclass
 class Learner:
-    """A net and the sums of squared gradients of its parameters (AdaGrad)."""
+    """A net with some rows of the tables, and the sums of squared gradients of its parameters (AdaGrad)."""
 
+    rows: list[np.ndarray]  # of each table, ascending; the last is SIZE, the filler
     net: ToxicNet
     speed: list[np.ndarray]  # of net.params()
 
     @classmethod
     def start(cls, seen: list[np.ndarray], seed: int) -> Learner:
-        """A random start: small values for the words seen, so that words never seen have no say."""
+        """A random start: small values for the words seen; words never seen have no row and no say."""
         rng = np.random.default_rng(seed)
-        one, two = (np.where(s[:, None], rng.normal(0, 0.1, (SIZE + 1, DIM)), 0).astype(np.float32) for s in seen)
+        rows = [np.append(np.flatnonzero(s[:SIZE]), SIZE).astype(np.int32) for s in seen]
+        one, two = (np.where(s[:, None], rng.normal(0, 0.1, (SIZE + 1, DIM)), 0).astype(np.float32)[r] for s, r in zip(seen, rows))
         filters = [rng.normal(0, 0.5 / w, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         net = ToxicNet(one, two, filters, np.ones(FILTERS * len(WIDTHS), np.float32) * 0.3, np.full(1, -2.0))
-        return cls(net, [np.full(p.shape, 1e-2, p.dtype) for p in net.params()])
-
-    def copy(self) -> Learner:
-        n = self.net
-        return Learner(ToxicNet(n.one.copy(), n.two.copy(), [f.copy() for f in n.filters], n.dense.copy(), n.bias.copy()), [s.copy() for s in self.speed])
-
-    def learn(self, h: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator, epochs: int, batch: int, rate: float, drop: float) -> None:
-        """Steps of at most ``batch`` texts and MOST words (a text with more is a step of its own)."""
+        return cls(rows, net, [np.full(p.shape, 1e-2, p.dtype) for p in net.params()])
+
+    def part(self, rows: list[np.ndarray]) -> Learner:
+        """A copy with these of its rows."""
+        n, (i, j) = self.net, (np.searchsorted(a, b) for a, b in zip(self.rows, rows))
+        net = ToxicNet(n.one[i], n.two[j], [f.copy() for f in n.filters], n.dense.copy(), n.bias.copy())
+        return Learner(rows, net, [self.speed[0][i], self.speed[1][j], *(s.copy() for s in self.speed[2:])])
+
+    def whole(self) -> ToxicNet:
+        """The net with all rows; those never seen are zeros."""
+        tables = [np.zeros((SIZE + 1, DIM), np.float32) for _ in range(2)]
+        for table, rows, values in zip(tables, self.rows, self.net.params()):
+            table[rows] = values
+        return ToxicNet(*tables, self.net.filters, self.net.dense, self.net.bias)
+
+    def learn(self, ra: np.ndarray, rb: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator, epochs: int, batch: int, rate: float, drop: float) -> None:
+        """Steps of at most ``batch`` texts and MOST words (a text with more is a step of its own).  ra, rb: each word's places in the two tables."""
         net, speed = self.net, self.speed
-        ra, rb = rows_of(h)
+        no_a, no_b = len(net.one) - 1, len(net.two) - 1
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for part in _steps(order, np.diff(first), batch):
@@ -165,8 +180,8 @@ class Learner:
                 take = np.arange(local[-1]) + np.repeat(first[part] - local[:-1], lens)
                 # words left out at random: else a text's first telling word ends what its others could teach
                 out = rng.random(len(take)) < drop
-                a, at, pad = padded(np.where(out, SIZE, ra[take]), local, SIZE)
-                b, _, _ = padded(np.where(out, SIZE, rb[take]), local, SIZE)
+                a, at, pad = padded(np.where(out, no_a, ra[take]), local, no_a)
+                b, _, _ = padded(np.where(out, no_b, rb[take]), local, no_b)
                 zs, places = [], []
                 for q in net.responses(a, b, pad):
                     z = np.maximum.reduceat(q, at[:-1])
@@ -185,7 +200,7 @@ class Learner:
                 back = (g[:, None] * net.dense[None]) * (z > 0)
                 x = np.concatenate([net.one[a] + net.two[b], np.zeros((PAD, DIM), np.float32)])
                 fgrads, erows, egrads = [], [], []
-                aa, bb = np.append(a, [SIZE] * PAD), np.append(b, [SIZE] * PAD)
+                aa, bb = np.append(a, [no_a] * PAD), np.append(b, [no_b] * PAD)
                 for j, f in enumerate(net.filters):
                     bk, gf = back[:, j * FILTERS : (j + 1) * FILTERS], np.zeros_like(f)
                     for k in range(len(f)):
@@ -196,11 +211,11 @@ class Learner:
                     fgrads.append(gf)
                 where, grad = np.concatenate(erows), np.concatenate(egrads)
                 dense = act.T @ g
-                for table, sp, ids in ((net.one, speed[0], aa), (net.two, speed[1], bb)):
+                for table, sp, ids, no in ((net.one, speed[0], aa, no_a), (net.two, speed[1], bb, no_b)):
                     rows, inv = np.unique(ids[where], return_inverse=True)
                     gr = np.zeros((len(rows), DIM), np.float32)
                     np.add.at(gr, inv, grad)
-                    gr[rows == SIZE] = 0
+                    gr[rows == no] = 0
                     sp[rows] += gr * gr
                     table[rows] -= rate * gr / np.sqrt(sp[rows])
                 for param, sp, gf in zip([*net.filters, net.dense, net.bias], speed[2:], [*fgrads, dense, g.sum(keepdims=True)]):
@@ -239,21 +254,25 @@ def _labelled_batches(table: np.ndarray):
 
 def _squeezed(words: bytes) -> bytes:
     """Six-byte hashes as the distinct ones and which of them each word has: a shard is one row, and what the JVM holds to read, copy and write a row is several times the row."""
-    known, which = np.unique(_widened(words), return_inverse=True)
-    return zstandard.ZstdCompressor(level=1).compress(pack(known, which.astype("<u2" if len(known) <= 1 << 16 else "<u4")))
+    six = np.frombuffer(words, np.uint8).reshape(-1, 6)
+    parts = [slice(i, i + PART) for i in range(0, len(six), PART)]
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(_widened(six[p])) for p in parts)]))
+    which = np.empty(len(six), "<u2" if len(known) <= 1 << 16 else "<u4")
+    for p in parts:
+        which[p] = np.searchsorted(known, _widened(six[p]))
+    return zstandard.ZstdCompressor(level=1).compress(pack(known, which))
 
 
-def _widened(words: bytes) -> np.ndarray:
-    six = np.frombuffer(words, np.uint8).reshape(-1, 6)
+def _widened(six: np.ndarray) -> np.ndarray:
     h = np.zeros((len(six), 8), np.uint8)
     h[:, :6] = six
     return h.view(np.uint64).ravel()
 
 
-def _opened_words(blob: bytes) -> np.ndarray:
+def _unsqueezed(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     blob = zstandard.ZstdDecompressor().decompress(blob)
     known, which = unpack(blob, "<u8", "<u2" if blob[13] == 2 else "<u4")
-    return known[which]
+    return known, which
 
 
 _SHARD = "shard int, sizes binary, y binary, held binary, lang array<string>, words binary"
@@ -274,14 +293,19 @@ def _shard(key, docs, labels):
     return pa.table([pa.array(f, t) for f, t in zip(fields, kinds)], ["shard", "sizes", "y", "held", "lang", "words"])
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """shard, hashes, first places, labels, which are for the thresholds, languages."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """shard, distinct hashes, which of them each word has, first places, labels, which are for the thresholds, languages."""
     for batch in batches:
         for i in range(batch.num_rows):
             shard, sizes, y, held, lang, words = (c[i] for c in batch.columns)
-            h = _opened_words(words.as_buffer())
             first = np.concatenate([[0], np.cumsum(np.frombuffer(sizes.as_buffer(), "<i8"))]).astype(np.int64)
-            yield shard.as_py(), h, first, np.frombuffer(y.as_buffer(), "u1").astype(float), np.frombuffer(held.as_buffer(), "u1") > 0, lang.as_py()
+            yield shard.as_py(), *_unsqueezed(words.as_buffer()), first, np.frombuffer(y.as_buffer(), "u1").astype(float), np.frombuffer(held.as_buffer(), "u1") > 0, lang.as_py()
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The same with the hash of each word."""
+    for shard, known, which, *more in _packed(batches):
+        yield shard, known[which], *more
 
 
 def shards(docs: DataFrame, labels: DataFrame, each: int, scratch: Scratch) -> DataFrame | None:
@@ -303,14 +327,17 @@ def shards(docs: DataFrame, labels: DataFrame, each: int, scratch: Scratch) -> D
 def _survey_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is counted over all texts, a row for each count: labels, rows of the tables that words go to, words by language."""
     counts = {"y": np.zeros(2, np.int64), "0": np.zeros(SIZE + 1, bool), "1": np.zeros(SIZE + 1, bool)}
-    for _, h, first, y, held, lang in _opened(batches):
+    for _, known, which, first, y, held, lang in _packed(batches):
         counts["y"] += np.bincount(y.astype(int), minlength=2)
-        doc = np.repeat(np.arange(len(y)), np.diff(first))
-        for k, r in zip("01", rows_of(h)):
-            counts[k][r[~held[doc]]] = True
-        cells, code = (h & np.uint64((1 << LANG_BITS) - 1)).astype(np.int64), np.array(["" if x is None else "l" + x for x in lang], object)
+        sizes, seen = np.diff(first), np.zeros(len(known), bool)
+        seen[which[np.repeat(~held, sizes)]] = True
+        for k, r in zip("01", rows_of(known)):
+            counts[k][r[seen]] = True
+        cells, code = (known & np.uint64((1 << LANG_BITS) - 1)).astype(np.int64), np.array(["" if x is None else "l" + x for x in lang], object)
         for name in set(code) - {""}:
-            counts[name] = counts.get(name, 0) + np.bincount(cells[(code == name)[doc]], minlength=1 << LANG_BITS)
+            mine = which[np.repeat(code == name, sizes)]
+            n = sum((np.bincount(mine[i : i + PART], minlength=len(known)) for i in range(0, len(mine), PART)), np.zeros(len(known), np.int64))
+            np.add.at(counts.setdefault(name, np.zeros(1 << LANG_BITS, np.int64)), cells, n)
     yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c.astype(np.int64).tobytes() if k[0] in "yl" else np.packbits(c).tobytes() for k, c in counts.items()], pa.binary())], ["name", "blob"])
 
 
@@ -320,26 +347,31 @@ def _survey_merged(key, table):
     return pa.table([pa.array([name]), pa.array([(sum(blobs[1:], blobs[0]) if name[0] in "yl" else np.bitwise_or.reduce(blobs)).tobytes()], pa.binary())], ["name", "blob"])
 
 
-def _round_batches(learner: Learner, round_: int, weights: np.ndarray, seed: int, options: dict):
-    """Each shard learns from the common state by itself; what has changed, in slices: slice, shard, blob."""
+def _round_batches(common: Broadcast, round_: int, weights: np.ndarray, seed: int, options: dict):
+    """Each shard learns from the common Learner by itself; what has changed, in slices: slice, shard, blob."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, h, first, y, held, _ in _opened(batches):
+        for shard, known, which, first, y, held, _ in _packed(batches):
             fitted = np.flatnonzero(~held)
             if not len(fitted):
                 continue
-            sizes = np.diff(first)[fitted]
-            local = np.concatenate([[0], np.cumsum(sizes)])
-            mine = h[np.arange(local[-1]) + np.repeat(first[fitted] - local[:-1], sizes)]
-            new = learner.copy()
-            new.learn(mine, local, y[fitted], weights[y[fitted].astype(int)], np.random.default_rng([seed, round_, shard]), **options)
-            out = [(2 * SLICES, b"".join((a - b).astype("<f8").tobytes() for a, b in zip([*new.net.params()[2:], *new.speed[2:]], [*learner.net.params()[2:], *learner.speed[2:]])))]
+            sizes, used = np.diff(first), np.zeros(len(known), bool)
+            which = which[np.repeat(~held, sizes)]
+            used[which] = True
+            local = np.concatenate([[0], np.cumsum(sizes[fitted])])
+            rows = [np.append(np.unique(r[used]), np.int32(SIZE)) for r in rows_of(known)]
+            ra, rb = (np.searchsorted(own, r).astype(np.int32)[which] for own, r in zip(rows, rows_of(known)))
+            del known, which
+            old, new = common.value.part(rows), common.value.part(rows)
+            new.learn(ra, rb, local, y[fitted], weights[y[fitted].astype(int)], np.random.default_rng([seed, round_, shard]), **options)
+            out = [(2 * SLICES, b"".join((a - b).astype("<f8").tobytes() for a, b in zip([*new.net.params()[2:], *new.speed[2:]], [*old.net.params()[2:], *old.speed[2:]])))]
             for t in range(2):
-                rows = np.flatnonzero((new.speed[t] != learner.speed[t]).any(axis=1))
-                moved = np.concatenate([new.net.params()[t][rows] - learner.net.params()[t][rows], new.speed[t][rows] - learner.speed[t][rows]], axis=1).astype("<f4")
-                cut = np.searchsorted(rows, np.arange(SLICES + 1) * (SIZE // SLICES))
-                out += [(t * SLICES + k, rows[a:b].astype("<i4").tobytes() + moved[a:b].tobytes()) for k, (a, b) in enumerate(itertools.pairwise(cut)) if b > a]
+                at = np.flatnonzero((new.speed[t] != old.speed[t]).any(axis=1))
+                moved = np.concatenate([new.net.params()[t][at] - old.net.params()[t][at], new.speed[t][at] - old.speed[t][at]], axis=1).astype("<f4")
+                ids = rows[t][at]
+                cut = np.searchsorted(ids, np.arange(SLICES + 1) * (SIZE // SLICES))
+                out += [(t * SLICES + k, ids[a:b].astype("<i4").tobytes() + moved[a:b].tobytes()) for k, (a, b) in enumerate(itertools.pairwise(cut)) if b > a]
             part, blob = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([shard] * len(part), pa.int32()), pa.array(blob, pa.binary())], ["part", "shard", "blob"])
 
@@ -375,19 +407,20 @@ def _moved(learner: Learner, parts: dict[int, bytes]) -> None:
         p += d.reshape(p.shape).astype(p.dtype)
     for part, blob in parts.items():
         rows, moved = _rows_moved(blob)
-        learner.net.params()[part // SLICES][rows] += moved[:, :DIM]
-        learner.speed[part // SLICES][rows] += moved[:, DIM:]
+        at = np.searchsorted(learner.rows[part // SLICES], rows)
+        learner.net.params()[part // SLICES][at] += moved[:, :DIM]
+        learner.speed[part // SLICES][at] += moved[:, DIM:]
 
 
-def _calibration_batches(net: ToxicNet):
+def _calibration_batches(common: Broadcast):
     """Counts of the texts for the thresholds by guessed language, logit in steps of 1 / FINE, and label."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, first, y, held, _ in _opened(batches):
-            cells = [np.zeros((0, 3), np.int64)]
+        for _, known, which, first, y, held, _ in _packed(batches):
+            net, cells = common.value, [np.zeros((0, 3), np.int64)]
             for d in np.flatnonzero(held):
-                part = h[first[d] : first[d + 1]], np.array([0, first[d + 1] - first[d]])
+                part = known[which[first[d] : first[d + 1]]], np.array([0, first[d + 1] - first[d]])
                 z = np.floor(np.clip(net.logits(*part), -30, 30) * FINE + 0.5)
                 cells.append(np.array([[net.language(*part)[0], z[0], y[d]]], np.int64))
             cells, n = np.unique(np.concatenate(cells), axis=0, return_counts=True)
@@ -434,24 +467,30 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 2500, rounds: int = 4, e
     learner = Learner.start([np.unpackbits(np.frombuffer(counted[k], np.uint8), count=SIZE + 1) > 0 for k in "01"], seed)
     weights = np.sqrt(n.sum() / (2 * n))  # the rarer label counts for more
     options = {"epochs": epochs, "batch": batch, "rate": rate, "drop": drop}
+    sc = docs.sparkSession.sparkContext
     for k in range(rounds):
-        moved = texts.mapInArrow(_round_batches(learner, k, weights, seed, options), "part int, shard int, blob binary").groupBy("part").applyInArrow(_round_merged, "part int, blob binary")
+        common = sc.broadcast(learner)
+        moved = texts.mapInArrow(_round_batches(common, k, weights, seed, options), "part int, shard int, blob binary").groupBy("part").applyInArrow(_round_merged, "part int, blob binary")
         _moved(learner, {r["part"]: bytes(r["blob"]) for r in moved.collect()})
-    net = learner.net
+        common.destroy()
+    net = learner.whole()
     names = sorted(k for k in counted if k[0] == "l")
     if names:
         by = np.stack([np.frombuffer(counted[k], np.int64) for k in names], axis=1) + 0.1
         by = by / by.sum(0)
         net.lang = np.log(by / by.sum(1, keepdims=True)).astype(np.float32)
-    cells = texts.mapInArrow(_calibration_batches(net), "guess bigint, z bigint, y bigint, n bigint").groupBy("guess", "z", "y").agg(F.sum("n").alias("n")).collect()
+    common = sc.broadcast(net)
+    cells = texts.mapInArrow(_calibration_batches(common), "guess bigint, z bigint, y bigint, n bigint").groupBy("guess", "z", "y").agg(F.sum("n").alias("n")).collect()
+    common.destroy()
     net.thresholds = _thresholds(np.array(cells, np.int64).reshape(-1, 4), len(names), shrink)
     scratch.drop("shards")
     return net
 
 
-def _score_batches(net):
+def _score_batches(common: Broadcast):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = common.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for b in B.blocks(batch.column(1)):
@@ -464,13 +503,16 @@ def _score_batches(net):
 
 def predict(docs: DataFrame, net: ToxicNet | float) -> DataFrame:
     """doc_id, score and predicted of every row; reads doc_id and text only."""
-    return pack_columns(docs, "doc_id", "text").mapInArrow(_score_batches(net), "doc_id bigint, score double, predicted int")
+    return pack_columns(docs, "doc_id", "text").mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(net)), "doc_id bigint, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, net: ToxicNet | float) -> DataFrame:
     """The rows, with all their columns, that are not predicted toxic; only the texts go to Python."""
 
+    common = docs.sparkSession.sparkContext.broadcast(net)
+
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        net = common.value
         for text in texts:
             out = np.zeros(len(text))
             for b in B.blocks(text):
